@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, quality, secrets
+from . import common, langid, minhash, quality, secrets, substring
 
 
 def remainder(n: int) -> F.Column:
@@ -25,6 +25,18 @@ def op3_quality_rqda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", held_out.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of documents, at a resemblance of 0.85 of 5-word shingles."""
+    common.small_batches(spark)
+    return minhash.near_duplicates(common.read_table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that no repeated window of 20 words covers."""
+    common.small_batches(spark)
+    return substring.digests(common.read_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document, learnt from lang outside the held-out fold."""
     common.small_batches(spark)
@@ -42,7 +54,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_quality_rqda": op3_quality_rqda,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op8_language_id": op8_language_id,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_minhash_near_dedup": minhash.ORACLE, "op5_substring_dedup": substring.ORACLE}
