@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, minhash, quality, secrets, substring
+from . import bpe, common, langid, minhash, quality, secrets, substring, token_store
 
 
 def remainder(n: int) -> F.Column:
@@ -13,6 +13,18 @@ def remainder(n: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document, read back from binary shards through their index."""
+    common.small_batches(spark)
+    return token_store.digests(common.read_table(spark, sf_dir, "documents"))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of the bytes that they decode to."""
+    common.small_batches(spark)
+    return bpe.digests(common.read_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rqda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of each document, learnt from labels outside the held-out fold."""
     common.small_batches(spark)
@@ -53,6 +65,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_store": op1_token_store,
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_quality_rqda": op3_quality_rqda,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
