@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, langid, minhash, quality, secrets, substring, token_store
+from . import bpe, common, fingerprint, langid, minhash, packing, quality, secrets, substring, token_store
 
 
 def remainder(n: int) -> F.Column:
@@ -49,6 +49,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(common.read_table(spark, sf_dir, "documents"))
 
 
+def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and of its edited text, and their likeness."""
+    common.small_batches(spark)
+    return fingerprint.digests(common.read_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document, learnt from lang outside the held-out fold."""
     common.small_batches(spark)
@@ -58,6 +64,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), langid.identify(F.col("text"), model).alias("got")).select("doc_id", "held_out", "got.*")
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 2,048 to 16,384 bytes that hold all documents."""
+    docs = common.read_table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, packing.byte_length(F.col("text")))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of each document, by patterns and token efficiency."""
     common.small_batches(spark)
@@ -70,7 +82,9 @@ QUERIES = {
     "op3_quality_rqda": op3_quality_rqda,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_merkle_fingerprint": op7_merkle_fingerprint,
     "op8_language_id": op8_language_id,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLES: dict[str, str] = {"op4_minhash_near_dedup": minhash.ORACLE, "op5_substring_dedup": substring.ORACLE}
