@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, fingerprint, langid, minhash, packing, quality, secrets, substring, token_store
+from . import bpe, common, embedding_dedup, fingerprint, langid, minhash, packing, quality, secrets, substring, token_store
 
 
 def remainder(n: int) -> F.Column:
@@ -49,6 +49,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(common.read_table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of one label at a cosine of 0.93."""
+    return embedding_dedup.near_vectors(common.read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of each document and of its edited text, and their likeness."""
     common.small_batches(spark)
@@ -82,9 +87,10 @@ QUERIES = {
     "op3_quality_rqda": op3_quality_rqda,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_merkle_fingerprint": op7_merkle_fingerprint,
     "op8_language_id": op8_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLES: dict[str, str] = {"op4_minhash_near_dedup": minhash.ORACLE, "op5_substring_dedup": substring.ORACLE}
+ORACLES: dict[str, str] = {"op4_minhash_near_dedup": minhash.ORACLE, "op5_substring_dedup": substring.ORACLE, "op6_embedding_near_dedup": embedding_dedup.ORACLE}
