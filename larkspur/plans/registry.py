@@ -1,13 +1,40 @@
-"""Names of the queries and of their SQL, gathered from the modules of this package."""
+"""Names of the queries and of their SQL."""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+FLAGSHIP = "f00_leaks_by_source"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, with SQL that gives the same rows where SQL can."""
+
+    def add(f: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"{name} is registered already")
+        _QUERIES[name] = f
+        if sql:
+            _ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from . import evaluation, relational, text  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_ORACLES)
