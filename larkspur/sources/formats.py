@@ -152,4 +152,4 @@ def headings(text: Column) -> Column:
     """array of (title, body) of the `## ` sections of a template, without a comment at its beginning."""
     bare = F.regexp_replace(text, r"(?s)^\s*<!--.*?-->\s*", "")
     parts = F.slice(F.split(bare, "(?m)^## "), 2, 10_000)
-    return F.transform(parts, lambda p: F.struct(F.split_part(p, F.lit("\n"), F.lit(1)).alias("title"), F.trim(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("body")))
+    return F.transform(parts, lambda p: F.struct(F.split_part(p, F.lit("\n"), F.lit(1)).alias("title"), F.regexp_replace(p, r"^[^\n]*\n?", "").alias("body")))
