@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import evaluation, relational, text  # noqa: F401
+    from . import evaluation, records, relational, text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
