@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import complete_groups, connected_components, cut, partitions
+from .common import complete_groups, connected_components, cut, marked, partitions
 from .words import hash_words, mix, rolling
 
 
@@ -188,21 +188,25 @@ def near_duplicates(docs: DataFrame, options: LinkOptions = LinkOptions(), id_co
     shared = keyed.groupBy("t", "key").agg(F.count("*").alias("cnt")).where("cnt > 1")
     members = cut(keyed.join(shared, ["t", "key"]), "members")
     wanted = members.select("id").distinct()
+    texts = marked(own.where("id is not null"), wanted, "id").where("_wanted").select("id", "text")
     rows = members.join(reps, "id")
 
     def as_sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([shingles(t, options.words).tobytes() for t in texts], dtype=object)
 
-    sets = cut(own.join(wanted, "id").dropDuplicates(["id"]).select("id", F.pandas_udf(as_sets, "binary")("text").alias("set")), "sets")
+    sets = cut(texts.join(wanted, "id").dropDuplicates(["id"]).select("id", F.pandas_udf(as_sets, "binary")("text").alias("set")), "sets")
 
     first = cut(candidates(rows.withColumn("component", F.col("id")), options, sparse=True).distinct(), "pairs")
     links = cut(confirmed(first, sets, options), "links")
     part = connected_components(links)
     labelled = rows.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
     second = candidates(labelled, options, sparse=False).join(first, ["a", "b"], "left_anti")
-    links = links.union(cut(confirmed(second, sets, options), "links"))
-    part = connected_components(links).select(F.col("id").alias("rep"), "component")
+    more = cut(confirmed(second, sets, options), "links")
+    if not more.isEmpty():
+        # What is linked already is a star each.
+        part = connected_components(more.union(part.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    part = part.select(F.col("id").alias("rep"), "component")
 
     named = classes.join(part, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n", F.when(F.col("id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(named, "set_hash", "left")
@@ -213,7 +217,9 @@ def near_duplicates(docs: DataFrame, options: LinkOptions = LinkOptions(), id_co
 def keep_first(docs: DataFrame, options: LinkOptions = LinkOptions()) -> DataFrame:
     """`docs` with the smallest id of each group only; rows without an id stay."""
     gone = near_duplicates(docs, options).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    maybe = marked(docs, gone, "doc_id")
+    sure = maybe.where("not _wanted").select(*docs.columns)
+    return sure.union(maybe.where("_wanted").join(gone, "doc_id", "left_anti").select(*docs.columns))
 
 
 # The same result in SQL: all shingles joined, components by recursion. For small tables.
