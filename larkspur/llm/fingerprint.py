@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -148,9 +149,14 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     spark = docs.sparkSession
     ids = docs.select("doc_id")
     bounds = sorted(set(ids.where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
+    edges = np.array(bounds, np.int64)
+
+    def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for many in batches:
+            yield pd.Series(len(edges) - np.searchsorted(edges, many.to_numpy(), side="right"), dtype="int32")
+
     # Range 0 has the largest ids. A null id is in the last range.
-    edges = F.array(*[F.lit(int(b)).cast("long") for b in reversed(bounds)])
-    number = (F.size(F.filter(edges, lambda b: F.col("doc_id") < b)) if bounds else F.lit(0)).cast("int")
+    number = F.pandas_udf(place, "int")(F.coalesce("doc_id", F.lit(0)).cast("long"))
     ranged = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(number)
     heads = ids.withColumn("r", ranged).groupBy("r").agg(F.max("doc_id").alias("head"), F.count("*").alias("c")).orderBy("r").collect()
     if not heads:
