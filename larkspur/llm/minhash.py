@@ -224,22 +224,21 @@ def keep_first(docs: DataFrame, options: LinkOptions = LinkOptions()) -> DataFra
 
 # The same result in SQL: all shingles joined, components by recursion. For small tables.
 ORACLE = r"""
-WITH RECURSIVE words AS (
+WITH RECURSIVE words AS MATERIALIZED (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents
-), sets AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s
-  FROM words
-), elements AS (SELECT doc_id, unnest(s) AS e FROM sets
-), frequent AS (SELECT e FROM elements GROUP BY e HAVING count(*) > 1
-), inverted AS (SELECT doc_id, e FROM elements JOIN frequent USING (e)
+), each_word AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM words WHERE len(w) >= 5
+), runs AS (
+  SELECT doc_id, x || ' ' || lead(x, 1) OVER p || ' ' || lead(x, 2) OVER p || ' ' || lead(x, 3) OVER p || ' ' || lead(x, 4) OVER p AS e FROM each_word WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+), elements AS MATERIALIZED (
+  SELECT DISTINCT doc_id, e FROM runs WHERE e IS NOT NULL UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 4
+), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM elements GROUP BY doc_id
 ), common AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM inverted x JOIN inverted y ON x.e = y.e AND x.doc_id < y.doc_id GROUP BY ALL
-), links AS (
-  SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * i >= 85 * (len(x.s) + len(y.s) - i)
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM elements x JOIN elements y ON x.e = y.e AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)
 ), ends AS (SELECT a, b FROM links UNION SELECT b, a FROM links
 ), reach AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT ends.b, reach.c FROM reach JOIN ends ON ends.a = reach.doc_id
 ), least_of AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
-SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least_of USING (doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM least_of LEFT JOIN sizes USING (doc_id)
 """
