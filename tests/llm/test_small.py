@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from larkspur.llm import bpe, common, embedding_dedup, fingerprint, langid, minhash, packing, quality, secrets, substring, token_store
 from larkspur.llm.fm_index import FMIndex
 
+from . import brute
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -37,24 +39,9 @@ def docs(spark, texts):
     return spark.createDataFrame([*rows, (None, "a row without an id has words " * 5, None, None, None)], SCHEMA).repartition(3)
 
 
-def brute_components(texts, percent=85):
-    sets = {}
-    for i, t in texts:
-        w = (t or "").encode().lower().split()
-        sets[i] = {tuple(w)} if 0 < len(w) < 5 else {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
-    label = {i: i for i in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                x, y = sets[a], sets[b]
-                if x and y and 100 * len(x & y) >= percent * len(x | y):
-                    label[a] = label[b] = min(label[a], label[b])
-    return {i: (len(sets[i]), label[i]) for i in sets}
-
-
 def test_near_duplicates_equal_brute_force(docs, texts):
     got = {r["doc_id"]: r for r in minhash.near_duplicates(docs).collect()}
-    assert {i: (got[i]["n_shingles"], got[i]["component_id"]) for i, _ in texts} == brute_components(texts)
+    assert {i: (got[i]["n_shingles"], got[i]["component_id"]) for i, _ in texts} == brute.components(texts)
     assert got[None]["kept"] and got[None]["component_id"] is None
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for i, r in got.items() if i is not None)
 
@@ -70,7 +57,7 @@ def test_near_duplicates_in_blocks_find_the_same(spark):
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, minhash.LinkOptions(block=7)).collect()}
-    assert got == {i: c for i, (_, c) in brute_components(rows).items()}
+    assert got == {i: c for i, (_, c) in brute.components(rows).items()}
 
 
 def test_empty_tables_give_empty_results(spark):
@@ -88,24 +75,10 @@ def test_empty_tables_give_empty_results(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def brute_repeats(texts, window=20):
-    seen, out = {}, {}
-    for i, t in texts:
-        w = (t or "").encode().split()
-        gone = set()
-        for a in range(len(w) - window + 1):
-            k = tuple(w[a : a + window])
-            if seen.setdefault(k, (i, a)) != (i, a):
-                gone.update(range(a, a + window))
-        kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
-        out[i] = (len(w), len(gone), hashlib.sha256(kept).hexdigest())
-    return out
-
-
 @pytest.mark.parametrize("options", [substring.RepeatOptions(), substring.RepeatOptions(hot=1, shard=3), substring.RepeatOptions(window=8, anchor=3)])
 def test_repeats_equal_brute_force(docs, texts, options):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.digests(docs, options).collect()}
-    assert {i: got[i] for i, _ in texts} == brute_repeats(texts, options.window)
+    assert {i: got[i] for i, _ in texts} == brute.repeats(texts, options.window)
     assert got[None][1] == 0
 
 
