@@ -28,17 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import complete_groups, connected_components, cut, partitions
-from .words import mix
 
 
 @dataclass(frozen=True)
 class VectorOptions:
-    """sample: vectors that the rotations are fitted on, at most. bucket: vectors of a bucket, about."""
+    """sample: vectors that the rotations are fitted on, at most. bucket: vectors of a label for each possible key; under 1 few unlike vectors share a bucket."""
 
     threshold: float = 0.93
     recall: float = 0.998
     sample: int = 4096
-    bucket: int = 8
+    bucket: float = 0.1
     block: int = 1024
     rounds: int = 20
     most_bits: int = 48
@@ -135,13 +134,17 @@ def links_in_buckets(rows: DataFrame, options: VectorOptions) -> DataFrame:
                     near &= mine[a:z, None] != mine[None, a:z]
                 if not near.any():
                     continue
-                i, j = np.nonzero(near)
-                first = (keys[a + i] == keys[a + j]).argmax(axis=1) == t[a]
-                links = np.bincount(i[first], weights=times[a + j[first]], minlength=z - a).astype(np.int64)
+                # Pairs that no earlier table has brought together.
+                first = near.copy()
+                for k in range(int(t[a])):
+                    if not first.any():
+                        break
+                    first &= keys[a:z, k, None] != keys[None, a:z, k]
+                links = first @ times[a:z]
                 low = ids[a:z].copy()
                 while True:
-                    was = low.copy()
-                    np.minimum.at(low, i, was[j])
+                    was = low
+                    low = np.minimum(was, np.where(near, was[None, :], was[:, None]).min(axis=1))
                     if (low == was).all():
                         break
                 some = near.any(axis=1)
@@ -173,9 +176,11 @@ def near_vectors(table: DataFrame, options: VectorOptions = VectorOptions()) ->
     def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for many in batches:
             unit = np.frombuffer(b"".join(many), np.float64).reshape(len(many), -1)
-            yield pd.Series(list(mix(index.keys(unit).view(np.uint64)).view(np.int64)), dtype=object)
+            yield pd.Series(list(index.keys(unit).astype(narrow)), dtype=object)
 
-    coded = cut(classes.select(F.col("rep").alias("id"), "label", "times", "unit", F.pandas_udf(keys, "array<long>")("unit").alias("keys")), "codes")
+    # Keys travel with their vectors, so they are as narrow as their bits allow.
+    narrow, kind = (np.int32, "int") if index.bits < 32 else (np.int64, "long")
+    coded = cut(classes.select(F.col("rep").alias("id"), "label", "times", "unit", F.pandas_udf(keys, f"array<{kind}>")("unit").alias("keys")), "codes")
     keyed = coded.select("id", "label", F.posexplode("keys").alias("t", "key"))
     shared = keyed.groupBy("t", "label", "key").agg(F.count("*").alias("cnt")).where("cnt > 1")
     rows = keyed.join(shared, ["t", "label", "key"]).join(coded.select("id", "label", "times", "unit", "keys"), ["id", "label"])
