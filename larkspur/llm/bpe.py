@@ -17,7 +17,10 @@ row; a null id is kept.
 from __future__ import annotations
 
 import base64
+import json
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -34,34 +37,72 @@ CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028-\u2029\u202f\u205f\u3000\ufeff]")
 
 
+# A text without these is words parted by single spaces and line ends, each a pre-token boundary.
+UNEVEN = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\v", "\f")
+# Marks that are a pre-token of their own after a word.
+MARKS = frozenset(".,;:!?")
+
+
+class Words(dict):
+    """Ids of words, made when first asked for; a full one makes them anew each time."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.make(word)
+        if len(self) < self.most and len(word) < 64:
+            self[word] = ids
+        return ids
+
+
 class Cached:
-    """Encodes texts word by word through a bounded cache of the ids' bytes."""
+    """Encodes texts word by word through bounded caches of the ids' bytes.
+
+    encode is for whole texts, split cuts into pre-tokens, piece encodes one pre-token. Ids are little-endian integers
+    of the type `code` of the array module.
+    """
+
+    def __init__(self, encode: Callable[[str], list[int]], split: Callable[[str], list[str]], piece: Callable[[str], list[int]], code: str, most: int = 500_000):
+        self.encode, self.code = encode, code
+        self.dtype = np.dtype({"H": "<u2", "I": "<u4"}[code])
+        self.pieces = Words(lambda p: self.raw(piece(p)), most // 4)
+
+        def make(before: str) -> Words:
+            def word(w: str) -> bytes:
+                # A run of letters, with a space before it or not, is one pre-token.
+                if w.isalpha():
+                    return self.raw(piece(before + w))
+                if w[-1:] in MARKS and w[:-1].isalpha():
+                    return words[w[:-1]] + self.pieces[w[-1]]
+                return b"".join([self.pieces[p] for p in split(before + w)])
 
-    def __init__(self, encode: Callable[[str], list[int]], encode_word: Callable[[str], list[int]], dtype: type, most: int = 400_000):
-        self.encode, self.encode_word, self.dtype, self.most, self.cache = encode, encode_word, dtype, most, {}
+            words = Words(word, most if before else most // 4)
+            return words
+
+        self.first, self.spaced = make(""), make(" ")
+
+    def raw(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def __call__(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian integers."""
+        """The ids of a text."""
         if not text:
             return b""
         if ODD.search(text):
-            return np.array(self.encode(text), self.dtype).tobytes()
-        words, cache = CHUNK.findall(text), self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        out = []
-        for w in words:
-            ids = cache.get(w)
-            if ids is None:
-                ids = np.array(self.encode_word(w), self.dtype).tobytes()
-                if len(w) < 64:
-                    if len(cache) >= self.most:
-                        cache.clear()
-                    cache[w] = ids
-            out.append(ids)
-        return b"".join(out)
+            return self.raw(self.encode(text))
+        first, spaced = self.first, self.spaced
+        if any(x in text for x in UNEVEN) or text[0] in " \n" or text[-1] in " \n":
+            return b"".join(map(first.__getitem__, CHUNK.findall(text)))
+        lines = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            lines.append(first[words[0]] + b"".join(map(spaced.__getitem__, words[1:])))
+        return first["\n"].join(lines)
 
 
 _held: dict[tuple, object] = {}
@@ -81,11 +122,21 @@ def tiktoken_encoding(path: str):
 
 def tiktoken_cached(path: str) -> Cached:
     if ("cached", path) not in _held:
+        import public_tokenizers
+        import regex
+
         encoding = tiktoken_encoding(path)
-        _held["cached", path] = Cached(encoding.encode_ordinary, encoding.encode_ordinary, np.uint32)
+        _held["cached", path] = Cached(encoding.encode_ordinary, regex.compile(public_tokenizers.PATTERN).findall, lambda p: encoding._encode_single_piece(p.encode()), "I")
     return _held["cached", path]
 
 
+def byte_spelling() -> dict[int, int]:
+    """Byte -> the character that byte-level vocabularies spell it with: itself if printable, else one from 256 on."""
+    plain = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()]
+    others = [b for b in range(256) if b not in set(plain)]
+    return dict(zip(plain + others, plain + [256 + i for i in range(len(others))], strict=True))
+
+
 def tokenizers_cached(path: str) -> Cached:
     """The tokenizer of a JSON file. A word's pre-tokens go to its model directly, which skips the library's bookkeeping."""
     if ("json", path) not in _held:
@@ -94,27 +145,23 @@ def tokenizers_cached(path: str) -> Cached:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        model, split = t.model, t.pre_tokenizer.pre_tokenize_str
-        known: dict[str, list[int]] = {}
-
-        def word(w: str) -> list[int]:
-            ids = []
-            for piece, _ in split(w):
-                got = known.get(piece)
-                if got is None:
-                    got = [x.id for x in model.tokenize(piece)]
-                    if len(piece) < 64:
-                        if len(known) >= 400_000:
-                            known.clear()
-                        known[piece] = got
-                ids += got
-            return ids
+        import public_tokenizers
+        import regex
+
+        # The pre-tokens of a byte-level file are those of PATTERN; their bytes are spelt as printable characters.
+        model, split, spelt = t.model, regex.compile(public_tokenizers.PATTERN).findall, byte_spelling()
 
         def whole(text: str) -> list[int]:
             return t.encode(text, add_special_tokens=False).ids
 
-        plain = t.normalizer is None
-        _held["json", path] = Cached(whole, word if plain else whole, np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32)
+        def piece(p: str) -> list[int]:
+            return [x.id for x in model.tokenize(p.encode().decode("latin-1").translate(spelt))]
+
+        kind = json.loads(t.to_str())
+        pre = kind["pre_tokenizer"] or {}
+        if kind["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+            raise ValueError(f"{path} is no byte-level file without a normalizer")
+        _held["json", path] = Cached(whole, split, piece, "H" if t.get_vocab_size() <= 1 << 16 else "I")
     return _held["json", path]
 
 
