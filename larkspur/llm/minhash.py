@@ -39,7 +39,7 @@ class LinkOptions:
     words: int = 5
     side: int = 12
     half: int = 5
-    block: int = 1024
+    block: int = 512
     bins: int = 256
 
 
