@@ -20,7 +20,6 @@ same id count as one document. Without repeats texts are kept as they are.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, marked
 from .fm_index import FMIndex
 from .words import GOLD, hash_words, mix, rolling, split_words
 
@@ -120,7 +119,8 @@ def repeated_windows(docs: DataFrame, options: RepeatOptions) -> DataFrame:
     """(id, a, b): runs of repeated windows, by their first and last start, of docs (id, text)."""
     spark = docs.sparkSession
     rows = segment_rows(docs, options)
-    shared = rows.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # Written first, so that the join reads both sides from shuffles and a hot anchor's rows can be split.
+    shared = cut(rows.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "anchors")
     rows = cut(rows.join(shared.hint("shuffle_hash"), "anchor"), "segments")
 
     distinct = rows.groupBy("anchor", "seg").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c"))
@@ -151,7 +151,7 @@ def repeated_windows(docs: DataFrame, options: RepeatOptions) -> DataFrame:
                         out += [(int(own[w] % np.uint64(shards)), doc, w, short[w : w + options.window].tobytes()) for w in range(start, start + windows)]
             yield pd.DataFrame(out, columns=["shard", "id", "start", "words"])
 
-    units = docs.join(asked, "id").select("id", "text", "asked").mapInPandas(fetch, "shard long, id long, start long, words binary")
+    units = marked(docs.where("id is not null"), asked, "id").where("_wanted").join(asked, "id").select("id", "text", "asked").mapInPandas(fetch, "shard long, id long, start long, words binary")
     window = options.window
     found = units.groupBy("shard").applyInPandas(lambda pdf: repeats_in_shard(pdf[["id", "start", "words"]], window), "id long, a long, b long")
     return cut(whole.union(found), "repeats")
@@ -184,7 +184,10 @@ def remove_repeats(docs: DataFrame, options: RepeatOptions = RepeatOptions(), id
     """`docs` and n_words, n_removed, kept (binary, UTF-8): the words that no repeated window covers."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spans = repeated_windows(own, options).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
-    joined = docs.withColumn("_id", F.col(id_col).cast("long")).join(spans.withColumnRenamed("id", "_id"), "_id", "left")
+    spans = cut(spans.withColumnRenamed("id", "_id"), "spans")
+    maybe = marked(docs.withColumn("_id", F.col(id_col).cast("long")), spans, "_id")
+    whole = maybe.where("not _wanted").withColumn("_spans", F.lit(None).cast(spans.schema["_spans"].dataType))
+    joined = whole.unionByName(maybe.where("_wanted").join(spans, "_id", "left"))
     return joined.withColumn("_kept", keep_words(F.col(text_col), F.col("_spans"), options.window)).select(*docs.columns, "_kept.*")
 
 
