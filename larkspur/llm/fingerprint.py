@@ -7,7 +7,7 @@ are (up to collisions of 128 bits). The fingerprint is the tree as text: the roo
 each leaf as hash and weight. Branches that differ locate edits.
 
 Likeness of two fingerprints: 1 if the roots are equal; else the share of weight (code points) in leaves that both
-have, by multiplicity, of the larger text's. Whole sections that are equal are matched first, by their hashes.
+have, by multiplicity, of the larger text's.
 
 Edge cases: a null text is an empty one; two empty texts are alike (1). Rows with equal ids are ordered by a hash of
 their text; a null id comes last. In a table of one row the next document is itself.
@@ -33,16 +33,30 @@ from .common import partitions
 PIECE_BITS, SECTION_BITS, PIECE_WORDS = 2, 3, 16
 WORD = re.compile(r"\s*\S+\s*?(?=\s|$)|\s+")
 
+Leaf = tuple[int, int]  # hash and weight in code points
+
+
+class Ends(dict):
+    """Whether a piece ends after a word; a bounded memory of one worker."""
+
+    def __missing__(self, word: str) -> bool:
+        end = not xxhash.xxh3_64_intdigest(word.strip().encode("utf-8", "surrogatepass")) & ((1 << PIECE_BITS) - 1)
+        if len(self) < 300_000 and len(word) < 64:
+            self[word] = end
+        return end
+
+
+_ENDS = Ends()
+
 
 def leaves(text: str) -> list[str]:
-    """The text in pieces whose concatenation is the text."""
-    out = []
+    """The text in pieces whose concatenation is the text. Where a piece ends, the next begins without memory."""
+    out, ends = [], _ENDS
     for line in text.splitlines(keepends=True):
-        words = WORD.findall(line)
         held: list[str] = []
-        for w in words:
+        for w in WORD.findall(line):
             held.append(w)
-            if len(held) >= PIECE_WORDS or not xxhash.xxh3_64_intdigest(w.strip().encode("utf-8", "surrogatepass")) & ((1 << PIECE_BITS) - 1):
+            if ends[w] or len(held) >= PIECE_WORDS:
                 out.append("".join(held))
                 held = []
         if held:
@@ -50,26 +64,46 @@ def leaves(text: str) -> list[str]:
     return out
 
 
+class Tree:
+    """The tree of one text: leaves, sections of them, and the root."""
+
+    def __init__(self, text: str, before: Tree | None = None, same: int = 0):
+        """before: the tree of a text that has the first `same` code points too; its leaves there are taken over."""
+        found: list[Leaf] = []
+        at = 0
+        if before:
+            for leaf in before.leaves:
+                # The last word before a change may go on in it.
+                if at + leaf[1] >= same:
+                    break
+                found.append(leaf)
+                at += leaf[1]
+        digest = xxhash.xxh3_64_intdigest
+        found += [(digest(x.encode("utf-8", "surrogatepass")), len(x)) for x in leaves(text[at:] if at else text)]
+        self.size, self.leaves, self.counts = len(text), found, Counter(found)
+        self.sections: list[tuple[str, str]] = []
+        held: list[str] = []
+        for h, n in found:
+            held.append(f"{h & 0xFFFFFFFF:08x}:{n}")
+            if not h & ((1 << SECTION_BITS) - 1) or len(held) >= 64:
+                self._close(held)
+                held = []
+        if held:
+            self._close(held)
+        whole = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        self.root = hashlib.blake2b(f"{len(text)};{','.join(top for top, _ in self.sections)};".encode() + whole, digest_size=16).hexdigest()
+
+    def _close(self, held: list[str]) -> None:
+        body = ",".join(held)
+        self.sections.append((xxhash.xxh3_64_hexdigest(body)[:12], body))
+
+    def drawn(self) -> str:
+        """root;section[leaf:weight,...]... with hashes in hex."""
+        return ";".join([self.root, *(f"{top}[{body}]" for top, body in self.sections)])
+
+
 def fingerprint(text: str | None) -> str:
-    """root;section[leaf:weight,...]... with hashes in hex."""
-    text = text or ""
-    sections, held = [], []
-    for leaf in leaves(text):
-        h = xxhash.xxh3_64_intdigest(leaf.encode("utf-8", "surrogatepass"))
-        held.append((h & 0xFFFFFFFF, len(leaf)))
-        if not h & ((1 << SECTION_BITS) - 1) or len(held) >= 64:
-            sections.append(held)
-            held = []
-    if held:
-        sections.append(held)
-    drawn, hashes = [], []
-    for section in sections:
-        body = ",".join(f"{h:08x}:{n}" for h, n in section)
-        top = xxhash.xxh3_64_hexdigest(body)
-        hashes.append(top)
-        drawn.append(f"{top[:12]}[{body}]")
-    root = hashlib.blake2b(f"{len(text)};{','.join(hashes)};".encode() + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), digest_size=16).hexdigest()
-    return ";".join([root, *drawn])
+    return Tree(text or "").drawn()
 
 
 def parse(print_: str) -> tuple[str, list[tuple[str, list[tuple[str, int]]]]]:
@@ -82,31 +116,26 @@ def parse(print_: str) -> tuple[str, list[tuple[str, list[tuple[str, int]]]]]:
     return root, sections
 
 
+def _shared(x: Counter, y: Counter, most: int) -> float:
+    """The weight of leaves that both have; under 1, since the roots differ."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = sum(n * min(k, y[h, n]) for (h, n), k in x.items() if (h, n) in y)
+    return min(both / most, 0.999999) if most else 0.0
+
+
 def likeness(x: str, y: str) -> float:
-    """0 to 1."""
+    """0 to 1, of two fingerprints."""
     (rx, sx), (ry, sy) = parse(x), parse(y)
     if rx == ry:
         return 1.0
-    total = max(sum(n for _, s in sx for _, n in s), sum(n for _, s in sy for _, n in s))
-    if not total:
-        return 0.0
-    size = {top: sum(n for _, n in s) for top, s in sx}
-    cx, cy = Counter(t for t, _ in sx), Counter(t for t, _ in sy)
-    same = cx & cy
-    matched = sum(size[t] * k for t, k in same.items())
-
-    def rest(sections, of):
-        left, out = Counter(of), Counter()
-        for top, own in sections:
-            if left[top]:
-                left[top] -= 1
-            else:
-                out.update(own)
-        return out
-
-    both = rest(sx, same) & rest(sy, same)
-    matched += sum(n * k for (_, n), k in both.items())
-    return min(matched / total, 0.999999)
+    cx, cy = (Counter(leaf for _, own in s for leaf in own) for s in (sx, sy))
+    return _shared(cx, cy, max(sum(n * k for (_, n), k in c.items()) for c in (cx, cy)))
+
+
+def alike(x: Tree, y: Tree) -> float:
+    """The likeness of two trees' fingerprints, without drawing them."""
+    return 1.0 if x.root == y.root else _shared(x.counts, y.counts, max(x.size, y.size))
 
 
 def differing(x: str, y: str) -> list[tuple[int, int]]:
@@ -167,7 +196,7 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     table = spark.createDataFrame([(r, head[r], to[r]) for r in to], "r int, head long, goes int")
     extra = docs.withColumn("r", ranged).join(F.broadcast(table), "r").where(F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", F.col("goes").alias("r"), F.lit(True).alias("extra"))
     both = docs.select("doc_id", "text", ranged.alias("r"), F.lit(False).alias("extra")).union(extra)
-    return both.repartition(max(ranges, partitions(spark)), "r").sortWithinPartitions("r", "extra", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+    return both.repartitionById(len(bounds) + 1, "r").sortWithinPartitions("r", "extra", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
 
 
 def digests(docs: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -176,11 +205,11 @@ def digests(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     dealt = with_next(own, ranges or partitions(docs.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the row before: range, id, text, fingerprint
+        held = None  # the row before: range, id, text, tree
         for batch in batches:
             rows = []
             for doc, text, r, extra in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "r", "extra")), strict=True):
-                own = fingerprint(text)
+                own = Tree(text)
                 if held and held[0] == r:
                     rows.append(_row(held[1], held[2], held[3], text, own))
                 # Of extra rows only the first closes its range.
@@ -194,7 +223,7 @@ TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
-def _row(doc: int | None, text: str, own: str, after: str, after_print: str) -> tuple:
+def _row(doc: int | None, text: str, own: Tree, after: str, after_tree: Tree) -> tuple:
     changed = edited(text, after)
-    changed_print = own if changed == text else fingerprint(changed)
-    return doc, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own, changed_print, likeness(own, changed_print), likeness(own, after_print)
+    tree = own if changed == text else Tree(changed, own, len(text) - len(text) // 3)
+    return doc, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own.drawn(), tree.drawn(), alike(own, tree), alike(own, after_tree)
