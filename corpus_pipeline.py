@@ -14,6 +14,8 @@ from larkspur.llm import common, langid, minhash, packing, secrets, substring
 
 # A language must be likelier than all others together.
 LEAST_SCORE = 0.5
+# Percent of the word shingles of two documents together that near-duplicates share at least.
+NEAR_PERCENT = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     common.small_batches(spark)
-    return minhash.keep_first(docs)
+    return minhash.keep_first(docs, minhash.LinkOptions(percent=NEAR_PERCENT))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

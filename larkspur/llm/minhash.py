@@ -18,6 +18,7 @@ document. Ties go to the smallest id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,15 +34,28 @@ from .words import hash_words, mix, rolling
 
 @dataclass(frozen=True)
 class LinkOptions:
-    """Link when 100 * intersection >= percent * union. side: half keys of each collection. half: minhashes of a half key."""
+    """Link when 100 * intersection >= percent * union. missed: most of the pairs at exactly that likeness that no table may hold."""
 
     percent: int = 85
     words: int = 5
-    side: int = 12
-    half: int = 5
+    missed: float = 0.002
     block: int = 512
     bins: int = 256
 
+    @property
+    def half(self) -> int:
+        """Minhashes of a half key: as many as two sets at the threshold share with a chance of 0.4, from 2 to 8."""
+        return 8 if self.percent >= 100 else min(8, max(2, int(math.log(0.4) / math.log(self.percent / 100))))
+
+    @property
+    def side(self) -> int:
+        """Half keys of each collection: the fewest with which a pair at the threshold is missed no more often than `missed`."""
+        if self.percent >= 100:
+            return 1
+        shared = (self.percent / 100) ** self.half
+        # Both collections must hold a shared key: missed = 1 - (1 - (1 - shared) ** side) ** 2.
+        return math.ceil(math.log(1 - math.sqrt(1 - self.missed)) / math.log(1 - shared))
+
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles; A-Z are lower-cased."""

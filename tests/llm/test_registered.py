@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 
@@ -125,6 +126,12 @@ def test_pipeline_equals_brute_force(spark, sf, docs):
     assert r.groupby("doc_id")["size"].sum().to_dict() == want
 
 
+def test_pipeline_equals_brute_force_at_80(spark, sf, docs, monkeypatch):
+    """The stage links at 0.80; the test above has op4's 0.85."""
+    monkeypatch.setattr(brute, "components", functools.partial(brute.components, percent=80))
+    test_pipeline_equals_brute_force(spark, sf, docs)
+
+
 def test_stages_return_columns_of_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from larkspur.llm import bpe, common, embedding_dedup, fingerprint, langid, minhash, packing, quality, secrets, substring, token_store
 from larkspur.llm.fm_index import FMIndex
 
@@ -60,6 +61,29 @@ def test_near_duplicates_in_blocks_find_the_same(spark):
     assert got == {i: c for i, (_, c) in brute.components(rows).items()}
 
 
+@pytest.mark.parametrize("percent", [50, 65, 80, 85, 95])
+def test_tables_follow_the_threshold(percent):
+    o = minhash.LinkOptions(percent=percent)
+    assert 1 - (1 - (1 - (percent / 100) ** o.half) ** o.side) ** 2 <= 0.002
+    assert (minhash.LinkOptions().side, minhash.LinkOptions().half) == (12, 5)
+
+
+def test_pipeline_links_at_80_percent(spark):
+    """Pairs of 0.80 to 0.85: op4 keeps both, the stage of the pipeline one; a pair under 0.80 stays."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(0, 400, 2):
+        w = words(rng, 204, 10**9).split()
+        # 200 shingles, of which 21 differ at the end: 179 / 221 = 0.81; of the last pair 24: 176 / 224 = 0.79.
+        k = 24 if i == 398 else 21
+        rows += [(i, " ".join(w), "en", "s", 0), (i + 1, " ".join([*w[:-k], *words(rng, k, 10**9).split()]), "en", "s", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert minhash.keep_first(df).count() == 400
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    first = brute.components([r[:2] for r in rows], 80)
+    assert got == [i for i, (_, c) in first.items() if i == c] == [*range(0, 400, 2), 399]
+
+
 def test_empty_tables_give_empty_results(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert minhash.near_duplicates(none).count() == 0
