@@ -2,7 +2,8 @@
 
 Ordinary words are covered by long vocabulary entries, so they have many characters per token; random strings fall
 apart into short ones. A run of key characters with a low ratio is reported, unless it is a digest or an identifier
-of a known form or lies on a span that a pattern reported.
+of a known form or lies on a span that a pattern reported. Camel case and separated words are identifiers only where
+the vocabulary covers the words themselves: only the joints may cost tokens.
 
 Edge cases: a null or empty text has no spans. Offsets are code points, ends exclusive. Repeated rows each give a row.
 """
@@ -30,11 +31,12 @@ KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
 # Lengths in hex digits of well-known digests, and forms of identifiers.
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
-IDENTIFIERS = (
-    re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUID
+UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+PARTED = (
     re.compile(r"[A-Z]?[a-z]+([A-Z][a-z]+)+[0-9]{0,3}"),  # camel case
     re.compile(r"([A-Za-z]+|[0-9]+)([_/=-]+([A-Za-z]+|[0-9]+))*"),  # words or numbers joined by separators
 )
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
 @dataclass(frozen=True)
@@ -44,7 +46,6 @@ class ScanOptions:
     vocabulary: str = "byte_bpe_50k.tiktoken"
     min_chars: int = 20
     max_ratio: float = 2.0
-    min_classes: int = 2
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -61,14 +62,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def known_form(s: str) -> bool:
-    """A digest or an identifier, which is no secret however random it looks."""
+    """A digest or a UUID, which is no secret however random it looks."""
     if len(s) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
         return True
-    return any(p.fullmatch(s) for p in IDENTIFIERS)
-
-
-def classes(s: str) -> int:
-    return sum(bool(re.search(p, s)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
+    return bool(UUID.fullmatch(s))
 
 
 class Scanner:
@@ -85,17 +82,24 @@ class Scanner:
         self.encoding = tiktoken.Encoding("scan", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.run = re.compile(rf"[A-Za-z0-9+/_=-]{{{options.min_chars},}}")
 
+    def badly_compressed(self, parts: list[str]) -> bool:
+        return sum(map(len, parts)) <= self.options.max_ratio * sum(len(self.encoding.encode_ordinary(p)) for p in parts)
+
+    def identifier(self, s: str) -> bool:
+        """Camel case or words joined by separators, of parts that the vocabulary covers well."""
+        return any(p.fullmatch(s) for p in PARTED) and not self.badly_compressed(PART.findall(s))
+
     def spans(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         """(base spans, base spans and those of the token ratio)."""
         base = base_spans(text)
         more = []
         for m in self.run.finditer(text):
             s = m[0]
-            if classes(s) < self.options.min_classes or known_form(s):
+            if known_form(s):
                 continue
             if any(a < m.end() and m.start() < b for _, a, b in base):
                 continue
-            if len(s) <= self.options.max_ratio * len(self.encoding.encode_ordinary(s)):
+            if self.badly_compressed([s]) and not self.identifier(s):
                 more.append(("token", *m.span()))
         return base, sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0])))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import string
 import zlib
 
 import numpy as np
@@ -248,6 +249,24 @@ def test_secrets_and_masks(spark):
     assert clean[2] == "my <secret> here" and clean[7] is None and clean[1] == "token: ab"
 
 
+def test_random_strings_of_any_class_are_secrets():
+    rng = random.Random(6)
+    scanner = secrets.Scanner(secrets.ScanOptions(), common.vocabulary("byte_bpe_50k.tiktoken"))
+    for letters in (string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters + string.digits):
+        for n in (20, 24, 32, 40):
+            keys = ["".join(rng.choices(letters, k=n)) for _ in range(100)]
+            # One in a hundred may compress well by chance.
+            assert sum(scanner.spans(f"my {k} here")[1] == [("token", 3, 3 + n)] for k in keys) >= 97
+    parted = "-".join("".join(rng.choices(string.ascii_letters, k=8)) for _ in range(4))
+    assert scanner.spans(parted)[1] == [("token", 0, len(parted))]
+
+
+def test_identifiers_are_no_secrets():
+    scanner = secrets.Scanner(secrets.ScanOptions(), common.vocabulary("byte_bpe_50k.tiktoken"))
+    for s in ("12345678-1234-1234-1234-123456789abc", "getNumberOfOpenConnections", "number_of_open_connections", "usr/local/share/documents", "ABSTRACT_BASE_CLASS_NAME", "internationalization", "D41D8CD98F00B204E9800998ECF8427E"):
+        assert scanner.spans(s)[1] == [], s
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((60, 32))
