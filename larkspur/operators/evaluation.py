@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEED = 20260819
+# Draws of the permutation null that one task makes for a cell.
+DRAWS_OF_A_TASK = 500
 
 
 def uniform(*cols: Column) -> Column:
@@ -39,17 +44,36 @@ def cluster_bootstrap(cells: DataFrame, by: list[str], cluster: str, side: str,
 def permutation_null(items: DataFrame, by: list[str], unit: str, truth: str, answer: str, draws: int = 200, seed: int = SEED) -> DataFrame:
     """by, observed, null_mean, low, high, p: answers against truths dealt anew over the units of each cell.
 
-    Truths are dealt by ranks of hashes within each cell and draw, so draws spread over tasks. p = (b + 1) / (m + 1).
+    Items are counted first, so a draw costs as much as a cell has different (unit, truth, answer). Blocks of draws
+    spread over tasks, and each draw has a generator of its own. A unit with several truths is one unit for each of
+    them. Null answers don't count. p = (b + 1) / (m + 1).
     """
     spark = items.sparkSession
-    own = items.groupBy(*by, unit).agg(F.first(truth).alias("truth"), F.collect_list(answer).alias("answers"))
-    hits = lambda t, a: F.size(F.filter(a, lambda x: x == t))
-    observed = own.groupBy(*by).agg((F.sum(hits(F.col("truth"), F.col("answers"))) / F.sum(F.size("answers"))).alias("observed"))
-    drawn = own.crossJoin(F.broadcast(spark.range(draws).withColumnRenamed("id", "draw")))
-    cell = [*by, "draw"]
-    ranked = drawn.withColumn("i", F.row_number().over(Window.partitionBy(*cell).orderBy(unit))).withColumn("j", F.row_number().over(Window.partitionBy(*cell).orderBy(F.xxhash64(F.lit(seed), "draw", F.col(unit).cast("string")), unit)))
-    dealt = ranked.select(*cell, "answers", "i").join(ranked.select(*cell, F.col("truth"), F.col("j").alias("i")), [*cell, "i"])
-    rates = dealt.groupBy(*cell).agg((F.sum(hits(F.col("truth"), F.col("answers"))) / F.sum(F.size("answers"))).alias("rate"))
+    counts = items.groupBy(*by, F.col(unit).alias("_unit"), F.col(truth).alias("_truth"), F.col(answer).alias("_answer")).agg(F.count(answer).alias("_n"))
+    observed = counts.groupBy(*by).agg((F.sum(F.when(F.col("_truth") == F.col("_answer"), F.col("_n")).otherwise(0)) / F.sum("_n")).alias("observed"))
+    blocks = spark.range(-(-draws // DRAWS_OF_A_TASK)).withColumnRenamed("id", "_block")
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        units = pdf.groupby(["_unit", "_truth"], dropna=False).ngroup().to_numpy()
+        codes = pd.factorize(pd.concat([pdf["_truth"], pdf["_answer"]], ignore_index=True))[0]
+        truths, answers, k = codes[: len(pdf)], codes[len(pdf) :], int(codes.max()) + 1
+        own = np.empty(units.max() + 1, np.int64)
+        own[units] = truths
+        given = np.flatnonzero(answers >= 0)
+        places = units[given] * k + answers[given]
+        order = np.argsort(places)
+        places, n = np.append(places[order], -1), np.append(pdf["_n"].to_numpy()[given][order], 0)
+        first = int(pdf["_block"].iloc[0]) * DRAWS_OF_A_TASK
+        rates = []
+        for draw in range(first, min(first + DRAWS_OF_A_TASK, draws)):
+            dealt = own[np.random.default_rng([seed, draw]).permutation(len(own))]
+            wanted = (np.arange(len(own)) * k + dealt)[dealt >= 0]
+            at = np.searchsorted(places[:-1], wanted)
+            rates.append(int(n[at][places[at] == wanted].sum()) / max(1, int(n.sum())))
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(rates) for c in by}, "rate": rates})
+
+    kinds = [items.schema[c] for c in by]
+    rates = counts.crossJoin(F.broadcast(blocks)).groupBy(*by, "_block").applyInPandas(deal, T.StructType([*kinds, T.StructField("rate", T.DoubleType())]))
     out = rates.join(observed, by).groupBy(*by).agg(F.first("observed").alias("observed"), F.avg("rate").alias("null_mean"), F.sort_array(F.collect_list("rate")).alias("s"), F.count_if(F.col("rate") >= F.col("observed")).alias("b"))
     at = lambda i: F.element_at("s", F.greatest(F.lit(1), i).cast("int"))
     m = F.size("s")

@@ -95,11 +95,15 @@ def a13(spark: SparkSession, sf: str) -> DataFrame:
     return with_wilson(records(spark, sf), "arm", "attacker")
 
 
+# As many as the reference makes, for both resampling queries.
+DRAWS = 10_000
+
+
 @query("a14_cluster_bootstrap")
 def a14(spark: SparkSession, sf: str) -> DataFrame:
     """Intervals of the difference between English and other documents, over source files."""
     cells = records(spark, sf).groupBy("arm", "file", (F.col("attacker") == "en").alias("side")).agg(F.sum("correct").alias("k"), F.count("*").alias("n"))
-    return ev.cluster_bootstrap(cells, ["arm"], "file", "side", "k", "n")
+    return ev.cluster_bootstrap(cells, ["arm"], "file", "side", "k", "n", draws=DRAWS)
 
 
 ITEMS = "SELECT source AS arm, d.doc_id % 12 AS truth, (d.doc_id % 12 + CASE WHEN quality = 1 THEN 0 ELSE 5 END) % 12 AS answer, d.doc_id % 30 AS file FROM documents d JOIN labels USING (doc_id)"
@@ -114,7 +118,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 @query("a15_permutation_null")
 def a15(spark: SparkSession, sf: str) -> DataFrame:
     """Observed rates against truths dealt anew over source files."""
-    return ev.permutation_null(items(spark, sf), ["arm"], "file", "truth", "answer", draws=100)
+    return ev.permutation_null(items(spark, sf), ["arm"], "file", "truth", "answer", draws=DRAWS)
 
 
 @query("a15_analytic_null", f"WITH i AS ({ITEMS}), n AS (SELECT arm, count(*) AS n FROM i GROUP BY arm), a AS (SELECT arm, answer AS v, count(*) AS a FROM i GROUP BY ALL), t AS (SELECT arm, truth AS v, count(*) AS t FROM i GROUP BY ALL), s AS (SELECT arm, sum(a * t) AS s FROM a JOIN t USING (arm, v) GROUP BY arm) SELECT arm, round(coalesce(s, 0) / (n * n)::DOUBLE, 9) AS chance FROM n LEFT JOIN s USING (arm)")

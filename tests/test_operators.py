@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import code, identifiers, literals, registry, similarity, stats
 from larkspur.operators import evaluation, joins, search, tiers, updates
+from larkspur.plans import registry as plans
 from larkspur.sources import formats
 
 
@@ -86,6 +87,20 @@ def test_permutation_null_extremes(spark):
     assert got["one"]["observed"] == pytest.approx(got["one"]["null_mean"])
 
 
+def test_permutation_null_keeps_all_truths_of_a_unit(spark):
+    items = spark.createDataFrame([("a", f"f{i % 10}", i % 4, i % 4) for i in range(40)] + [("a", "f0", 1, None)], "arm string, file string, truth int, answer int")
+    r = evaluation.permutation_null(items, ["arm"], "file", "truth", "answer", draws=1200).first()
+    assert r["observed"] == 1 and r["p"] == pytest.approx(1 / 1201) and abs(r["null_mean"] - 0.25) < 0.05
+
+
+def test_registered_nulls_have_the_draws_of_the_reference(spark, sf):
+    found = plans.queries()
+    # Draws with an empty side are skipped; 1,000 were the most before.
+    assert 5_000 < found["a14_cluster_bootstrap"](spark, sf).agg({"used": "max"}).first()[0] <= 10_000
+    for r in found["a15_permutation_null"](spark, sf).collect():
+        assert r["p"] * 10_001 == pytest.approx(round(r["p"] * 10_001), abs=1e-6) and r["low"] <= r["null_mean"] <= r["high"]
+
+
 def test_bootstrap_interval_holds_the_difference(spark):
     cells = spark.createDataFrame([("a", i, s, (8 if s else 4) + i % 2, 10) for i in range(20) for s in (True, False)], "arm string, file int, side boolean, k long, n long")
     r = evaluation.cluster_bootstrap(cells, ["arm"], "file", "side", "k", "n", draws=200).first()
