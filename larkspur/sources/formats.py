@@ -94,8 +94,8 @@ def tagged_records(records: DataFrame, text: str = "text") -> DataFrame:
     def field(line: Column) -> Column:
         tag, body = F.substring(line, 2, 3), F.regexp_replace(line, r"^=\w{3}  ", "")
         data = tag >= "010"
-        subs = F.filter(F.split(F.substring(body, 3, 100_000), r"\$"), lambda s: s != "")
-        entries = F.transform(subs, lambda s: F.struct(F.substring(s, 1, 1).alias("code"), F.replace(F.substring(s, 2, 100_000), F.lit("{dollar}"), F.lit("$")).alias("value")))
+        subs = F.filter(F.split(F.substr(body, F.lit(3)), r"\$"), lambda s: s != "")
+        entries = F.transform(subs, lambda s: F.struct(F.substring(s, 1, 1).alias("code"), F.replace(F.substr(s, F.lit(2)), F.lit("{dollar}"), F.lit("$")).alias("value")))
         return F.struct(tag.alias("tag"), F.when(data, F.substring(body, 1, 2)).alias("indicators"), F.when(~data, body).alias("value"), F.when(data, entries).alias("subs"))
 
     return records.withColumn("fields", F.transform(own, field))

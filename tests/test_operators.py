@@ -193,3 +193,11 @@ def test_duplicate_transform_is_an_error(spark):
     with pytest.raises(ValueError):
         registry.register_transform("reverse-text", "")(lambda df: df)
     assert [r["slug"] for r in registry.list_transforms(spark).collect()] == ["pseudonymise", "reverse-text", "tag-literals"]
+
+
+def test_long_subfields_are_whole(spark):
+    long = "x" * 150_000
+    df = spark.createDataFrame([(f"=245  10$a{long}$btail",)], "text string")
+    f = F.col("fields")
+    r = formats.tagged_records(df).select(formats.field_value(f, "245", "a").alias("a"), formats.field_value(f, "245", "b").alias("b")).first()
+    assert r["a"] == long and r["b"] == "tail"
