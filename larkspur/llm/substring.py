@@ -7,10 +7,11 @@ through the index of each shard would grow with the square of the corpus. So win
 1. The anchor of a window is the smallest hash of its runs of `anchor` words; equal windows have equal anchors. Runs of
    windows with one anchor are a segment. Segments whose anchor occurs once hold no repeat and go no further.
 2. Equal segments are counted as one (Spark pre-aggregates them); all but the earliest are repeats as a whole.
-3. What is left are different segments that share an anchor. Their words are dealt to shards by anchor; where an anchor
-   has more than `hot` of them, window by window, by the window's own hash. Each shard builds an FM-index over its
-   segments in corpus order and streams them through backward search: a window whose matching interval begins earlier
-   than itself is a repeat.
+3. What is left are different segments that share an anchor. Their words are dealt to shards by anchor. Each shard
+   builds an FM-index over its segments in corpus order and streams them through backward search: a window whose
+   matching interval begins earlier than itself is a repeat.
+4. Where an anchor has more than `hot` of them, its windows are counted like the segments in step 2, by anchor and hash,
+   and go to no shard: a window in very many documents is one row for each task that has it, not a shard of its own.
 
 Shards hold about `shard` segments each, at every size of the corpus.
 
@@ -131,8 +132,11 @@ def repeated_windows(docs: DataFrame, options: RepeatOptions) -> DataFrame:
     several = distinct.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
     asked = distinct.join(several, "anchor").select("anchor", "first.id", "first.at", "k")
     asked = cut(asked.groupBy("id").agg(F.collect_list(F.struct("anchor", "at", "k")).alias("asked")), "asked")
-    n = asked.agg(F.sum(F.size("asked"))).first()[0] or 0
+    apart = lambda wanted: asked.select("id", F.filter("asked", wanted).alias("asked")).where(F.size("asked") > 0)
+    cold, hot = apart(lambda s: s["k"] <= options.hot), apart(lambda s: s["k"] > options.hot)
+    n = cold.agg(F.sum(F.size("asked"))).first()[0] or 0
     shards = int(n // options.shard) + 1
+    window = options.window
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -140,21 +144,37 @@ def repeated_windows(docs: DataFrame, options: RepeatOptions) -> DataFrame:
             for doc, text, wanted in zip(pdf["id"], pdf["text"], pdf["asked"], strict=True):
                 h = hash_words(split_words(text))
                 short = (h >> np.uint64(32)).astype(np.uint32)
-                own = rolling(h, options.window)
                 for s in wanted:
                     start, windows = divmod(s["at"], PACK)
-                    if start + windows > len(own):
-                        continue
-                    if s["k"] <= options.hot:
-                        out.append((s["anchor"] % shards, doc, start, short[start : start + windows + options.window - 1].tobytes()))
-                    else:
-                        out += [(int(own[w] % np.uint64(shards)), doc, w, short[w : w + options.window].tobytes()) for w in range(start, start + windows)]
+                    if start + windows + window - 1 <= len(h):
+                        out.append((s["anchor"] % shards, doc, start, short[start : start + windows + window - 1].tobytes()))
             yield pd.DataFrame(out, columns=["shard", "id", "start", "words"])
 
-    units = marked(docs.where("id is not null"), asked, "id").where("_wanted").join(asked, "id").select("id", "text", "asked").mapInPandas(fetch, "shard long, id long, start long, words binary")
-    window = options.window
-    found = units.groupBy("shard").applyInPandas(lambda pdf: repeats_in_shard(pdf[["id", "start", "words"]], window), "id long, a long, b long")
-    return cut(whole.union(found), "repeats")
+    def fetch_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc, text, wanted in zip(pdf["id"], pdf["text"], pdf["asked"], strict=True):
+                h = hash_words(split_words(text))
+                own = rolling(h, window).view(np.int64) if len(h) >= window else ()
+                for s in wanted:
+                    start, windows = divmod(s["at"], PACK)
+                    if start + windows <= len(own):
+                        out += [(s["anchor"], own[w], doc, w) for w in range(start, start + windows)]
+            yield pd.DataFrame(out, columns=["anchor", "h", "id", "start"])
+
+    def texts_of(asked: DataFrame) -> DataFrame:
+        return marked(docs.where("id is not null"), asked, "id").where("_wanted").join(asked, "id").select("id", "text", "asked")
+
+    units = texts_of(cold).mapInPandas(fetch, "shard long, id long, start long, words binary")
+    found = whole.union(units.groupBy("shard").applyInPandas(lambda pdf: repeats_in_shard(pdf[["id", "start", "words"]], window), "id long, a long, b long"))
+    if not hot.isEmpty():
+        # Written first, as the segments are.
+        windows = cut(texts_of(hot).mapInPandas(fetch_windows, "anchor long, h long, id long, start long"), "windows")
+        first = windows.groupBy("anchor", "h").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
+        first = cut(first.select("anchor", "h", "first"), "first")
+        later = windows.join(first, ["anchor", "h"]).where((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
+        found = found.union(later.select("id", F.col("start").alias("a"), F.col("start").alias("b")))
+    return cut(found, "repeats")
 
 
 def keep_words(text: Column, repeats: Column, window: int) -> Column:

@@ -107,6 +107,22 @@ def test_repeats_equal_brute_force(docs, texts, options):
     assert got[None][1] == 0
 
 
+def test_windows_of_many_documents_go_to_no_shard(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = words(rng, 40, 10_000)
+    texts = [(i, f"{words(rng, 30, 10**9)} {passage} {words(rng, 30, 10**9)}") for i in range(400)]
+    whole = substring.repeats_in_shard
+
+    def bounded(pdf, window):
+        assert len(pdf) < 200
+        return whole(pdf, window)
+
+    monkeypatch.setattr(substring, "repeats_in_shard", bounded)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.digests(df, substring.RepeatOptions(hot=50, shard=50)).collect()}
+    assert got == brute.repeats(texts)
+
+
 def test_texts_without_repeats_stay_as_they_are(docs, texts):
     got = {r["doc_id"]: r["text"] for r in substring.without_repeats(docs).collect()}
     assert got[2] == " \n\t " and got[0] is None and got[13] == texts[13][1]
