@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -18,34 +19,79 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session (tests) gets a folder of its own; on a cluster that is an error, as executors
+    would write to their own disks.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-")
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def new_path(spark: SparkSession, kind: str) -> str:
-    """A fresh path in the shared folder; it is deleted when the driver's JVM ends."""
+    """A fresh path in the shared folder; it is deleted when the driver's JVM ends, if not before."""
     path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    fs, where = _hadoop(spark, path)
+    fs.deleteOnExit(where)
     return path
 
 
-def cut(df: DataFrame, kind: str = "table") -> DataFrame:
-    """Write `df` to the shared folder and read it again: cuts lineage and survives lost executors."""
+def cut(df: DataFrame, kind: str = "table", scratch: Scratch | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    With `scratch` the table goes when that block ends; without, when the driver ends.
+    """
     spark = df.sparkSession
     path = new_path(spark, kind)
+    if scratch is not None:
+        scratch.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound what one Arrow batch of whole texts holds; texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+class Scratch:
+    """Intermediate tables of one operator, deleted at the end of a `with` block. What is read later is cut without it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            fs, where = _hadoop(self.spark, path)
+            fs.delete(where, True)
+
+
+def slices(batches: Iterator[pd.Series], chars: int = 1 << 21) -> Iterator[pd.Series]:
+    """Texts in parts of about `chars` characters. Spark bounds a batch by bytes; what a task makes of it is bounded here."""
+    for texts in batches:
+        size = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
+        edges = np.flatnonzero(np.diff(np.cumsum(size) // chars)) + 1
+        for a, z in zip([0, *edges.tolist()], [*edges.tolist(), len(texts)], strict=True):
+            yield texts.iloc[a:z]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like `names` that `df` has in no spelling, as names are compared without case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
@@ -80,17 +126,19 @@ def complete_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str], rows:
 MAP_BITS = 1 << 24
 
 
-def marked(df: DataFrame, wanted: DataFrame, key: str, name: str = "_wanted") -> DataFrame:
-    """`df` and a boolean that is true for rows whose key is among `wanted` and for few others, without a shuffle of `df`.
+def split_by(df: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of `df` that may have a key among `wanted`, the other rows), without a shuffle of `df`; columns as in `df`.
 
     The keys' hashes mark a map of fixed size, which is broadcast in words. With more keys than the map has bits it
     marks everything, so a join must follow; that join then shuffles only what is marked.
     """
-    h = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
-    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), {MAP_BITS}) % 64 AS int))")
-    words = wanted.select((h / 64).cast("int").alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_map"))
-    out = df.withColumn("_word", (h / 64).cast("int")).join(F.broadcast(words), "_word", "left")
-    return out.withColumn(name, F.coalesce(F.col("_map").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_map")
+    word, bits = fresh(df, "_word", "_map")
+    at = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), {MAP_BITS}) % 64 AS int))")
+    words = wanted.select((at / 64).cast("int").alias(word), bit.alias("bit")).groupBy(word).agg(F.bit_or("bit").alias(bits))
+    out = df.withColumn(word, (at / 64).cast("int")).join(F.broadcast(words), word, "left")
+    may = F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False))
+    return out.where(may).drop(word, bits), out.where(~may).drop(word, bits)
 
 
 def _are_stars(pairs: DataFrame) -> bool:
@@ -99,14 +147,17 @@ def _are_stars(pairs: DataFrame) -> bool:
     return n["n"] == n["d"] and pairs.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every end of `edges` (a, b: longs): component is the smallest id reachable.
 
     Alternating large-star and small-star steps. Each is a minimum per node, which Spark pre-aggregates, and an
-    equi-join, whose hot keys adaptive execution can split; nothing is gathered per component.
+    equi-join, whose hot keys adaptive execution can split; nothing is gathered per component. The result is valid until
+    `scratch` ends.
     """
     spark = edges.sparkSession
-    pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    last = Scratch(spark)
+    pairs = cut(ordered, "edges", last)
     for _ in range(max_rounds):
         if _are_stars(pairs):
             break
@@ -115,9 +166,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        pairs = cut(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        done, last = last, Scratch(spark)
+        with done:
+            pairs = cut(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges", last)
     else:
         raise RuntimeError("components did not settle")
+    scratch.paths += last.paths
     return pairs.select(F.col("a").alias("id"), F.col("b").alias("component")).union(pairs.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 

@@ -2,18 +2,23 @@
 
 A rotation of the centred vectors is learnt so that signs lose little (principal axes, then alternating codes and
 Procrustes steps); signs are the bits of a code. The code is cut into substrings and each is the key of one table,
-together with the label. More rotations, from other starts, give more tables. The number of bits of a key follows the
-number of vectors, so that buckets keep their size, and the number of tables follows the bits, so that a pair at the
-threshold agrees in some table with the probability `recall`. Vectors of a bucket are compared by cosine in double
-precision.
+together with the label. More rotations, from other starts, make the code longer and give more tables. The bits of a
+key follow the number of vectors, so that buckets keep their size. The number of tables is measured: sampled vectors
+get partners at the threshold, and tables are added until at least `recall` of these pairs agree in one.
 
-Scale and skew: equal vectors of a label are one class with a count. A bucket of more than `block` vectors is dealt as
-pairs of blocks over many tasks. A pair counts in the first table that it shares, so a task returns a count of links
-and the smallest id reached for each vector of a bucket, never pairs.
+Retrieval has two steps. First only codes are dealt to buckets; pairs whose Hamming distance is over that of every
+measured pair (with a margin) are passed over, and each pair is looked at in the first table that it shares. Then the
+vectors that have a partner left in a bucket are fetched for it and compared by cosine in double precision.
 
-Edge cases: vectors that are null, empty, zero or hold a null or non-finite component, that have no label or id, or
-another dimension than the index's (the most frequent one) link with nothing. Their component is their own id. Rows
-that share an id count as vectors of their own but have one component.
+Scale and skew: equal vectors of a label are one class with a count. A bucket of more than `block` vectors is dealt as
+pairs of blocks over many tasks. A task returns a count of links and the smallest class reached for each vector of a
+bucket, never pairs. Neighbours of a key are not probed: a probe is one more row to shuffle, like one more table, but
+brings no more pairs together than a table does (at 30 bits 53 tables with 31 probes each do what 285 tables do).
+
+Edge cases: vectors that are null, empty, zero or hold a null or non-finite component, that have no label or no id,
+link with nothing; their component is their own id. Vectors of each dimension are indexed apart; one index for each
+dimension is on the driver. Each of the rows that share an id has its own links; their components are one. Ties have
+no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,55 +32,64 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import complete_groups, connected_components, cut, partitions
+from .common import Scratch, complete_groups, connected_components, cut, partitions
 
 
 @dataclass(frozen=True)
 class VectorOptions:
-    """sample: vectors that the rotations are fitted on, at most. bucket: vectors of a label for each possible key; under 1 few unlike vectors share a bucket."""
+    """threshold: least cosine of a link. recall: share of pairs at the threshold that must share a table. sample: vectors that the rotations are fitted on, at most twice as many. bucket: vectors of a label for each possible key; under 1 few unlike vectors share a bucket. most_bits: of a key. block: vectors of a bucket that one task compares. rounds: of the fit. margin: of the Hamming bound, as a share of it."""
 
     threshold: float = 0.93
     recall: float = 0.998
     sample: int = 4096
     bucket: float = 0.1
+    most_bits: int = 48
     block: int = 1024
     rounds: int = 20
-    most_bits: int = 48
+    margin: float = 0.1
 
 
 @dataclass
 class Index:
-    """mean, and for each rotation a matrix of axes; substrings of `bits` bits of each rotation's code are keys."""
+    """mean, and for each rotation a matrix of axes; substrings of `bits` bits of each rotation's code are keys. reach: Hamming distance of all keys together that pairs at the threshold keep within."""
 
     mean: np.ndarray
     axes: list[np.ndarray]
     bits: int
     tables: int
+    reach: int
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """int64 keys of each vector (row) and table."""
-        out = []
-        weights = np.int64(1) << np.arange(self.bits, dtype=np.int64)
-        for axes in self.axes:
-            code = ((unit - self.mean) @ axes > 0).astype(np.int64)
-            for a in range(0, code.shape[1] - self.bits + 1, self.bits):
-                if len(out) < self.tables:
-                    out.append(code[:, a : a + self.bits] @ weights)
-        return np.stack(out, axis=1)
+        return np.concatenate([_keys(unit - self.mean, axes, self.bits) for axes in self.axes], axis=1)[:, : self.tables]
+
+
+def _keys(x: np.ndarray, axes: np.ndarray, bits: int) -> np.ndarray:
+    code = (x @ axes > 0).astype(np.int64)
+    weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+    return np.stack([code[:, a : a + bits] @ weights for a in range(0, code.shape[1] - bits + 1, bits)], axis=1)
+
+
+def partners(sample: np.ndarray, threshold: float) -> np.ndarray:
+    """For each unit vector one at a cosine of `threshold` in a random direction."""
+    w = np.random.default_rng(7).standard_normal(sample.shape)
+    w -= (w * sample).sum(axis=1, keepdims=True) * sample
+    norm = np.linalg.norm(w, axis=1, keepdims=True)
+    v = threshold * sample + math.sqrt(1 - threshold**2) * np.divide(w, norm, out=np.zeros_like(w), where=norm > 1e-9)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def learn(sample: np.ndarray, labelled: int, options: VectorOptions) -> Index:
     """Fit rotations on unit vectors. labelled: vectors of the largest label, which sets the bits of a key."""
     dim = sample.shape[1]
-    bits = int(np.clip(round(math.log2(max(2.0, labelled / options.bucket))), 4, min(dim, options.most_bits)))
-    # Two vectors at the threshold differ in a bit with the share of their angle in a half turn.
-    agree = (1 - math.acos(options.threshold) / math.pi) ** bits
-    tables = math.ceil(math.log(1 - options.recall) / math.log(1 - agree))
+    bits = int(np.clip(round(math.log2(max(2.0, labelled / options.bucket))), min(4, dim), min(dim, options.most_bits)))
     mean = sample.mean(axis=0)
-    x = sample - mean
+    x, y = sample - mean, partners(sample, options.threshold) - mean
     principal = np.linalg.eigh(x.T @ x + 1e-9 * np.eye(dim))[1][:, ::-1]
-    each, axes = dim // bits, []
-    for k in range(math.ceil(tables / each)):
+    axes, met, apart = [], [], np.zeros(len(sample), np.int64)
+    missed = np.ones(len(sample), bool)
+    while missed.mean() > 1 - options.recall:
+        k = len(axes)
         turn = np.linalg.qr(np.random.default_rng(k).standard_normal((dim, dim)))[0]
         v = x @ principal
         for _ in range(options.rounds):
@@ -83,11 +97,18 @@ def learn(sample: np.ndarray, labelled: int, options: VectorOptions) -> Index:
             turn = (left @ right).T
         # Substrings get bits at random, so none holds only the weak axes.
         axes.append((principal @ turn)[:, np.random.default_rng(1000 + k).permutation(dim)])
-    return Index(mean, axes, bits, tables)
+        a, b = _keys(x, axes[-1], bits), _keys(y, axes[-1], bits)
+        for t in range(a.shape[1]):
+            if missed.mean() <= 1 - options.recall:
+                break
+            missed &= a[:, t] != b[:, t]
+            apart += np.bitwise_count(a[:, t] ^ b[:, t])
+            met.append(t)
+    return Index(mean, axes, bits, len(met), math.ceil((1 + options.margin) * int(apart.max(initial=0))) + 1)
 
 
 def units(rows: DataFrame) -> DataFrame:
-    """(id, label, dim, unit) of usable vectors: unit is the vector at length 1, as doubles in a binary."""
+    """(id, label, dim, unit) of every row: unit is the vector at length 1, as doubles in a binary, or null if it links with nothing."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for many in batches:
@@ -98,19 +119,23 @@ def units(rows: DataFrame) -> DataFrame:
                 out.append((v / norm).tobytes() if norm > 0 and np.isfinite(norm) and np.isfinite(v).all() else None)
             yield pd.Series(out, dtype=object)
 
-    whole = F.when(~F.exists("embedding", lambda x: x.isNull()), F.col("embedding"))
-    unit = F.pandas_udf(run, "binary")(whole.cast("array<double>"))
-    found = rows.where("id is not null and label is not null").select("id", "label", unit.alias("unit")).where("unit is not null")
-    return found.withColumn("dim", (F.octet_length("unit") / 8).cast("int"))
+    usable = F.col("id").isNotNull() & F.col("label").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    unit = F.pandas_udf(run, "binary")(F.when(usable, F.col("embedding")).cast("array<double>"))
+    return rows.select("id", "label", unit.alias("unit")).withColumn("dim", (F.octet_length("unit") / 8).cast("int"))
 
 
-def links_in_buckets(rows: DataFrame, options: VectorOptions) -> DataFrame:
-    """(id, links, low) of `rows` (t, label, key, cnt, id, times, unit, keys), one for each bucket in which id links."""
+BUCKET = ["dim", "label", "t", "key"]
+
+
+def _in_buckets(rows: DataFrame, options: VectorOptions, judge, schema: str) -> DataFrame:
+    """`judge(pdf, first)` for each bucket (or pair of its blocks) of `rows` (BUCKET, cnt, id, keys, ...).
+
+    first: of vectors i and j, whether the bucket is the first that they share and the pair belongs here.
+    """
     split = F.ceil(F.col("cnt") / options.block).cast("int")
     dealt = rows.withColumn("mine", F.pmod(F.xxhash64("id"), split).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), split - 1)))
     dealt = dealt.withColumn("b1", F.least("mine", "other")).withColumn("b2", F.greatest("mine", "other")).drop("other", "cnt")
-    names = ["key", "label", "t", "b1", "b2"]
-    threshold = options.threshold
+    names = [*BUCKET, "b1", "b2"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in complete_groups(batches, names, 4096):
@@ -120,82 +145,132 @@ def links_in_buckets(rows: DataFrame, options: VectorOptions) -> DataFrame:
                 v = pdf[k].to_numpy()
                 edge[1:] |= v[1:] != v[:-1]
             cuts = np.append(np.flatnonzero(edge), len(pdf))
-            unit = np.frombuffer(b"".join(pdf["unit"]), np.float64).reshape(len(pdf), -1)
-            keys = np.stack(pdf["keys"].to_list())
-            ids, times, mine, t = (pdf[c].to_numpy() for c in ("id", "times", "mine", "t"))
-            across = (pdf["b1"] != pdf["b2"]).to_numpy()
-            out = []
+            found = []
             for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if z - a < 2:
                     continue
-                near = unit[a:z] @ unit[a:z].T >= threshold
-                np.fill_diagonal(near, False)
-                if across[a]:
-                    near &= mine[a:z, None] != mine[None, a:z]
-                if not near.any():
-                    continue
-                # Pairs that no earlier table has brought together.
-                first = near.copy()
-                for k in range(int(t[a])):
-                    if not first.any():
-                        break
-                    first &= keys[a:z, k, None] != keys[None, a:z, k]
-                links = first @ times[a:z]
-                low = ids[a:z].copy()
-                while True:
-                    was = low
-                    low = np.minimum(was, np.where(near, was[None, :], was[:, None]).min(axis=1))
-                    if (low == was).all():
-                        break
-                some = near.any(axis=1)
-                out.append((ids[a:z][some], links[some], low[some]))
-            if out:
-                yield pd.DataFrame({c: np.concatenate([x[k] for x in out]) for k, c in enumerate(("id", "links", "low"))})
-
-    return dealt.repartition(partitions(rows.sparkSession), *names).sortWithinPartitions(*names, "id").mapInPandas(run, "id long, links long, low long")
+                part = pdf.iloc[a:z]
+                own = np.ones((z - a, z - a), bool)
+                np.fill_diagonal(own, False)
+                if part["b1"].iloc[0] != part["b2"].iloc[0]:
+                    mine = part["mine"].to_numpy()
+                    own &= mine[:, None] != mine[None]
+                got = judge(part, own)
+                if got is not None:
+                    found.append(got)
+            if found:
+                yield pd.concat(found, ignore_index=True)
+
+    return dealt.repartition(partitions(rows.sparkSession), *names).sortWithinPartitions(*names, "id").mapInPandas(run, schema)
+
+
+def _first(keys: np.ndarray, t: int, pairs: np.ndarray) -> np.ndarray:
+    """The pairs that share none of the first t tables."""
+    for k in range(t):
+        if not pairs.any():
+            break
+        pairs = pairs & (keys[:, k, None] != keys[None, :, k])
+    return pairs
+
+
+def retrieved(rows: DataFrame, indexes: dict[int, Index], options: VectorOptions) -> DataFrame:
+    """(BUCKET, id) of vectors that have a partner within reach, in the first bucket that they share; by codes alone."""
+
+    def judge(part: pd.DataFrame, own: np.ndarray) -> pd.DataFrame | None:
+        index, keys = indexes[int(part["dim"].iloc[0])], np.stack(part["keys"].to_list())
+        bit = (keys[:, :, None] >> np.arange(index.bits, dtype=keys.dtype) & 1).reshape(len(keys), -1).astype(np.float32) - 0.5
+        near = own & (0.5 * bit.shape[1] - 2 * (bit @ bit.T) <= index.reach)
+        some = _first(keys, int(part["t"].iloc[0]), near).any(axis=1)
+        return part.loc[some, [*BUCKET, "id"]] if some.any() else None
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return _in_buckets(rows, options, judge, ", ".join(f"`{c}` {kinds[c]}" for c in [*BUCKET, "id"]))
+
+
+def links_in_buckets(rows: DataFrame, options: VectorOptions) -> DataFrame:
+    """(id, links, low) of `rows` (BUCKET, cnt, id, times, unit, keys), one for each bucket in which id links."""
+    threshold = options.threshold
+
+    def judge(part: pd.DataFrame, own: np.ndarray) -> pd.DataFrame | None:
+        unit = np.frombuffer(b"".join(part["unit"]), np.float64).reshape(len(part), -1)
+        near = own & (unit @ unit.T >= threshold)
+        some = near.any(axis=1)
+        if not some.any():
+            return None
+        links = _first(np.stack(part["keys"].to_list()), int(part["t"].iloc[0]), near) @ part["times"].to_numpy()
+        ids = part["id"].to_numpy()
+        low = ids
+        while True:
+            was = low
+            low = np.minimum(was, np.where(near, was[None, :], was[:, None]).min(axis=1))
+            if (low == was).all():
+                return pd.DataFrame({"id": ids[some], "links": links[some], "low": low[some]})
+
+    return _in_buckets(rows, options, judge, "id long, links long, low long")
 
 
 def near_vectors(table: DataFrame, options: VectorOptions = VectorOptions()) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of `table` (vec_id, embedding, label)."""
     own = table.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding"), F.col("label"))
-    usable = cut(units(own), "units")
-    sizes = usable.groupBy("dim", "label").agg(F.count("*").alias("n"))
-    dims = sizes.groupBy("dim").agg(F.sum("n").alias("n"), F.max("n").alias("most")).orderBy(F.desc("n"), "dim").first()
-    every = own.select("id")
-    if dims is None:
-        return _result(every.withColumn("links", F.lit(0)).withColumn("component", F.col("id")))
-    usable = usable.where(F.col("dim") == dims["dim"])
-    bound = -float(2**63) + float(2**64) * min(1.0, options.sample / dims["n"])
-    drawn = usable.where(F.xxhash64("id").cast("double") <= bound).select("unit").limit(2 * options.sample).collect()
-    sample = np.stack([np.frombuffer(r["unit"], np.float64) for r in drawn]) if drawn else np.zeros((1, dims["dim"]))
-    index = learn(sample, dims["most"], options)
-
-    # Equal vectors of a label are one class, named by its smallest id.
-    classes = usable.groupBy("label", "unit").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
-
-    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for many in batches:
-            unit = np.frombuffer(b"".join(many), np.float64).reshape(len(many), -1)
-            yield pd.Series(list(index.keys(unit).astype(narrow)), dtype=object)
-
-    # Keys travel with their vectors, so they are as narrow as their bits allow.
-    narrow, kind = (np.int32, "int") if index.bits < 32 else (np.int64, "long")
-    coded = cut(classes.select(F.col("rep").alias("id"), "label", "times", "unit", F.pandas_udf(keys, f"array<{kind}>")("unit").alias("keys")), "codes")
-    keyed = coded.select("id", "label", F.posexplode("keys").alias("t", "key"))
-    shared = keyed.groupBy("t", "label", "key").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    rows = keyed.join(shared, ["t", "label", "key"]).join(coded.select("id", "label", "times", "unit", "keys"), ["id", "label"])
-    found = cut(links_in_buckets(rows, options), "links")
-    part = connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b")))
+    with Scratch(table.sparkSession) as scratch:
+        return cut(_linked(own, options, scratch), "vectors")
+
+
+def _indexes(usable: DataFrame, options: VectorOptions) -> dict[int, Index]:
+    """An index for each dimension, fitted on a sample by a hash of the ids."""
+    sizes = usable.groupBy("dim", "label").agg(F.count("*").alias("n")).groupBy("dim").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()
+    if not sizes:
+        return {}
+    bound = F.create_map(*[x for r in sizes for x in (F.lit(r["dim"]), F.lit(-float(2**63) + float(2**64) * min(1.0, options.sample / r["n"])))])
+    drawn: dict[int, list[np.ndarray]] = {r["dim"]: [] for r in sizes}
+    for r in usable.where(F.xxhash64("id").cast("double") <= F.element_at(bound, F.col("dim"))).select("dim", "unit").limit(2 * options.sample * len(sizes)).collect():
+        drawn[r["dim"]].append(np.frombuffer(r["unit"], np.float64))
+    # Without a sampled vector any directions do.
+    some = lambda d: np.linalg.qr(np.random.default_rng(d).standard_normal((d, d)))[0]
+    return {r["dim"]: learn(np.stack(drawn[r["dim"]]) if drawn[r["dim"]] else some(r["dim"]), r["most"], options) for r in sizes}
+
+
+def _linked(own: DataFrame, options: VectorOptions, scratch: Scratch) -> DataFrame:
+    every = cut(units(own), "units", scratch)
+    usable = every.where("unit is not null")
+    indexes = _indexes(usable, options)
+
+    def keys(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for dims, many in batches:
+            out = np.empty(len(many), object)
+            for dim in dims.unique().tolist():
+                at = np.flatnonzero((dims == dim).to_numpy())
+                unit = np.frombuffer(b"".join(many.iloc[at]), np.float64).reshape(len(at), dim)
+                for i, k in zip(at.tolist(), indexes[dim].keys(unit).astype(narrow), strict=True):
+                    out[i] = k
+            yield pd.Series(out)
+
+    # Keys travel with each bucket's rows, so they are as narrow as their bits allow.
+    narrow, kind = (np.int32, "int") if all(i.bits < 32 for i in indexes.values()) else (np.int64, "long")
+    # Equal vectors of a label are one class. Its number is made once and read from its table ever after.
+    classes = usable.groupBy("label", "dim", "unit").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()).withColumn("keys", F.pandas_udf(keys, f"array<{kind}>")("dim", "unit")), "codes", scratch)
+    codes = classes.select("id", "keys")
+    keyed = classes.select("id", "dim", "label", F.posexplode("keys").alias("t", "key"))
+    count = lambda rows: rows.groupBy(*BUCKET).agg(F.count("*").alias("cnt")).where("cnt > 1")
+    near = cut(retrieved(keyed.join(count(keyed), BUCKET).join(codes, "id"), indexes, options).distinct(), "retrieved", scratch)
+    found = links_in_buckets(near.join(count(near), BUCKET).join(classes.select("id", "times", "unit", "keys"), "id"), options)
+    found = cut(found, "links", scratch)
+
+    # Classes of rows that share an id are in one component.
+    named = usable.join(classes.select("label", "unit", F.col("id").alias("class")), ["label", "unit"]).select(F.col("id").alias("vec"), "class")
+    several = named.groupBy("vec").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+    same = named.join(several, "vec").where("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b"))
+    part = connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b")).union(same), scratch)
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
-    named = coded.select("id", "label", "unit", "times").join(counted, "id", "left").join(part, "id", "left")
-    named = named.select("label", "unit", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
-    linked = usable.select("id", "label", "unit").join(named, ["label", "unit"]).groupBy("id").agg(F.max("links").alias("links"), F.min("component").alias("component"))
-    return _result(every.join(linked, "id", "left"))
-
-
-def _result(rows: DataFrame) -> DataFrame:
+    out = classes.join(counted, "id", "left").join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    out = cut(out.select("label", "unit", "rep", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), "component"), "named", scratch)
+    # Components are named by the smallest id of their classes.
+    least = out.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("c")).where("c > 1").select("component", "least")
+    out = out.join(least, "component", "left").select("label", "unit", "links", F.coalesce("least", "rep").alias("component"))
+    done = every.select("id", "label", "unit").join(out, ["label", "unit"], "left")
     component = F.coalesce("component", "id")
-    return rows.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return done.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 # All pairs of a label, for small tables.

@@ -12,14 +12,15 @@ a link. Links are confirmed in two rounds: first few for each document, then all
 different components. So no link between components is lost, and not all pairs of a group are emitted.
 
 Edge cases: a text without words has size 0 and links with nothing; with fewer words than a shingle the sequence is
-one shingle; a null id links with nothing, has a null component and is kept. Rows with the same id count as one
-document. Ties go to the smallest id.
+one shingle; a null id links with nothing, has a null component and is kept. Rows that share an id keep their own sets
+and links but are in one component. Ties go to the smallest id. Very long texts are one row of one task; minhashes
+take their shingles in parts. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import complete_groups, connected_components, cut, marked, partitions
-from .words import hash_words, mix, rolling
+from .common import Scratch, complete_groups, connected_components, cut, fresh, partitions, slices, split_by
+from .words import hash_texts, mix, rolling
 
 
 @dataclass(frozen=True)
@@ -57,15 +58,16 @@ class LinkOptions:
         return math.ceil(math.log(1 - math.sqrt(1 - self.missed)) / math.log(1 - shared))
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; A-Z are lower-cased."""
-    own = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not own:
-        return np.empty(0, np.uint64)
-    h = hash_words(own)
-    if len(h) < words:
-        return mix(rolling(h, len(h)) + np.uint64(len(h)))
-    return np.unique(rolling(h, words))
+def shingle_sets(texts: Iterable[str | None], words: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its shingles; A-Z are lower-cased."""
+    h, begin = hash_texts(texts, lower=True)
+    runs, out = rolling(h, words), []
+    for a, z in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+        if z - a >= words:
+            out.append(np.unique(runs[a : z - words + 1]))
+        else:
+            out.append(mix(rolling(h[a:z], z - a) + np.uint64(z - a)) if z > a else np.empty(0, np.uint64))
+    return out
 
 
 class Hashes:
@@ -98,10 +100,9 @@ def signatures(text: Column, options: LinkOptions) -> Column:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = Hashes(options)
-        for texts in batches:
+        for texts in slices(batches):
             rows = []
-            for t in texts:
-                s = shingles(t, options.words)
+            for s in shingle_sets(texts, options.words):
                 if not len(s):
                     rows.append((0, None, None, None, None))
                     continue
@@ -193,36 +194,53 @@ def confirmed(pairs: DataFrame, sets: DataFrame, options: LinkOptions) -> DataFr
 def near_duplicates(docs: DataFrame, options: LinkOptions = LinkOptions(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of `docs`."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(own.select("id", signatures(F.col("text"), options).alias("s")).select("id", "s.*"), "signatures")
-    classes = signed.where("n > 0 and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep"))
-    reps = classes.select(F.col("rep").alias("id"), "set_hash").join(signed.where("n > 0"), ["id", "set_hash"]).dropDuplicates(["id"]).drop("set_hash")
-    reps = cut(reps, "representatives")
+    with Scratch(docs.sparkSession) as scratch:
+        return cut(_groups(own, options, scratch), "groups")
 
-    keyed = reps.select("id", F.posexplode("left").alias("t", "key"))
-    shared = keyed.groupBy("t", "key").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    members = cut(keyed.join(shared, ["t", "key"]), "members")
-    wanted = members.select("id").distinct()
-    texts = marked(own.where("id is not null"), wanted, "id").where("_wanted").select("id", "text")
-    rows = members.join(reps, "id")
-
-    def as_sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([shingles(t, options.words).tobytes() for t in texts], dtype=object)
 
-    sets = cut(texts.join(wanted, "id").dropDuplicates(["id"]).select("id", F.pandas_udf(as_sets, "binary")("text").alias("set")), "sets")
+def _groups(own: DataFrame, options: LinkOptions, scratch: Scratch) -> DataFrame:
+    signed = cut(own.select("id", signatures(F.col("text"), options).alias("s")).select("id", "s.*"), "signatures", scratch)
+    # A class is a set; its number is made once and read from its table ever after. Rows of a class have equal signatures.
+    usable = signed.where("n > 0 and id is not null")
+    classes = usable.groupBy("set_hash").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "left", "right", "bins")])
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes", scratch)
+    signs = classes.select("id", "n", "left", "right", "bins")
 
-    first = cut(candidates(rows.withColumn("component", F.col("id")), options, sparse=True).distinct(), "pairs")
-    links = cut(confirmed(first, sets, options), "links")
-    part = connected_components(links)
+    keyed = classes.select("id", F.posexplode("left").alias("t", "key"))
+    shared = keyed.groupBy("t", "key").agg(F.count("*").alias("cnt")).where("cnt > 1")
+    members = cut(keyed.join(shared, ["t", "key"]), "members", scratch)
+    wanted = cut(members.select("id").distinct().join(classes.select("id", "rep", "set_hash"), "id").select(F.col("id").alias("class"), "set_hash", F.col("rep").alias("id")), "wanted", scratch)
+    rows = members.join(signs, "id")
+
+    def as_sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in slices(batches):
+            sets = shingle_sets(texts, options.words)
+            yield pd.DataFrame({"set": [s.tobytes() for s in sets], "hash": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]})
+
+    # Other rows may share the id of a class; the digest tells which of them has its set.
+    texts = split_by(own.where("id is not null"), wanted, "id")[0].join(wanted, "id")
+    sets = texts.select("class", "set_hash", F.pandas_udf(as_sets, "set binary, hash binary")("text").alias("s"))
+    sets = cut(sets.where("s.hash = set_hash").select(F.col("class").alias("id"), "s.set").dropDuplicates(["id"]), "sets", scratch)
+
+    first = cut(candidates(rows.withColumn("component", F.col("id")), options, sparse=True).distinct(), "pairs", scratch)
+    links = cut(confirmed(first, sets, options), "links", scratch)
+    part = connected_components(links, scratch)
     labelled = rows.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
     second = candidates(labelled, options, sparse=False).join(first, ["a", "b"], "left_anti")
-    more = cut(confirmed(second, sets, options), "links")
+    more = cut(confirmed(second, sets, options), "links", scratch)
+    # Classes of rows that share an id are in one component.
+    same = usable.groupBy("id").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y")).where("x <> y").select(F.col("id").alias("doc"))
+    same = usable.select(F.col("id").alias("doc"), "set_hash").join(same, "doc").join(classes.select("set_hash", "id"), "set_hash").select("doc", "id")
+    same = same.join(same.groupBy("doc").agg(F.min("id").alias("low")), "doc").select(F.col("id").alias("a"), F.col("low").alias("b")).where("a <> b")
+    more = cut(more.union(same), "links", scratch)
     if not more.isEmpty():
         # What is linked already is a star each.
-        part = connected_components(more.union(part.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))))
-    part = part.select(F.col("id").alias("rep"), "component")
-
-    named = classes.join(part, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
+        part = connected_components(more.union(part.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))), scratch)
+    # Components are named by the smallest id of their classes.
+    named = classes.select("set_hash", "rep", "id").join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = cut(named.select("set_hash", "rep", "component"), "named", scratch)
+    least = named.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("c")).where("c > 1").select("component", "least")
+    named = named.join(least, "component", "left").select("set_hash", F.coalesce("least", "rep").alias("component"))
     out = signed.select("id", "n", F.when(F.col("id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(named, "set_hash", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
@@ -230,10 +248,11 @@ def near_duplicates(docs: DataFrame, options: LinkOptions = LinkOptions(), id_co
 
 def keep_first(docs: DataFrame, options: LinkOptions = LinkOptions()) -> DataFrame:
     """`docs` with the smallest id of each group only; rows without an id stay."""
-    gone = near_duplicates(docs, options).where("not kept").select("doc_id").distinct()
-    maybe = marked(docs, gone, "doc_id")
-    sure = maybe.where("not _wanted").select(*docs.columns)
-    return sure.union(maybe.where("_wanted").join(gone, "doc_id", "left_anti").select(*docs.columns))
+    gone = near_duplicates(docs.select("doc_id", "text"), options).where("not kept").select("doc_id").distinct()
+    # Hashes of keys are compared, so both sides have one type.
+    (key,) = fresh(docs, "_doc")
+    maybe, sure = split_by(docs.withColumn(key, F.col("doc_id").cast("long")), gone.withColumnRenamed("doc_id", key), key)
+    return sure.drop(key).union(maybe.join(gone.withColumnRenamed("doc_id", key), key, "left_anti").select(*docs.columns))
 
 
 # The same result in SQL: all shingles joined, components by recursion. For small tables.

@@ -15,19 +15,16 @@ def remainder(n: int) -> F.Column:
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document, read back from binary shards through their index."""
-    common.small_batches(spark)
     return token_store.digests(common.read_table(spark, sf_dir, "documents"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's ids and of the bytes that they decode to."""
-    common.small_batches(spark)
     return bpe.digests(common.read_table(spark, sf_dir, "documents"))
 
 
 def op3_quality_rqda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of each document, learnt from labels outside the held-out fold."""
-    common.small_batches(spark)
     docs = common.read_table(spark, sf_dir, "documents")
     held_out = F.coalesce(remainder(5) == 0, F.lit(False))
     x = common.cut(docs.select("doc_id", quality.features(F.col("text")).alias("x")), "features")
@@ -39,13 +36,11 @@ def op3_quality_rqda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents, at a resemblance of 0.85 of 5-word shingles."""
-    common.small_batches(spark)
     return minhash.near_duplicates(common.read_table(spark, sf_dir, "documents"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that no repeated window of 20 words covers."""
-    common.small_batches(spark)
     return substring.digests(common.read_table(spark, sf_dir, "documents"))
 
 
@@ -56,13 +51,11 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of each document and of its edited text, and their likeness."""
-    common.small_batches(spark)
     return fingerprint.digests(common.read_table(spark, sf_dir, "documents"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document, learnt from lang outside the held-out fold."""
-    common.small_batches(spark)
     docs = common.read_table(spark, sf_dir, "documents")
     held_out = F.coalesce(remainder(4) == 2, F.lit(False))
     model = langid.train(docs.where(~held_out))
@@ -77,7 +70,6 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of each document, by patterns and token efficiency."""
-    common.small_batches(spark)
     return secrets.scan_secrets(common.read_table(spark, sf_dir, "documents"))
 
 

@@ -2,21 +2,28 @@
 
 A window is `window` consecutive words. Every window whose words also start earlier (smaller id, or same document and
 earlier start) is a repeat, and its words go. An index of the whole corpus fits no task, and streaming each document
-through the index of each shard would grow with the square of the corpus. So windows are dealt by content:
+through the index of each shard would grow with the square of the corpus. So text is dealt by content:
 
 1. The anchor of a window is the smallest hash of its runs of `anchor` words; equal windows have equal anchors. Runs of
    windows with one anchor are a segment. Segments whose anchor occurs once hold no repeat and go no further.
-2. Equal segments are counted as one (Spark pre-aggregates them); all but the earliest are repeats as a whole.
-3. What is left are different segments that share an anchor. Their words are dealt to shards by anchor. Each shard
-   builds an FM-index over its segments in corpus order and streams them through backward search: a window whose
-   matching interval begins earlier than itself is a repeat.
-4. Where an anchor has more than `hot` of them, its windows are counted like the segments in step 2, by anchor and hash,
-   and go to no shard: a window in very many documents is one row for each task that has it, not a shard of its own.
-
-Shards hold about `shard` segments each, at every size of the corpus.
-
-Edge cases: a null or empty text has no words; rows without an id are left whole and repeat nothing; rows with the
-same id count as one document. Without repeats texts are kept as they are.
+2. Equal segments are counted by Spark (a minimum and a count for each, pre-aggregated), and one of each goes on.
+3. Shards take segments by anchor. Each builds a compressed FM-index of its segments (a wavelet matrix and a sampled
+   suffix array) in corpus order, and streams the segments through it: backward search gives the matching statistics of
+   each word, and a window whose match reaches `window` words and begins earlier than itself is a repeat. A segment that
+   has later copies is streamed as one of them too; the windows that match name the segment as repeated, and Spark joins
+   that to its later copies.
+4. Where an anchor has more than `hot` different segments, they are cut into windows, counted by Spark like the segments
+   in step 2. One of each repeated window goes to the shards, as a segment of one window, and step 3 follows. So a
+   passage in very many documents is one row for each task that has it, and no shard grows with its copies.
+
+Every removed word lies in a match that an index has reported. Shards hold about `shard` segments each, at every size of
+the corpus.
+
+Edge cases: a null or empty text has no words; rows without an id are left whole and repeat nothing; rows with the same
+id and text count as one document, and of those with the same id and other texts the windows are taken as if the texts
+stood side by side at the same places: what one of them repeats is taken out of all. Ties (equal windows) go to the
+earlier start. Very long texts are one row of one task, hashed in parts. Columns n_words, n_removed and kept of the
+input are replaced. Without repeats texts are kept as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,9 +36,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, marked
+from .common import Scratch, cut, fresh, slices, split_by
 from .fm_index import FMIndex
-from .words import GOLD, hash_words, mix, rolling, split_words
+from .words import BACK, GOLD, hash_texts, mix, powers, rolling, split_words
 
 
 @dataclass(frozen=True)
@@ -46,135 +53,170 @@ class RepeatOptions:
 
 # A segment's start and number of windows in one long: start * PACK + windows.
 PACK = 64
-BACK = np.uint64(pow(int(GOLD), -1, 2**64))
 
 
-def segments(h: np.ndarray, options: RepeatOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, hash of the words, first window, windows) of each segment of one document."""
-    windows = len(h) - options.window + 1
-    if windows < 1:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+def least_of_next(v: np.ndarray, n: int) -> np.ndarray:
+    """Where the least of each n values in a row is, the first of equals."""
+    at, reach = np.arange(len(v)), 1
+    while reach < n:
+        step = min(reach, n - reach)
+        a, b = at[: len(at) - step], at[step:]
+        at = np.where(v[b] < v[a], b, a)
+        reach += step
+    return at
+
+
+def segments(h: np.ndarray, begin: np.ndarray, options: RepeatOptions) -> tuple[np.ndarray, ...]:
+    """(text, anchor, hash of the words, first window, windows) of each segment of texts whose words' hashes are h[begin[i] : begin[i + 1]]."""
+    n = len(h) - options.window + 1
+    if n < 1:
+        none = np.empty(0, np.int64)
+        return none, none.view(np.uint64), none.view(np.uint64), none, none
     runs = rolling(h, options.anchor)
-    reach = options.window - options.anchor + 1
-    at = np.arange(windows)
-    least, where = runs[:windows].copy(), at.copy()
-    for j in range(1, reach):
-        less = runs[j : j + windows] < least
-        least[less] = runs[j : j + windows][less]
-        where[less] = at[less] + j
-    first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-    n = np.diff(np.append(first, windows))
-    power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(h), GOLD))])
-    back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(h), BACK))])
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h) * power[:-1], dtype=np.uint64)])
-    end = first + n + options.window - 1
-    return least[first], mix((total[end] - total[first]) * back[first] + n.astype(np.uint64)), first, n
+    where = least_of_next(runs, options.window - options.anchor + 1)
+    text = np.repeat(np.arange(len(begin) - 1), np.diff(begin))[:n]
+    inside = np.arange(n) + options.window <= begin[text + 1]
+    new = np.ones(n, bool)
+    new[1:] = (where[1:] != where[:-1]) | (text[1:] != text[:-1]) | (inside[1:] != inside[:-1])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, n))
+    first, size = first[inside[first]], size[inside[first]]
+    return text[first], runs[where[first]], hash_runs(h, first, first + size + options.window - 1), first - begin[text[first]], size
+
+
+def hash_runs(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the words h[first : end] of each run; it is the same wherever they stand."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h) * powers(GOLD, len(h))[:-1], dtype=np.uint64)])
+    return mix((total[end] - total[first]) * powers(BACK, len(h))[first] + (end - first).astype(np.uint64))
 
 
 def segment_rows(docs: DataFrame, options: RepeatOptions) -> DataFrame:
     """(id, anchor, seg, at): every segment of every document."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for t in texts:
-                a, s, first, n = segments(hash_words(split_words(t)), options)
-                rows.append((a.view(np.int64), s.view(np.int64), first * PACK + n))
-            yield pd.DataFrame(rows, columns=["anchor", "seg", "at"])
+        for texts in slices(batches):
+            h, begin = hash_texts(texts)
+            text, anchor, seg, first, n = segments(h, begin, options)
+            cuts = np.searchsorted(text, np.arange(1, len(texts)))
+            yield pd.DataFrame({"anchor": np.split(anchor.view(np.int64), cuts), "seg": np.split(seg.view(np.int64), cuts), "at": np.split(first * PACK + n, cuts)})
 
     found = F.pandas_udf(run, "anchor array<long>, seg array<long>, at array<long>")
     return docs.where("id is not null").select("id", found("text").alias("s")).select("id", F.inline(F.arrays_zip("s.anchor", "s.seg", "s.at")))
 
 
+FOUND = "anchor long, seg long, id long, at long, a long, b long"
+
+
 def repeats_in_shard(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
-    """(id, a, b): runs of repeated windows, first and last, of the segments (id, start, words) of one shard."""
-    pdf = pdf.sort_values(["id", "start"], kind="stable", ignore_index=True)
+    """What one shard reports of its segments (anchor, seg, id, at, copied, words).
+
+    Runs of windows that begin earlier in another segment: id and first and last window, a and b. Segments whose later
+    copies repeat them: anchor, seg, id and at.
+    """
+    # Rows that share id and text are one.
+    pdf = pdf.drop_duplicates(["id", "at", "seg"]).sort_values(["id", "at"], kind="stable", ignore_index=True)
     units = [np.frombuffer(w, np.uint32) for w in pdf["words"]]
     size = np.array([len(u) for u in units])
-    begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-    codes = np.unique(np.concatenate(units), return_inverse=True)[1]
+    begin = np.cumsum(size + 1) - size - 1
     symbols = np.zeros(int((size + 1).sum()), np.int64)
     inside = np.ones(len(symbols), bool)
     inside[begin + size] = False
-    symbols[inside] = codes + 1
+    symbols[inside] = np.unique(np.concatenate(units), return_inverse=True)[1] + 1
     windows = size - window + 1
     unit = np.repeat(np.arange(len(units)), windows)
     offset = np.arange(len(unit)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = begin[unit] + offset
-    index = FMIndex(symbols, window)
-    first = np.empty(len(at), np.int64)
-    for a in range(0, len(at), 1 << 17):
-        part = slice(a, a + (1 << 17))
-        first[part] = index.earliest(*index.search(symbols, at[part], window))
+    copied = pdf["copied"].to_numpy()
+    index = FMIndex(symbols)
+    length, low, high = index.matching(symbols, at + window, window, ~copied[unit])
+    met = length == window
+    first = at.copy()
+    first[met] = index.earliest(low[met], high[met])
+    start = pdf["at"].to_numpy() // PACK
     again = first < at
-    unit, start = unit[again], (pdf["start"].to_numpy()[unit] + offset)[again]
-    ids = pdf["id"].to_numpy()[unit]
-    if not len(start):
-        return pd.DataFrame({"id": [], "a": [], "b": []}).astype("int64")
-    new = np.concatenate([[True], (unit[1:] != unit[:-1]) | (start[1:] != start[:-1] + 1)])
-    last = np.append(np.flatnonzero(new)[1:], len(start)) - 1
-    return pd.DataFrame({"id": ids[new], "a": start[new], "b": start[last]})
+    u, w = unit[again], (start[unit] + offset)[again]
+    new = np.ones(len(u), bool)
+    new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1] + 1)
+    head, tail = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(u)) - 1
+    runs = pd.DataFrame({"anchor": 0, "seg": 0, "id": pdf["id"].to_numpy()[u[head]] if len(u) else [], "at": -1, "a": w[head] if len(u) else [], "b": w[tail] if len(u) else []})
+    whole = copied & (np.bincount(unit, weights=met, minlength=len(units)) == windows)
+    return pd.concat([runs, pdf.loc[whole, ["anchor", "seg", "id", "at"]].assign(a=-1, b=-1)], ignore_index=True)
 
 
-def repeated_windows(docs: DataFrame, options: RepeatOptions) -> DataFrame:
-    """(id, a, b): runs of repeated windows, by their first and last start, of docs (id, text)."""
-    spark = docs.sparkSession
-    rows = segment_rows(docs, options)
-    # Written first, so that the join reads both sides from shuffles and a hot anchor's rows can be split.
-    shared = cut(rows.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "anchors")
-    rows = cut(rows.join(shared.hint("shuffle_hash"), "anchor"), "segments")
-
-    distinct = rows.groupBy("anchor", "seg").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c"))
-    distinct = cut(distinct, "distinct")
-    again = rows.join(distinct.where("c > 1").select("anchor", "seg", "first"), ["anchor", "seg"]).where((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")))
-    whole = again.select("id", (F.col("at") / PACK).cast("long").alias("a"), (F.col("at") / PACK + F.col("at") % PACK - 1).cast("long").alias("b"))
-
-    several = distinct.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
-    asked = distinct.join(several, "anchor").select("anchor", "first.id", "first.at", "k")
-    asked = cut(asked.groupBy("id").agg(F.collect_list(F.struct("anchor", "at", "k")).alias("asked")), "asked")
-    apart = lambda wanted: asked.select("id", F.filter("asked", wanted).alias("asked")).where(F.size("asked") > 0)
-    cold, hot = apart(lambda s: s["k"] <= options.hot), apart(lambda s: s["k"] > options.hot)
-    n = cold.agg(F.sum(F.size("asked"))).first()[0] or 0
-    shards = int(n // options.shard) + 1
+def _reported(texts: DataFrame, asked: DataFrame, options: RepeatOptions, scratch: Scratch) -> DataFrame:
+    """What the shards report (FOUND) of the segments in `asked` (id, deal, anchor, seg, at, copied) of `texts` (id, text).
+
+    seg is the hash of the segment's words.
+    """
     window = options.window
+    asked = cut(asked.groupBy("id").agg(F.collect_list(F.struct("deal", "anchor", "seg", "at", "copied")).alias("asked")), "asked", scratch)
+    shards = int((asked.agg(F.sum(F.size("asked"))).first()[0] or 0) // options.shard) + 1
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for doc, text, wanted in zip(pdf["id"], pdf["text"], pdf["asked"], strict=True):
-                h = hash_words(split_words(text))
+            for part in slices(iter([pdf["text"]])):
+                h, begin = hash_texts(part)
                 short = (h >> np.uint64(32)).astype(np.uint32)
-                for s in wanted:
-                    start, windows = divmod(s["at"], PACK)
-                    if start + windows + window - 1 <= len(h):
-                        out.append((s["anchor"] % shards, doc, start, short[start : start + windows + window - 1].tobytes()))
-            yield pd.DataFrame(out, columns=["shard", "id", "start", "words"])
-
-    def fetch_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for doc, text, wanted in zip(pdf["id"], pdf["text"], pdf["asked"], strict=True):
-                h = hash_words(split_words(text))
-                own = rolling(h, window).view(np.int64) if len(h) >= window else ()
-                for s in wanted:
-                    start, windows = divmod(s["at"], PACK)
-                    if start + windows <= len(own):
-                        out += [(s["anchor"], own[w], doc, w) for w in range(start, start + windows)]
-            yield pd.DataFrame(out, columns=["anchor", "h", "id", "start"])
-
-    def texts_of(asked: DataFrame) -> DataFrame:
-        return marked(docs.where("id is not null"), asked, "id").where("_wanted").join(asked, "id").select("id", "text", "asked")
-
-    units = texts_of(cold).mapInPandas(fetch, "shard long, id long, start long, words binary")
-    found = whole.union(units.groupBy("shard").applyInPandas(lambda pdf: repeats_in_shard(pdf[["id", "start", "words"]], window), "id long, a long, b long"))
+                asks = [(k, doc, s) for k, (doc, many) in enumerate(zip(pdf.loc[part.index, "id"], pdf.loc[part.index, "asked"], strict=True)) for s in many]
+                at = np.fromiter((s["at"] for _, _, s in asks), np.int64, len(asks))
+                row = np.fromiter((k for k, _, _ in asks), np.int64, len(asks))
+                first = begin[row] + at // PACK
+                end = first + at % PACK + window - 1
+                # Another text with the same id may be shorter or have other words there.
+                fits = end <= begin[row + 1]
+                fits[fits] = hash_runs(h, first[fits], end[fits]).view(np.int64) == np.fromiter((s["seg"] for _, _, s in asks), np.int64, len(asks))[fits]
+                out = [(s["deal"] % shards, s["anchor"], s["seg"], doc, s["at"], s["copied"], short[a:z].tobytes()) for (_, doc, s), a, z, ok in zip(asks, first.tolist(), end.tolist(), fits.tolist(), strict=True) if ok]
+                yield pd.DataFrame(out, columns=["shard", "anchor", "seg", "id", "at", "copied", "words"])
+
+    both = split_by(texts, asked, "id")[0].join(asked, "id").select("id", "text", "asked")
+    units = both.mapInPandas(fetch, "shard long, anchor long, seg long, id long, at long, copied boolean, words binary")
+    found = units.groupBy("shard").applyInPandas(lambda pdf: repeats_in_shard(pdf[["anchor", "seg", "id", "at", "copied", "words"]], window), FOUND)
+    return cut(found, "found", scratch)
+
+
+def _spans(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, a, b): the runs that shards found, and all windows of the later copies, in `rows`, of segments that they found repeated."""
+    runs = found.where("a >= 0").select("id", "a", "b")
+    named = found.where("a < 0").select("anchor", "seg", F.struct("id", "at").alias("first"))
+    later = rows.join(named, ["anchor", "seg"]).where((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")))
+    start = F.floor(F.col("at") / PACK)
+    return runs.union(later.select("id", start.alias("a"), (start + F.col("at") % PACK - 1).alias("b")))
+
+
+def repeated_windows(docs: DataFrame, options: RepeatOptions, scratch: Scratch) -> DataFrame:
+    """(id, a, b): runs of repeated windows, by their first and last start, of docs (id, text)."""
+    every = cut(segment_rows(docs, options), "segments", scratch)
+    shared = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    rows = cut(every.join(shared, "anchor"), "shared", scratch)
+    distinct = cut(rows.groupBy("anchor", "seg").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c")), "distinct", scratch)
+    hot = cut(distinct.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > options.hot).select("anchor"), "hot", scratch)
+
+    one = distinct.join(hot.withColumn("hot", F.lit(True)), "anchor", "left")
+    # Of a hot anchor's segments only those with copies are asked, to confirm the copies; they need not meet each other.
+    deal = F.when(F.col("hot"), F.col("seg")).otherwise(F.col("anchor"))
+    asked = one.where("hot is null or c > 1").select("first.id", deal.alias("deal"), "anchor", "seg", "first.at", (F.col("c") > 1).alias("copied"))
+    spans = _spans(_reported(docs, asked, options, scratch), rows)
     if not hot.isEmpty():
-        # Written first, as the segments are.
-        windows = cut(texts_of(hot).mapInPandas(fetch_windows, "anchor long, h long, id long, start long"), "windows")
-        first = windows.groupBy("anchor", "h").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
-        first = cut(first.select("anchor", "h", "first"), "first")
-        later = windows.join(first, ["anchor", "h"]).where((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
-        found = found.union(later.select("id", F.col("start").alias("a"), F.col("start").alias("b")))
-    return cut(found, "repeats")
+        window = options.window
+
+        def windows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for part in slices(iter([pdf["text"]])):
+                    h, begin = hash_texts(part)
+                    out = []
+                    for k, (doc, many) in enumerate(zip(pdf.loc[part.index, "id"], pdf.loc[part.index, "asked"], strict=True)):
+                        for start, n in (divmod(at, PACK) for at in many):
+                            first = begin[k] + np.arange(start, min(start + n, begin[k + 1] - begin[k] - window + 1))
+                            out += [(v, doc, at) for v, at in zip(hash_runs(h, first, first + window).view(np.int64).tolist(), ((first - begin[k]) * PACK + 1).tolist(), strict=True)]
+                    yield pd.DataFrame(out, columns=["seg", "id", "at"])
+
+        wanted = cut(distinct.join(hot, "anchor").groupBy("first.id").agg(F.collect_list("first.at").alias("asked")), "hot", scratch)
+        texts = split_by(docs, wanted, "id")[0].join(wanted, "id").select("id", "text", "asked")
+        windows = cut(texts.mapInPandas(windows_of, "seg long, id long, at long").select(F.col("seg").alias("anchor"), "seg", "id", "at"), "windows", scratch)
+        twice = windows.groupBy("anchor", "seg").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c")).where("c > 1")
+        asked = twice.select("first.id", F.col("anchor").alias("deal"), "anchor", "seg", "first.at", F.lit(True).alias("copied"))
+        spans = spans.union(_spans(_reported(docs, asked, options, scratch), windows))
+    return spans
 
 
 def keep_words(text: Column, repeats: Column, window: int) -> Column:
@@ -200,15 +242,23 @@ def keep_words(text: Column, repeats: Column, window: int) -> Column:
     return F.pandas_udf(run, "n_words long, n_removed long, kept binary")(text, repeats)
 
 
+def _with_kept(docs: DataFrame, options: RepeatOptions, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """`docs` and a column, whose name is given, of struct(n_words, n_removed, kept)."""
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    with Scratch(docs.sparkSession) as scratch:
+        spans = repeated_windows(own, options, scratch).groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+        spans = cut(spans, "spans")
+    key, found, into = fresh(docs, "_id", "_spans", "_kept")
+    spans = spans.select(F.col("id").alias(key), F.col("spans").alias(found))
+    maybe, whole = split_by(docs.withColumn(key, F.col(id_col).cast("long")), spans, key)
+    joined = whole.withColumn(found, F.lit(None).cast(spans.schema[found].dataType)).unionByName(maybe.join(spans, key, "left"))
+    return joined.withColumn(into, keep_words(F.col(text_col), F.col(found), options.window)).drop(key, found), into
+
+
 def remove_repeats(docs: DataFrame, options: RepeatOptions = RepeatOptions(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` and n_words, n_removed, kept (binary, UTF-8): the words that no repeated window covers."""
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    spans = repeated_windows(own, options).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
-    spans = cut(spans.withColumnRenamed("id", "_id"), "spans")
-    maybe = marked(docs.withColumn("_id", F.col(id_col).cast("long")), spans, "_id")
-    whole = maybe.where("not _wanted").withColumn("_spans", F.lit(None).cast(spans.schema["_spans"].dataType))
-    joined = whole.unionByName(maybe.where("_wanted").join(spans, "_id", "left"))
-    return joined.withColumn("_kept", keep_words(F.col(text_col), F.col("_spans"), options.window)).select(*docs.columns, "_kept.*")
+    out, into = _with_kept(docs, options, id_col, text_col)
+    return out.withColumns({c: F.col(f"{into}.{c}") for c in ("n_words", "n_removed", "kept")}).drop(into)
 
 
 def digests(docs: DataFrame, options: RepeatOptions = RepeatOptions()) -> DataFrame:
@@ -219,10 +269,11 @@ def digests(docs: DataFrame, options: RepeatOptions = RepeatOptions()) -> DataFr
 
 def without_repeats(docs: DataFrame, options: RepeatOptions = RepeatOptions()) -> DataFrame:
     """`docs` with the repeated words out of their texts; a text without repeats stays as it is, and every row stays."""
-    out = remove_repeats(docs, options)
-    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text")))
+    out, into = _with_kept(docs, options, "doc_id", "text")
+    less = F.col(f"{into}.n_removed") > 0
+    out = out.withColumn("text", F.when(less, F.col(f"{into}.kept").cast("string")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(less, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
