@@ -20,25 +20,21 @@ NEAR_PERCENT = 80
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: not those without a letter, nor those that no language fits better than all others."""
-    common.small_batches(spark)
     return langid.reject_unknown(docs, langid.train(docs), LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    common.small_batches(spark)
     return minhash.keep_first(docs, minhash.LinkOptions(percent=NEAR_PERCENT))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that occur earlier."""
-    common.small_batches(spark)
     return substring.without_repeats(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets masked."""
-    common.small_batches(spark)
     return secrets.redact(docs)
 
 
