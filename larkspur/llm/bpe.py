@@ -11,7 +11,8 @@ Text splits into pre-tokens afresh wherever a white-space character follows anot
 before them can be encoded once and looked up; texts with white space outside ASCII go to the library whole.
 
 Edge cases: a null or empty text has no ids. Lone surrogates can't occur in Spark strings. Repeated rows each give a
-row; a null id is kept.
+row; a null id is kept; an empty table gives no rows. Whether a text is cut into chunks (`EncodeOptions.chunk`) changes
+where it is encoded, never its ids. Other columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, limit_threads, partitions, vocabulary
+from .common import cut, limit_threads, partitions, slices, vocabulary
 
 # White space before a word, and the word; or white space at the end.
 CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
@@ -192,7 +193,7 @@ def _boundaries(chunk: Column, overlap: int) -> Column:
     """struct(head, tail, spaced, n): stitch points in the first and the last `overlap` characters of the chunk, counted from where the overlap begins; those of the tail before white space; the chunk's length."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for chunks in batches:
+        for chunks in slices(batches):
             rows = []
             for c in chunks:
                 ends = stitch_points(c)
@@ -207,7 +208,7 @@ def _boundaries(chunk: Column, overlap: int) -> Column:
 def _ids(text: Column, path: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = tiktoken_cached(path)
-        for texts in batches:
+        for texts in slices(batches):
             yield pd.Series([encode(t) for t in texts], dtype=object)
 
     return F.pandas_udf(run, "binary")(text)

@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +84,14 @@ def slices(batches: Iterator[pd.Series], chars: int = 1 << 21) -> Iterator[pd.Se
             yield texts.iloc[a:z]
 
 
+def record_slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of at most `rows` rows, fewer where a part would have more than about `size` bytes."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
+        for a in range(0, batch.num_rows, step):
+            yield batch.slice(a, step)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like `names` that `df` has in no spelling, as names are compared without case."""
     taken = {c.lower() for c in df.columns}

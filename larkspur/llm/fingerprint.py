@@ -1,16 +1,18 @@
 """Document fingerprints: a Merkle tree over pieces, paragraphs and sections.
 
 Leaves are paragraphs (lines); a long paragraph is cut into pieces after words whose hash says so, so that an edit
-moves no cut but those beside it. Sections are runs of leaves, closed after leaves whose hash says so. A section's hash
-is that of its leaves' hashes, the root that of the sections' and of the text's length; roots are equal just if texts
-are (up to collisions of 128 bits). The fingerprint is the tree as text: the root, then each section with its leaves,
-each leaf as hash and weight. Branches that differ locate edits.
+moves no cut but those beside it. The first `FINE` words of a text are leaves of their own, so that short texts have
+several too. Sections are runs of leaves, closed after leaves whose hash says so. Each node has 128 bits: a leaf's are
+the hash of its text, a section's that of its leaves' hashes, the root's that of the sections' hashes; so roots are equal
+just if texts are (up to collisions of 128 bits). The fingerprint is the tree as text: the root, then each section with
+its leaves, each leaf as the first 32 bits of its hash and its weight. Branches that differ locate edits.
 
 Likeness of two fingerprints: 1 if the roots are equal; else the share of weight (code points) in leaves that both
-have, by multiplicity, of the larger text's.
+have, by multiplicity, of the larger text's; under 1.
 
 Edge cases: a null text is an empty one; two empty texts are alike (1). Rows with equal ids are ordered by a hash of
-their text; a null id comes last. In a table of one row the next document is itself.
+their text (equal texts are a tie that changes nothing); a null id comes last. In a table of one row the next document
+is itself; an empty table gives no rows. A very long text is one row of one task. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -27,13 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, record_slices, slices
 
 # Content-defined cuts: a piece ends after a word with this many low zero bits of its hash, a section after such a leaf.
-PIECE_BITS, SECTION_BITS, PIECE_WORDS = 2, 3, 16
+PIECE_BITS, SECTION_BITS, PIECE_WORDS, SECTION_LEAVES, FINE = 2, 3, 16, 64, 16
 WORD = re.compile(r"\s*\S+\s*?(?=\s|$)|\s+")
 
-Leaf = tuple[int, int]  # hash and weight in code points
+Leaf = tuple[str, int]  # the first 32 bits of its hash, and its weight in code points
 
 
 class Ends(dict):
@@ -49,12 +51,15 @@ class Ends(dict):
 _ENDS = Ends()
 
 
-def leaves(text: str) -> list[str]:
-    """The text in pieces whose concatenation is the text. Where a piece ends, the next begins without memory."""
+def leaves(text: str, fine: int = FINE) -> list[str]:
+    """The text in pieces whose concatenation is the text: `fine` single words first. Where a piece ends, the next begins without memory."""
     out, ends = [], _ENDS
     for line in text.splitlines(keepends=True):
         held: list[str] = []
         for w in WORD.findall(line):
+            if len(out) < fine:
+                out.append(w)
+                continue
             held.append(w)
             if ends[w] or len(held) >= PIECE_WORDS:
                 out.append("".join(held))
@@ -69,33 +74,30 @@ class Tree:
 
     def __init__(self, text: str, before: Tree | None = None, same: int = 0):
         """before: the tree of a text that has the first `same` code points too; its leaves there are taken over."""
-        found: list[Leaf] = []
+        found: list[tuple[bytes, int]] = []
         at = 0
         if before:
-            for leaf in before.leaves:
+            for leaf in before.found:
                 # The last word before a change may go on in it.
                 if at + leaf[1] >= same:
                     break
                 found.append(leaf)
                 at += leaf[1]
-        digest = xxhash.xxh3_64_intdigest
-        found += [(digest(x.encode("utf-8", "surrogatepass")), len(x)) for x in leaves(text[at:] if at else text)]
-        self.size, self.leaves, self.counts = len(text), found, Counter(found)
+        digest = xxhash.xxh3_128_digest
+        rest = leaves(text[at:] if at else text, max(0, FINE - len(found)))
+        found += [(digest(x.encode("utf-8", "surrogatepass")), len(x)) for x in rest]
+        self.size, self.found = len(text), found
+        self.leaves: list[Leaf] = [(h[:4].hex(), n) for h, n in found]
+        self.counts = Counter(self.leaves)
         self.sections: list[tuple[str, str]] = []
-        held: list[str] = []
-        for h, n in found:
-            held.append(f"{h & 0xFFFFFFFF:08x}:{n}")
-            if not h & ((1 << SECTION_BITS) - 1) or len(held) >= 64:
-                self._close(held)
-                held = []
-        if held:
-            self._close(held)
-        whole = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        self.root = hashlib.blake2b(f"{len(text)};{','.join(top for top, _ in self.sections)};".encode() + whole, digest_size=16).hexdigest()
-
-    def _close(self, held: list[str]) -> None:
-        body = ",".join(held)
-        self.sections.append((xxhash.xxh3_64_hexdigest(body)[:12], body))
+        tops, low, a = [], (1 << SECTION_BITS) - 1, 0
+        for z, (h, _) in enumerate(found, 1):
+            if not h[-1] & low or z - a >= SECTION_LEAVES or z == len(found):
+                top = digest(b"".join([x for x, _ in found[a:z]]))
+                tops.append(top)
+                self.sections.append((top.hex(), ",".join([f"{x}:{n}" for x, n in self.leaves[a:z]])))
+                a = z
+        self.root = hashlib.blake2b(b"".join(tops), digest_size=16).hexdigest()
 
     def drawn(self) -> str:
         """root;section[leaf:weight,...]... with hashes in hex."""
@@ -158,7 +160,7 @@ def differing(x: str, y: str) -> list[tuple[int, int]]:
 
 def fingerprints(text: Column) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in slices(batches):
             yield pd.Series([fingerprint(t) for t in texts], dtype=object)
 
     return F.pandas_udf(run, "string")(text)
@@ -206,7 +208,7 @@ def digests(docs: DataFrame, ranges: int | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row before: range, id, text, tree
-        for batch in batches:
+        for batch in record_slices(batches):
             rows = []
             for doc, text, r, extra in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "r", "extra")), strict=True):
                 own = Tree(text)

@@ -11,6 +11,7 @@ some thousand pieces a group's loss against one global packing is well under a h
 
 Edge cases: an empty or null text has just its end mark. Rows that share an id are packed as rows
 of their own. A null id is kept. An empty table gives no rows. Ties go to the bin opened first and to the smaller length.
+A very long text is cut into pieces like any other. Other columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import complete_groups, partitions
+from .bpe import tokenizers_cached
+from .common import complete_groups, cut, partitions, slices, vocabulary
 
 
 @dataclass(frozen=True)
 class PackOptions:
-    """lengths: permitted, in units. overhead: cost of a sequence besides its length. group: pieces packed together, about."""
+    """lengths: permitted, in units. overhead: cost of a sequence besides its length. group: pieces packed together, about. refill: share of a new bin's room that later pieces are expected to fill."""
 
     lengths: tuple[int, ...] = (2048, 4096, 8192, 16384)
     overhead: int = 64
@@ -74,7 +76,8 @@ def pack_documents(docs: DataFrame, length: Column, options: PackOptions = PackO
     """
     spark = docs.sparkSession
     most = max(options.lengths)
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(length.cast("long"), F.lit(1)).alias("n"))
+    # Written, so that lengths are counted once; they are read for the number of groups and for packing.
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(length.cast("long"), F.lit(1)).alias("n")), "sizes")
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / most))))
     pieces = pieces.withColumn("start", F.col("piece") * most).withColumn("size", F.least(F.lit(most), F.col("n") - F.col("start")))
     groups = int(pieces.count() // options.group) + 1
@@ -92,6 +95,18 @@ def pack_documents(docs: DataFrame, length: Column, options: PackOptions = PackO
     return dealt.mapInPandas(run, "doc_id long, piece long, start long, size long, bin_id string, offset long, capacity long")
 
 
+def token_length(text: Column, vocabulary_name: str = "byte_bpe_50k.json") -> Column:
+    """Tokens of a text, with an end mark."""
+    path = vocabulary(vocabulary_name)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = tokenizers_cached(path)
+        for texts in slices(batches):
+            yield pd.Series([len(encode(t)) // encode.dtype.itemsize + 1 for t in texts], dtype="int64")
+
+    return F.pandas_udf(run, "long")(text)
+
+
 def byte_length(text: Column) -> Column:
-    """Units of a text in a byte vocabulary, with an end mark."""
+    """Bytes of a text, with an end mark: its tokens in a vocabulary of bytes."""
     return F.coalesce(F.octet_length(text), F.lit(0)) + 1

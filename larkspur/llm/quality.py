@@ -8,7 +8,9 @@ Spark sums the moments: one pass gives each class its count, sums and products,
 reaches the driver. All labelled rows take part.
 
 Edge cases: a null text counts as empty; an empty text has statistics and so a score. With rows of one class only, or
-none, every score is the share of label 1 (0.5 without rows). Repeated rows each count and each give a row.
+none, every score is the share of label 1 (0.5 without rows). Repeated rows each count and each give a row, and a
+document with several labels counts once for each. Labels other than 0 and 1 and null ids take no part in the fit. A
+score has no ties to break. A very long text is one row of one task. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 NAMES = (
     "log_chars", "log_words", "mean_word", "sd_word", "letters", "upper", "digits", "spaces", "symbols", "line_ends",
     "punctuation", "distinct_words", "distinct_lines", "log_mean_line", "capital_words", "marked_words", "entropy", "common_words", "bars", "long_words",
@@ -64,7 +68,7 @@ def features(text: Column) -> Column:
     """array<double> of the statistics of a text column."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in slices(batches):
             yield pd.Series([statistics(t) for t in texts], dtype=object)
 
     return F.pandas_udf(run, "array<double>")(text)

@@ -63,9 +63,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences of 2,048 to 16,384 bytes that hold all documents."""
+    """Sequences of 2,048 to 16,384 tokens that hold all documents."""
     docs = common.read_table(spark, sf_dir, "documents")
-    return packing.pack_documents(docs, packing.byte_length(F.col("text")))
+    return packing.pack_documents(docs, packing.token_length(F.col("text")))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

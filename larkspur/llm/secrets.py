@@ -5,7 +5,9 @@ apart into short ones. A run of key characters with a low ratio is reported, unl
 of a known form or lies on a span that a pattern reported. Camel case and separated words are identifiers only where
 the vocabulary covers the words themselves: only the joints may cost tokens.
 
-Edge cases: a null or empty text has no spans. Offsets are code points, ends exclusive. Repeated rows each give a row.
+Edge cases: a null or empty text has no spans. Offsets are code points, ends exclusive. Repeated rows each give a row;
+an empty table gives none. Spans that begin together are a tie, in the order in which kinds are listed. A very long text
+is one row of one task. Other columns are left out by `scan_secrets` and kept by `redact`.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import vocabulary
+from .common import slices, vocabulary
 
 # The base kinds in their order of listing, and their patterns.
 KINDS = ("assign", "access", "hex", "token")
@@ -117,7 +119,7 @@ def scan_secrets(docs: DataFrame, options: ScanOptions = ScanOptions(), id_col:
 
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(options, path)
-        for texts in batches:
+        for texts in slices(batches):
             rows = []
             for text in texts:
                 base, spans = scanner.spans(text or "")
@@ -149,7 +151,7 @@ def redact(docs: DataFrame, options: ScanOptions = ScanOptions(), mask: str = "<
                 at = max(at, b)
             return "".join([*out, text[at:]]) if out else text
 
-        for texts in batches:
+        for texts in slices(batches):
             yield pd.Series([one(x) for x in texts], dtype=object)
 
     out = docs.withColumn("text", F.pandas_udf(clean, "string")(F.col("text")))

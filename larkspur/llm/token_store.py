@@ -11,8 +11,9 @@ of the key, the shard, the offset and the number of ids. A look-up reads one par
 fingerprint and reads one range of one shard. Keys themselves aren't stored.
 
 Edge cases: a null or empty text is an end id alone. Rows that share an id are numbered in the order written (by a hash
-of the text) and the number is part of the key. A null id is a key of its own and sorts first. An empty table gives no
-shard with rows.
+of the text; equal texts are a tie that changes nothing) and the number is part of the key. A null id is a key of its own
+and sorts first. An empty table gives no shard with rows. A very long text is one row of one task. Other columns of the
+input are left out.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import tokenizers_cached
-from .common import cut, new_path, partitions, vocabulary
+from .common import cut, new_path, partitions, record_slices, vocabulary
 from .words import GOLD, mix
 
 BLOCK = 8 << 20
@@ -201,7 +202,7 @@ def write_store(docs: DataFrame, options: StoreOptions = StoreOptions(), shards:
         encode, last = tokenizers_cached(path), np.array([end], dtype).tobytes()
         shard = TaskContext.get().partitionId()
         file, f, at, before, copy = f"shard-{shard:06d}-{uuid.uuid4().hex}.bin", None, 0, object(), 0
-        for batch in batches:
+        for batch in record_slices(batches):
             ids, copies, offsets, sizes = batch["doc_id"].to_pylist(), [], [], []
             f = f or fs.open_output_stream(f"{folder}/{file}")
             for doc, text in zip(ids, batch["text"].to_pylist(), strict=True):

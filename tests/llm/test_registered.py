@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import zlib
 
@@ -11,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from larkspur.llm import queries, secrets
+from larkspur.llm import common, queries, secrets
 
 from . import brute
 
@@ -92,46 +91,38 @@ def test_op8_held_out_accuracy(got, docs):
     assert (r[r.held_out].lang_pred == r[r.held_out].lang).mean() >= 0.95
 
 
-def test_op9_holds_all_bytes(got, docs):
-    sums = got("op9_best_fit_packing").groupby("doc_id")["size"].sum()
-    assert sums.to_dict() == {i: len(t.encode()) + 1 for i, t in zip(docs.doc_id, docs.text, strict=True)}
-
-
 def test_op10_base_spans(got, docs):
     r = got("op10_secret_scan").set_index("doc_id")
     for i, t in zip(docs.doc_id, docs.text, strict=True):
-        spans = ",".join(f"{k}:{a}:{b}" for k, a, b in secrets.base_spans(t))
-        assert r.base_sha256[i] == hashlib.sha256(spans.encode()).hexdigest()
+        assert r.base_sha256[i] == hashlib.sha256(brute.base_spans(t).encode()).hexdigest()
 
 
 def test_pipeline_equals_brute_force(spark, sf, docs):
+    """Groups, passages and sizes by brute force. test_plain has the language stage and the token spans in plain versions."""
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(common.vocabulary("byte_bpe_50k.json"))
+    encode.encode_special_tokens = True
     r = corpus_pipeline.run(spark, sf).toPandas()
+    scanner = secrets.Scanner(secrets.ScanOptions(), common.vocabulary("byte_bpe_50k.tiktoken"))
     texts = [(i, t) for i, t in zip(docs.doc_id, docs.text, strict=True) if any(c.isalpha() for c in t)]
-    first = brute.components(texts)
+    first = brute.components(texts, 80)
     texts = [(i, t) for i, t in texts if first[i][1] == i]
     kept = brute.kept_words(texts)
-    scanner = secrets.Scanner(secrets.ScanOptions(), secrets.vocabulary("byte_bpe_50k.tiktoken"))
     want = {}
     for i, t in texts:
         w, gone = kept[i]
         t = b" ".join(x for j, x in enumerate(w) if j not in gone).decode() if gone else t
-        for _, a, b in reversed(scanner.spans(t)[1]):
-            # Spans that lie on each other are masked together.
-            t = t[:a] + "\0" * (b - a) + t[b:]
-        n, masked = 0, False
-        for c in t:
-            n += 0 if c == "\0" and masked else len("<secret>") if c == "\0" else len(c.encode())
-            masked = c == "\0"
-        want[i] = n + 1
+        spans = [tuple(map(int, x.split(":")[1:])) for x in brute.base_spans(t).split(",") if x]
+        spans += [(a, b) for k, a, b in scanner.spans(t)[1] if k == "token"]
+        # Spans that lie on each other are masked together.
+        hidden = {j for a, b in spans for j in range(a, b)}
+        starts = {j for j in hidden if j - 1 not in hidden} | {a for a, _ in spans if not any(x < a < y for x, y in spans)}
+        masked = "".join("<secret>" if j in starts else "" if j in hidden else c for j, c in enumerate(t))
+        want[i] = len(encode.encode(masked, add_special_tokens=False).ids) + 1
     assert r.groupby("doc_id")["size"].sum().to_dict() == want
 
 
-def test_pipeline_equals_brute_force_at_80(spark, sf, docs, monkeypatch):
-    """The stage links at 0.80; the test above has op4's 0.85."""
-    monkeypatch.setattr(brute, "components", functools.partial(brute.components, percent=80))
-    test_pipeline_equals_brute_force(spark, sf, docs)
-
-
 def test_stages_return_columns_of_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
