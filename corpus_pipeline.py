@@ -1,7 +1,7 @@
 """A training corpus from documents: each stage takes what the one before kept.
 
 Stages: language identification (documents without a language go), near-duplicates (one of each group stays), repeated
-passages (their later copies go), secrets (masked), packing (sequences of bytes with an end mark). All but the last
+passages (their later copies go), secrets (masked), packing (sequences of tokens, each document with an end mark). All but the last
 return the columns of documents.
 """
 
@@ -40,7 +40,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the training sequences."""
-    return packing.pack_documents(docs, packing.byte_length(F.col("text")))
+    return packing.pack_documents(docs, packing.token_length(F.col("text")))
 
 
 STAGES = [
