@@ -81,7 +81,8 @@ def slices(batches: Iterator[pd.Series], chars: int = 1 << 21) -> Iterator[pd.Se
         size = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
         edges = np.flatnonzero(np.diff(np.cumsum(size) // chars)) + 1
         for a, z in zip([0, *edges.tolist()], [*edges.tolist(), len(texts)], strict=True):
-            yield texts.iloc[a:z]
+            if a < z:
+                yield texts.iloc[a:z]
 
 
 def record_slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -150,6 +151,23 @@ def split_by(df: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, Dat
     return out.where(may).drop(word, bits), out.where(~may).drop(word, bits)
 
 
+# Keys that have this many rows and more than 1 / MOST_HOT of all rows are hot, so there are at most MOST_HOT of them.
+HOT_ROWS, MOST_HOT = 10_000, 100_000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], total: int, count: str = "c") -> DataFrame:
+    """`rows` joined with `keyed`, which has one row for each key and the number of its rows; `total`: of all rows.
+
+    Rows of hot keys are not shuffled: the hot part of `keyed` is broadcast, and its size is bounded by what hot means.
+    """
+    bound = max(HOT_ROWS, total // MOST_HOT)
+    hot = keyed.where(F.col(count) > bound)
+    if hot.isEmpty():
+        return rows.join(keyed, on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(F.col(count) <= bound), on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def _are_stars(pairs: DataFrame) -> bool:
     """Whether each node has one smaller neighbour at most, which has none: each component is a star around its least."""
     n = pairs.agg(F.count("*").alias("n"), F.countDistinct("a").alias("d")).first()

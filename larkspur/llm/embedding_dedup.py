@@ -79,20 +79,27 @@ def partners(sample: np.ndarray, threshold: float) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+# Vectors that a fit has at least; random directions make up for missing ones.
+LEAST_SAMPLE = 512
+
+
 def learn(sample: np.ndarray, labelled: int, options: VectorOptions) -> Index:
     """Fit rotations on unit vectors. labelled: vectors of the largest label, which sets the bits of a key."""
     dim = sample.shape[1]
+    if len(sample) < LEAST_SAMPLE:
+        more = np.random.default_rng(11).standard_normal((LEAST_SAMPLE - len(sample), dim))
+        sample = np.concatenate([sample, more / np.linalg.norm(more, axis=1, keepdims=True)])
     bits = int(np.clip(round(math.log2(max(2.0, labelled / options.bucket))), min(4, dim), min(dim, options.most_bits)))
     mean = sample.mean(axis=0)
     x, y = sample - mean, partners(sample, options.threshold) - mean
     principal = np.linalg.eigh(x.T @ x + 1e-9 * np.eye(dim))[1][:, ::-1]
-    axes, met, apart = [], [], np.zeros(len(sample), np.int64)
+    v = x @ principal
+    axes, tables, apart, rounds = [], 0, np.zeros(len(sample), np.int64), options.rounds
     missed = np.ones(len(sample), bool)
     while missed.mean() > 1 - options.recall:
-        k = len(axes)
+        k, before = len(axes), int(missed.sum())
         turn = np.linalg.qr(np.random.default_rng(k).standard_normal((dim, dim)))[0]
-        v = x @ principal
-        for _ in range(options.rounds):
+        for _ in range(rounds):
             left, _, right = np.linalg.svd(np.where(v @ turn > 0, 1.0, -1.0).T @ v)
             turn = (left @ right).T
         # Substrings get bits at random, so none holds only the weak axes.
@@ -103,8 +110,10 @@ def learn(sample: np.ndarray, labelled: int, options: VectorOptions) -> Index:
                 break
             missed &= a[:, t] != b[:, t]
             apart += np.bitwise_count(a[:, t] ^ b[:, t])
-            met.append(t)
-    return Index(mean, axes, bits, len(met), math.ceil((1 + options.margin) * int(apart.max(initial=0))) + 1)
+            tables += 1
+        # In few dimensions fits end at the same rotation again and again; a random one is taken after one that brought nothing new.
+        rounds = 0 if missed.sum() > 0.98 * before else options.rounds
+    return Index(mean, axes, bits, tables, math.ceil((1 + options.margin) * int(apart.max(initial=0))) + 1)
 
 
 def units(rows: DataFrame) -> DataFrame:
@@ -225,9 +234,7 @@ def _indexes(usable: DataFrame, options: VectorOptions) -> dict[int, Index]:
     drawn: dict[int, list[np.ndarray]] = {r["dim"]: [] for r in sizes}
     for r in usable.where(F.xxhash64("id").cast("double") <= F.element_at(bound, F.col("dim"))).select("dim", "unit").limit(2 * options.sample * len(sizes)).collect():
         drawn[r["dim"]].append(np.frombuffer(r["unit"], np.float64))
-    # Without a sampled vector any directions do.
-    some = lambda d: np.linalg.qr(np.random.default_rng(d).standard_normal((d, d)))[0]
-    return {r["dim"]: learn(np.stack(drawn[r["dim"]]) if drawn[r["dim"]] else some(r["dim"]), r["most"], options) for r in sizes}
+    return {r["dim"]: learn(np.array(drawn[r["dim"]]).reshape(-1, r["dim"]), r["most"], options) for r in sizes}
 
 
 def _linked(own: DataFrame, options: VectorOptions, scratch: Scratch) -> DataFrame:

@@ -230,7 +230,8 @@ def train(labelled: DataFrame, options: FitOptions = FitOptions(), id_col: str =
         tally: dict[tuple[str, str], int] = {}
 
         def rows() -> pd.DataFrame:
-            return pd.DataFrame({"lang": [k[0] for k in tally], "word": [k[1].encode() for k in tally], "n": list(tally.values())})
+            lang, word = (pd.Series(x, dtype=object) for x in ([k[0] for k in tally], [k[1].encode() for k in tally]))
+            return pd.DataFrame({"lang": lang, "word": word, "n": pd.Series(list(tally.values()), dtype="int64")})
 
         for pdf in batches:
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):

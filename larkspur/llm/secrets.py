@@ -88,8 +88,8 @@ class Scanner:
         return sum(map(len, parts)) <= self.options.max_ratio * sum(len(self.encoding.encode_ordinary(p)) for p in parts)
 
     def identifier(self, s: str) -> bool:
-        """Camel case or words joined by separators, of parts that the vocabulary covers well."""
-        return any(p.fullmatch(s) for p in PARTED) and not self.badly_compressed(PART.findall(s))
+        """Camel case or words joined by separators, of parts that the vocabulary covers well; capitals alone count as small letters."""
+        return any(p.fullmatch(s) for p in PARTED) and not self.badly_compressed([p.lower() if p.isupper() else p for p in PART.findall(s)])
 
     def spans(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         """(base spans, base spans and those of the token ratio)."""

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, fresh, slices, split_by
+from .common import Scratch, cut, fresh, join_counted, slices, split_by
 from .fm_index import FMIndex
 from .words import BACK, GOLD, hash_texts, mix, powers, rolling, split_words
 
@@ -108,10 +108,10 @@ FOUND = "anchor long, seg long, id long, at long, a long, b long"
 
 
 def repeats_in_shard(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
-    """What one shard reports of its segments (anchor, seg, id, at, copied, words).
+    """What one shard reports of its segments (anchor, seg, id, at, copies, words).
 
     Runs of windows that begin earlier in another segment: id and first and last window, a and b. Segments whose later
-    copies repeat them: anchor, seg, id and at.
+    copies repeat them: anchor, seg, id, at, and b for the number of copies.
     """
     # Rows that share id and text are one.
     pdf = pdf.drop_duplicates(["id", "at", "seg"]).sort_values(["id", "at"], kind="stable", ignore_index=True)
@@ -122,63 +122,71 @@ def repeats_in_shard(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
     inside = np.ones(len(symbols), bool)
     inside[begin + size] = False
     symbols[inside] = np.unique(np.concatenate(units), return_inverse=True)[1] + 1
-    windows = size - window + 1
+    index = FMIndex(symbols)
+    # Later copies are streamed: they repeat the first if their match reaches from end to end.
+    copied = np.flatnonzero(pdf["copies"].to_numpy() > 1)
+    whole = copied[index.matching(symbols, (begin + size)[copied], int(size.max(initial=0)), np.zeros(len(copied), bool))[0] == size[copied]]
+    named = pdf.loc[whole, ["anchor", "seg", "id", "at", "copies"]].assign(a=-1).rename(columns={"copies": "b"})
+    # Every segment is streamed against the others. Equal windows have one anchor, so a segment alone with its anchor meets none.
+    windows = np.where(pdf.duplicated("anchor", keep=False), size - window + 1, 0)
     unit = np.repeat(np.arange(len(units)), windows)
     offset = np.arange(len(unit)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = begin[unit] + offset
-    copied = pdf["copied"].to_numpy()
-    index = FMIndex(symbols)
-    length, low, high = index.matching(symbols, at + window, window, ~copied[unit])
-    met = length == window
-    first = at.copy()
-    first[met] = index.earliest(low[met], high[met])
-    start = pdf["at"].to_numpy() // PACK
-    again = first < at
-    u, w = unit[again], (start[unit] + offset)[again]
+    length, low, high = index.matching(symbols, at + window, window, np.ones(len(at), bool))
+    met = np.flatnonzero(length == window)
+    met = met[index.earliest(low[met], high[met]) < at[met]]
+    u, w = unit[met], (pdf["at"].to_numpy() // PACK)[unit[met]] + offset[met]
     new = np.ones(len(u), bool)
     new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1] + 1)
-    head, tail = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(u)) - 1
-    runs = pd.DataFrame({"anchor": 0, "seg": 0, "id": pdf["id"].to_numpy()[u[head]] if len(u) else [], "at": -1, "a": w[head] if len(u) else [], "b": w[tail] if len(u) else []})
-    whole = copied & (np.bincount(unit, weights=met, minlength=len(units)) == windows)
-    return pd.concat([runs, pdf.loc[whole, ["anchor", "seg", "id", "at"]].assign(a=-1, b=-1)], ignore_index=True)
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(u))[: len(head)] - 1
+    runs = pd.DataFrame({"id": pdf["id"].to_numpy()[u[head]], "a": w[head], "b": w[tail]}).assign(anchor=0, seg=0, at=-1)
+    return pd.concat([runs, named], ignore_index=True)[["anchor", "seg", "id", "at", "a", "b"]]
 
 
 def _reported(texts: DataFrame, asked: DataFrame, options: RepeatOptions, scratch: Scratch) -> DataFrame:
-    """What the shards report (FOUND) of the segments in `asked` (id, deal, anchor, seg, at, copied) of `texts` (id, text).
+    """What the shards report (FOUND) of the segments in `asked` (id, deal, anchor, seg, at, copies) of `texts` (id, text).
 
     seg is the hash of the segment's words.
     """
     window = options.window
-    asked = cut(asked.groupBy("id").agg(F.collect_list(F.struct("deal", "anchor", "seg", "at", "copied")).alias("asked")), "asked", scratch)
+    asked = cut(asked.groupBy("id").agg(F.collect_list(F.struct("deal", "anchor", "seg", "at", "copies")).alias("asked")), "asked", scratch)
     shards = int((asked.agg(F.sum(F.size("asked"))).first()[0] or 0) // options.shard) + 1
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part in slices(iter([pdf["text"]])):
-                h, begin = hash_texts(part)
-                short = (h >> np.uint64(32)).astype(np.uint32)
-                asks = [(k, doc, s) for k, (doc, many) in enumerate(zip(pdf.loc[part.index, "id"], pdf.loc[part.index, "asked"], strict=True)) for s in many]
-                at = np.fromiter((s["at"] for _, _, s in asks), np.int64, len(asks))
-                row = np.fromiter((k for k, _, _ in asks), np.int64, len(asks))
-                first = begin[row] + at // PACK
-                end = first + at % PACK + window - 1
-                # Another text with the same id may be shorter or have other words there.
-                fits = end <= begin[row + 1]
-                fits[fits] = hash_runs(h, first[fits], end[fits]).view(np.int64) == np.fromiter((s["seg"] for _, _, s in asks), np.int64, len(asks))[fits]
-                out = [(s["deal"] % shards, s["anchor"], s["seg"], doc, s["at"], s["copied"], short[a:z].tobytes()) for (_, doc, s), a, z, ok in zip(asks, first.tolist(), end.tolist(), fits.tolist(), strict=True) if ok]
-                yield pd.DataFrame(out, columns=["shard", "anchor", "seg", "id", "at", "copied", "words"])
+        for part, h, begin, row, asks in _asked_of(batches):
+            at = np.fromiter((s["at"] for s in asks), np.int64, len(asks))
+            first = begin[row] + at // PACK
+            end = first + at % PACK + window - 1
+            # Another text with the same id may be shorter or have other words there.
+            fits = end <= begin[row + 1]
+            fits[fits] = hash_runs(h, first[fits], end[fits]).view(np.int64) == np.fromiter((s["seg"] for s in asks), np.int64, len(asks))[fits]
+            short = (h >> np.uint64(32)).astype(np.uint32)
+            ids = part["id"].to_numpy()[row].tolist()
+            out = [(s["deal"] % shards, s["anchor"], s["seg"], doc, s["at"], s["copies"], short[a:z].tobytes()) for s, doc, a, z, ok in zip(asks, ids, first.tolist(), end.tolist(), fits.tolist(), strict=True) if ok]
+            yield pd.DataFrame(out, columns=["shard", "anchor", "seg", "id", "at", "copies", "words"])
 
     both = split_by(texts, asked, "id")[0].join(asked, "id").select("id", "text", "asked")
-    units = both.mapInPandas(fetch, "shard long, anchor long, seg long, id long, at long, copied boolean, words binary")
-    found = units.groupBy("shard").applyInPandas(lambda pdf: repeats_in_shard(pdf[["anchor", "seg", "id", "at", "copied", "words"]], window), FOUND)
+    units = both.mapInPandas(fetch, "shard long, anchor long, seg long, id long, at long, copies long, words binary")
+    found = units.groupBy("shard").applyInPandas(lambda pdf: repeats_in_shard(pdf[["anchor", "seg", "id", "at", "copies", "words"]], window), FOUND)
     return cut(found, "found", scratch)
 
 
-def _spans(found: DataFrame, rows: DataFrame) -> DataFrame:
+def _asked_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """(rows, hashes of their words, where each text begins, row of each thing asked, things asked) of frames (id, text, asked)."""
+    for pdf in batches:
+        for texts in slices(iter([pdf["text"]])):
+            part = pdf.loc[texts.index]
+            h, begin = hash_texts(texts)
+            many = [len(x) for x in part["asked"]]
+            yield part, h, begin, np.repeat(np.arange(len(part)), many), [x for xs in part["asked"] for x in xs]
+
+
+def _spans(found: DataFrame, rows: DataFrame, total: int) -> DataFrame:
     """(id, a, b): the runs that shards found, and all windows of the later copies, in `rows`, of segments that they found repeated."""
     runs = found.where("a >= 0").select("id", "a", "b")
-    named = found.where("a < 0").select("anchor", "seg", F.struct("id", "at").alias("first"))
-    later = rows.join(named, ["anchor", "seg"]).where((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")))
+    named = found.where("a < 0").select("anchor", "seg", F.struct("id", "at").alias("first"), F.col("b").alias("c"))
+    later = join_counted(rows, named, ["anchor", "seg"], total).where((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")))
     start = F.floor(F.col("at") / PACK)
     return runs.union(later.select("id", start.alias("a"), (start + F.col("at") % PACK - 1).alias("b")))
 
@@ -186,36 +194,36 @@ def _spans(found: DataFrame, rows: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, options: RepeatOptions, scratch: Scratch) -> DataFrame:
     """(id, a, b): runs of repeated windows, by their first and last start, of docs (id, text)."""
     every = cut(segment_rows(docs, options), "segments", scratch)
-    shared = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    rows = cut(every.join(shared, "anchor"), "shared", scratch)
+    total = every.count()
+    shared = cut(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "anchors", scratch)
+    rows = cut(join_counted(every, shared, ["anchor"], total).drop("c"), "shared", scratch)
     distinct = cut(rows.groupBy("anchor", "seg").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c")), "distinct", scratch)
     hot = cut(distinct.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > options.hot).select("anchor"), "hot", scratch)
 
     one = distinct.join(hot.withColumn("hot", F.lit(True)), "anchor", "left")
     # Of a hot anchor's segments only those with copies are asked, to confirm the copies; they need not meet each other.
     deal = F.when(F.col("hot"), F.col("seg")).otherwise(F.col("anchor"))
-    asked = one.where("hot is null or c > 1").select("first.id", deal.alias("deal"), "anchor", "seg", "first.at", (F.col("c") > 1).alias("copied"))
-    spans = _spans(_reported(docs, asked, options, scratch), rows)
+    asked = one.where("hot is null or c > 1").select("first.id", deal.alias("deal"), "anchor", "seg", "first.at", F.col("c").alias("copies"))
+    spans = _spans(_reported(docs, asked, options, scratch), rows, total)
     if not hot.isEmpty():
         window = options.window
 
         def windows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for part in slices(iter([pdf["text"]])):
-                    h, begin = hash_texts(part)
-                    out = []
-                    for k, (doc, many) in enumerate(zip(pdf.loc[part.index, "id"], pdf.loc[part.index, "asked"], strict=True)):
-                        for start, n in (divmod(at, PACK) for at in many):
-                            first = begin[k] + np.arange(start, min(start + n, begin[k + 1] - begin[k] - window + 1))
-                            out += [(v, doc, at) for v, at in zip(hash_runs(h, first, first + window).view(np.int64).tolist(), ((first - begin[k]) * PACK + 1).tolist(), strict=True)]
-                    yield pd.DataFrame(out, columns=["seg", "id", "at"])
+            for part, h, begin, row, asks in _asked_of(batches):
+                start, n = np.divmod(np.array(asks, np.int64), PACK)
+                # A shorter text with the same id may end before.
+                n = np.maximum(np.minimum(n, np.diff(begin)[row] - window + 1 - start), 0)
+                place = np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                row = np.repeat(row, n)
+                first = begin[row] + place
+                yield pd.DataFrame({"seg": hash_runs(h, first, first + window).view(np.int64), "id": part["id"].to_numpy()[row], "at": place * PACK + 1})
 
         wanted = cut(distinct.join(hot, "anchor").groupBy("first.id").agg(F.collect_list("first.at").alias("asked")), "hot", scratch)
         texts = split_by(docs, wanted, "id")[0].join(wanted, "id").select("id", "text", "asked")
         windows = cut(texts.mapInPandas(windows_of, "seg long, id long, at long").select(F.col("seg").alias("anchor"), "seg", "id", "at"), "windows", scratch)
         twice = windows.groupBy("anchor", "seg").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c")).where("c > 1")
-        asked = twice.select("first.id", F.col("anchor").alias("deal"), "anchor", "seg", "first.at", F.lit(True).alias("copied"))
-        spans = spans.union(_spans(_reported(docs, asked, options, scratch), windows))
+        asked = twice.select("first.id", F.col("anchor").alias("deal"), "anchor", "seg", "first.at", F.col("c").alias("copies"))
+        spans = spans.union(_spans(_reported(docs, asked, options, scratch), windows, windows.count()))
     return spans
 
 

