@@ -137,9 +137,10 @@ BUCKET = ["dim", "label", "t", "key"]
 
 
 def _in_buckets(rows: DataFrame, options: VectorOptions, judge, schema: str) -> DataFrame:
-    """`judge(pdf, first)` for each bucket (or pair of its blocks) of `rows` (BUCKET, cnt, id, keys, ...).
+    """`judge(pdf, group, own)` over frames of whole buckets (or pairs of their blocks) of `rows` (BUCKET, cnt, id, keys, ...).
 
-    first: of vectors i and j, whether the bucket is the first that they share and the pair belongs here.
+    A frame has one dimension. group: number of each row's bucket. own: of row numbers i and j, whether the pair belongs
+    to this pair of blocks.
     """
     split = F.ceil(F.col("cnt") / options.block).cast("int")
     dealt = rows.withColumn("mine", F.pmod(F.xxhash64("id"), split).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), split - 1)))
@@ -147,50 +148,37 @@ def _in_buckets(rows: DataFrame, options: VectorOptions, judge, schema: str) ->
     names = [*BUCKET, "b1", "b2"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in complete_groups(batches, names, 4096):
-            edge = np.ones(len(pdf), bool)
-            edge[1:] = False
-            for k in names:
-                v = pdf[k].to_numpy()
-                edge[1:] |= v[1:] != v[:-1]
-            cuts = np.append(np.flatnonzero(edge), len(pdf))
-            found = []
-            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if z - a < 2:
-                    continue
-                part = pdf.iloc[a:z]
-                own = np.ones((z - a, z - a), bool)
-                np.fill_diagonal(own, False)
-                if part["b1"].iloc[0] != part["b2"].iloc[0]:
-                    mine = part["mine"].to_numpy()
-                    own &= mine[:, None] != mine[None]
-                got = judge(part, own)
+        for many in complete_groups(batches, names, 4096):
+            for _, pdf in many.groupby("dim", sort=False):
+                edge = np.zeros(len(pdf), bool)
+                for k in names:
+                    v = pdf[k].to_numpy()
+                    edge[1:] |= v[1:] != v[:-1]
+                one, mine = (pdf["b1"] == pdf["b2"]).to_numpy(), pdf["mine"].to_numpy()
+                got = judge(pdf, np.cumsum(edge), lambda i, j, one=one, mine=mine: one[i] | (mine[i] != mine[j]))
                 if got is not None:
-                    found.append(got)
-            if found:
-                yield pd.concat(found, ignore_index=True)
+                    yield got
 
     return dealt.repartition(partitions(rows.sparkSession), *names).sortWithinPartitions(*names, "id").mapInPandas(run, schema)
 
 
-def _first(keys: np.ndarray, t: int, pairs: np.ndarray) -> np.ndarray:
-    """The pairs that share none of the first t tables."""
-    for k in range(t):
-        if not pairs.any():
-            break
-        pairs = pairs & (keys[:, k, None] != keys[None, :, k])
-    return pairs
-
-
 def retrieved(rows: DataFrame, indexes: dict[int, Index], options: VectorOptions) -> DataFrame:
     """(BUCKET, id) of vectors that have a partner within reach, in the first bucket that they share; by codes alone."""
-
-    def judge(part: pd.DataFrame, own: np.ndarray) -> pd.DataFrame | None:
-        index, keys = indexes[int(part["dim"].iloc[0])], np.stack(part["keys"].to_list())
-        bit = (keys[:, :, None] >> np.arange(index.bits, dtype=keys.dtype) & 1).reshape(len(keys), -1).astype(np.float32) - 0.5
-        near = own & (0.5 * bit.shape[1] - 2 * (bit @ bit.T) <= index.reach)
-        some = _first(keys, int(part["t"].iloc[0]), near).any(axis=1)
-        return part.loc[some, [*BUCKET, "id"]] if some.any() else None
+    reach = {dim: index.reach for dim, index in indexes.items()}
+
+    def judge(pdf: pd.DataFrame, group: np.ndarray, own) -> pd.DataFrame | None:
+        keys, t, far = np.stack(pdf["keys"].to_list()), pdf["t"].to_numpy(), reach[int(pdf["dim"].iloc[0])]
+        some = np.zeros(len(pdf), bool)
+        for d in range(1, len(pdf)):
+            i = np.flatnonzero(group[:-d] == group[d:])
+            if not len(i):
+                break
+            i = i[own(i, i + d)]
+            apart = keys[i] ^ keys[i + d]
+            # In table t their keys agree; in no table before it do they.
+            i = i[((apart == 0).argmax(axis=1) == t[i]) & (np.bitwise_count(apart).sum(axis=1, dtype=np.int64) <= far)]
+            some[i] = some[i + d] = True
+        return pdf.loc[some, [*BUCKET, "id"]] if some.any() else None
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return _in_buckets(rows, options, judge, ", ".join(f"`{c}` {kinds[c]}" for c in [*BUCKET, "id"]))
@@ -200,20 +188,34 @@ def links_in_buckets(rows: DataFrame, options: VectorOptions) -> DataFrame:
     """(id, links, low) of `rows` (BUCKET, cnt, id, times, unit, keys), one for each bucket in which id links."""
     threshold = options.threshold
 
-    def judge(part: pd.DataFrame, own: np.ndarray) -> pd.DataFrame | None:
-        unit = np.frombuffer(b"".join(part["unit"]), np.float64).reshape(len(part), -1)
-        near = own & (unit @ unit.T >= threshold)
-        some = near.any(axis=1)
-        if not some.any():
-            return None
-        links = _first(np.stack(part["keys"].to_list()), int(part["t"].iloc[0]), near) @ part["times"].to_numpy()
-        ids = part["id"].to_numpy()
-        low = ids
-        while True:
-            was = low
-            low = np.minimum(was, np.where(near, was[None, :], was[:, None]).min(axis=1))
-            if (low == was).all():
-                return pd.DataFrame({"id": ids[some], "links": links[some], "low": low[some]})
+    def judge(pdf: pd.DataFrame, group: np.ndarray, own) -> pd.DataFrame | None:
+        unit = np.frombuffer(b"".join(pdf["unit"]), np.float64).reshape(len(pdf), -1)
+        keys, ids, times, t = np.stack(pdf["keys"].to_list()), *(pdf[c].to_numpy() for c in ("id", "times", "t"))
+        cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(pdf))
+        found = []
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if z - a < 2:
+                continue
+            at = np.arange(a, z)
+            near = (unit[a:z] @ unit[a:z].T >= threshold) & own(at[:, None], at[None])
+            np.fill_diagonal(near, False)
+            some = near.any(axis=1)
+            if not some.any():
+                continue
+            # A pair counts in the first table that it shares.
+            first = near.copy()
+            for k in range(int(t[a])):
+                if not first.any():
+                    break
+                first &= keys[a:z, k, None] != keys[None, a:z, k]
+            links, low = first @ times[a:z], ids[a:z]
+            while True:
+                was = low
+                low = np.minimum(was, np.where(near, was[None, :], was[:, None]).min(axis=1))
+                if (low == was).all():
+                    break
+            found.append((ids[a:z][some], links[some], low[some]))
+        return pd.DataFrame({c: np.concatenate([x[k] for x in found]) for k, c in enumerate(("id", "links", "low"))}) if found else None
 
     return _in_buckets(rows, options, judge, "id long, links long, low long")
 
