@@ -14,7 +14,26 @@ IMPORTS = r"""(?m)^\s*(?:import\b|from\s+['"]|\w+\s+"[^"]+"\s*$)"""
 EXPORTS = r"(?m)^\s*export\s+"
 STRINGS = r"""`(?:[^`\\]|\\.)*`|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'"""
 # Kinds of code lines whose census is a text's shape.
-SHAPE = {"def": r"^\s*(def|func|function)\b", "class": r"^\s*(class|type|struct)\b", "branch": r"^\s*(if|elif|else|switch|case)\b", "loop": r"^\s*(for|while)\b", "except": r"^\s*(try|except|catch|finally)\b", "return": r"^\s*return\b"}
+SHAPE = {
+    "def": r"^\s*(?:async\s+)?def\s|^\s*func\s",
+    "class": r"^\s*(?:class|type)\s",
+    "branch": r"^\s*(?:if|elif|else|switch|case)\b",
+    "loop": r"^\s*(?:for|while)\b",
+    "except": r"^\s*(?:try|except|catch|finally|rescue)\b",
+    "return": r"^\s*(?:return|yield)\b",
+}
+# Roots of the standard library's import paths, and names too general to tell whose a module is.
+STANDARD = "archive bufio builtin bytes cmp compress container context crypto database debug embed encoding errors expvar flag fmt go hash html image index io iter log maps math mime net os path plugin reflect regexp runtime slices sort strconv strings structs sync syscall testing text time unicode unsafe weak".split()
+GENERAL = "app api src lib pkg internal cmd main core common util utils shared server client service handler model store data test tests build dist vendor project backend frontend web http json".split()
+IMPORT_LINE = r'(?m)^\s*(?:_\s+|\.\s+|[A-Za-z_]\w*\s+)?"([^"]+)"\s*$'
+# What the profile of a text counts besides the counters, and the words of its template.
+HANDLERS = {"go": r"func\s*\([^)]*\)\s*\w+\s*\(\s*\w+\s+http\.ResponseWriter\s*,", "ts": r"(?m)^\s*export\s+function\s+[A-Z]\w*\s*\("}
+GO_BLOCK, GO_SINGLE, GO_LINE = r"(?ms)^import\s*\(([^)]*)\)", r'(?m)^import\s+(?:\w+\s+)?["`]', r'(?m)^\s*(?:[\w.]+\s+)?["`][^"`]+["`]\s*$'
+GO_EXPORTED = r"(?m)^(?:func\s+(?:\([^)]*\)\s*)?([A-Z]\w*)|type\s+([A-Z]\w*)|(?:var|const)\s+([A-Z]\w*))"
+TEMPLATE = "structural profile language lines bytes functions handlers components structs classes interfaces types imports exports string literals max brace depth go ts tsx".split()
+
+
+COUNTER_NAMES = ("lines", "bytes", "funcs", "structs", "interfaces", "imports", "exports", "string_literals", "max_brace_depth")
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -40,14 +59,85 @@ def brace_depth(text: Column) -> Column:
 
 
 def counters(text: Column, family: str) -> list[Column]:
-    """The nine structural counters."""
+    """The nine structural counters. Strings are matched possessively, so long ones take no stack."""
     own = [matches(text, p).alias(name) for name, p in COUNTERS[family].items()]
-    return [line_count(text).alias("lines"), F.octet_length(text).cast("long").alias("bytes"), *own, matches(text, IMPORTS).alias("imports"), matches(text, EXPORTS).alias("exports"), matches(text, STRINGS).alias("string_literals"), brace_depth(text).alias("max_brace_depth")]
+    # In the order of COUNTER_NAMES.
+    return [line_count(text).alias("lines"), F.octet_length(text).cast("long").alias("bytes"), *own, matches(text, IMPORTS).alias("imports"), matches(text, EXPORTS).alias("exports"), matches(text, STRINGS.replace(")*", ")*+")).alias("string_literals"), brace_depth(text).alias("max_brace_depth")]
+
+
+def code_lines(text: Column) -> Column:
+    """Stripped lines of a C-like text without blank lines and comments.
+
+    A comment that opens a line goes with its lines, the one that it ends on included. What follows `//` goes too, but not
+    on a line with a quote or a backtick, as it may lie in a string.
+    """
+    bare = F.regexp_replace(text, r"(?m)^[ \t]*/\*(?:(?!\*/)[^\n])*+(?:\n(?:(?!\*/)[^\n])*+)*+(?:\*/[^\n]*)?", "")
+    lines = F.transform(F.split(bare, r"\r\n|[\n\r]"), lambda x: F.trim(x))
+    kept = F.filter(lines, lambda x: ~x.rlike(r"^(//|\*|/\*)"))
+    cut = F.transform(kept, lambda x: F.when(x.rlike('["`]'), x).otherwise(F.rtrim(F.split_part(x, F.lit("//"), F.lit(1)))))
+    return F.filter(cut, lambda x: x != "")
+
+
+def _lines_like(lines: Column, pattern: str) -> Column:
+    return F.size(F.filter(lines, lambda x: x.rlike(pattern))).cast("long")
+
+
+def shape(lines: Column) -> list[Column]:
+    """How many code lines (an array) are of each kind."""
+    return [_lines_like(lines, p).alias(name) for name, p in SHAPE.items()]
+
+
+def shape_fidelity(before: Column, after: Column) -> Column:
+    """1 less the share of differences in the counts by kind of two arrays of code lines; 1 without any."""
+    pairs = [(_lines_like(before, p), _lines_like(after, p)) for p in SHAPE.values()]
+    total = sum((b for b, _ in pairs), F.lit(0))
+    return F.when(total == 0, 1.0).otherwise(1 - sum((F.abs(b - a) for b, a in pairs), F.lit(0)) / total)
+
+
+def own_modules(text: Column) -> Column:
+    """Sorted names of the modules that a Go text imports from itself.
+
+    A first segment that belongs to the standard library, is general or short tells nothing. Of a path with a host only
+    the one or two segments before `internal` count, which only its own module may import.
+    """
+    tells = lambda s: ~s.contains(".") & (F.length(s) >= 4) & ~F.lower(s).isin(*GENERAL)
+
+    def names(path: Column) -> Column:
+        segments = F.split(path, "/")
+        first = segments[0]
+        inner = F.array_position(F.slice(segments, F.lit(2), F.size(segments)), "internal").cast("int")
+        hosted = F.when(inner > 0, F.filter(F.slice(segments, F.lit(2), F.least(F.lit(2), inner - 1)), tells))
+        plain = F.when(tells(first), F.array(first))
+        return F.coalesce(F.when(first.isin(*STANDARD), None).when(first.contains("."), hosted).otherwise(plain), F.array().cast("array<string>"))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(IMPORT_LINE), F.lit(1)), names))))
+
+
+def profile(text: Column, language: str) -> Column:
+    """The profile of a text as a template of words and numbers; language: go, ts or tsx."""
+    go = language == "go"
+    family = "go" if go else "ts"
+    counted = dict(zip(COUNTER_NAMES, counters(text, family), strict=True))
+    blocks = F.regexp_extract_all(text, F.lit(GO_BLOCK), F.lit(1))
+    imports = F.aggregate(blocks, F.lit(0).cast("long"), lambda a, b: a + matches(b, GO_LINE)) + matches(text, GO_SINGLE) if go else counted["imports"]
+    exports = matches(text, GO_EXPORTED) if go else counted["exports"]
+    rows = [
+        ("language", F.lit(language)), ("lines", counted["lines"]), ("bytes", counted["bytes"]), ("functions", counted["funcs"]), ("handlers" if go else "components", matches(text, HANDLERS[family])),
+        ("structs" if go else "classes", counted["structs"]), ("interfaces" if go else "types", counted["interfaces"]), ("imports", imports), ("exports", exports), ("string literals", counted["string_literals"]), ("max brace depth", counted["max_brace_depth"]),
+    ]
+    return F.concat(F.lit("STRUCTURAL PROFILE\n"), *[F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\n")) for name, value in rows])
+
+
+def foreign_words(stub: Column) -> Column:
+    """Words of a profile that its template hasn't got: none, or it tells something of its source."""
+    words = F.regexp_extract_all(stub, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
+    return F.array_distinct(F.filter(words, lambda w: ~F.lower(w).isin(*TEMPLATE)))
 
 
-def shape(text: Column) -> list[Column]:
-    """Lines of each kind."""
-    return [matches(text, "(?m)" + p).alias(name) for name, p in SHAPE.items()]
+def fenced(text: Column) -> Column:
+    """The body of the one fenced block of a reply that begins after three lines of prose at most; the reply itself without one."""
+    body = F.regexp_extract(text, r"(?s)\A(?:[^\n`]*\n){0,3}```[\w+-]*\n(.*?)\n?```\s*(?:[^`]*)\z", 1)
+    return F.when(F.regexp_count(text, F.lit("```")) == 2, F.when(body != "", body).otherwise(text)).otherwise(text)
 
 
 def target(text: Column, n: int = 9) -> Column:

@@ -56,6 +56,50 @@ def pseudonym(key: bytes, word: str) -> str:
     raise ValueError("no pseudonym found")
 
 
+def pseudonymise_one(text: str | None, key: bytes, level: int, cache: dict[str, str]) -> tuple:
+    """(output, replaced, skipped, distinct, collisions, map back) of one text; cache: pseudonyms met before."""
+    counts, back, used = [0, 0], {}, {}
+
+    def replace(m: re.Match) -> str:
+        w = m["word"]
+        if w is None:
+            return m[0]
+        if spared(level, w):
+            counts[1] += 1
+            return w
+        counts[0] += 1
+        p = cache.get(w) or cache.setdefault(w, pseudonym(key, w))
+        used[w] = p
+        back.setdefault(p, w)
+        return p
+
+    out = None if text is None else TOKEN.sub(replace, text)
+    if len(cache) > 200_000:
+        cache.clear()
+    return out, counts[0], counts[1], len(used), len(used) - len(back), back
+
+
+def reverse_one(text: str | None, mapping: dict | None) -> tuple[str | None, int]:
+    """(text with pseudonyms put back, substitutions): longest first, words only at word boundaries."""
+    keys = sorted((k for k in (mapping or {}) if k), key=len, reverse=True)
+    if text is None or not keys:
+        return text, 0
+    others = [k for k in keys if not WORD_KEY.fullmatch(k)]
+    if not any(WORD_KEY.match(k) for k in others):
+        # Word keys match whole runs of word characters only, so each run is looked up.
+        n = 0
+
+        def known(x: re.Match) -> str:
+            nonlocal n
+            to = mapping.get(x[0])
+            n += to is not None
+            return x[0] if to is None else to
+
+        return re.compile("|".join([*map(re.escape, others), WORD_KEY.pattern])).sub(known, text), n
+    parts = [rf"(?<![A-Za-z0-9_]){re.escape(k)}(?![A-Za-z0-9_])" if WORD_KEY.fullmatch(k) else re.escape(k) for k in keys]
+    return re.compile("|".join(parts)).subn(lambda x: mapping[x[0]], text)
+
+
 def pseudonymise(text: Column, key: bytes, level: int = 1) -> Column:
     """struct(output, replaced, skipped, distinct, collisions, reidentify_map) of a text.
 
@@ -66,56 +110,28 @@ def pseudonymise(text: Column, key: bytes, level: int = 1) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         cache: dict[str, str] = {}
         for texts in batches:
-            rows = []
-            for t in texts:
-                counts, back, used = [0, 0], {}, {}
-
-                def replace(m: re.Match, counts=counts, back=back, used=used) -> str:
-                    w = m["word"]
-                    if w is None:
-                        return m[0]
-                    if spared(level, w):
-                        counts[1] += 1
-                        return w
-                    counts[0] += 1
-                    p = cache.get(w) or cache.setdefault(w, pseudonym(key, w))
-                    used[w] = p
-                    back.setdefault(p, w)
-                    return p
-
-                out = None if t is None else TOKEN.sub(replace, t)
-                rows.append((out, counts[0], counts[1], len(used), len(used) - len(back), back))
-                if len(cache) > 200_000:
-                    cache.clear()
-            yield pd.DataFrame(rows, columns=["output", "replaced", "skipped", "distinct", "collisions", "reidentify_map"])
+            yield pd.DataFrame([pseudonymise_one(t, key, level, cache) for t in texts], columns=["output", "replaced", "skipped", "distinct", "collisions", "reidentify_map"])
 
     return F.pandas_udf(run, "output string, replaced long, skipped long, distinct long, collisions long, reidentify_map map<string,string>")(text)
 
 
+def checked(text: Column, key: bytes, level: int = 1) -> Column:
+    """struct(output, replaced, distinct, collisions, round_trip): the way back is tried where the map is, which stays there."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        cache: dict[str, str] = {}
+        for texts in batches:
+            rows = [(t, pseudonymise_one(t, key, level, cache)) for t in texts]
+            yield pd.DataFrame([(r[0], r[1], r[3], r[4], reverse_one(r[0], r[5])[0] == t) for t, r in rows], columns=["output", "replaced", "distinct", "collisions", "round_trip"])
+
+    return F.pandas_udf(run, "output string, replaced long, distinct long, collisions long, round_trip boolean")(text)
+
+
 def reverse(text: Column, mapping: Column) -> Column:
     """struct(output, substitutions): pseudonyms back to originals, longest first, words only at word boundaries."""
 
-    def one(t: str | None, m: dict | None) -> tuple[str | None, int]:
-        keys = sorted((k for k in (m or {}) if k), key=len, reverse=True)
-        if t is None or not keys:
-            return t, 0
-        others = [k for k in keys if not WORD_KEY.fullmatch(k)]
-        if not any(WORD_KEY.match(k) for k in others):
-            # Word keys match whole runs of word characters only, so each run is looked up.
-            n = 0
-
-            def known(x: re.Match) -> str:
-                nonlocal n
-                to = m.get(x[0])
-                n += to is not None
-                return x[0] if to is None else to
-
-            return re.compile("|".join([*map(re.escape, others), WORD_KEY.pattern])).sub(known, t), n
-        parts = [rf"(?<![A-Za-z0-9_]){re.escape(k)}(?![A-Za-z0-9_])" if WORD_KEY.fullmatch(k) else re.escape(k) for k in keys]
-        return re.compile("|".join(parts)).subn(lambda x: m[x[0]], t)
-
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, maps in batches:
-            yield pd.DataFrame([one(t, dict(m) if m is not None else None) for t, m in zip(texts, maps, strict=True)], columns=["output", "substitutions"])
+            yield pd.DataFrame([reverse_one(t, dict(m) if m is not None else None) for t, m in zip(texts, maps, strict=True)], columns=["output", "substitutions"])
 
     return F.pandas_udf(run, "output string, substitutions long")(text, mapping)

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The patterns of the classes, which are tried in this order on the stripped content.
+# The patterns of the classes, which are tried in this order on the stripped content. PATH has \p{L}\p{N}_
+# for \w, since letters and digits of all scripts count there.
 URL = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^\s]+$"
 EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-KEY_PREFIX = r"^(sk_|pk_|ghp_|ghs_|AKIA|ASIA|xox[abp]-|AIza)[A-Za-z0-9_\-]{8,}$"
+KEY_PREFIX = r"^(?:sk_|pk_|ghp_|ghs_|AKIA|ASIA|xox[abp]-|AIza)[A-Za-z0-9_\-]{8,}$"
 SQL = r"(?i)\b(SELECT|INSERT|UPDATE|DELETE|FROM|WHERE|JOIN|CREATE\s+TABLE)\b"
-MIME = r"(?i)^(application|audio|font|image|message|model|multipart|text|video)/((vnd|prs|x)\.[A-Za-z0-9.+\-]+|[A-Za-z0-9+\-]+)(\s*;.*)?$"
-SHORTHAND = r"(?i)^([0-9]+(/[0-9]+)+|and/or|n/a|km/h|mi/h|yes/no|on/off|true/false|w/o|he/she)$"
-PATH = r"^(/|\./|\.\./|~/|[A-Za-z]:[\\/]|[A-Za-z0-9_.\-]+/)[\p{L}\p{N}_./\\\-]*$"
+MIME = r"(?i)^(?:application|audio|font|image|message|model|multipart|text|video)/(?:(?:vnd|prs|x)\.[A-Za-z0-9.+\-]+|[A-Za-z0-9+\-]+)(?:\s*;.*)?$"
+SHORTHAND = r"(?i)^(?:\d+(?:/\d+)+|and/or|n/a|km/h|mi/h|yes/no|on/off|true/false|w/o|he/she)$"
+PATH = r"^(?:/|\./|\.\./|~/|[A-Za-z]:[\\/]|[A-Za-z0-9_.\-]+/)[\p{L}\p{N}_./\\\-]*$"
 KEY = r"^[A-Za-z0-9+/=_\-]{32,}$"
+# Quotes and what may stand between them, tried in this order; and the content of a single character.
+QUOTES = (
+    ('"""', r'"""(?:\\.|[^\\])*?"""'),
+    ("'''", r"'''(?:\\.|[^\\])*?'''"),
+    ('"', r'"(?:\\.|[^"\\])*"'),
+    ("'", r"'(?:\\.|[^'\\\n])*'"),
+    ("`", r"`(?:\\.|[^`\\])*`"),
+)
+RUNE = r"""[^\\'\n]|\\(?:[abfnrtv\\'"0]|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|[0-7]{3})"""
 
 
 def stripped(content: Column) -> Column:
@@ -79,3 +94,77 @@ def tagged(literals: DataFrame, doc: str, pos: str, content: str, level: int = 1
     key = F.lit("LIT") if level == 0 else F.col("class")
     numbered = first_appearance(named.withColumn("_k", key), [doc, "_k"], content, pos, "idx").drop("_k")
     return numbered.withColumn("tag", placeholder(F.col("class"), F.col("idx"), F.col(content), level))
+
+
+SINGLE_RUN = re.compile(r"(?s)'(?:\\.|[^'\\\n])*+")
+
+
+@functools.cache
+def _finder(kinds: tuple[int, ...]) -> re.Pattern:
+    """The next literal of some kinds of quotes, or (as an empty group of the kind's name) a quote that nothing closes."""
+    return re.compile("(?s)" + "|".join(f"{QUOTES[k][1].replace(')*', ')*+') if k > 1 else QUOTES[k][1]}|(?P<k{k}>(?={QUOTES[k][0]}))" for k in kinds))
+
+
+def literal_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each literal. A quote that nothing closes is looked at once, so time is linear.
+
+    From such a quote on its kind is left out of the search; single quotes come back after the line, where they end.
+    """
+    kinds, back, at = tuple(range(len(QUOTES))), None, 0
+    while kinds or back is not None:
+        m = _finder(kinds).search(text, at) if kinds else None
+        if back is not None and (m is None or m.start() >= back):
+            kinds, at, back = tuple(sorted((*kinds, 3))), max(at, back), None
+        elif m is None:
+            return
+        elif m.lastgroup:
+            dead, at = int(m.lastgroup[1:]), m.start()
+            kinds = tuple(k for k in kinds if k != dead)
+            if dead == 3:
+                back = SINGLE_RUN.match(text, at).end()
+        else:
+            yield m.span()
+            at = m.end()
+
+
+def cut_at_literals(text: Column) -> Column:
+    """struct(between, literals): the pieces of a text around its literals, one more than these, and the literals with their quotes."""
+
+    def one(t: str | None) -> tuple[list[str] | None, list[str]]:
+        if t is None:
+            return None, []
+        spans = list(literal_spans(t))
+        ends = [0, *(z for _, z in spans)]
+        return [t[a:z] for a, z in zip(ends, [*(a for a, _ in spans), len(t)], strict=True)], [t[a:z] for a, z in spans]
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([one(t) for t in texts], columns=["between", "literals"])
+
+    return F.pandas_udf(run, "between array<string>, literals array<string>")(text)
+
+
+def unquoted(literal: Column) -> Column:
+    """struct(content, quote) of a literal with its quotes."""
+    n = F.when(literal.rlike(r"""(?s)^(\"{3}|'{3}).*\1\z""") & (F.length(literal) >= 6), 3).otherwise(1)
+    return F.struct(F.substr(literal, n + 1, F.length(literal) - 2 * n).alias("content"), F.left(literal, n).alias("quote"))
+
+
+def tag_texts(df: DataFrame, doc: str, text: str = "text", level: int = 1) -> DataFrame:
+    """`df` and output (every literal replaced by its tag, in its quotes), literals_by_class and total_literals.
+
+    Texts are cut at their literals, tags are made by expressions, and the pieces joined again. Single characters in
+    single quotes stay. Equal contents of a class have one tag within a document.
+    """
+    df = df.withColumn("_cut", cut_at_literals(F.col(text)))
+    found = df.select(doc, F.posexplode("_cut.literals").alias("pos", "literal")).withColumn("u", unquoted(F.col("literal")))
+    found = found.select(doc, "pos", "u.content", "u.quote").where(~((F.col("quote") == "'") & F.col("content").rlike(f"^(?:{RUNE})\\z")))
+    tags = tagged(found, doc, "pos", "content", level).select(doc, "pos", "class", F.concat("quote", "tag", "quote").alias("tag"))
+    counts = tags.groupBy(doc, "class").agg(F.count("*").alias("n")).groupBy(doc).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("class", "n")))).alias("literals_by_class"))
+    lists = tags.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("pos", "tag"))).alias("_tags"))
+    out = df.join(lists, doc, "left").join(counts, doc, "left")
+    pieces = F.transform("_cut.between", lambda x, i: F.concat(x, F.coalesce(F.try_element_at("_tags", i), F.get("_cut.literals", i), F.lit(""))))
+    none = F.create_map().cast("map<string,bigint>")
+    by_class = F.coalesce("literals_by_class", none)
+    total = F.aggregate(F.map_values(by_class), F.lit(0).cast("long"), lambda a, b: a + b)
+    return out.withColumn("output", F.array_join(pieces, "")).withColumn("total_literals", total).withColumn("literals_by_class", by_class).drop("_tags", "_cut")

@@ -37,6 +37,21 @@ def transform(df: DataFrame, slug: str, **options) -> DataFrame:
     return _TRANSFORMS[slug].apply(df, **options)
 
 
+def batch(df: DataFrame, slug: str, family: str, **options) -> DataFrame:
+    """`df` (with text) through one transform: output_sha256, and the nine counters before, after and their difference.
+
+    A row whose output is null has no counters after it; `error` says so.
+    """
+    from .code import COUNTER_NAMES, counters
+
+    out = transform(df, slug, **options)
+    before, after = (F.struct(*counters(F.col(c), family)) for c in ("text", "output"))
+    out = out.withColumn("before", before).withColumn("after", F.when(F.col("output").isNotNull(), after))
+    delta = F.struct(*[(F.col(f"after.{c}") - F.col(f"before.{c}")).alias(c) for c in COUNTER_NAMES])
+    error = F.when(F.col("output").isNull(), "no output")
+    return out.withColumn("delta", F.when(F.col("after").isNotNull(), delta)).withColumn("output_sha256", F.sha2("output", 256)).withColumn("error", error)
+
+
 def list_transforms(spark: SparkSession) -> DataFrame:
     """(slug, description), sorted."""
     return spark.createDataFrame([(t.slug, t.description) for _, t in sorted(_TRANSFORMS.items())], "slug string, description string")
@@ -56,12 +71,15 @@ def pseudonymise(df: DataFrame, key: bytes, level: int = 1) -> DataFrame:
 
 @register_transform("tag-literals", "String literals replaced by tags of their class")
 def tag_literals(df: DataFrame, doc: str, level: int = 1) -> DataFrame:
-    """Texts are cut at double-quoted literals; tags are made by expressions and the pieces joined again."""
-    from .literals import tagged
-
-    pieces = df.select(doc, F.posexplode(F.split("text", '"')).alias("pos", "piece"), F.size(F.split("text", '"')).alias("n"))
-    quoted = (F.col("pos") % 2 == 1) & (F.col("pos") < F.col("n") - 1)
-    tags = tagged(pieces.where(quoted), doc, "pos", "piece", level).select(doc, "pos", "tag")
-    joined = pieces.join(tags, [doc, "pos"], "left").withColumn("piece", F.coalesce("tag", "piece"))
-    whole = joined.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), '"').alias("output"))
-    return df.join(whole, doc, "left")
+    from .literals import tag_texts
+
+    return tag_texts(df, doc, "text", level)
+
+
+@register_transform("composed", "Literals tagged, then identifiers replaced")
+def composed(df: DataFrame, doc: str, key: bytes, level: int = 1) -> DataFrame:
+    """`df`, output and chain: both transforms in turn; neither's map is kept."""
+    from .identifiers import pseudonymise as run
+
+    out = tag_literals(df, doc, level).withColumn("output", run(F.col("output"), key, level)["output"])
+    return out.drop("literals_by_class", "total_literals").withColumn("chain", F.array(F.lit("tag-literals"), F.lit("pseudonymise")))

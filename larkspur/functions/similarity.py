@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
@@ -16,14 +16,31 @@ EXACT_CHARS, BOUND_CHARS, SPAN_LINES = 30_000, 200_000, 5
 WORD = re.compile(r"[^\W\d]\w*")
 
 
-def code_lines(text: str) -> list[str]:
-    """Stripped lines without blanks and comment lines."""
-    return [s for s in (x.strip() for x in text.splitlines()) if s and not s.startswith(("//", "#", "/*", "*"))]
+# Suffixes of languages with // and /* */ comments.
+C_LIKE = frozenset((".go", ".ts", ".tsx", ".js", ".java", ".c", ".cc", ".cpp", ".rs"))
+# A comment that opens a line, with the rest of the line that it ends on; a triple-quoted block likewise, if it has several lines.
+BLOCK = re.compile(r"^[ \t]*/\*(?:(?!\*/)[^\n])*+(?:\n(?:(?!\*/)[^\n])*+)*+(?:\*/[^\n]*)?", re.M)
+DOCSTRING = re.compile(r'(?P<q>"""|\'\'\')(?:(?!(?P=q))[^\n])*+(?:(?P=q)|(?P<more>\n(?:(?!(?P=q))(?:.|\n))*+(?:(?P=q)[^\n]*)?)|$)')
 
 
-def inspect(source: str, output: str) -> dict:
+def code_lines(text: str, suffix: str = ".go") -> list[str]:
+    """Stripped lines without blank lines, comments and docstrings.
+
+    What follows a comment mark within a line goes too, but not on a line with a quote, as it may lie in a string.
+    """
+    if suffix in C_LIKE:
+        opens, mark, quotes, text = ("//", "*", "/*"), "//", "\"`", BLOCK.sub("", text)
+    else:
+        opens, mark, quotes = ("#",), "#", "\"'"
+        text = DOCSTRING.sub("", "\n".join(x for x in text.splitlines() if not x.lstrip().startswith("#")))
+    lines = (x.strip() for x in text.splitlines())
+    kept = (x if any(q in x for q in quotes) else x.split(mark, 1)[0].strip() for x in lines if not x.startswith(opens))
+    return [x for x in kept if x]
+
+
+def inspect(source: str, output: str, suffix: str = ".go") -> dict:
     """The report of one pair."""
-    a, b = code_lines(source), code_lines(output)
+    a, b = code_lines(source, suffix), code_lines(output, suffix)
     blocks = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
     spans = [m.size for m in blocks if m.size >= SPAN_LINES]
     run = max((m.size for m in blocks), default=0)
@@ -53,6 +70,45 @@ def report(source: Column, output: Column) -> Column:
     return F.pandas_udf(run, REPORT)(source, output)
 
 
+def leak_pattern(terms: Iterable[str]) -> re.Pattern:
+    """Whole words or phrases regardless of case, the longest first; no terms match nothing."""
+    return re.compile(rf"\b(?:{'|'.join(map(re.escape, sorted(set(terms), key=lambda t: (-len(t), t))))})\b" if terms else r"(?!)", re.I)
+
+
+def score(source: str, output: str, suffix: str, pattern: re.Pattern) -> dict:
+    """How much of a source file an output keeps: lines, vocabulary, copied spans, shape and leak terms."""
+    from .code import SHAPE
+
+    r = inspect(source, output, suffix)
+    a, b = code_lines(source, suffix), code_lines(output, suffix)
+    own, all_lines = set(a), {x.strip() for x in source.splitlines()}
+    long = [x for x in b if len(x) >= 8]
+    leaks = [(line, {m[0].lower() for m in pattern.finditer(line)}) for line in map(str.strip, output.splitlines())]
+    leaks = [(line, found) for line, found in leaks if found]
+    kept = set().union(*(found for _, found in leaks)) if leaks else set()
+    terms = {m[0].lower() for m in pattern.finditer(source)}
+    count = lambda lines: [sum(1 for x in lines if re.match(p, x)) for p in SHAPE.values()]
+    before, after = count(a), count(b)
+    return {
+        **r, "verbatim_long": round(sum(x in own for x in long) / len(long), 3) if long else 1.0, "shape_fidelity": round(1 - sum(abs(x - y) for x, y in zip(before, after, strict=True)) / sum(before), 3) if sum(before) else 1.0,
+        "leak_lines": len(leaks), "leak_lines_verbatim": sum(line in all_lines for line, _ in leaks), "domain_terms": len(terms), "domain_retention": round(len(terms & kept) / len(terms), 3) if terms else 0.0,
+    }
+
+
+SCORE = "verbatim_long double, shape_fidelity double, leak_lines long, leak_lines_verbatim long, domain_terms long, domain_retention double"
+
+
+def scores(source: Column, output: Column, terms: Iterable[str], suffix: str = ".go") -> Column:
+    """struct of `score` for two text columns; nulls count as empty. terms: a short list, as it travels with the function."""
+    pattern, kind = leak_pattern(list(terms)), f"{REPORT}, {SCORE}"
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for xs, ys in batches:
+            yield pd.DataFrame([score(x or "", y or "", suffix, pattern) for x, y in zip(xs, ys, strict=True)], columns=[c.split()[0] for c in kind.split(", ")])
+
+    return F.pandas_udf(run, kind)(source, output)
+
+
 @dataclass(frozen=True)
 class Thresholds:
     """The gate's thresholds. They are parameters of a call, not of the environment."""

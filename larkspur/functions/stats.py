@@ -67,6 +67,12 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
     return 2 * radius * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
+def local_magnitude(amplitude: Column, km: Column) -> Column:
+    """A local magnitude: log amplitude and a correction for distance. No amplitude counts as 1e-9, no distance as 1 km."""
+    positive = lambda x, least: F.when(x > 0, x).otherwise(F.lit(least))
+    return F.log10(positive(amplitude, 1e-9)) + 3 * F.log10(positive(km, 1.0)) - 2.92
+
+
 def gate(source_rate: Column, failures: Column) -> Column:
     """Whether a run is valid; without a source arm it isn't evaluated."""
     return F.when(source_rate.isNull(), "NOT EVALUATED").when((source_rate >= SOURCE_RATE) & (failures <= PARSE_FAILURES), "VALID").otherwise("INVALID")

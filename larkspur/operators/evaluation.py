@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,7 +21,7 @@ def uniform(*cols: Column) -> Column:
 
 
 def cluster_bootstrap(cells: DataFrame, by: list[str], cluster: str, side: str, k: str, n: str, draws: int = 1000, seed: int = SEED) -> DataFrame:
-    """by, diff, low, high, used: the 95 % interval of the difference of rates between sides True and False.
+    """by, diff, low, high, used: the difference of rates between sides True and False, and its 95 % interval.
 
     cells: by, cluster, side (boolean), k of n. Each draw gives each cluster a Poisson weight, which is drawing clusters
     with replacement without gathering them; weights come from hashes. Draws with an empty side are skipped.
@@ -38,7 +40,10 @@ def cluster_bootstrap(cells: DataFrame, by: list[str], cluster: str, side: str,
     diffs = sums.where((F.col(f"{n}1") > 0) & (F.col(f"{n}0") > 0)).withColumn("d", F.col(f"{k}1") / F.col(f"{n}1") - F.col(f"{k}0") / F.col(f"{n}0"))
     s = F.sort_array(F.collect_list("d"))
     at = lambda q: F.element_at("s", F.floor(F.lit(q) * (F.size("s") - 1)).cast("int") + 1)
-    return diffs.groupBy(*by).agg(s.alias("s")).select(*by, at(0.025).alias("low"), at(0.975).alias("high"), F.size("s").cast("long").alias("used"))
+    rate = lambda side: F.sum(f"{k}{side}") / F.nullif(F.sum(f"{n}{side}"), F.lit(0))
+    observed = sides.groupBy(*by).agg((rate(1) - rate(0)).alias("diff"))
+    ends = diffs.groupBy(*by).agg(s.alias("s")).select(*by, at(0.025).alias("low"), at(0.975).alias("high"), F.size("s").cast("long").alias("used"))
+    return observed.join(ends, by, "left").select(*by, "diff", "low", "high", F.coalesce("used", F.lit(0).cast("long")).alias("used"))
 
 
 def permutation_null(items: DataFrame, by: list[str], unit: str, truth: str, answer: str, draws: int = 200, seed: int = SEED) -> DataFrame:
@@ -107,14 +112,48 @@ def first_appearance(df: DataFrame, by: list[str], content: str, pos: str, name:
     return df.withColumn("_first", first).withColumn(name, F.dense_rank().over(Window.partitionBy(*by).orderBy("_first")) - 1).drop("_first")
 
 
+def draw(key: Column, seed: int = SEED) -> Column:
+    """32 bits of a hash of seed and key: the same in every attempt and in other engines."""
+    return F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")), F.lit(8)), 16, 10).cast("long")
+
+
 def sample_by_hash(df: DataFrame, key: str, share: float, seed: int = SEED) -> DataFrame:
     """A share of the rows by a hash of the key: no sort, the same rows in every attempt."""
-    return df.where(uniform(F.lit(seed), F.col(key).cast("string")) < share)
+    return df.where(draw(F.col(key), seed) < share * 2**32)
+
+
+def sample_exactly(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
+    """n rows (all, if there are no more), those with the least hashes of a key: a top-k, not a full sort."""
+    return df.orderBy(draw(F.col(key), seed), key).limit(n)
+
+
+def menu(options: Sequence[str], item: Column, seed: int = SEED) -> Column:
+    """The options in an order that the item decides, so that no place is favoured: anyone can make it again from the item."""
+    placed = F.array(*[F.struct(draw(F.concat(item.cast("string"), F.lit(f":{o}")), seed).alias("at"), F.lit(o).alias("option")) for o in options])
+    return F.transform(F.array_sort(placed), lambda x: x["option"])
+
+
+def running(df: DataFrame, key: str, order: str, width: int, sums: Mapping[str, Column]) -> DataFrame:
+    """`df` and running sums within a key in the order of an integer column.
+
+    Rows are summed within ranges of `width` and each range starts from the sum of those before, so no task sees all rows
+    of a key.
+    """
+    ranged = df.withColumns({"_r": F.floor(F.col(order) / width), **{f"_v_{c}": v for c, v in sums.items()}})
+    per = ranged.groupBy(key, "_r").agg(*[F.sum(f"_v_{c}").alias(f"_b_{c}") for c in sums])
+    before = Window.partitionBy(key).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    base = per.select(key, "_r", *[F.coalesce(F.sum(f"_b_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums])
+    own = Window.partitionBy(key, "_r").orderBy(order)
+    out = ranged.join(base, [key, "_r"]).withColumns({c: F.sum(f"_v_{c}").over(own) + F.col(f"_b_{c}") for c in sums})
+    return out.select(*df.columns, *sums)
 
 
 def concentrated(tokens: DataFrame, doc: str, domain: str, token: str, least: int = 3, share: float = 0.7) -> DataFrame:
-    """token, domain, files, total: tokens in at least `least` files overall and in one domain that has over `share` of them."""
-    per = tokens.select(doc, domain, token).distinct().groupBy(token, domain).agg(F.count("*").alias("files"))
+    """token, domain, files, total: tokens in at least `least` files overall and in one domain that has over `share` of them.
+
+    tokens: one row for each token of each document.
+    """
+    per = tokens.groupBy(token, domain).agg(F.count(doc).alias("files"))
     total = per.groupBy(token).agg(F.sum("files").alias("total"))
     return per.where(F.col("files") >= least).join(total.where(F.col("total") >= least), token).where(F.col("files") > share * F.col("total"))
 
@@ -127,15 +166,19 @@ def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select(*[((F.col(c) - F.col(f"_m{columns.index(c)}")) / scale(columns.index(c))).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def nearest_centroid(vectors: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
+def nearest_centroid(vectors: DataFrame, id_col: str, vector: str, label: str, block: int = 4_000_000) -> DataFrame:
     """id, label, nearest: the class with the nearest centroid, where a vector's own class is taken without it.
 
-    Class sums are made by position, so Spark pre-aggregates them; classes times dimensions is what is broadcast.
+    Class sums are made by position, so Spark pre-aggregates them. Centroids are dealt to blocks of at most `block` numbers;
+    each vector meets each block, and one block is small enough to be broadcast.
     """
     rows = vectors.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
     sums = rows.select("label", F.posexplode("v").alias("at", "x")).groupBy("label", "at").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
     classes = sums.groupBy(F.col("label").alias("other")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda e: e["s"]).alias("s"), F.max("n").alias("n"))
-    paired = rows.crossJoin(F.broadcast(classes))
+    blocks = int((sums.count() + block - 1) // block)
+    dealt = classes.withColumn("block", F.pmod(F.xxhash64("other"), F.lit(max(blocks, 1))))
+    dealt = F.broadcast(dealt) if blocks <= 1 else dealt
+    paired = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(blocks, 1) - 1).cast("long")))).join(dealt, "block")
     own = F.col("label") == F.col("other")
     centre = F.when(own, F.zip_with("s", "v", lambda s, x: (s - x) / F.nullif(F.col("n") - 1, F.lit(0)))).otherwise(F.transform("s", lambda s: s / F.col("n")))
     far = F.aggregate(F.zip_with("v", centre, lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, d: a + d)

@@ -41,26 +41,67 @@ def coverage(expected: DataFrame, present: DataFrame, keys: Sequence[str], by: S
 
 def longest_prefix(df: DataFrame, path: str, roots: DataFrame, root: str, sep: str = "/") -> DataFrame:
     """`df` and the longest root that is the path or an ancestor of it: the path's ancestors are the keys of an equi-join."""
-    parts = F.split(F.col(path), sep)
+    parts = F.split(F.col(path), rf"\Q{sep}\E")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), sep))
     steps = df.select(path).distinct().select(path, F.explode(above).alias(root))
     best = steps.join(roots.select(root).distinct(), root).groupBy(path).agg(F.max_by(root, F.length(root)).alias(root))
     return df.join(best, path, "left")
 
 
-def nearest_by_tokens(tokens: DataFrame, id_col: str = "id", token_col: str = "token") -> DataFrame:
+def with_each(df: DataFrame, values: DataFrame, name: str, most: int = 1000) -> DataFrame:
+    """`df` times the distinct values of a column, which are few: more than `most` are an error."""
+    got = [r[0] for r in values.select(name).distinct().orderBy(name).limit(most + 1).collect()]
+    if len(got) > most:
+        raise ValueError(f"{name} has more than {most} values")
+    kind = values.schema[name].dataType
+    return df.withColumn(name, F.explode(F.array(*[F.lit(v).cast(kind) for v in got])))
+
+
+def by_item_prefix(replies: DataFrame, records: DataFrame, reply_id: str, item: str, sep: str = "|") -> DataFrame:
+    """`replies` with the record whose item id their own id begins with: the longest beginning that ends before a separator.
+
+    The beginnings are the keys of an equi-join, so nothing is compared pair by pair. Replies without a record go.
+    """
+    begins = replies.select(reply_id).distinct().select(reply_id, F.col(reply_id).alias("_path"))
+    best = longest_prefix(begins, "_path", records.select(item), item, sep).where(F.col(item).isNotNull())
+    return replies.join(best.select(reply_id, item), reply_id).join(records, item)
+
+
+def nearest_by_tokens(tokens: DataFrame, id_col: str = "id", token_col: str = "token", common: int = 1000) -> DataFrame:
     """(id, nearest, similarity): the most similar other text by cosine of log tf-idf; ties go to the smaller id.
 
-    Weights are (1 + ln count) * ln(n / df) for tokens that not all texts have. Pairs come from an inverted index, and
-    only texts that share a token meet. `tokens` has one row for each occurrence.
+    Weights are (1 + ln count) * ln(n / df) for tokens that not all texts have. `tokens` has one row for each occurrence.
+    Only texts that share a token meet. First they meet over tokens of at most `common` texts. What the other tokens can
+    add to a text's best is at most the length of its own vector over them; texts whose best is beyond that are settled.
+    Only those left meet over common tokens too, each token's texts dealt to groups of about `common`.
     """
     counts = tokens.groupBy(id_col, token_col).agg(F.count("*").alias("c"))
     n = tokens.select(id_col).distinct().agg(F.count("*").alias("n"))
     df = counts.groupBy(token_col).agg(F.count("*").alias("df"))
     weighted = counts.join(df, token_col).crossJoin(F.broadcast(n)).where("df < n").withColumn("w", (1 + F.log("c")) * F.log(F.col("n") / F.col("df")))
-    norm = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weighted.join(norm, id_col).select(id_col, token_col, (F.col("w") / F.col("norm")).alias("w"))
-    shared = unit.alias("x").join(unit.alias("y"), (F.col(f"x.{token_col}") == F.col(f"y.{token_col}")) & (F.col(f"x.{id_col}") != F.col(f"y.{id_col}")))
-    sims = shared.groupBy(F.col(f"x.{id_col}").alias("id"), F.col(f"y.{id_col}").alias("other")).agg(F.round(F.sum(F.col("x.w") * F.col("y.w")), 9).alias("similarity"))
-    best = sims.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("other")).alias("minus"))).alias("b"))
-    return best.select("id", (-F.col("b.minus")).alias("nearest"), F.col("b.similarity").alias("similarity"))
+    square = F.sum(F.col("w") * F.col("w"))
+    norm = weighted.groupBy(id_col).agg(F.sqrt(square).alias("norm"))
+    unit = weighted.join(norm, id_col).select(F.col(id_col).alias("id"), F.col(token_col).alias("token"), "df", (F.col("w") / F.col("norm")).alias("w"))
+    vectors = unit.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("v"), F.sqrt(F.coalesce(F.sum(F.when(F.col("df") > common, F.col("w") * F.col("w"))), F.lit(0.0))).alias("rest"))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Similarities, over all tokens, of pairs that share a token of both sides."""
+        split = F.ceil(F.col("df") / common).cast("long")
+        dealt = right.select(F.col("id").alias("other"), "token", F.pmod(F.xxhash64("id"), split).alias("part"))
+        asked = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), split - 1))).select("id", "token", "part")
+        pairs = asked.join(dealt, ["token", "part"]).where("id <> other").select("id", "other").distinct()
+        both = pairs.join(vectors.select("id", F.col("v").alias("x")), "id").join(vectors.select(F.col("id").alias("other"), F.col("v").alias("y")), "other")
+        shared = F.array_intersect(F.map_keys("x"), F.map_keys("y"))
+        total = F.aggregate(F.array_sort(shared), F.lit(0.0), lambda a, t: a + F.try_element_at("x", t) * F.try_element_at("y", t))
+        return both.select("id", "other", F.round(total, 9).alias("similarity"))
+
+    def best(sims: DataFrame) -> DataFrame:
+        got = sims.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("other")).alias("minus"))).alias("b"))
+        return got.select("id", (-F.col("b.minus")).alias("nearest"), F.col("b.similarity").alias("similarity"))
+
+    rare, often = unit.where(F.col("df") <= common), unit.where(F.col("df") > common)
+    first = best(met(rare, rare))
+    # Similarities are rounded, so a tie may lie a rounding beyond the bound.
+    left = vectors.where("rest > 0").join(first, "id", "left").where("similarity is null or rest + 1e-9 >= similarity").select("id")
+    more = best(met(often.join(left, "id", "left_semi"), often))
+    return best(first.union(more).select("id", F.col("nearest").alias("other"), "similarity"))

@@ -27,6 +27,13 @@ def search(df: DataFrame, equal: Mapping | None = None, contains: Mapping | None
     return df.where(reduce(Column.__and__, tests))
 
 
+def within_days(df: DataFrame, column: str, first: str, last: str) -> DataFrame:
+    """Rows of an inclusive window of ISO dates. The column itself is compared, so the filter reaches the scan."""
+    kind = df.schema[column].dataType
+    day = lambda x, more: F.date_add(F.lit(x).cast("date"), more).cast(kind)
+    return df.where((F.col(column) >= day(first, 0)) & (F.col(column) < day(last, 1)))
+
+
 def box(df: DataFrame, bounds: Mapping[str, tuple[float, float]], null_as: Mapping[str, float] | None = None) -> DataFrame:
     """Rows within all bounds, every one of which must be given; nulls count as `null_as`."""
     if any(low is None or high is None for low, high in bounds.values()):

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def insert_or_ignore(table: DataFrame, rows: DataFrame, key: Sequence[str], order: str) -> DataFrame:
@@ -65,13 +66,39 @@ def numbered(df: DataFrame, key: str, width: int, fmt: str, name: str) -> DataFr
 def refuse_maps(df: DataFrame) -> DataFrame:
     """`df`, unless it holds a re-identification map anywhere, which must not be written with results."""
 
-    def names(schema) -> list[str]:
-        out = []
-        for f in getattr(schema, "fields", []):
-            kind = getattr(f.dataType, "elementType", f.dataType)
-            out += [f.name, *names(kind)]
-        return out
+    def names(kind: T.DataType) -> set[str]:
+        if isinstance(kind, T.StructType):
+            return set(kind.names).union(*(names(f.dataType) for f in kind.fields))
+        if isinstance(kind, T.ArrayType):
+            return names(kind.elementType)
+        if isinstance(kind, T.MapType):
+            return names(kind.keyType) | names(kind.valueType)
+        return set()
 
     if "reidentify_map" in names(df.schema):
         raise ValueError("a re-identification map must not be written")
     return df
+
+
+def seed_if_empty(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """`table`, or `rows` where it has none; one row decides."""
+    return rows.select(*table.columns) if table.isEmpty() else table
+
+
+def reload(tables: Mapping[str, DataFrame], folder: str) -> None:
+    """Every table of a schema replaced as a whole. Each is replaced at once; together they are not one transaction."""
+    for name, rows in tables.items():
+        refuse_maps(rows).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+
+
+def append_log(rows: DataFrame, folder: str) -> None:
+    """Rows appended to a log of JSON lines."""
+    refuse_maps(rows).write.mode("append").json(folder)
+
+
+def drift(settings: DataFrame, now: DataFrame, fixed: Sequence[str] = ()) -> DataFrame:
+    """(key, was, is): settings (key, value) that a resumed run has otherwise than the first one; a fixed one is an error."""
+    both = settings.select("key", F.col("value").alias("was")).join(now.select("key", F.col("value").alias("is")), "key", "full_outer")
+    changed = both.where(~F.col("was").eqNullSafe(F.col("is")))
+    wrong = F.raise_error(F.concat(F.lit("a resumed run must not change "), "key")).cast("string")
+    return changed.withColumn("is", F.when(F.col("key").isin(*fixed), wrong).otherwise(F.col("is"))) if fixed else changed

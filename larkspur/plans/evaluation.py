@@ -43,8 +43,9 @@ LEAKS = """terms AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all
 
 
 def leaks(spark: SparkSession, sf: str) -> DataFrame:
-    """doc_id, n: how many leak terms a text holds; texts without any are absent."""
-    words = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("term"))
+    """doc_id, n: how many leak terms a text holds; texts without any are absent. Words too short to be a term are left out before anything is a row."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{9,}"), F.lit(0)))
+    words = table(spark, sf, "documents").select("doc_id", F.explode(words).alias("term"))
     return words.join(terms(spark, sf), "term").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
@@ -180,10 +181,11 @@ def a24(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a25_upper_median", "SELECT source, list_sort(list(n_chars))[count(*) // 2 + 1] AS median FROM documents GROUP BY source")
 def a25(spark: SparkSession, sf: str) -> DataFrame:
-    """The upper median: ranks within the group, not a list of it."""
-    ranked = table(spark, sf, "documents").select("source", "n_chars", F.row_number().over(Window.partitionBy("source").orderBy("n_chars")).alias("i"))
-    n = table(spark, sf, "documents").groupBy("source").agg(F.floor(F.count("*") / 2).alias("half"))
-    return ranked.join(n, "source").where("i = half + 1").select("source", F.col("n_chars").alias("median"))
+    """The upper median, from counts of values: a window sees a group's different values, not its rows."""
+    counts = table(spark, sf, "documents").groupBy("source", "n_chars").agg(F.count("*").alias("c"))
+    every = Window.partitionBy("source")
+    ranked = counts.withColumn("upto", F.sum("c").over(every.orderBy("n_chars"))).withColumn("half", F.floor(F.sum("c").over(every) / 2))
+    return ranked.where("upto > half and upto - c <= half").select("source", F.col("n_chars").alias("median"))
 
 
 @query("a26_ranked", R + ", s AS (SELECT arm, count(*) AS cases, sum(CASE WHEN confidence < 0.97 THEN 1 ELSE 0 END) AS passed, avg(correct) AS p FROM r GROUP BY arm) SELECT arm, round(p, 9) AS p FROM s WHERE cases = passed ORDER BY p DESC, arm")
@@ -299,8 +301,8 @@ def a38(spark: SparkSession, sf: str) -> DataFrame:
 @query("a39_breaker", "WITH x AS (SELECT user_id, event_id, row_number() OVER w AS n, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS bad FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, min(event_id) AS tripped_at FROM x WHERE n >= 12 AND bad / n::DOUBLE > 0.25 GROUP BY user_id")
 def a39(spark: SparkSession, sf: str) -> DataFrame:
     """The first event at which a running share of failures trips a breaker."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    x = table(spark, sf, "events").select("user_id", "event_id", F.row_number().over(w).alias("n"), F.sum((F.col("event_type") == "error").cast("int")).over(w).alias("bad"))
+    events = table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    x = ev.running(events, "user_id", "event_id", 100_000, {"n": F.lit(1), "bad": (F.col("event_type") == "error").cast("int")})
     return x.where("n >= 12 and bad / n > 0.25").groupBy("user_id").agg(F.min("event_id").alias("tripped_at"))
 
 
@@ -378,21 +380,60 @@ def p14(spark: SparkSession, sf: str) -> DataFrame:
     return items(spark, sf).groupBy("arm").agg(F.count("*").alias("n"), F.count_if((F.col("answer") - 2).between(1, 8)).alias("n_in_range"))
 
 
-@query("p21_guess_text", "SELECT conv_id, string_agg(CASE WHEN turn % 3 <> 1 THEN left(text, 40) END, ' ' ORDER BY turn) AS guess FROM conversations GROUP BY conv_id")
+@query("p21_guess_text", "SELECT conv_id, string_agg(CASE WHEN turn % 3 <> 1 THEN text END, ' ' ORDER BY turn) AS guess FROM conversations GROUP BY conv_id")
 def p21(spark: SparkSession, sf: str) -> DataFrame:
     """Parts joined by spaces, nulls left out."""
-    part = F.when(F.col("turn") % 3 != 1, F.left("text", F.lit(40)))
+    part = F.when(F.col("turn") % 3 != 1, F.col("text"))
     lists = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))).alias("ps"))
     parts = F.filter(F.transform("ps", lambda x: x["p"]), lambda p: p.isNotNull())
     return lists.select("conv_id", F.when(F.size(parts) > 0, F.array_join(parts, " ")).alias("guess"))
 
 
-@query("w09_hash_sample")
+DRAW = "('0x' || substr(md5('20260819:' || {}), 1, 8))::UBIGINT"
+
+
+@query("w09_hash_sample", f"SELECT doc_id, source FROM documents WHERE {DRAW.format('doc_id')} < 0.2 * 4294967296")
 def w09(spark: SparkSession, sf: str) -> DataFrame:
     """A fifth of the items, by a hash of their id."""
     return ev.sample_by_hash(table(spark, sf, "documents").select("doc_id", "source"), "doc_id", 0.2)
 
 
+@query("w09_exact_sample", f"SELECT doc_id, source FROM documents ORDER BY {DRAW.format('doc_id')}, doc_id LIMIT 100")
+def w09_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """A hundred of the items, those with the least hashes."""
+    return ev.sample_exactly(table(spark, sf, "documents").select("doc_id", "source"), "doc_id", 100)
+
+
+OPTIONS = ("billing", "catalogue", "fleet", "seismic", "radio", "weaving")
+
+
+@query("w10_menus", f"SELECT conv_id, string_agg(o, ',' ORDER BY {DRAW.format("conv_id || ':' || o")}, o) AS menu FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT unnest([{', '.join(repr(o) for o in OPTIONS)}]) AS o) GROUP BY conv_id")
+def w10(spark: SparkSession, sf: str) -> DataFrame:
+    """Options in an order that each item decides."""
+    items = table(spark, sf, "conversations").select("conv_id").distinct()
+    return items.select("conv_id", F.array_join(ev.menu(OPTIONS, F.col("conv_id")), ",").alias("menu"))
+
+
+@query("v02_panel_verdicts")
+def v02(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts of arms over the whole panel: spread of attackers, the interval by source files, and the leak veto."""
+    r = records(spark, sf)
+    cells = r.groupBy("arm", "attacker").agg(F.avg("correct").alias("p"), F.avg((F.col("confidence") < 0.03).cast("double")).alias("failures"))
+    panel = cells.groupBy("arm").agg(F.avg("p").alias("rate"), (F.max("p") - F.min("p")).alias("spread"), F.max("failures").alias("failures"))
+    domains = r.groupBy("arm").agg(F.countDistinct("file").alias("domains"))
+    # Each arm against the blind one, over the same files.
+    arms = r.where("arm <> 'src1'").select("arm", "file", "correct", F.lit(True).alias("side"))
+    blind = joins.with_each(r.where("arm = 'src1'").select("file", "correct"), r.where("arm <> 'src1'"), "arm").select("arm", "file", "correct", F.lit(False).alias("side"))
+    counts = arms.unionByName(blind).groupBy("arm", "file", "side").agg(F.sum("correct").alias("k"), F.count("*").alias("n"))
+    ends = ev.cluster_bootstrap(counts, ["arm"], "file", "side", "k", "n", draws=DRAWS).select("arm", "diff", "low", "high")
+    veto = v03(spark, sf).select(F.col("source").alias("arm"), F.col("hit_rate").alias("leaks"))
+    source = panel.where("arm = 'src0'").select(F.col("rate").alias("source_rate"))
+    got = panel.join(domains, "arm").join(ends, "arm", "left").join(veto, "arm", "left").join(F.broadcast(source))
+    gate = stats.gate(F.col("source_rate"), F.col("failures"))
+    verdict = stats.verdict(gate, F.col("domains"), F.col("spread"), F.col("diff").isNotNull(), F.coalesce("leaks", F.lit(0.0)), F.col("high"), F.col("low"), F.col("rate"), F.col("diff"))
+    return got.select("arm", *[F.round(c, 9).alias(c) for c in ("rate", "spread", "diff", "low", "high", "leaks")], "domains", gate.alias("gate"), verdict.alias("verdict"))
+
+
 @query("x01_ordered_union", "SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL) GROUP BY conv_id")
 def x01(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct values in the order of first occurrence."""

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions import code, registry
-from larkspur.operators import joins
+from larkspur.functions import code, registry, similarity
+from larkspur.operators import joins, updates
+from larkspur.operators.associate import associate
 from larkspur.sources import records
 from larkspur.sources.tables import table
 
 from .registry import query
+from .text import counters_sql
 
 
 @query("j09_required_join", "SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON p_partkey = l_partkey")
@@ -31,7 +33,7 @@ def j11(spark: SparkSession, sf: str) -> DataFrame:
 def k01(spark: SparkSession, sf: str) -> DataFrame:
     """Items times modes without a result yet."""
     talks = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), "role")
-    jobs = table(spark, sf, "documents").select("doc_id").crossJoin(F.broadcast(talks.select("role").distinct()))
+    jobs = joins.with_each(table(spark, sf, "documents").select("doc_id"), talks, "role")
     return records.pending(jobs, talks, ["doc_id", "role"])
 
 
@@ -50,8 +52,8 @@ def j17(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("t17_module_names", """WITH m AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="/([a-z]+)"', 1))) AS name FROM pages) SELECT page_id, count(*) AS modules, min(name) AS first FROM m WHERE length(name) >= 4 AND name NOT IN ('that', 'what', 'thing', 'tion') GROUP BY page_id""")
-def t17(spark: SparkSession, sf: str) -> DataFrame:
-    """A text's own names: short and general ones are left out."""
+def t17_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Names that a page links to: short and general ones are left out."""
     names = F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([a-z]+)"'), F.lit(1)))
     own = F.array_except(F.filter(names, lambda x: F.length(x) >= 4), F.array(*map(F.lit, ("that", "what", "thing", "tion"))))
     got = table(spark, sf, "pages").select("page_id", own.alias("own")).where(F.size("own") > 0)
@@ -67,7 +69,7 @@ def t21(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("t24_blind_profile", r"""SELECT doc_id, 'lines ' || (length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END) || ', bytes ' || strlen(text) || ', marks ' || len(regexp_extract_all(text, '[.,;:!?]')) AS stub, true AS content_free FROM documents""")
-def t24(spark: SparkSession, sf: str) -> DataFrame:
+def t24_text(spark: SparkSession, sf: str) -> DataFrame:
     """A profile rendered as text, which holds no word of its source but the template's."""
     text = F.col("text")
     stub = F.format_string("lines %d, bytes %d, marks %d", code.line_count(text), F.octet_length(text), F.regexp_count(text, F.lit("[.,;:!?]")))
@@ -116,3 +118,112 @@ def a23(spark: SparkSession, sf: str) -> DataFrame:
     """Means, of a subset too, the largest, and counts over a threshold."""
     joined = table(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     return joined.groupBy("lang").agg(F.round(F.avg("n_chars"), 6).alias("mean"), F.max("n_chars").alias("most"), F.count_if(F.col("n_chars") > 2000).alias("over"), F.round(F.avg(F.when(F.col("quality") == 1, F.col("n_chars"))), 6).alias("mean_good"))
+
+
+@query(
+    "t17_own_modules",
+    f"""WITH p AS (SELECT page_id, string_split(regexp_extract(url, '^[a-z]+://([^?#]*)', 1) || '/internal/db', '/') AS s FROM pages), c AS (SELECT page_id, s[2:least(3, list_position(s, 'internal') - 1)] AS c FROM p)
+    SELECT page_id, array_to_string(list_sort(list_distinct([x for x in c if len(x) >= 4 AND NOT contains(x, '.') AND NOT list_contains([{', '.join(f"'{w}'" for w in code.GENERAL)}], lower(x))] || ['ledgerapp'])), ',') AS names FROM c""",
+)
+def t17(spark: SparkSession, sf: str) -> DataFrame:
+    """Modules that Go texts import from themselves; the texts are made of pages' addresses."""
+    path = F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1)
+    text = F.concat(F.lit('package a\n\nimport (\n\t"fmt"\n\t"net/http"\n\t_ "'), path, F.lit('/internal/db"\n\tx "ledgerapp/store"\n\t"app/store"\n\t"example.org/other"\n)\n'))
+    return table(spark, sf, "pages").select("page_id", F.array_join(code.own_modules(text), ",").alias("names"))
+
+
+@query(
+    "t21_fenced_reply",
+    """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN 'a' || chr(10) || 'b' || chr(10) || 'c' || chr(10) || 'd' || chr(10) || '```go' || chr(10) || text || chr(10) || '```' ELSE text || chr(10) || 'no fence' END AS body FROM conversations WHERE NOT contains(text, '`') AND trim(text, chr(10)) <> ''""",
+)
+def t21_reply(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies with one fenced block, with too much prose before it, and without one."""
+    talks, k = table(spark, sf, "conversations").where(~F.contains("text", F.lit("`")) & (F.trim("text", F.lit("\n")) != "")), F.col("turn") % 3
+    wrap = lambda before: F.concat(F.lit(before + "```go\n"), "text", F.lit("\n```"))
+    reply = F.when(k == 0, wrap("Here it is:\n")).when(k == 1, wrap("a\nb\nc\nd\n")).otherwise(F.concat("text", F.lit("\nno fence")))
+    return talks.select("conv_id", "turn", code.fenced(reply).alias("body"))
+
+
+_T = counters_sql("html", "ts")
+_C = r"(?m)^\s*export\s+function\s+[A-Z]\w*\s*\("
+
+
+@query(
+    "t24_profile",
+    f"""SELECT page_id, 'STRUCTURAL PROFILE' || chr(10) || 'language: tsx' || chr(10) || 'lines: ' || {_T["lines"]} || chr(10) || 'bytes: ' || {_T["bytes"]} || chr(10) || 'functions: ' || {_T["funcs"]} || chr(10) || 'components: ' || len(regexp_extract_all(html, '{_C}')) || chr(10)
+    || 'classes: ' || {_T["structs"]} || chr(10) || 'types: ' || {_T["interfaces"]} || chr(10) || 'imports: ' || {_T["imports"]} || chr(10) || 'exports: ' || {_T["exports"]} || chr(10) || 'string literals: ' || {_T["string_literals"]} || chr(10) || 'max brace depth: ' || {_T["max_brace_depth"]} || chr(10) AS stub, 0 AS foreign_words FROM pages""",
+)
+def t24(spark: SparkSession, sf: str) -> DataFrame:
+    """The profile of each page, which holds no word that its template hasn't got."""
+    got = table(spark, sf, "pages").select("page_id", code.profile(F.col("html"), "tsx").alias("stub"))
+    return got.withColumn("foreign_words", F.size(code.foreign_words(F.col("stub"))))
+
+
+@query("t29_scores")
+def t29_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Each turn scored against the one before: lines, vocabulary, spans, shape and leak terms."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = table(spark, sf, "conversations").select("conv_id", "turn", "text", before.alias("before")).where("before is not null")
+    return pairs.select("conv_id", "turn", similarity.scores(F.col("before"), F.col("text"), ("section", "general", "system")).alias("s")).select("conv_id", "turn", "s.*")
+
+
+_B, _A = counters_sql("html", "ts"), counters_sql("reverse(html)", "ts")
+
+
+@query("t34_batch_counters", f"SELECT page_id, sha256(reverse(html)) AS output_sha256, {', '.join(f'{_A[c]} AS after_{c}, {_A[c]} - {_B[c]} AS delta_{c}' for c in code.COUNTER_NAMES)}, NULL AS error FROM pages")
+def t34_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page through one transform, with all counters."""
+    got = registry.batch(table(spark, sf, "pages").select("page_id", F.col("html").alias("text")), "reverse-text", "ts")
+    return got.select("page_id", "output_sha256", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for c in code.COUNTER_NAMES for s in ("after", "delta")], "error")
+
+
+@query(
+    "u06_associated",
+    """WITH e AS (SELECT o_custkey AS request, list_sort(list(o_orderkey)) AS ids, count(DISTINCT o_orderstatus) AS stations FROM orders GROUP BY o_custkey)
+    SELECT request, CASE WHEN len(ids) < 2 THEN 'at least two detections are required' WHEN request % 5 = 0 THEN 'origin time must be RFC 3339' WHEN stations < 2 THEN 'detections must span two stations' END AS reason FROM e""",
+)
+def u06(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' orders as detections that are made one event each, and why some are not."""
+    orders = table(spark, sf, "orders")
+    detections = orders.select(F.col("o_orderkey").alias("detection_id"), F.lit("Z").alias("channel_id"), F.col("o_orderstatus").alias("station_id"), F.col("o_totalprice").alias("amplitude"), F.lit(None).cast("string").alias("event_id"))
+    stations = orders.select(F.col("o_orderstatus").alias("station_id")).distinct().select("station_id", F.ascii("station_id").cast("double").alias("latitude"), F.lit(1.0).alias("longitude"))
+    time = F.when(F.col("request") % 5 == 0, "2024-01-01").otherwise("2024-01-01T00:00:00Z")
+    requests = orders.groupBy(F.col("o_custkey").alias("request")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("detection_ids"))
+    requests = requests.select("request", time.alias("origin_time"), F.lit(60.0).alias("latitude"), F.lit(1.0).alias("longitude"), F.lit(5.0).alias("depth_km"), "detection_ids")
+    got = associate(requests, detections, stations, 0)
+    return requests.select("request").join(got.refused, "request", "left")
+
+
+@query(
+    "u06_magnitudes",
+    """WITH e AS (SELECT o_custkey AS request, count(*) AS n, count(DISTINCT o_orderstatus) AS stations FROM orders GROUP BY o_custkey HAVING count(*) >= 2 AND count(DISTINCT o_orderstatus) >= 2),
+    i AS (SELECT request, 'EVT-' || lpad(row_number() OVER (ORDER BY request)::VARCHAR, 6, '0') AS event_id, n FROM e), d AS (SELECT event_id, o_totalprice, power(sin(radians(ascii(o_orderstatus) - 60) / 2), 2) AS a, n FROM orders JOIN i ON request = o_custkey)
+    SELECT event_id, n AS detection_count, round(avg(log10(o_totalprice) + 3 * log10(2 * 6371.0 * atan2(sqrt(a), sqrt(1 - a))) - 2.92), 6) AS magnitude FROM d GROUP BY ALL""",
+)
+def u06_magnitudes(spark: SparkSession, sf: str) -> DataFrame:
+    """The events that associations make, with the mean of their estimates."""
+    orders = table(spark, sf, "orders")
+    detections = orders.select(F.col("o_orderkey").alias("detection_id"), F.lit("Z").alias("channel_id"), F.col("o_orderstatus").alias("station_id"), F.col("o_totalprice").alias("amplitude"), F.lit(None).cast("string").alias("event_id"))
+    stations = orders.select(F.col("o_orderstatus").alias("station_id")).distinct().select("station_id", F.ascii("station_id").cast("double").alias("latitude"), F.lit(1.0).alias("longitude"))
+    requests = orders.groupBy(F.col("o_custkey").alias("request")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("detection_ids"))
+    requests = requests.select("request", F.lit("2024-01-01T00:00:00Z").alias("origin_time"), F.lit(60.0).alias("latitude"), F.lit(1.0).alias("longitude"), F.lit(5.0).alias("depth_km"), "detection_ids")
+    return associate(requests, detections, stations, 0).events.select("event_id", "detection_count", F.round("magnitude", 6).alias("magnitude"))
+
+
+@query("j10_judged_records", "SELECT c.conv_id || '|' || c.turn || '|judge' AS reply_id, c.conv_id || '|' || c.turn AS item_id, role FROM conversations c WHERE turn % 2 = 0")
+def j10(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies joined with the record whose id theirs begins with."""
+    item = F.concat_ws("|", "conv_id", "turn")
+    talks = table(spark, sf, "conversations")
+    replies = talks.select(F.concat(item, F.lit("|judge")).alias("reply_id"))
+    records_ = talks.where("turn % 2 = 0").select(item.alias("item_id"), "role")
+    return joins.by_item_prefix(replies, records_, "reply_id", "item_id").select("reply_id", "item_id", "role")
+
+
+@query("k03_drift", "SELECT 'customer ' || c_custkey AS key, c_mktsegment AS was, CASE WHEN c_custkey % 7 <> 2 THEN CASE WHEN c_custkey % 7 = 1 THEN 'OTHER' ELSE c_mktsegment END END AS \"is\" FROM customer WHERE c_custkey % 7 IN (1, 2)")
+def k03(spark: SparkSession, sf: str) -> DataFrame:
+    """Settings that a resumed run has otherwise than the first."""
+    customers, k = table(spark, sf, "customer"), F.col("c_custkey") % 7
+    was = customers.select(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("key"), F.col("c_mktsegment").alias("value"))
+    now = customers.where(k != 2).select(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("key"), F.when(k == 1, "OTHER").otherwise(F.col("c_mktsegment")).alias("value"))
+    return updates.drift(was, now)

@@ -23,8 +23,8 @@ def p01(spark: SparkSession, sf: str) -> DataFrame:
 @query("p02_search_orders_by_date", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND strftime(o_orderdate, '%Y-%m-%d') BETWEEN '1996-03-01' AND '1996-04-15'")
 def p02(spark: SparkSession, sf: str) -> DataFrame:
     """Equality and an inclusive window of ISO dates."""
-    dated = table(spark, sf, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
-    return search.search(dated, equal={"o_orderstatus": "F"}, between={"day": ("1996-03-01", "1996-04-15")}).select("o_orderkey", "o_custkey", "o_totalprice")
+    orders = search.search(table(spark, sf, "orders"), equal={"o_orderstatus": "F"})
+    return search.within_days(orders, "o_orderdate", "1996-03-01", "1996-04-15").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @query("p03_box_events", "SELECT event_id, user_id, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND coalesce(value, 0) BETWEEN 5 AND 50 AND user_id BETWEEN 10 AND 60")
@@ -171,8 +171,7 @@ def j08(spark: SparkSession, sf: str) -> DataFrame:
 def j13(spark: SparkSession, sf: str) -> DataFrame:
     """Expected rows of every item and mode against those that are there."""
     talks = table(spark, sf, "conversations").withColumnRenamed("conv_id", "doc_id")
-    roles = talks.select("role").distinct()  # a handful of modes
-    expected = table(spark, sf, "documents").select("source", "doc_id").crossJoin(F.broadcast(roles))
+    expected = joins.with_each(table(spark, sf, "documents").select("source", "doc_id"), talks, "role")
     return joins.coverage(expected, talks, ["doc_id", "role"], ["source", "role"], F.length("text") > 200)
 
 

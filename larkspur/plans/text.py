@@ -90,18 +90,25 @@ def t11(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("t12_literal_tagging")
 def t12(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole pages with their quoted strings replaced by tags."""
+    """Whole pages with the literals of all five kinds of quotes replaced by tags."""
     pages = table(spark, sf, "pages").select("page_id", F.col("html").alias("text"))
-    return registry.transform(pages, "tag-literals", doc="page_id").select("page_id", F.length("output").alias("n_chars"), F.sha2("output", 256).alias("output_sha256"))
+    got = registry.transform(pages, "tag-literals", doc="page_id")
+    return got.select("page_id", F.length("output").alias("n_chars"), F.sha2("output", 256).alias("output_sha256"), "total_literals", F.to_json("literals_by_class").alias("by_class"))
+
+
+@query("t32_composed")
+def t32(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages through both transforms in turn."""
+    pages = table(spark, sf, "pages").select("page_id", F.col("html").alias("text"))
+    got = registry.transform(pages, "composed", doc="page_id", key=KEY)
+    return got.select("page_id", F.sha2("output", 256).alias("output_sha256"), F.array_join("chain", ",").alias("chain"))
 
 
 @query("t07_pseudonymised")
 def t07(spark: SparkSession, sf: str) -> DataFrame:
-    """Identifiers of each document under a key, and the way back (T01 - T07, T13); the map isn't in the result."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    p = docs.select("doc_id", "text", identifiers.pseudonymise(F.col("text"), KEY).alias("p"))
-    back = p.select("doc_id", "text", "p", identifiers.reverse(F.col("p.output"), F.col("p.reidentify_map")).alias("b"))
-    return back.select("doc_id", "p.replaced", "p.distinct", "p.collisions", (F.length("p.output") == F.length("text")).alias("same_length"), (F.col("b.output") == F.col("text")).alias("round_trip"))
+    """Identifiers of each document under a key, and the way back (T01 - T07, T13); the map doesn't leave the task."""
+    p = table(spark, sf, "documents").select("doc_id", "text", identifiers.checked(F.col("text"), KEY).alias("p"))
+    return p.select("doc_id", "p.replaced", "p.distinct", "p.collisions", (F.length("p.output") == F.length("text")).alias("same_length"), "p.round_trip")
 
 
 @query("t15_similarity_gate")
@@ -132,7 +139,18 @@ def t22(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", code.reply(wrapped, "k int")["k"].alias("k"))
 
 
-@query("t23_counters")
+def counters_sql(text: str, family: str) -> dict[str, str]:
+    """The nine counters in SQL, from the patterns of the library."""
+    n = lambda p: f"len(regexp_extract_all({text}, '{p.replace(chr(39), chr(39) * 2)}'))::BIGINT"
+    braces = f"regexp_extract_all({text}, '[{{}}]')"
+    sums = f"list_transform(range(1, len({braces}) + 1), lambda i: list_sum(list_transform({braces}[1:i], lambda x: CASE x WHEN '{{' THEN 1 ELSE -1 END)))"
+    depth = f"coalesce(list_max(list_transform(range(1, len({braces}) + 1), lambda i: ({sums})[i] - least(0, list_min(({sums})[1:i])))), 0)::BIGINT"
+    lines = f"(length({text}) - length(replace({text}, chr(10), '')) + CASE WHEN {text} <> '' AND NOT ends_with({text}, chr(10)) THEN 1 ELSE 0 END)::BIGINT"
+    own = {name: n(p) for name, p in code.COUNTERS[family].items()}
+    return {"lines": lines, "bytes": f"strlen({text})::BIGINT", **own, "imports": n(code.IMPORTS), "exports": n(code.EXPORTS), "string_literals": n(code.STRINGS), "max_brace_depth": depth}
+
+
+@query("t23_counters", f"SELECT page_id, {', '.join(f'{v} AS {k}' for k, v in counters_sql('html', 'ts').items())} FROM pages")
 def t23(spark: SparkSession, sf: str) -> DataFrame:
     """Structural counters of pages."""
     return table(spark, sf, "pages").select("page_id", *code.counters(F.col("html"), "ts"))
@@ -145,10 +163,19 @@ def t23_plain(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", code.line_count(html).alias("lines"), F.octet_length(html).cast("long").alias("bytes"), code.matches(html, code.COUNTERS["ts"]["structs"]).alias("structs"), code.matches(html, r'"(?:[^"\\]|\\.)*"').alias("quoted"))
 
 
-@query("t28_shape", r"""SELECT doc_id, len(regexp_extract_all(text, '(?m)^\s*(if|elif|else|switch|case)\b'))::BIGINT AS branch, len(regexp_extract_all(text, '(?m)^\s*(for|while)\b'))::BIGINT AS loop, len(regexp_extract_all(text, '(?m)^\s*return\b'))::BIGINT AS "return" FROM documents""")
+SHAPE_SQL = ", ".join(f"""len([x for x in l if regexp_matches(x, '{p}')])::BIGINT AS "{name}\"""" for name, p in code.SHAPE.items())
+
+
+@query(
+    "t28_shape",
+    rf"""WITH p AS (SELECT doc_id, [trim(x, chr(32)) for x in regexp_split_to_array(text, '\r\n|[\n\r]')] AS l FROM documents),
+    c AS (SELECT doc_id, [CASE WHEN regexp_matches(x, '["`]') THEN x ELSE rtrim(split_part(x, '//', 1), chr(32)) END for x in l if NOT regexp_matches(x, '^(//|\*|/\*)')] AS l FROM p), d AS (SELECT doc_id, [x for x in l if x <> ''] AS l FROM c)
+    SELECT doc_id, {SHAPE_SQL} FROM d""",
+)
 def t28(spark: SparkSession, sf: str) -> DataFrame:
-    """A census of line kinds."""
-    return table(spark, sf, "documents").select("doc_id", *code.shape(F.col("text"))).select("doc_id", "branch", "loop", "return")
+    """A census of the kinds of code lines. (The SQL has no comments of several lines, nor have the texts.)"""
+    docs = table(spark, sf, "documents").select("doc_id", code.code_lines(F.col("text")).alias("lines"))
+    return docs.select("doc_id", *code.shape(F.col("lines")))
 
 
 @query("t33_reversed", "SELECT doc_id, reverse(text) AS output FROM documents")
@@ -172,7 +199,7 @@ def m01(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", F.round(km, 6).alias("km"))
 
 
-@query("h01_blob_ids")
+@query("h01_blob_ids", "SELECT doc_id, sha1(encode('blob ' || strlen(text)) || '\\x00'::BLOB || encode(text)) AS oid FROM documents")
 def h01(spark: SparkSession, sf: str) -> DataFrame:
     """Object ids that version control gives the texts."""
     return table(spark, sf, "documents").select("doc_id", code.blob_id(F.col("text")).alias("oid"))
@@ -226,7 +253,59 @@ def s15(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s16_directive_blocks", "SELECT 'D' || p_partkey AS directive_id, 'PART' AS predicate_type, p_brand AS predicate_value, NULL AS serial_min, NULL AS serial_max FROM part UNION ALL SELECT 'D' || p_partkey, 'SERIAL_RANGE', NULL, p_size::VARCHAR, (p_size + 10)::VARCHAR FROM part")
 def s16(spark: SparkSession, sf: str) -> DataFrame:
-    """Directive blocks with repeated predicates, made of parts, a file for each brand."""
+    """Directive blocks with repeated predicates, made of parts, a file for each part."""
     body = F.array(F.concat(F.lit("DIRECTIVE D"), F.col("p_partkey").cast("string")), F.concat(F.lit("APPLIES-PART "), "p_brand"), F.concat(F.lit("APPLIES-SERIAL "), F.col("p_size").cast("string"), F.lit(".."), (F.col("p_size") + 10).cast("string")), F.lit("END"))
-    lines = table(spark, sf, "part").select(F.col("p_brand").alias("file"), "p_partkey", F.posexplode(body).alias("i", "line")).select("file", (F.col("p_partkey") * 10 + F.col("i")).alias("n"), "line")
+    lines = table(spark, sf, "part").select(F.col("p_partkey").alias("file"), "p_partkey", F.posexplode(body).alias("i", "line")).select("file", (F.col("p_partkey") * 10 + F.col("i")).alias("n"), "line")
     return formats.directives(lines)[1]
+
+
+@query(
+    "s11_holdings",
+    """SELECT p_partkey::VARCHAR AS holding_id, p_name AS title, p_brand AS author, strftime(DATE '2020-01-01' + (p_partkey % 300)::INT, '%Y-%m-%d') AS published, 'B' || p_size AS branch_id, 'QA ' || p_size || ' x' AS call_number, 'P' || (p_partkey % 7) AS policy_code,
+    '2021-02-03' AS effective_start, CASE WHEN p_partkey % 2 = 0 THEN '2021-03-04' ELSE '' END AS effective_end, 1 AS reservations FROM part""",
+)
+def s11_holdings(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalogue records with a loan, its events, a reservation, repeated and malformed lines, made of parts."""
+    key, c = F.col("p_partkey"), lambda x: F.col(x).cast("string")
+    lines = [
+        F.lit("=LDR  00000cam"), F.concat(F.lit("=001  "), c("p_partkey")), F.lit("no tag at all"), F.lit("=12"), F.lit("=245  10$aan earlier title /"), F.concat(F.lit("=100  1\\\\$a"), "p_brand", F.lit(",")), F.concat(F.lit("=245  10$a"), "p_name", F.lit(" /$ba statement")),
+        F.concat(F.lit("=264  \\\\1$bpress,$c"), F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (key % 300).cast("int")), "yyyyMMdd"), F.lit(".")), F.concat(F.lit("=852  \\\\\\\\$aB"), c("p_size"), F.lit("$hQA$i"), c("p_size"), F.lit("$ix")),
+        F.lit("=876  \\\\\\\\$aitem$hloan"), F.concat(F.lit("=583  \\\\\\\\$aLOANSTART$bD8$c20210203$xP"), (key % 7).cast("string")), F.when(key % 2 == 0, F.lit("=583  \\\\\\\\$aLOANEND$bD8$c20210304")).otherwise(F.lit("=583  \\\\\\\\$aLOANEND$bD8")),
+        F.lit("=583  \\\\\\\\$aHOLDPLACED$c20210101$3someone"),
+    ]
+    parsed = formats.tagged_records(table(spark, sf, "part").select(F.concat_ws("\n", *lines).alias("text"))).select(formats.holding(F.col("fields")).alias("h"))
+    loan = F.get("h.loans", 0)
+    return parsed.select("h.holding_id", "h.title", "h.author", "h.published", "h.branch_id", "h.call_number", loan["policy_code"].alias("policy_code"), loan["effective_start"].alias("effective_start"), loan["effective_end"].alias("effective_end"), F.size("h.reservations").alias("reservations"))
+
+
+@query(
+    "s14_channels",
+    """SELECT 'S' || s_suppkey || '-' || c || '-' || e AS channel_id, CASE c WHEN 'BHZ' THEN 20.0 END AS sample_rate_hz, '20' || (10 + e) AS start, CASE e WHEN 1 THEN '2012' END AS "end", s_acctbal AS latitude
+    FROM supplier, (SELECT unnest(['BHZ', 'LHZ']) AS c), (SELECT unnest([1, 2]) AS e)""",
+)
+def s14_channels(spark: SparkSession, sf: str) -> DataFrame:
+    """Stations with two channels of two epochs each, comments and bad numbers, made of suppliers, a file for each."""
+    key = F.col("s_suppkey").cast("string")
+    body = [F.lit("RATE 1"), F.lit("# a comment"), F.concat(F.lit("STA S"), key), F.concat(F.lit("LAT "), F.col("s_acctbal").cast("string")), F.lit("ELEV high"), F.lit("CHAN BHZ"), F.lit("RATE 20"), F.lit("EPOCH 2011 2012"), F.lit("EPOCH 2012 OPEN"), F.lit("CHAN LHZ"), F.lit("RATE fast"), F.lit("EPOCH 2011 2012"), F.lit("EPOCH 2012"), F.lit("END"), F.lit("EPOCH 1 2")]
+    lines = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("file"), F.posexplode(F.array(*body)).alias("n", "line"))
+    heads, channels = formats.stations(lines)
+    return channels.join(heads.select("station_id", "latitude"), "station_id").select("channel_id", "sample_rate_hz", "start", "end", "latitude")
+
+
+@query(
+    "s16_maintenance",
+    """SELECT 'airframe' AS kind, 'N' || p_partkey AS id, p_type AS a, p_size::DOUBLE AS x FROM part UNION ALL SELECT 'component', 'C' || p_partkey, 'N' || p_partkey, NULL FROM part UNION ALL SELECT 'life-limit', 'P' || p_partkey, NULL, p_size + 0.5 FROM part
+    UNION ALL SELECT 'directive', 'D' || p_partkey, p_name, 100.0 FROM part UNION ALL SELECT 'compliance', 'D' || p_partkey, 'C' || p_partkey, NULL FROM part""",
+)
+def s16_maintenance(spark: SparkSession, sf: str) -> DataFrame:
+    """All five kinds of blocks, with lines that belong to none and numbers that are none, made of parts."""
+    c = lambda x, before="": F.concat(F.lit(before), F.col(x).cast("string"))
+    body = [
+        F.lit("HOURS 5"), c("p_partkey", "AIRFRAME N"), c("p_type", "TYPE "), c("p_size", "HOURS "), F.lit("TITLE of no airframe"), c("p_partkey", "COMPONENT C"), c("p_partkey", "TAIL N"), F.lit("INSTALLED-HOURS many"), F.lit("END"), F.lit("TAIL N0"),
+        c("p_partkey", "LIFE-LIMIT P"), F.concat(c("p_size", "LIMIT-HOURS "), F.lit(".5")), c("p_partkey", "DIRECTIVE D"), c("p_name", "TITLE "), F.lit("INTERVAL-HOURS 100"), F.lit("END"), F.concat(c("p_partkey", "COMPLIANCE D"), c("p_partkey", "  C")), F.lit("METHOD test"),
+    ]
+    got = formats.maintenance(table(spark, sf, "part").select(F.col("p_partkey").alias("file"), F.posexplode(F.array(*body)).alias("n", "line")))
+    none = F.lit(None)
+    row = lambda kind, id_, a, x: got[kind].select(F.lit(kind).alias("kind"), F.col(id_).alias("id"), (F.col(a) if a else none.cast("string")).alias("a"), (F.col(x) if x else none.cast("double")).alias("x"))
+    parts = [row("airframe", "tail_number", "type_designation", "total_hours"), row("component", "component_id", "tail_number", "installed_hours"), row("life-limit", "part_number", None, "limit_hours"), row("directive", "directive_id", "title", "interval_hours"), row("compliance", "directive_id", "component_id", None)]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])

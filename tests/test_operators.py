@@ -192,7 +192,7 @@ def test_headings(spark):
 def test_duplicate_transform_is_an_error(spark):
     with pytest.raises(ValueError):
         registry.register_transform("reverse-text", "")(lambda df: df)
-    assert [r["slug"] for r in registry.list_transforms(spark).collect()] == ["pseudonymise", "reverse-text", "tag-literals"]
+    assert [r["slug"] for r in registry.list_transforms(spark).collect()] == ["composed", "pseudonymise", "reverse-text", "tag-literals"]
 
 
 def test_long_subfields_are_whole(spark):
