@@ -47,6 +47,9 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def cut(df: DataFrame, kind: str = "table", scratch: Scratch | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it again: cuts lineage and survives lost executors.
 
@@ -56,7 +59,13 @@ def cut(df: DataFrame, kind: str = "table", scratch: Scratch | None = None) -> D
     path = new_path(spark, kind)
     if scratch is not None:
         scratch.paths.append(path)
-    df.write.parquet(path)
+    # Rows are whole texts or sets of hashes, and Python holds a batch several times over.
+    was = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, "4m")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_BYTES, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -75,7 +84,7 @@ class Scratch:
             fs.delete(where, True)
 
 
-def slices(batches: Iterator[pd.Series], chars: int = 1 << 21) -> Iterator[pd.Series]:
+def slices(batches: Iterator[pd.Series], chars: int = 1 << 20) -> Iterator[pd.Series]:
     """Texts in parts of about `chars` characters. Spark bounds a batch by bytes; what a task makes of it is bounded here."""
     for texts in batches:
         size = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))

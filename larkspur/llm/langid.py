@@ -108,24 +108,24 @@ class Lattice:
     # Steps between two scalings: the least probability of a piece to this power is still a normal number.
     EVERY = 12
 
-    def forward(self, p: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-        """(log of the sum over segmentations, of each word and column of p; of each piece in the lattice its share of what ends there).
+    def forward(self, p: np.ndarray, longest: int, shares: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """(log of the sum over segmentations, of each word and column of p; with `shares` of each piece in the lattice its share of what ends there).
 
         p: probability of each piece (row) in each language (column).
         """
         alpha = np.zeros((int((self.size + 1).sum()), p.shape[1]))
         alpha[self.node] = 1.0
         log = np.zeros((len(self.size), p.shape[1]))
-        share = np.empty((len(self.step), p.shape[1]))
+        share = np.empty((len(self.step), p.shape[1])) if shares else None
         end = self.node[self.owner] + self.step
-        weight = p[self.piece]
         cuts = np.flatnonzero(np.diff(self.step, prepend=0, append=self.step[-1] + 1))
         for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             t, owner = int(self.step[a]), self.owner[a:z]
-            into = alpha[end[a:z] - self.length[a:z]] * weight[a:z]
+            into = alpha[end[a:z] - self.length[a:z]] * p[self.piece[a:z]]
             head = np.flatnonzero(np.diff(owner, prepend=-1))
             total = np.add.reduceat(into, head, axis=0)
-            share[a:z] = into / np.repeat(total, np.diff(np.append(head, z - a)), axis=0)
+            if shares:
+                share[a:z] = into / np.repeat(total, np.diff(np.append(head, z - a)), axis=0)
             at = end[a:z][head]
             alpha[at] = total
             if t % self.EVERY == 0:
@@ -175,7 +175,7 @@ def words_of(text: str) -> list[str]:
     return [w for w in (w if w.lstrip(" ").isalpha() else "".join(c for c in w if c == " " or c.isalpha()) for w in words) if w.strip(" ")]
 
 
-def by_length(words: list[bytes], most: int = 1 << 17) -> Iterator[np.ndarray]:
+def by_length(words: list[bytes], most: int = 1 << 15) -> Iterator[np.ndarray]:
     """Positions of words, shortest first, in runs of about `most` bytes."""
     size = np.array([len(w) for w in words])
     order = np.argsort(size, kind="stable")
@@ -206,7 +206,7 @@ def expected_counts(words: list[bytes], n: np.ndarray, p: np.ndarray, pieces: Pi
     out = np.zeros(pieces.n)
     for at in by_length(words):
         lattice = pieces.find([words[i] for i in at.tolist()])
-        out += lattice.expected(lattice.forward(p[:, None], pieces.longest)[1][:, 0], n[at], pieces.n)
+        out += lattice.expected(lattice.forward(p[:, None], pieces.longest, shares=True)[1][:, 0], n[at], pieces.n)
     return out
 
 
@@ -300,7 +300,7 @@ class Scorer:
                 held.append((i, words_of(part)))
                 n[i] += len(held[-1][1])
                 chars += len(part)
-                if chars > 1 << 22:
+                if chars > 1 << 20:
                     self._add(held, total)
                     held, chars = [], 0
         self._add(held, total)
