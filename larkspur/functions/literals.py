@@ -7,8 +7,9 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 # The patterns of the classes, which are tried in this order on the stripped content. PATH has \p{L}\p{N}_
 # for \w, since letters and digits of all scripts count there.
@@ -168,3 +169,18 @@ def tag_texts(df: DataFrame, doc: str, text: str = "text", level: int = 1) -> Da
     by_class = F.coalesce("literals_by_class", none)
     total = F.aggregate(F.map_values(by_class), F.lit(0).cast("long"), lambda a, b: a + b)
     return out.withColumn("output", F.array_join(pieces, "")).withColumn("total_literals", total).withColumn("literals_by_class", by_class).drop("_tags", "_cut")
+
+
+@udtf(returnType="pos int, start int, end int, quote string, content string")
+class Literals:
+    """Table function: a row for each literal of a text, for SQL: `SELECT ... FROM t, LATERAL literals_of(text)`."""
+
+    def eval(self, text: str):
+        for pos, (a, z) in enumerate(literal_spans(text or "")):
+            n = 3 if z - a >= 6 and text[a : a + 3] in ('"""', "'''") else 1
+            yield pos, a, z, text[a : a + n], text[a + n : z - n]
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Names for SQL: the table function literals_of."""
+    spark.udtf.register("literals_of", Literals)

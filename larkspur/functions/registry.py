@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,3 +84,28 @@ def composed(df: DataFrame, doc: str, key: bytes, level: int = 1) -> DataFrame:
 
     out = tag_literals(df, doc, level).withColumn("output", run(F.col("output"), key, level)["output"])
     return out.drop("literals_by_class", "total_literals").withColumn("chain", F.array(F.lit("tag-literals"), F.lit("pseudonymise")))
+
+
+def arms(df: DataFrame, names: Sequence[str], doc: str, family: str, key: bytes, level: int = 1) -> DataFrame:
+    """(doc, arm, output): each text as every arm of an experiment shows it. An arm is `source` (as it is), `blind` (its
+    profile) or a registered transform; an unknown one is an error."""
+    from .code import profile
+
+    def output(name: str) -> DataFrame:
+        if name == "source":
+            return df.withColumn("output", F.col("text"))
+        if name == "blind":
+            return df.withColumn("output", profile(F.col("text"), family))
+        options = {"pseudonymise": {"key": key, "level": level}, "tag-literals": {"doc": doc, "level": level}, "composed": {"doc": doc, "key": key, "level": level}}
+        return transform(df, name, **options.get(name, {}))
+
+    shown = [output(n).select(doc, F.lit(n).alias("arm"), "output") for n in names]
+    return functools.reduce(DataFrame.unionByName, shown)
+
+
+def transform_tree(spark: SparkSession, path: str, slug: str, family: str, target: str, **options) -> DataFrame:
+    """A source tree through one transform with one target for all files: (path, target, output, output_sha256, delta, error)."""
+    from larkspur.sources.records import source_tree
+
+    files = source_tree(spark, path).select("path", F.col("content").alias("text"))
+    return batch(files, slug, family, **options).withColumn("target", F.lit(target)).select("path", "target", "output", "output_sha256", "delta", "error")

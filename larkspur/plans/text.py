@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions import code, identifiers, literals, registry, similarity, stats
+from larkspur.functions import catalogue, code, identifiers, literals, registry, similarity, stats
 from larkspur.sources import formats
 from larkspur.sources.tables import table
 
@@ -309,3 +309,46 @@ def s16_maintenance(spark: SparkSession, sf: str) -> DataFrame:
     row = lambda kind, id_, a, x: got[kind].select(F.lit(kind).alias("kind"), F.col(id_).alias("id"), (F.col(a) if a else none.cast("string")).alias("a"), (F.col(x) if x else none.cast("double")).alias("x"))
     parts = [row("airframe", "tail_number", "type_designation", "total_hours"), row("component", "component_id", "tail_number", "installed_hours"), row("life-limit", "part_number", None, "limit_hours"), row("directive", "directive_id", "title", "interval_hours"), row("compliance", "directive_id", "component_id", None)]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])
+
+
+MODEL = "p_name || '-' || CASE p_partkey % 5 WHEN 0 THEN p_size || 'x7b' WHEN 1 THEN p_size || 'b-a3b' WHEN 2 THEN p_size || '.5B coder' WHEN 3 THEN 'thinking ' || p_size || 'b' ELSE 'embedder' END"
+
+
+@query(
+    "p15_model_catalogue",
+    f"""WITH m AS (SELECT p_partkey, lower({MODEL}) AS s, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice / 1000 END AS price, p_partkey % 5 AS k, p_size::DOUBLE AS n FROM part), b AS (SELECT *, CASE k WHEN 0 THEN n * 7 WHEN 1 THEN n WHEN 2 THEN n + 0.5 WHEN 3 THEN n END AS size FROM m WHERE k <> 4)
+    SELECT p_partkey, size, CASE WHEN price IS NOT NULL THEN CASE WHEN price <= 0.2 THEN '$' WHEN price <= 0.6 THEN '$$' WHEN price <= 1.5 THEN '$$$' ELSE '$$$$' END ELSE CASE WHEN size <= 8 THEN '$' WHEN size <= 34 THEN '$$' WHEN size <= 80 THEN '$$$' ELSE '$$$$' END END AS tier,
+    CASE WHEN size <= 8 THEN 's' WHEN size <= 34 THEN 'm' WHEN size <= 80 THEN 'l' ELSE 'xl' END AS bucket, CASE k WHEN 2 THEN 'coder' WHEN 3 THEN 'reasoning' ELSE 'general' END AS role FROM b""",
+)
+def p15_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """A catalogue of models: what is no text model goes; size, cost tier, bucket and role by name and price."""
+    part = table(spark, sf, "part").select("p_partkey", F.expr(MODEL).alias("model"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_retailprice") / 1000).alias("price"))
+    kept = part.where(~catalogue.excluded(F.col("model"))).withColumn("size", catalogue.billions(F.col("model")))
+    return kept.select("p_partkey", "size", catalogue.cost_tier(F.col("price"), F.col("size")).alias("tier"), catalogue.size_bucket(F.col("size")).alias("bucket"), catalogue.role(F.col("model")).alias("role"))
+
+
+CATALOGUE, OVERLAY = ("widget", "cold widget", "blue rod", "rod"), ("large", "PROMO")
+
+
+@query(
+    "s09_term_catalogue",
+    r"SELECT p_partkey, array_to_string(list_sort(list_distinct([lower(x) for x in regexp_extract_all(p_name || ' ' || p_type, '(?i)\b(cold widget|blue rod|widget|large|promo|rod)\b')])), ',') AS terms FROM part",
+)
+def s09(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of a catalogue and its overlay, phrases before the words in them."""
+    pattern = catalogue.term_pattern(CATALOGUE, OVERLAY)
+    return table(spark, sf, "part").select("p_partkey", F.array_join(catalogue.term_hits(F.concat_ws(" ", "p_name", "p_type"), pattern), ",").alias("terms"))
+
+
+@query("e01_arms", "SELECT page_id, 'source' AS arm, sha256(html) AS sha256 FROM pages UNION ALL SELECT page_id, 'reverse-text', sha256(reverse(html)) FROM pages")
+def e01(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as the arms of an experiment show them."""
+    pages = table(spark, sf, "pages").select("page_id", F.col("html").alias("text"))
+    return registry.arms(pages, ["source", "reverse-text"], "page_id", "tsx", KEY).select("page_id", "arm", F.sha2("output", 256).alias("sha256"))
+
+
+@query("e02_literal_rows")
+def e02(spark: SparkSession, sf: str) -> DataFrame:
+    """Literals of pages as rows of a table function, in SQL."""
+    literals.register_functions(spark)
+    return spark.sql("SELECT page_id, l.pos, l.start, l.end, l.quote FROM {pages}, LATERAL literals_of(html) AS l", pages=table(spark, sf, "pages"))

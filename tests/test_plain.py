@@ -314,3 +314,29 @@ def test_malformed_blocks(spark):
     got = formats.maintenance(lines)
     assert sorted((r["directive_id"] or "", r["component_id"]) for r in got["compliance"].collect()) == [("", None), ("D1", None)]
     assert [tuple(r) for r in got["applicability"].collect()] == [("D", "SERIAL_RANGE", None, "5", "")] and got["directive"].first()["interval_days"] is None
+
+
+def test_literal_rows_equal_a_plain_walk(spark, sf):
+    got = sorted(tuple(r) for r in plans.queries()["e02_literal_rows"](spark, sf).collect())
+    want = sorted((i, k, a, z, q) for i, text in duckdb.sql(f"select page_id, html from '{sf}/pages.parquet'").fetchall() for k, (a, z, q) in enumerate(plain_literals(text)))
+    assert got == want and got
+
+
+def test_arms_and_trees(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'x = "a b"')], "d int, text string")
+    got = {r["arm"]: r["output"] for r in registry.arms(df, ["source", "blind", "tag-literals", "pseudonymise", "composed"], "d", "tsx", bytes(16)).collect()}
+    assert got["source"] == 'x = "a b"' and got["blind"].startswith("STRUCTURAL PROFILE") and got["tag-literals"] == 'x = "<MSG:0>"'
+    with pytest.raises(KeyError, match="unknown transform"):
+        registry.arms(df, ["other"], "d", "tsx", bytes(16))
+    (tmp_path / "a.go").write_text("package a\n")
+    (tmp_path / "a_test.go").write_text("package a\n")
+    r = registry.transform_tree(spark, str(tmp_path), "reverse-text", "go", "radio").collect()
+    assert [(x["target"], x["output"], x["error"], x["delta"]["lines"]) for x in r] == [("radio", "\na egakcap", None, 1)]
+
+
+def test_model_names(spark):
+    from larkspur.functions import catalogue
+
+    df = spark.createDataFrame([("mixtral-8x7B",), ("qwen3-30b-a3b",), ("llama-3.1-70b",), ("gpt",), ("x-7bit",), ("KNOWN/one",)], "m string")
+    assert [r[0] for r in df.select(catalogue.billions(F.col("m"), {"known/one": 5})).collect()] == [56.0, 30.0, 70.0, None, None, 5.0]
+    assert catalogue.term_pattern([]) == "(?!)" and catalogue.term_pattern(["c++", "a b"], ["A B"]).count("a b") == 1
