@@ -4,7 +4,8 @@ A rotation of the centred vectors is learnt so that signs lose little (principal
 Procrustes steps); signs are the bits of a code. The code is cut into substrings and each is the key of one table,
 together with the label. More rotations, from other starts, make the code longer and give more tables. The bits of a
 key follow the number of vectors, so that buckets keep their size. The number of tables is measured: sampled vectors
-get partners at the threshold, and tables are added until at least `recall` of these pairs agree in one.
+that had no part in the fit get partners at the threshold, and tables are added until at least `recall` of these pairs
+agree in one.
 
 Retrieval has two steps. First only codes are dealt to buckets; pairs whose Hamming distance is over that of every
 measured pair (with a margin) are passed over, and each pair is looked at in the first table that it shares. Then the
@@ -91,11 +92,12 @@ def learn(sample: np.ndarray, labelled: int, options: VectorOptions) -> Index:
         sample = np.concatenate([sample, more / np.linalg.norm(more, axis=1, keepdims=True)])
     bits = int(np.clip(round(math.log2(max(2.0, labelled / options.bucket))), min(4, dim), min(dim, options.most_bits)))
     mean = sample.mean(axis=0)
-    x, y = sample - mean, partners(sample, options.threshold) - mean
-    principal = np.linalg.eigh(x.T @ x + 1e-9 * np.eye(dim))[1][:, ::-1]
-    v = x @ principal
-    axes, tables, apart, rounds = [], 0, np.zeros(len(sample), np.int64), options.rounds
-    missed = np.ones(len(sample), bool)
+    # Half of the sample is fitted; pairs are made of the other half, for which the fit isn't flattering.
+    fitted, x, y = sample[::2] - mean, sample[1::2] - mean, partners(sample[1::2], options.threshold) - mean
+    principal = np.linalg.eigh(fitted.T @ fitted + 1e-9 * np.eye(dim))[1][:, ::-1]
+    v = fitted @ principal
+    axes, tables, apart, rounds = [], 0, np.zeros(len(x), np.int64), options.rounds
+    missed = np.ones(len(x), bool)
     while missed.mean() > 1 - options.recall:
         k, before = len(axes), int(missed.sum())
         turn = np.linalg.qr(np.random.default_rng(k).standard_normal((dim, dim)))[0]
