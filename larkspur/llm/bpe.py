@@ -84,6 +84,11 @@ class Cached:
 
         self.first, self.spaced = make(""), make(" ")
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        for words in (self.pieces, self.first, self.spaced):
+            words.clear()
+
     def raw(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
         if sys.byteorder == "big":

@@ -274,7 +274,7 @@ def train(labelled: DataFrame, options: FitOptions = FitOptions(), id_col: str =
 class Scorer:
     """Keeps the scores of words that one task has met, up to a bound."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 120_000):
         self.model, self.most = model, most
         self._forget()
 

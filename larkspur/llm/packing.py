@@ -101,8 +101,12 @@ def token_length(text: Column, vocabulary_name: str = "byte_bpe_50k.json") -> Co
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = tokenizers_cached(path)
-        for texts in slices(batches):
-            yield pd.Series([len(encode(t)) // encode.dtype.itemsize + 1 for t in texts], dtype="int64")
+        try:
+            for texts in slices(batches):
+                yield pd.Series([len(encode(t)) // encode.dtype.itemsize + 1 for t in texts], dtype="int64")
+        finally:
+            # The worker lives on; what comes after packing has no use for its words.
+            encode.forget()
 
     return F.pandas_udf(run, "long")(text)
 
