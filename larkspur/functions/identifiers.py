@@ -6,10 +6,11 @@ and each attempt gives the same pseudonyms.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,6 +23,8 @@ GENERIC = frozenset("config count data handler id index item key name result sta
 
 # Quoted strings and comments are passed over; numbers too; identifiers have two characters or more.
 TOKEN = re.compile(r"""(?P<skip>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|//[^\n]*|#[^\n]*|\d\w*)|(?P<word>[^\W\d]\w+)""")
+# Quotes of a line up to which an unclosed one may be looked at again for each.
+FEW_QUOTES = 64
 WORD_KEY = re.compile(r"[A-Za-z0-9_]+")
 
 
@@ -56,6 +59,37 @@ def pseudonym(key: bytes, word: str) -> str:
     raise ValueError("no pseudonym found")
 
 
+@functools.cache
+def _tokens(quotes: str) -> re.Pattern:
+    """TOKEN with only some kinds of quotes, and a quote of these kinds that the line doesn't close."""
+    closed = "".join(rf"{q}(?:[^{q}\\\n]|\\.)*+{q}|" for q in quotes)
+    dead = rf"(?P<dead>[{quotes}])|" if quotes else ""
+    return re.compile(rf"(?P<skip>{closed}//[^\n]*|#[^\n]*|\d\w*)|{dead}(?P<word>[^\W\d]\w+)")
+
+
+def replaced(replace: Callable[[re.Match], str], text: str) -> str:
+    """TOKEN.sub in linear time: where a line has many quotes, a kind that is once unclosed is left out of its rest."""
+    many = lambda x: x.count('"') + x.count("'") > FEW_QUOTES
+    if not many(text):
+        return TOKEN.sub(replace, text)
+
+    def line_of(line: str) -> str:
+        out, at, quotes = [], 0, "\"'"
+        while at is not None:
+            rest, after = at, None
+            for m in _tokens(quotes).finditer(line, at):
+                if m.lastgroup == "dead":
+                    quotes, after = quotes.replace(m[0], ""), m.end()
+                    break
+                out += [line[rest : m.start()], replace(m)]
+                rest = m.end()
+            out.append(line[rest:after])
+            at = after
+        return "".join(out)
+
+    return "\n".join(line_of(x) if many(x) else TOKEN.sub(replace, x) for x in text.split("\n"))
+
+
 def pseudonymise_one(text: str | None, key: bytes, level: int, cache: dict[str, str]) -> tuple:
     """(output, replaced, skipped, distinct, collisions, map back) of one text; cache: pseudonyms met before."""
     counts, back, used = [0, 0], {}, {}
@@ -73,7 +107,7 @@ def pseudonymise_one(text: str | None, key: bytes, level: int, cache: dict[str,
         back.setdefault(p, w)
         return p
 
-    out = None if text is None else TOKEN.sub(replace, text)
+    out = None if text is None else replaced(replace, text)
     if len(cache) > 200_000:
         cache.clear()
     return out, counts[0], counts[1], len(used), len(used) - len(back), back
