@@ -84,11 +84,6 @@ class Cached:
 
         self.first, self.spaced = make(""), make(" ")
 
-    def forget(self) -> None:
-        """Empty the caches."""
-        for words in (self.pieces, self.first, self.spaced):
-            words.clear()
-
     def raw(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
         if sys.byteorder == "big":
@@ -136,6 +131,15 @@ def tiktoken_cached(path: str) -> Cached:
     return _held["cached", path]
 
 
+def release(path: str) -> None:
+    """Let go of the ranks of a file and of the words met under them, as far as this worker holds them."""
+    _held.pop(("tiktoken", path), None)
+    cached = _held.pop(("cached", path), None)
+    if cached:
+        for words in (cached.pieces, cached.first, cached.spaced):
+            words.clear()
+
+
 def byte_spelling() -> dict[int, int]:
     """Byte -> the character that byte-level vocabularies spell it with: itself if printable, else one from 256 on."""
     plain = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()]

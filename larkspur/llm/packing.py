@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import tokenizers_cached
+from .bpe import release, tiktoken_cached
 from .common import complete_groups, cut, partitions, slices, vocabulary
 
 
@@ -95,18 +95,18 @@ def pack_documents(docs: DataFrame, length: Column, options: PackOptions = PackO
     return dealt.mapInPandas(run, "doc_id long, piece long, start long, size long, bin_id string, offset long, capacity long")
 
 
-def token_length(text: Column, vocabulary_name: str = "byte_bpe_50k.json") -> Column:
+def token_length(text: Column, vocabulary_name: str = "byte_bpe_50k.tiktoken") -> Column:
     """Tokens of a text, with an end mark."""
     path = vocabulary(vocabulary_name)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = tokenizers_cached(path)
+        encode = tiktoken_cached(path)
         try:
             for texts in slices(batches):
                 yield pd.Series([len(encode(t)) // encode.dtype.itemsize + 1 for t in texts], dtype="int64")
         finally:
-            # The worker lives on; what comes after packing has no use for its words.
-            encode.forget()
+            # The worker lives on, and what comes after packing has no use for this.
+            release(path)
 
     return F.pandas_udf(run, "long")(text)
 
