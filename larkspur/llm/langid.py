@@ -11,6 +11,9 @@ Probabilities are fitted by expectation maximisation on a bounded sample of labe
 Spark sums the sample's words by language and, in each round, the expected counts of pieces; what reaches the driver is
 a number for each language and piece.
 
+The model has a column for each language, so it and what a round broadcasts grow with the number of languages, never
+with the rows. Each language that has a labelled letter is learnt, however many there are.
+
 Edge cases: a text that is null or has no letter is `und` with score 0. Ties go to the language that sorts first.
 Without any labelled text every text is `und`. Repeated rows each count and each give a row; an empty table gives no
 rows. Very long texts are scored whole, in parts that end before a space. A column of the input may have any name.
@@ -28,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, fresh, slices, vocabulary
+from .common import Scratch, cut, fresh, slices, tidy, vocabulary
 from .words import BACK, BYTES, GOLD, mix, powers
 
 UNKNOWN = "und"
@@ -37,7 +40,7 @@ WORD = re.compile(r" ?[^\W\d_]+")
 
 @dataclass(frozen=True)
 class FitOptions:
-    """vocabulary: file of pieces. sample: labelled documents, about, by a hash of their id. rounds: of EM. smoothing: added to each piece's expected count."""
+    """vocabulary: file of pieces. sample: labelled documents, about, by a hash of their id; one of each language at least. rounds: of EM. smoothing: added to each piece's expected count."""
 
     vocabulary: str = "byte_bpe_multi_50k.tiktoken"
     sample: int = 4000
@@ -159,6 +162,11 @@ def load_pieces(path: str) -> Pieces:
     return _held[path]
 
 
+def release() -> None:
+    """Let go of the table of pieces: workers outlive the stage that needs it."""
+    _held.clear()
+
+
 def parts_of(text: str | None, chars: int = 1 << 20) -> Iterator[str]:
     """The text in parts of `chars` characters and the rest of the word there, each but the first beginning with a space."""
     a = 0
@@ -211,21 +219,27 @@ def expected_counts(words: list[bytes], n: np.ndarray, p: np.ndarray, pieces: Pi
 
 
 def sampled(labelled: DataFrame, options: FitOptions, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, text): of each language documents with the smallest hashes of their ids, about as many of each."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """(lang, text): of each language documents with the smallest hashes of their ids, about as many of each and one at least.
+
+    Documents without a letter teach nothing and are not drawn.
+    """
+    usable = F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")
+    rows = labelled.where(usable).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("first")).collect()
     if not sizes:
         return rows.select("lang", "text").limit(0)
-    # A hash bound from the size of each language: a bounded sample without a window over a hot language.
-    share, top = options.sample // len(sizes), float(2**63)
-    bound = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(-top + 2 * top * min(1.0, share / n)))])
-    return rows.where(F.col("h").cast("double") <= F.element_at(bound, F.col("lang"))).select("lang", "text")
+    # A hash bound from the size of each language, never under its first hash: a sample without a window over a hot
+    # language, bounded by `sample` and one document of each language.
+    share, top = options.sample / len(sizes), float(2**63)
+    bounds = labelled.sparkSession.createDataFrame([(r["lang"], max(float(r["first"]), -top + 2 * top * min(1.0, share / r["n"]))) for r in sizes], "lang string, bound double")
+    return rows.join(F.broadcast(bounds), "lang").where(F.col("h").cast("double") <= F.col("bound")).select("lang", "text")
 
 
 def train(labelled: DataFrame, options: FitOptions = FitOptions(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit on `labelled` (id, text, lang); null when it has no labelled word."""
     spark, path = labelled.sparkSession, vocabulary(options.vocabulary)
 
+    @tidy
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tally: dict[tuple[str, str], int] = {}
 
@@ -254,6 +268,7 @@ def train(labelled: DataFrame, options: FitOptions = FitOptions(), id_col: str =
         for _ in range(options.rounds):
             shared = spark.sparkContext.broadcast(p)
 
+            @tidy
             def expect(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
                 pieces, sums = load_pieces(path), {}
                 for pdf in batches:
@@ -321,11 +336,16 @@ def identify(text: Column, model: Model | None) -> Column:
     """struct(lang_pred, score) of a text column."""
     shared = SparkSession.active().sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value) if shared.value else None
-        for texts in slices(batches):
-            langs, scores = scorer.texts(list(texts)) if scorer else ([UNKNOWN] * len(texts), [0.0] * len(texts))
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+        try:
+            for texts in slices(batches):
+                langs, scores = scorer.texts(list(texts)) if scorer else ([UNKNOWN] * len(texts), [0.0] * len(texts))
+                yield pd.DataFrame({"lang_pred": langs, "score": scores})
+        finally:
+            del scorer
+            release()
 
     return F.pandas_udf(run, "lang_pred string, score double")(text)
 

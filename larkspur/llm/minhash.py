@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, complete_groups, connected_components, cut, fresh, partitions, slices, split_by
+from .common import Scratch, complete_groups, connected_components, cut, fresh, partitions, slices, split_by, tidy
 from .words import hash_texts, mix, rolling
 
 
@@ -98,6 +98,7 @@ class Hashes:
 def signatures(text: Column, options: LinkOptions) -> Column:
     """struct(n, set_hash, left, right, bins) of a text column; all but n are null for an empty set."""
 
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = Hashes(options)
         for texts in slices(batches):
@@ -124,6 +125,7 @@ def candidates(rows: DataFrame, options: LinkOptions, sparse: bool) -> DataFrame
     dealt = dealt.withColumn("b1", F.least("mine", "other")).withColumn("b2", F.greatest("mine", "other")).drop("other", "cnt")
     keys = ["key", "t", "b1", "b2"]
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in complete_groups(batches, keys, 4096):
             edge = np.zeros(len(pdf), bool)
@@ -174,6 +176,7 @@ def candidates(rows: DataFrame, options: LinkOptions, sparse: bool) -> DataFrame
 def confirmed(pairs: DataFrame, sets: DataFrame, options: LinkOptions) -> DataFrame:
     """The pairs whose full sets meet the threshold."""
 
+    @tidy
     def enough(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
             out = []
@@ -212,6 +215,7 @@ def _groups(own: DataFrame, options: LinkOptions, scratch: Scratch) -> DataFrame
     wanted = cut(members.select("id").distinct().join(classes.select("id", "rep", "set_hash"), "id").select(F.col("id").alias("class"), "set_hash", F.col("rep").alias("id")), "wanted", scratch)
     rows = members.join(signs, "id")
 
+    @tidy
     def as_sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in slices(batches):
             sets = shingle_sets(texts, options.words)

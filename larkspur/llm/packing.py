@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import release, tiktoken_cached
-from .common import complete_groups, cut, partitions, slices, vocabulary
+from .common import complete_groups, cut, partitions, slices, tidy, vocabulary
 
 
 @dataclass(frozen=True)
@@ -85,6 +85,7 @@ def pack_documents(docs: DataFrame, length: Column, options: PackOptions = PackO
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "n", "piece"), F.lit(groups)).cast("long"))
     dealt = dealt.repartition(min(groups, 8 * partitions(spark)), "group").sortWithinPartitions("group", F.desc("size"), "doc_id", "piece")
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for many in complete_groups(batches, ["group"], 4 * options.group):
             for group, pdf in many.groupby("group", sort=False):
@@ -99,6 +100,7 @@ def token_length(text: Column, vocabulary_name: str = "byte_bpe_50k.tiktoken") -
     """Tokens of a text, with an end mark."""
     path = vocabulary(vocabulary_name)
 
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = tiktoken_cached(path)
         try:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, vocabulary
+from .common import slices, tidy, vocabulary
 
 # The base kinds in their order of listing, and their patterns.
 KINDS = ("assign", "access", "hex", "token")
@@ -94,12 +94,14 @@ class Scanner:
     def spans(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         """(base spans, base spans and those of the token ratio)."""
         base = base_spans(text)
-        more = []
+        more, at, reach = [], 0, 0
         for m in self.run.finditer(text):
+            # Both run through the text: reach is the last end of the base spans that begin before this run ends.
+            while at < len(base) and base[at][1] < m.end():
+                reach = max(reach, base[at][2])
+                at += 1
             s = m[0]
-            if known_form(s):
-                continue
-            if any(a < m.end() and m.start() < b for _, a, b in base):
+            if reach > m.start() or known_form(s):
                 continue
             if self.badly_compressed([s]) and not self.identifier(s):
                 more.append(("token", *m.span()))
@@ -117,6 +119,7 @@ def scan_secrets(docs: DataFrame, options: ScanOptions = ScanOptions(), id_col:
     """One row for each row of `docs`: counts by kind, digest of the base spans, and all spans."""
     path = vocabulary(options.vocabulary)
 
+    @tidy
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(options, path)
         for texts in slices(batches):
@@ -138,6 +141,7 @@ def redact(docs: DataFrame, options: ScanOptions = ScanOptions(), mask: str = "<
     """
     path = vocabulary(options.vocabulary)
 
+    @tidy
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scanner = Scanner(options, path)
 

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, fresh, join_counted, slices, split_by
+from .common import Scratch, cut, fresh, join_counted, slices, split_by, tidy
 from .fm_index import FMIndex
 from .words import BACK, GOLD, hash_texts, mix, powers, rolling, split_words
 
@@ -93,6 +93,7 @@ def hash_runs(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
 def segment_rows(docs: DataFrame, options: RepeatOptions) -> DataFrame:
     """(id, anchor, seg, at): every segment of every document."""
 
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in slices(batches):
             h, begin = hash_texts(texts)
@@ -153,6 +154,7 @@ def _reported(texts: DataFrame, asked: DataFrame, options: RepeatOptions, scratc
     asked = cut(asked.groupBy("id").agg(F.collect_list(F.struct("deal", "anchor", "seg", "at", "copies")).alias("asked")), "asked", scratch)
     shards = int((asked.agg(F.sum(F.size("asked"))).first()[0] or 0) // options.shard) + 1
 
+    @tidy
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, h, begin, row, asks in _asked_of(batches):
             at = np.fromiter((s["at"] for s in asks), np.int64, len(asks))
@@ -208,6 +210,7 @@ def repeated_windows(docs: DataFrame, options: RepeatOptions, scratch: Scratch)
     if not hot.isEmpty():
         window = options.window
 
+        @tidy
         def windows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part, h, begin, row, asks in _asked_of(batches):
                 start, n = np.divmod(np.array(asks, np.int64), PACK)
@@ -230,6 +233,7 @@ def repeated_windows(docs: DataFrame, options: RepeatOptions, scratch: Scratch)
 def keep_words(text: Column, repeats: Column, window: int) -> Column:
     """struct(n_words, n_removed, kept) of a text and its array of (a, b); kept is the words left, joined by spaces."""
 
+    @tidy
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, found in batches:
             rows = []

@@ -409,3 +409,24 @@ def test_intermediate_tables_go(spark):
     before = set(os.listdir(folder))
     assert substring.digests(df).count() == 4 and minhash.near_duplicates(df).count() == 4
     assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"spans", "groups"}
+
+
+def test_each_language_is_learnt_however_many_there_are(spark):
+    rows = [(i, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26 % 26) * 4} wörd", f"l{i:03}") for i in range(300)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.FitOptions(sample=40, rounds=1))
+    assert model.languages == sorted({r[2] for r in rows})
+
+
+def test_scans_take_linear_time():
+    import time
+
+    scanner = secrets.Scanner(secrets.ScanOptions(), common.vocabulary("byte_bpe_50k.tiktoken"))
+    one = "password = abcdef1 and constant_words_joined_together_here;\n" * 2000
+
+    def took(text):
+        began = time.process_time()
+        assert len(scanner.spans(text)[0]) == text.count("password")
+        return time.process_time() - began
+
+    took(one)
+    assert min(took(8 * one) for _ in range(3)) < 16 * min(took(one) for _ in range(3)) + 0.1
