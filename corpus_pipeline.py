@@ -1,8 +1,14 @@
 """A training corpus from documents: each stage takes what the one before kept.
 
 Stages: language identification (documents without a language go), near-duplicates (one of each group stays), repeated
-passages (their later copies go), secrets (masked), packing (sequences of tokens, each document with an end mark). All but the last
-return the columns of documents.
+passages (their later copies go), secrets (masked), packing (sequences of tokens, each document with an end mark). All but
+the last return the columns of documents.
+
+Edge cases: null and empty texts, and those without a letter, have no language and go in the first stage. Rows without
+an id are kept by every stage: they are near nobody and repeat nothing. Rows that share an id are one near-duplicate
+group, and of the group the rows with its smallest id stay; repeats are taken out of all of them. Ties go to the smaller
+id. Very long texts are processed whole. Extra columns pass all stages but packing, whatever their names. Empty tables
+give no rows.
 """
 
 from __future__ import annotations
@@ -56,8 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents; each result but the last is written and read again."""
-    docs = common.read_table(spark, sf_dir, "documents")
+    """The stages in order over documents; each result but the last is written and read again, and goes when the next is there."""
+    docs, before = common.read_table(spark, sf_dir, "documents"), common.Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        after = common.Scratch(spark)
+        with before:
+            docs = common.cut(stage(spark, docs, sf_dir), name.replace(" ", "_"), after)
+        before = after
+    # The last result may read its input when it is asked for rows.
     return STAGES[-1][1](spark, docs, sf_dir)
