@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, embedding_dedup, fingerprint, langid, minhash, packing, quality, secrets, substring, token_store
+from . import bpe, common, embedding_dedup, fingerprint, hard_negatives, langid, minhash, packing, quality, secrets, substring, token_store, toxicity, vector_codes
 
 
 def remainder(n: int) -> F.Column:
@@ -73,6 +73,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(common.read_table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document with its disguised words restored, learnt from labels outside the held-out fold."""
+    docs = common.read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False))
+    model = toxicity.train(docs, common.read_table(spark, sf_dir, "labels").where(~held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of other labels just under each positive's score, for every hundredth vector."""
+    return hard_negatives.hard_negatives(common.read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of each vector by four codebooks of 256 entries, and their errors."""
+    return vector_codes.vector_codes(common.read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_byte_bpe": op2_byte_bpe,
@@ -84,5 +103,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_toxicity": op11_toxicity,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_vector_codes": op13_vector_codes,
 }
-ORACLES: dict[str, str] = {"op4_minhash_near_dedup": minhash.ORACLE, "op5_substring_dedup": substring.ORACLE, "op6_embedding_near_dedup": embedding_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op4_minhash_near_dedup": minhash.ORACLE, "op5_substring_dedup": substring.ORACLE, "op6_embedding_near_dedup": embedding_dedup.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
