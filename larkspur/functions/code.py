@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,10 +138,97 @@ def foreign_words(stub: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: ~F.lower(w).isin(*TEMPLATE)))
 
 
-def fenced(text: Column) -> Column:
-    """The body of the one fenced block of a reply that begins after three lines of prose at most; the reply itself without one."""
-    body = F.regexp_extract(text, r"(?s)\A(?:[^\n`]*\n){0,3}```[\w+-]*\n(.*?)\n?```\s*(?:[^`]*)\z", 1)
-    return F.when(F.regexp_count(text, F.lit("```")) == 2, F.when(body != "", body).otherwise(text)).otherwise(text)
+SPACES = " \t\n\r\f\x0b"
+# A line that opens or closes a fenced block, one that can only close it, and marks of code in a line.
+FENCE, BARE_FENCE, CODE_MARKS = r"^```[^`]*$", r"^```\s*$", "[{};=]"
+
+
+def _strip(x: Column) -> Column:
+    return F.regexp_replace(x, rf"^[{SPACES}]+|[{SPACES}]+\z", "")
+
+
+def _rstrip(x: Column) -> Column:
+    return F.regexp_replace(x, rf"[{SPACES}]+\z", "")
+
+
+def _without_close(x: Column) -> Column:
+    return F.when(x.endswith("```"), F.substr(x, F.lit(1), F.length(x) - 3)).otherwise(x)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def unfenced(text: Column) -> Column:
+    """A text without the fence that wraps the whole of it; other texts without the white space around them."""
+
+    def unwrap(s: Column) -> Column:
+        end = F.locate("\n", s)
+        return F.when(~s.startswith("```") | (end == 0), s).otherwise(_rstrip(_without_close(F.substr(s, end + 1))))
+
+    return _let(_strip(text), unwrap)
+
+
+def fenced(text: Column, source: Column | None = None) -> Column:
+    """struct(body, discarded, error) of a reply.
+
+    body is what its one fenced block wraps, discarded the number of characters on the lines around it. Up to three lines
+    of prose may come before the block: three words or more, a stop at the end, no mark of code. A reply without fences,
+    one that is wholly a block, or one to a source with fences of its own is unwrapped as it is. Whatever else has fences
+    is refused: error says so and the body is null. A null reply gives nulls.
+    """
+    is_fence = lambda x: _rstrip(x).rlike(FENCE)
+    prose = lambda x: (F.size(F.filter(F.split(_strip(x), r"\s+"), lambda w: w != "")) >= 3) & _strip(x).rlike(r"[:.!]\z") & ~x.rlike(CODE_MARKS)
+    own = F.lit(False) if source is None else F.exists(F.split(F.coalesce(source, F.lit("")), r"\r\n|[\n\r]"), is_fence)
+
+    def read(r: Column) -> Column:
+        lines, at, n = r["lines"], r["at"], F.size(r["at"])
+        first, second = F.get(at, F.lit(0)), F.get(at, F.lit(1))
+        kept = (n == 0) | r["own"] | ((first == 1) & ((n == 1) | (second == F.size(lines))))
+        before = F.filter(F.slice(lines, 1, F.greatest(first - 1, F.lit(0))), lambda x: _strip(x) != "")
+        unsure = (n > 2) | (F.size(before) > 3) | F.exists(before, lambda x: ~prose(x)) | ((n == 2) & ~_rstrip(F.element_at(lines, second)).rlike(BARE_FENCE))
+        return _let(F.struct(lines.alias("lines"), n.alias("n"), first.alias("first"), F.when(n == 2, second).otherwise(F.size(lines) + 1).alias("close"), kept.alias("kept"), (~kept & unsure).alias("refused")), cut)
+
+    def cut(r: Column) -> Column:
+        lines, first, close = r["lines"], r["first"], r["close"]
+        body = F.array_join(F.slice(lines, first + 1, F.greatest(close - first - 1, F.lit(0))), "\n")
+        body = _rstrip(F.when(r["n"] == 1, _without_close(body)).otherwise(body))
+        around = F.transform(lines, lambda x, i: F.when((i + 1 < first) | (i + 1 > close), F.length(x)).otherwise(0))
+        return F.struct(
+            F.when(r["kept"], unfenced(F.array_join(lines, "\n"))).when(~r["refused"], body).alias("body"),
+            F.when(r["kept"], F.lit(0).cast("long")).when(~r["refused"], F.aggregate(around, F.lit(0).cast("long"), lambda a, k: a + k)).alias("discarded"),
+            F.when(r["refused"], "text outside a single fenced block").alias("error"),
+        )
+
+    fences = lambda lines: F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: is_fence(F.element_at(lines, i)))
+    return F.when(text.isNotNull(), _let(F.split(_strip(text), "\n"), lambda lines: _let(F.struct(lines.alias("lines"), fences(lines).alias("at"), own.alias("own")), read)))
+
+
+# Targets of a translation, by id and what they are about.
+TARGETS = {
+    "graph-traversal": "abstract graph traversal over labelled nodes",
+    "tensor-pipeline": "a pure computation pipeline over numeric tensors",
+    "event-scheduler": "a generic event-loop scheduler over opaque tasks",
+    "chess-engine": "a chess engine with positions, moves, and evaluations",
+    "recipe-manager": "a recipe-management app with ingredients, steps, and meal plans",
+    "wildlife-tracker": "a wildlife tracking system with species, sightings, and migration routes",
+    "logistics-dispatch": "a logistics dispatch system with shipments, routes, and carriers",
+    "music-streaming": "a music streaming service with tracks, playlists, and listeners",
+    "hotel-booking": "a hotel booking platform with rooms, reservations, and guests",
+}
+
+
+def pick_target(text: str | None, free: str | None, chosen: str | None) -> tuple[str, str | None]:
+    """(what a text is translated to, its id): a free description first, then a chosen id, then by the text's hash. An unknown id is an error."""
+    if free and free.strip():
+        return free.strip(), None
+    if chosen and chosen.strip():
+        if chosen.strip() not in TARGETS:
+            raise ValueError(f"unknown target: {chosen}")
+        return TARGETS[chosen.strip()], chosen.strip()
+    name = list(TARGETS)[int.from_bytes(hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).digest()[:8], "big") % len(TARGETS)]
+    return TARGETS[name], name
 
 
 def target(text: Column, n: int = 9) -> Column:
@@ -150,9 +241,22 @@ def blob_id(text: Column) -> Column:
     return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(text).cast("string"), F.lit("\0")), "UTF-8"), F.encode(text, "UTF-8")))
 
 
+# The clause that every Go text has, marks of TypeScript, and how much of a text is looked at for marks.
+GO_CLAUSE, TS_MARKS, HEAD = r"(?m)^package\s+[A-Za-z_]\w*\s*(?://.*)?$", ("=> ", "const ", "interface ", "export ", "function "), 4000
+
+
 def suffix(text: Column) -> Column:
-    """A file suffix from the look of a text."""
-    return F.when(text.rlike(r"(?m)^package\s+\w+\s*$"), ".go").when(text.rlike(r"(?m)^\s*(import .* from|export |const \w+ =|interface \w+)"), ".ts").otherwise(".py")
+    """A file suffix from the look of a text's head."""
+    head = F.substring(text, 1, HEAD)
+    go = (head.contains("package ") & head.contains("func ")) | head.rlike(GO_CLAUSE)
+    ts = functools.reduce(lambda a, b: a | b, [head.contains(m) for m in TS_MARKS]) & ~head.contains("def ")
+    return F.when(go, ".go").when(ts, ".ts").otherwise(".py")
+
+
+def dotted_suffix(value: Column) -> Column:
+    """A suffix as given ("ts", ".TS", " go ") in lower case with its dot; null for blanks, so that it is found by the text's look."""
+    s = F.lower(_strip(value))
+    return F.when(s == "", None).when(s.startswith("."), s).otherwise(F.concat(F.lit("."), s))
 
 
 def reply(text: Column, schema: str) -> Column:

@@ -54,11 +54,14 @@ def retention(before: Column, after: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(before, after)) / F.nullif(F.size(before), F.lit(0)), F.lit(0.0))
 
 
-def relative_agreement(a: Column, b: Column) -> Column:
-    """1 less the mean relative difference of two arrays; places where both are 0 don't count."""
-    pairs = F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p: (p["a"] != 0) | (p["b"] != 0))
-    off = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.abs(p["a"] - p["b"]) / F.greatest(F.abs(p["a"]), F.abs(p["b"])))
-    return F.when(F.size(pairs) == 0, 1.0).otherwise(1 - off / F.size(pairs))
+def relative_agreement(before: Column, after: Column) -> Column:
+    """The mean of 1 less the relative error of each counter, an error being 1 at most and counters from 0 counting as from 1.
+
+    Counters that are 0 on both sides don't count; 0 without any other. Each error is rounded to three places, halves up, and so is the mean.
+    """
+    pairs = F.filter(F.arrays_zip(before.alias("a"), after.alias("b")), lambda p: (p["a"] != 0) | (p["b"] != 0))
+    per = F.transform(pairs, lambda p: F.round(1 - F.least(F.lit(1.0), F.abs(p["b"] - p["a"]) / F.greatest(p["a"], F.lit(1))), 3))
+    return F.when(F.size(pairs) == 0, 0.0).otherwise(F.round(F.aggregate(per, F.lit(0.0), lambda s, x: s + x) / F.size(pairs), 3))
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371.0) -> Column:

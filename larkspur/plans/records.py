@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import code, registry, similarity
-from larkspur.operators import joins, updates
+from larkspur.operators import joins, runs, updates
 from larkspur.operators.associate import associate
 from larkspur.sources import records
 from larkspur.sources.tables import table
@@ -15,6 +15,19 @@ from .registry import query
 from .text import counters_sql
 
 
+def fenced_sql(reply: str) -> str:
+    """(conv_id, turn, body, discarded, error) of replies made of conversations, as `code.fenced` has them."""
+    ws = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    plain = f"CASE WHEN NOT starts_with(s, '```') OR NOT contains(s, chr(10)) THEN s ELSE rtrim(regexp_replace(substr(s, strpos(s, chr(10)) + 1), '```$', ''), {ws}) END"
+    return f"""WITH r AS (SELECT conv_id, turn, trim({reply}, {ws}) AS s FROM conversations), l AS (SELECT *, string_split(s, chr(10)) AS x FROM r),
+    a AS (SELECT *, list_filter(range(1, len(x) + 1), lambda i: regexp_full_match(rtrim(x[i], {ws}), '```[^`]*')) AS fences FROM l),
+    c AS (SELECT *, CASE WHEN len(fences) = 2 THEN fences[2] ELSE len(x) + 1 END AS z, len(fences) = 0 OR (fences[1] = 1 AND (len(fences) = 1 OR fences[2] = len(x))) AS kept, [p for p in x[1:fences[1] - 1] if trim(p, {ws}) <> ''] AS before FROM a),
+    d AS (SELECT *, len(fences) > 2 OR len(before) > 3 OR len([p for p in before if NOT (len([w for w in regexp_split_to_array(trim(p, {ws}), '\\s+') if w <> '']) >= 3 AND regexp_matches(trim(p, {ws}), '[:.!]$') AND NOT regexp_matches(p, '[{{}};=]'))]) > 0 OR (len(fences) = 2 AND NOT regexp_full_match(rtrim(x[fences[2]], {ws}), '```')) AS refused,
+      array_to_string(x[fences[1] + 1:z - 1], chr(10)) AS body FROM c)
+    SELECT conv_id, turn, CASE WHEN kept THEN {plain} WHEN NOT refused THEN rtrim(CASE WHEN len(fences) = 1 THEN regexp_replace(body, '```$', '') ELSE body END, {ws}) END AS body,
+    CASE WHEN kept THEN 0 WHEN NOT refused THEN (coalesce(list_sum([length(p) for p in x[1:fences[1] - 1]]), 0) + coalesce(list_sum([length(p) for p in x[z + 1:]]), 0))::BIGINT END AS discarded, CASE WHEN NOT kept AND refused THEN 'text outside a single fenced block' END AS error FROM d"""
+
+
 @query("j09_required_join", "SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON p_partkey = l_partkey")
 def j09(spark: SparkSession, sf: str) -> DataFrame:
     """A join in which a missing partner is an error."""
@@ -60,12 +73,11 @@ def t17_links(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("page_id", F.size("own").cast("long").alias("modules"), F.array_min("own").alias("first"))
 
 
-@query("t21_fenced_block", "SELECT conv_id, turn, text AS body FROM conversations WHERE NOT contains(text, '```')")
+@query("t21_fenced_block", fenced_sql("'Here it is:' || chr(10) || '```go' || chr(10) || text || chr(10) || '```' || chr(10) || 'Done.'"))
 def t21(spark: SparkSession, sf: str) -> DataFrame:
-    """The one fenced block of a reply after three lines of prose at most."""
-    talks = table(spark, sf, "conversations").where(~F.contains("text", F.lit("```")))
+    """The one fenced block of a reply after a line of prose; texts with fences of their own are refused."""
     wrapped = F.concat(F.lit("Here it is:\n```go\n"), "text", F.lit("\n```\nDone."))
-    return talks.select("conv_id", "turn", F.regexp_extract(wrapped, r"(?s)\A(?:[^\n`]*\n){0,3}```\w*\n(.*)\n```", 1).alias("body"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", code.fenced(wrapped).alias("r")).select("conv_id", "turn", "r.*")
 
 
 @query("t24_blind_profile", r"""SELECT doc_id, 'lines ' || (length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END) || ', bytes ' || strlen(text) || ', marks ' || len(regexp_extract_all(text, '[.,;:!?]')) AS stub, true AS content_free FROM documents""")
@@ -132,16 +144,56 @@ def t17(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.array_join(code.own_modules(text), ",").alias("names"))
 
 
+_REPLY = """CASE turn % 6 WHEN 0 THEN 'Here is it:' || chr(10) || '```go' || chr(10) || text || chr(10) || '```' WHEN 1 THEN 'Here it is.' || chr(10) || 'a = b;' || chr(10) || '```' || chr(10) || text || chr(10) || '```' WHEN 2 THEN text || chr(10) || 'no fence'
+  WHEN 3 THEN '```' || chr(10) || text || '```' WHEN 4 THEN 'It is this one:' || chr(10) || chr(10) || '```ts' || chr(10) || text || chr(10) || '```' || chr(10) || 'And ' || role || '.' ELSE repeat('This is a line.' || chr(10), 4) || '```' || chr(10) || text END"""
+
+
+@query("t21_fenced_reply", fenced_sql(_REPLY))
+def t21_reply(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies with one fenced block behind prose, behind code, without a fence, open at the end, with a note behind it, and behind too much prose."""
+    k, text = F.col("turn") % 6, F.col("text")
+    wrap = lambda before, after: F.concat(F.lit(before), text, after)
+    reply = F.when(k == 0, wrap("Here is it:\n```go\n", F.lit("\n```"))).when(k == 1, wrap("Here it is.\na = b;\n```\n", F.lit("\n```"))).when(k == 2, F.concat(text, F.lit("\nno fence")))
+    reply = reply.when(k == 3, wrap("```\n", F.lit("```"))).when(k == 4, wrap("It is this one:\n\n```ts\n", F.concat(F.lit("\n```\nAnd "), "role", F.lit(".")))).otherwise(wrap("This is a line.\n" * 4 + "```\n", F.lit("")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", code.fenced(reply).alias("r")).select("conv_id", "turn", "r.*")
+
+
 @query(
-    "t21_fenced_reply",
-    """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN 'a' || chr(10) || 'b' || chr(10) || 'c' || chr(10) || 'd' || chr(10) || '```go' || chr(10) || text || chr(10) || '```' ELSE text || chr(10) || 'no fence' END AS body FROM conversations WHERE NOT contains(text, '`') AND trim(text, chr(10)) <> ''""",
+    "t19_targets",
+    f"""WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN ' a zoo of {{}} ' WHEN 2 THEN '  ' END AS free, CASE turn % 4 WHEN 1 THEN 'nowhere' WHEN 2 THEN 'chess-engine' WHEN 3 THEN role END AS chosen, (('0x' || substr(sha256(coalesce(text, '')), 1, 16))::UBIGINT % {len(code.TARGETS)})::BIGINT AS k FROM conversations)
+    SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN {list(code.TARGETS.values())}[k + 1] WHEN 1 THEN 'a zoo of {{}}' WHEN 2 THEN '{code.TARGETS["chess-engine"]}' END AS domain, CASE turn % 4 WHEN 0 THEN {list(code.TARGETS)}[k + 1] WHEN 2 THEN 'chess-engine' END AS target_id,
+    CASE turn % 4 WHEN 3 THEN 'ValueError' END AS error_code, CASE turn % 4 WHEN 3 THEN 'ValueError: unknown target: ' || chosen END AS error_detail FROM t""",
 )
-def t21_reply(spark: SparkSession, sf: str) -> DataFrame:
-    """Replies with one fenced block, with too much prose before it, and without one."""
-    talks, k = table(spark, sf, "conversations").where(~F.contains("text", F.lit("`")) & (F.trim("text", F.lit("\n")) != "")), F.col("turn") % 3
-    wrap = lambda before: F.concat(F.lit(before + "```go\n"), "text", F.lit("\n```"))
-    reply = F.when(k == 0, wrap("Here it is:\n")).when(k == 1, wrap("a\nb\nc\nd\n")).otherwise(F.concat("text", F.lit("\nno fence")))
-    return talks.select("conv_id", "turn", code.fenced(reply).alias("body"))
+def t19(spark: SparkSession, sf: str) -> DataFrame:
+    """The target of each turn: by its text, by a free description, by an id, and by an unknown id, which is the row's error."""
+    k = F.col("turn") % 4
+    talks = table(spark, sf, "conversations").withColumn("free", F.when(k == 1, " a zoo of {} ").when(k == 2, "  ")).withColumn("chosen", F.when(k == 1, "nowhere").when(k == 2, "chess-engine").when(k == 3, F.col("role")))
+    got = runs.run_cases(talks, ["conv_id", "turn"], code.pick_target, ["text", "free", "chosen"], "domain string, target_id string")
+    return got.select("conv_id", "turn", "domain", "target_id", F.col("error.code").alias("error_code"), F.col("error.detail").alias("error_detail"))
+
+
+@query(
+    "t34_isolated_runs",
+    """SELECT conv_id, turn, CASE WHEN text IS NOT NULL AND NOT contains(lower(text), 'error') AND length(text) % 5 <> 0 THEN sha256(reverse(text)) END AS output_sha256, CASE WHEN text IS NULL THEN 'no input' WHEN contains(lower(text), 'error') THEN 'refused' WHEN length(text) % 5 = 0 THEN 'ZeroDivisionError' END AS error_code FROM conversations""",
+)
+def t34_isolated(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn through a transform that refuses some texts and fails on others: each failure is a row."""
+
+    class Refused(Exception):
+        code = "refused"
+
+    class Missing(Exception):
+        code = "no input"
+
+    def backwards(text: str | None) -> str:
+        if text is None:
+            raise Missing("a case needs a text")
+        if "error" in text.lower():
+            raise Refused("a text that speaks of errors")
+        return text[::-1] if 1 / (len(text) % 5) else ""
+
+    got = runs.run_cases(table(spark, sf, "conversations"), ["conv_id", "turn"], backwards, ["text"], "output string")
+    return got.select("conv_id", "turn", F.sha2("output", 256).alias("output_sha256"), F.col("error.code").alias("error_code"))
 
 
 _T = counters_sql("html", "ts")

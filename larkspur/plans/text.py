@@ -120,10 +120,19 @@ def t15(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("conv_id", "turn", "r.*", similarity.gate(F.col("r"), F.lit(False)).alias("verdict"))
 
 
-@query("t18_suffix", r"SELECT page_id, CASE WHEN regexp_matches(html, '(?m)^package\s+\w+\s*$') THEN '.go' WHEN regexp_matches(html, '(?m)^\s*(import .* from|export |const \w+ =|interface \w+)') THEN '.ts' ELSE '.py' END AS suffix FROM pages")
+@query(
+    "t18_suffix",
+    """WITH t AS (SELECT page_id, 0 AS kind, html AS text FROM pages UNION ALL SELECT page_id, 1, replace(html, 'def ', '') || 'const ' FROM pages UNION ALL SELECT page_id, 2, '// ' || replace(html, chr(10), ' ') || chr(10) || 'package page // import "page"' || chr(10) FROM pages UNION ALL SELECT page_id, 3, 'package page; func ' || html FROM pages),
+    h AS (SELECT *, left(text, 4000) AS head FROM t)
+    SELECT page_id, kind, CASE WHEN (contains(head, 'package ') AND contains(head, 'func ')) OR len(list_filter(string_split(head, chr(10)), lambda x: regexp_full_match(x, 'package\\s+[A-Za-z_][A-Za-z0-9_]*\\s*(//.*)?'))) > 0 THEN '.go'
+    WHEN (contains(head, '=> ') OR contains(head, 'const ') OR contains(head, 'interface ') OR contains(head, 'export ') OR contains(head, 'function ')) AND NOT contains(head, 'def ') THEN '.ts' ELSE '.py' END AS suffix FROM h""",
+)
 def t18(spark: SparkSession, sf: str) -> DataFrame:
-    """A suffix from the look of a text."""
-    return table(spark, sf, "pages").select("page_id", code.suffix(F.col("html")).alias("suffix"))
+    """A suffix from the look of a text's head: pages as they are, with a mark of TypeScript at the end, after a clause with a comment, and with one on the first line."""
+    pages, html = table(spark, sf, "pages"), F.col("html")
+    kinds = (html, F.concat(F.replace(html, F.lit("def "), F.lit("")), F.lit("const ")), F.concat(F.lit("// "), F.replace(html, F.lit("\n"), F.lit(" ")), F.lit('\npackage page // import "page"\n')), F.concat(F.lit("package page; func "), html))
+    texts = pages.select("page_id", F.posexplode(F.array(*kinds)).alias("kind", "text"))
+    return texts.select("page_id", "kind", code.suffix(F.col("text")).alias("suffix"))
 
 
 @query("t19_target", "SELECT doc_id, ((('0x' || substr(sha256(text), 1, 16))::UBIGINT) % 9)::BIGINT AS target FROM documents")

@@ -13,8 +13,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.functions import code, identifiers, literals, registry, similarity
-from larkspur.operators import associate, evaluation, joins, search, updates
+from larkspur.functions import code, identifiers, literals, registry, similarity, stats
+from larkspur.operators import associate, evaluation, joins, runs, search, updates
 from larkspur.plans import registry as plans
 from larkspur.sources import formats
 
@@ -183,9 +183,84 @@ def test_own_modules_and_profiles(spark):
     assert spark.range(1).select(code.foreign_words(F.lit("lines: 3\nturbine: 1"))).first()[0] == ["turbine"]
 
 
-def test_fenced_replies(spark):
-    df = spark.createDataFrame([("```go\nx\n```",), ("a\nb\n```\ny\nz\n```\nbye",), ("a\nb\nc\nd\n```\nx\n```",), ("```\nx\n```\n```\ny\n```",), ("none",)], "t string")
-    assert [r[0] for r in df.select(code.fenced(F.col("t"))).collect()] == ["x", "y\nz", "a\nb\nc\nd\n```\nx\n```", "```\nx\n```\n```\ny\n```", "none"]
+def plain_fenced(text, source=""):
+    """(body, discarded characters), or None where the reply is refused."""
+    is_fence = lambda x: re.match(r"^```[^`]*$", x.rstrip())
+
+    def unwrapped(s):
+        if not s.startswith("```") or "\n" not in s:
+            return s
+        return s[s.find("\n") + 1 :].removesuffix("```").rstrip()
+
+    s = text.strip()
+    lines = s.split("\n")
+    fences = [i for i, x in enumerate(lines) if is_fence(x)]
+    if not fences or any(map(is_fence, source.splitlines())) or (fences[0] == 0 and (len(fences) == 1 or fences[1] == len(lines) - 1)):
+        return unwrapped(s), 0
+    before = [x for x in lines[: fences[0]] if x.strip()]
+    prose = all(len(x.split()) >= 3 and x.strip()[-1] in ":.!" and not set(x) & set("{};=") for x in before)
+    if len(fences) > 2 or len(before) > 3 or not prose or (len(fences) == 2 and lines[fences[1]].rstrip() != "```"):
+        return None
+    close = fences[1] if len(fences) == 2 else len(lines)
+    body = "\n".join(lines[fences[0] + 1 : close])
+    return (body.removesuffix("```") if len(fences) == 1 else body).rstrip(), sum(map(len, lines[: fences[0]] + lines[close + 1 :]))
+
+
+def test_fenced_replies_equal_the_plain_rule(spark):
+    rng = random.Random(3)
+    parts = ["```", "```go", "``` ", "x = 1", "Here is it:", "Here it is.", "no", "", "It {is} this:", "a ``` b", "  ", "end```", "````"]
+    texts = ["\n".join(rng.choice(parts) for _ in range(rng.randrange(1, 8))) for _ in range(600)]
+    rows = [(t, rng.choice(["", "x", "a\n```py\nb"])) for t in texts]
+    got = spark.createDataFrame(rows, "t string, s string").select("t", "s", code.fenced(F.col("t"), F.col("s")).alias("r")).collect()
+    seen = set()
+    for r in got:
+        want = plain_fenced(r["t"], r["s"])
+        assert (r["r"]["body"], r["r"]["discarded"]) == (want or (None, None)) and (r["r"]["error"] is None) == (want is not None), (r["t"], r["s"])
+        seen.add((want is None, bool(want and want[1])))
+    assert len(seen) == 3
+    assert spark.range(1).select(code.fenced(F.lit(None).cast("string")).alias("r")).first()["r"] is None
+
+
+def test_suffixes(spark):
+    texts = {"package a\n": ".go", "// c\npackage math // import \"math\"\n": ".go", "package a.b;\nclass X {}": ".py", "x package y func z": ".go", "const a = 1": ".ts", "const a = 1\ndef f(): pass": ".py", "": ".py", "x" * 4000 + "const a": ".py", "let f = () => {}": ".ts", "let f = () => 1": ".ts"}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", code.suffix(F.col("t")).alias("s")).collect()
+    assert {r["t"]: r["s"] for r in got} == texts
+    given = {"ts": ".ts", ".TS": ".ts", " go ": ".go", "  ": None, None: None}
+    got = spark.createDataFrame([(t,) for t in given], "t string").select("t", code.dotted_suffix(F.col("t")).alias("s")).collect()
+    assert {r["t"]: r["s"] for r in got} == given
+
+
+def test_relative_agreement_equals_the_plain_rule(spark):
+    def plain(a, b):
+        per = [round(1.0 - min(1.0, abs(y - x) / max(x, 1)), 3) for x, y in zip(a, b, strict=True) if x or y]
+        return round(sum(per) / len(per), 3) if per else 0.0
+
+    rows = [([0, 0], [0, 0]), ([0, 4], [3, 4]), ([10, 1], [3, 9]), ([5, 0], [5, 0]), ([3], [4]), ([7, 2, 0], [6, 2, 1])]
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select(stats.relative_agreement(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [r["s"] for r in got] == [plain(*r) for r in rows]
+
+
+def test_failing_rows_are_results(spark):
+    class Refused(Exception):
+        code = "gate"
+
+    def run(text, n):
+        if text == "refuse":
+            raise Refused("no")
+        if text == "short":
+            return (text,)
+        return text.upper(), 10 // n
+
+    df = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate([("a", 2), (None, 1), ("b", 0), ("refuse", 1), ("short", 1), ("c", 5)])], "i int, text string, n int").repartition(3)
+    cases = runs.run_cases(df, ["i"], run, ["text", "n"], "up string, tenth long").cache()
+    got = {r["i"]: (r["up"], r["tenth"], r["error"] and r["error"]["code"]) for r in cases.collect()}
+    assert got == {0: ("A", 5, None), 1: (None, None, "AttributeError"), 2: (None, None, "ZeroDivisionError"), 3: (None, None, "gate"), 4: (None, None, "ValueError"), 5: ("C", 2, None)}
+    assert cases.where("elapsed_ms >= 0").count() == 6 and cases.where("i = 2").first()["error"]["detail"].startswith("ZeroDivisionError: ")
+    assert {r["error_code"]: r["cases"] for r in runs.summary(cases).collect()} == {None: 2, "AttributeError": 1, "ZeroDivisionError": 1, "gate": 1, "ValueError": 1}
+    assert sorted(r["i"] for r in runs.retried(cases, ["gate"]).collect()) == [1, 2, 4]
+    one = runs.run_cases(df, ["i"], lambda t: t * 2, ["text"], "twice string")
+    assert {r["i"]: r["twice"] for r in one.collect()}[0] == "aa" and one.where("error is not null").count() == 1
+    assert runs.run_cases(df.limit(0), ["i"], run, ["text", "n"], "up string, tenth long").count() == 0
 
 
 def test_maps_are_refused_within_maps(spark):
