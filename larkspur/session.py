@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Adaptive execution splits skewed joins and merges small partitions; the time zone makes timestamps comparable.
@@ -18,3 +22,19 @@ def session(name: str = "larkspur", **more: str) -> SparkSession:
     for k, v in (DEFAULTS | more).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir; it is deleted when the driver ends.
+
+    Where that is unset, a local session gets a folder of its own; on a cluster it is an error.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-")
+        spark.sparkContext.setCheckpointDir(at)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at.rstrip('/')}/{kind}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
