@@ -16,7 +16,7 @@ from .registry import query
 
 @query(
     "k01_repeated_run",
-    """SELECT conv_id, turn, CASE WHEN text IS NOT NULL AND length(text) % 11 <> 0 THEN sha256(upper(text)) END AS artifact_sha256, CASE WHEN text IS NULL THEN 'refused' WHEN length(text) % 11 = 0 THEN 'refused' END AS error_code,
+    """SELECT conv_id, turn, CASE WHEN text IS NOT NULL AND length(text) % 11 <> 0 THEN sha256('artifact of ' || text) END AS artifact_sha256, CASE WHEN text IS NULL THEN 'refused' WHEN length(text) % 11 = 0 THEN 'refused' END AS error_code,
     CASE WHEN text IS NOT NULL AND length(text) % 11 <> 0 AND length(text) % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS attempts FROM conversations""",
 )
 def k01_repeated(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,7 +31,7 @@ def k01_repeated(spark: SparkSession, sf: str) -> DataFrame:
                 raise Refused("no artifact of this text")
             if first and len(text) % 3 == 0:
                 raise TimeoutError("the first run has no time for it")
-            return text.upper()
+            return f"artifact of {text}"
 
         return lambda jobs: runs.run_cases(jobs, ["conv_id", "turn"], run, ["text"], "artifact string").drop("elapsed_ms")
 
