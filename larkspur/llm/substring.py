@@ -7,17 +7,18 @@ through the index of each shard would grow with the square of the corpus. So tex
 1. The anchor of a window is the smallest hash of its runs of `anchor` words; equal windows have equal anchors. Runs of
    windows with one anchor are a segment. Segments whose anchor occurs once hold no repeat and go no further.
 2. Equal segments are counted by Spark (a minimum and a count for each, pre-aggregated), and one of each goes on.
-3. Shards take segments by anchor. Each builds a compressed FM-index of its segments (a wavelet matrix and a sampled
-   suffix array) in corpus order, and streams the segments through it: backward search gives the matching statistics of
-   each word, and a window whose match reaches `window` words and begins earlier than itself is a repeat. A segment that
-   has later copies is streamed as one of them too; the windows that match name the segment as repeated, and Spark joins
-   that to its later copies.
-4. Where an anchor has more than `hot` different segments, they are cut into windows, counted by Spark like the segments
-   in step 2. One of each repeated window goes to the shards, as a segment of one window, and step 3 follows. So a
-   passage in very many documents is one row for each task that has it, and no shard grows with its copies.
-
-Every removed word lies in a match that an index has reported. Shards hold about `shard` segments each, at every size of
-the corpus.
+3. Shards take distinct segments by anchor. Each builds a compressed FM-index of its segments (a wavelet matrix and a
+   sampled suffix array) in corpus order, and streams the segments through it: backward search gives the matching
+   statistics of each word, and a window whose match reaches `window` words and begins earlier than itself is a repeat.
+4. The indexes are written to a table. Later copies of a segment are dealt to tasks by shard, and a shard with many copies
+   to many tasks, each of which gets the shard's index. A copy is streamed through it like any text: what matches from
+   end to end, and begins earlier than the copy, is repeated as a whole; otherwise its windows are looked up one by one.
+   In a task equal copies are streamed once. So a copy goes because its words are in an index, not because of its hash.
+5. Where an anchor has more than `hot` different segments, they are cut into windows, counted by Spark like the segments
+   in step 2. Repeated windows are segments of one window, and steps 3 and 4 follow, so no shard grows with its copies.
+
+Every removed word lies in a match that an index has reported; words are compared as 32 bits of their hashes, 20 in a row
+at least. Shards hold about `shard` segments each, and tasks about `stream` copies, at every size of the corpus.
 
 Edge cases: a null or empty text has no words; rows without an id are left whole and repeat nothing; rows with the same
 id and text count as one document, and of those with the same id and other texts the windows are taken as if the texts
@@ -28,6 +29,7 @@ input are replaced. Without repeats texts are kept as they are; an empty table g
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,12 +45,13 @@ from .words import BACK, GOLD, hash_texts, mix, powers, rolling, split_words
 
 @dataclass(frozen=True)
 class RepeatOptions:
-    """window: words of a window. anchor: words of an anchor. hot: different segments of an anchor that stay together. shard: segments of a shard, about."""
+    """window: words of a window. anchor: words of an anchor. hot: different segments of an anchor that stay together. shard: segments of a shard, about. stream: later copies that one task streams, about."""
 
     window: int = 20
     anchor: int = 6
     hot: int = 512
     shard: int = 6000
+    stream: int = 20_000
 
 
 # A segment's start and number of windows in one long: start * PACK + windows.
@@ -105,54 +108,134 @@ def segment_rows(docs: DataFrame, options: RepeatOptions) -> DataFrame:
     return docs.where("id is not null").select("id", found("text").alias("s")).select("id", F.inline(F.arrays_zip("s.anchor", "s.seg", "s.at")))
 
 
-FOUND = "anchor long, seg long, id long, at long, a long, b long"
+# Runs of repeated windows, by their first and last start; or a shard and its index.
+FOUND = "id long, a long, b long, shard long, index binary"
 
 
-def repeats_in_shard(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
-    """What one shard reports of its segments (anchor, seg, id, at, copies, words).
+def _runs(unit: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of consecutive windows of one unit begin and end, of windows sorted by unit and place."""
+    new = np.ones(len(unit), bool)
+    new[1:] = (unit[1:] != unit[:-1]) | (window[1:] != window[:-1] + 1)
+    head = np.flatnonzero(new)
+    return head, np.append(head[1:], len(unit))[: len(head)] - 1
+
+
+def _windows(size: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(unit, offset) of every window of units of `size` words."""
+    n = np.maximum(size - window + 1, 0)
+    unit = np.repeat(np.arange(len(size)), n)
+    return unit, np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)
+
+
+class Shard:
+    """The index of a shard's segments, in corpus order, and where they stand in the corpus."""
+
+    def __init__(self, ids: np.ndarray, start: np.ndarray, units: list[np.ndarray]):
+        self.ids, self.start, self.size = ids, start, np.array([len(u) for u in units])
+        self.begin = np.cumsum(self.size + 1) - self.size - 1
+        self.symbols = np.zeros(int((self.size + 1).sum()), np.int64)
+        inside = np.ones(len(self.symbols), bool)
+        inside[self.begin + self.size] = False
+        self.words, code = np.unique(np.concatenate(units), return_inverse=True)
+        self.symbols[inside] = code + 1
+        self.index = FMIndex(self.symbols)
+
+    def __getstate__(self) -> dict:
+        # The index stands for the text.
+        return {k: v for k, v in self.__dict__.items() if k not in ("symbols", "size")}
+
+    def own_repeats(self, window: int, alone: np.ndarray) -> pd.DataFrame:
+        """Runs (id, a, b) of windows that begin earlier in another segment; those of units that are `alone` meet none."""
+        unit, offset = _windows(np.where(alone, 0, self.size), window)
+        at = self.begin[unit] + offset
+        length, low, high = self.index.matching(self.symbols, at + window, window, np.ones(len(at), bool))
+        met = np.flatnonzero(length == window)
+        met = met[self.index.earliest(low[met], high[met]) < at[met]]
+        u, w = unit[met], self.start[unit[met]] + offset[met]
+        head, tail = _runs(u, w)
+        return pd.DataFrame({"id": self.ids[u[head]], "a": w[head], "b": w[tail]})
+
+    def _place(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, word) where the earliest suffix of each range begins."""
+        at = self.index.earliest(low, high)
+        unit = np.searchsorted(self.begin, at, side="right") - 1
+        return self.ids[unit], self.start[unit] + at - self.begin[unit]
+
+    def stream(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbols, begin, size) of runs of words as the index spells them; each after a 0, which a word that it hasn't got is too."""
+        units = [np.frombuffer(w, np.uint32) for w in texts]
+        size = np.array([len(u) for u in units])
+        begin = np.cumsum(size + 1) - size
+        symbols = np.zeros(int((size + 1).sum()), np.int64)
+        inside = np.ones(len(symbols), bool)
+        inside[begin - 1] = False
+        words = np.concatenate(units)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        symbols[inside] = np.where(self.words[at] == words, at + 1, 0)
+        return symbols, begin, size
+
+    def repeats(self, ids: np.ndarray, start: np.ndarray, texts: list[bytes], window: int) -> pd.DataFrame:
+        """Runs (id, a, b) of windows of streamed texts, which stand at word `start` of documents `ids`, that begin earlier in the index."""
+        number: dict[bytes, int] = {}
+        which = np.array([number.setdefault(t, len(number)) for t in texts], np.int64)
+        symbols, begin, size = self.stream(list(number))
+        length, low, high = self.index.matching(symbols, begin + size, int(size.max(initial=0)), np.zeros(len(size), bool))
+        whole = length == size
+        doc, word = np.full(len(size), np.iinfo(np.int64).max), np.zeros(len(size), np.int64)
+        doc[whole], word[whole] = self._place(low[whole], high[whole])
+        earlier = (doc[which] < ids) | ((doc[which] == ids) & (word[which] < start))
+        sure = np.flatnonzero(earlier)
+        found = [pd.DataFrame({"id": ids[sure], "a": start[sure], "b": start[sure] + size[which[sure]] - window})]
+        left = np.flatnonzero(~earlier)
+        if len(left):
+            unit, offset = _windows(size[which[left]], window)
+            row = left[unit]
+            length, low, high = self.index.matching(symbols, begin[which[row]] + offset + window, window, np.zeros(len(row), bool))
+            met = np.flatnonzero(length == window)
+            doc, word = self._place(low[met], high[met])
+            at = start[row[met]] + offset[met]
+            ok = (doc < ids[row[met]]) | ((doc == ids[row[met]]) & (word < at))
+            u, w = row[met][ok], at[ok]
+            head, tail = _runs(u, w)
+            found.append(pd.DataFrame({"id": ids[u[head]], "a": w[head], "b": w[tail]}))
+        return pd.concat(found, ignore_index=True)
 
-    Runs of windows that begin earlier in another segment: id and first and last window, a and b. Segments whose later
-    copies repeat them: anchor, seg, id, at, and b for the number of copies.
-    """
+
+def repeats_in_shard(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
+    """FOUND of one shard's segments (shard, anchor, seg, id, at, copies, words): what repeats in it, and its index if there are copies to stream."""
+    shard, copied = int(pdf["shard"].iloc[0]), bool((pdf["copies"] > 1).any())
     # Rows that share id and text are one.
     pdf = pdf.drop_duplicates(["id", "at", "seg"]).sort_values(["id", "at"], kind="stable", ignore_index=True)
-    units = [np.frombuffer(w, np.uint32) for w in pdf["words"]]
-    size = np.array([len(u) for u in units])
-    begin = np.cumsum(size + 1) - size - 1
-    symbols = np.zeros(int((size + 1).sum()), np.int64)
-    inside = np.ones(len(symbols), bool)
-    inside[begin + size] = False
-    symbols[inside] = np.unique(np.concatenate(units), return_inverse=True)[1] + 1
-    index = FMIndex(symbols)
-    # Later copies are streamed: they repeat the first if their match reaches from end to end.
-    copied = np.flatnonzero(pdf["copies"].to_numpy() > 1)
-    whole = copied[index.matching(symbols, (begin + size)[copied], int(size.max(initial=0)), np.zeros(len(copied), bool))[0] == size[copied]]
-    named = pdf.loc[whole, ["anchor", "seg", "id", "at", "copies"]].assign(a=-1).rename(columns={"copies": "b"})
-    # Every segment is streamed against the others. Equal windows have one anchor, so a segment alone with its anchor meets none.
-    windows = np.where(pdf.duplicated("anchor", keep=False), size - window + 1, 0)
-    unit = np.repeat(np.arange(len(units)), windows)
-    offset = np.arange(len(unit)) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = begin[unit] + offset
-    length, low, high = index.matching(symbols, at + window, window, np.ones(len(at), bool))
-    met = np.flatnonzero(length == window)
-    met = met[index.earliest(low[met], high[met]) < at[met]]
-    u, w = unit[met], (pdf["at"].to_numpy() // PACK)[unit[met]] + offset[met]
-    new = np.ones(len(u), bool)
-    new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1] + 1)
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(u))[: len(head)] - 1
-    runs = pd.DataFrame({"id": pdf["id"].to_numpy()[u[head]], "a": w[head], "b": w[tail]}).assign(anchor=0, seg=0, at=-1)
-    return pd.concat([runs, named], ignore_index=True)[["anchor", "seg", "id", "at", "a", "b"]]
+    own = Shard(pdf["id"].to_numpy(), pdf["at"].to_numpy() // PACK, [np.frombuffer(w, np.uint32) for w in pdf["words"]])
+    # Equal windows have one anchor, so a segment alone with its anchor meets none.
+    runs = own.own_repeats(window, ~pdf.duplicated("anchor", keep=False).to_numpy()).assign(shard=shard, index=None)
+    whole = [pd.DataFrame({"id": [-1], "a": [-1], "b": [-1], "shard": [shard], "index": [pickle.dumps(own)]})] if copied else []
+    return pd.concat([runs, *whole], ignore_index=True)[[c.split()[0] for c in FOUND.split(", ")]] if whole else runs
+
+
+def copies_in_shard(index: pd.DataFrame, copies: pd.DataFrame, window: int) -> pd.DataFrame:
+    """Runs (id, a, b) of copies (id, at, words) that the shard's index holds at an earlier place."""
+    if not len(index) or not len(copies):
+        return pd.DataFrame({"id": [], "a": [], "b": []}, dtype="int64")
+    return pickle.loads(index["index"].iloc[0]).repeats(copies["id"].to_numpy(), copies["at"].to_numpy() // PACK, list(copies["words"]), window)
 
 
-def _reported(texts: DataFrame, asked: DataFrame, options: RepeatOptions, scratch: Scratch) -> DataFrame:
-    """What the shards report (FOUND) of the segments in `asked` (id, deal, anchor, seg, at, copies) of `texts` (id, text).
+def _spans(texts: DataFrame, rows: DataFrame, distinct: DataFrame, total: int, options: RepeatOptions, scratch: Scratch) -> DataFrame:
+    """(id, a, b): what the shards report of the segments `rows` (anchor, seg, id, at) of `texts` (id, text).
 
-    seg is the hash of the segment's words.
+    distinct: (anchor, seg, first, c, deal), one for each of those that are asked. total: number of rows.
     """
     window = options.window
-    asked = cut(asked.groupBy("id").agg(F.collect_list(F.struct("deal", "anchor", "seg", "at", "copies")).alias("asked")), "asked", scratch)
-    shards = int((asked.agg(F.sum(F.size("asked"))).first()[0] or 0) // options.shard) + 1
+    shards = distinct.count() // options.shard + 1
+    each = join_counted(rows, distinct, ["anchor", "seg"], total)
+    is_first = (F.col("id") == F.col("first.id")) & (F.col("at") == F.col("first.at"))
+    each = cut(each.select("id", "anchor", "seg", "at", F.col("c").alias("copies"), F.pmod("deal", F.lit(shards)).alias("shard"), is_first.alias("leads")), "asked", scratch)
+    sizes = cut(each.where("not leads").groupBy("shard").agg(F.count("*").alias("c")), "sizes", scratch)
+    salts = F.ceil(F.col("c") / options.stream).cast("int")
+    later = join_counted(each.where("not leads"), sizes, ["shard"], total).withColumn("salt", F.pmod(F.xxhash64("id", "at"), salts).cast("int"))
+    fields = ("shard", "salt", "anchor", "seg", "at", "copies")
+    every = each.where("leads").withColumn("salt", F.lit(-1)).select("id", *fields).unionByName(later.select("id", *fields))
+    asked = cut(every.groupBy("id").agg(F.collect_list(F.struct(*fields)).alias("asked")), "asked", scratch)
 
     @tidy
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,13 +248,17 @@ def _reported(texts: DataFrame, asked: DataFrame, options: RepeatOptions, scratc
             fits[fits] = hash_runs(h, first[fits], end[fits]).view(np.int64) == np.fromiter((s["seg"] for s in asks), np.int64, len(asks))[fits]
             short = (h >> np.uint64(32)).astype(np.uint32)
             ids = part["id"].to_numpy()[row].tolist()
-            out = [(s["deal"] % shards, s["anchor"], s["seg"], doc, s["at"], s["copies"], short[a:z].tobytes()) for s, doc, a, z, ok in zip(asks, ids, first.tolist(), end.tolist(), fits.tolist(), strict=True) if ok]
-            yield pd.DataFrame(out, columns=["shard", "anchor", "seg", "id", "at", "copies", "words"])
+            out = [(s["shard"], s["salt"], s["anchor"], s["seg"], doc, s["at"], s["copies"], short[a:z].tobytes()) for s, doc, a, z, ok in zip(asks, ids, first.tolist(), end.tolist(), fits.tolist(), strict=True) if ok]
+            yield pd.DataFrame(out, columns=["shard", "salt", "anchor", "seg", "id", "at", "copies", "words"])
 
     both = split_by(texts, asked, "id")[0].join(asked, "id").select("id", "text", "asked")
-    units = both.mapInPandas(fetch, "shard long, anchor long, seg long, id long, at long, copies long, words binary")
-    found = units.groupBy("shard").applyInPandas(lambda pdf: repeats_in_shard(pdf[["anchor", "seg", "id", "at", "copies", "words"]], window), FOUND)
-    return cut(found, "found", scratch)
+    units = cut(both.mapInPandas(fetch, "shard long, salt int, anchor long, seg long, id long, at long, copies long, words binary"), "units", scratch)
+    leads = units.where("salt < 0").select("shard", "anchor", "seg", "id", "at", "copies", "words")
+    found = cut(leads.groupBy("shard").applyInPandas(lambda pdf: repeats_in_shard(pdf, window), FOUND), "found", scratch)
+    index = found.where("index is not null").select("shard", "index").join(sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("shard", "salt"), "shard")
+    copies = units.where("salt >= 0").select("shard", "salt", "id", "at", "words")
+    again = index.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(lambda one, many: copies_in_shard(one, many, window), "id long, a long, b long")
+    return cut(found.where("index is null").select("id", "a", "b").union(again), "spans", scratch)
 
 
 def _asked_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
@@ -184,15 +271,6 @@ def _asked_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
             yield part, h, begin, np.repeat(np.arange(len(part)), many), [x for xs in part["asked"] for x in xs]
 
 
-def _spans(found: DataFrame, rows: DataFrame, total: int) -> DataFrame:
-    """(id, a, b): the runs that shards found, and all windows of the later copies, in `rows`, of segments that they found repeated."""
-    runs = found.where("a >= 0").select("id", "a", "b")
-    named = found.where("a < 0").select("anchor", "seg", F.struct("id", "at").alias("first"), F.col("b").alias("c"))
-    later = join_counted(rows, named, ["anchor", "seg"], total).where((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")))
-    start = F.floor(F.col("at") / PACK)
-    return runs.union(later.select("id", start.alias("a"), (start + F.col("at") % PACK - 1).alias("b")))
-
-
 def repeated_windows(docs: DataFrame, options: RepeatOptions, scratch: Scratch) -> DataFrame:
     """(id, a, b): runs of repeated windows, by their first and last start, of docs (id, text)."""
     every = cut(segment_rows(docs, options), "segments", scratch)
@@ -202,11 +280,11 @@ def repeated_windows(docs: DataFrame, options: RepeatOptions, scratch: Scratch)
     distinct = cut(rows.groupBy("anchor", "seg").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c")), "distinct", scratch)
     hot = cut(distinct.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > options.hot).select("anchor"), "hot", scratch)
 
-    one = distinct.join(hot.withColumn("hot", F.lit(True)), "anchor", "left")
-    # Of a hot anchor's segments only those with copies are asked, to confirm the copies; they need not meet each other.
+    # Of a hot anchor's segments only those with copies are asked; they need not meet each other.
+    one = distinct.join(hot.withColumn("hot", F.lit(True)), "anchor", "left").where("hot is null or c > 1")
     deal = F.when(F.col("hot"), F.col("seg")).otherwise(F.col("anchor"))
-    asked = one.where("hot is null or c > 1").select("first.id", deal.alias("deal"), "anchor", "seg", "first.at", F.col("c").alias("copies"))
-    spans = _spans(_reported(docs, asked, options, scratch), rows, total)
+    one = cut(one.select("anchor", "seg", "first", "c", deal.alias("deal")), "one", scratch)
+    spans = _spans(docs, rows, one, total, options, scratch)
     if not hot.isEmpty():
         window = options.window
 
@@ -225,8 +303,8 @@ def repeated_windows(docs: DataFrame, options: RepeatOptions, scratch: Scratch)
         texts = split_by(docs, wanted, "id")[0].join(wanted, "id").select("id", "text", "asked")
         windows = cut(texts.mapInPandas(windows_of, "seg long, id long, at long").select(F.col("seg").alias("anchor"), "seg", "id", "at"), "windows", scratch)
         twice = windows.groupBy("anchor", "seg").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c")).where("c > 1")
-        asked = twice.select("first.id", F.col("anchor").alias("deal"), "anchor", "seg", "first.at", F.col("c").alias("copies"))
-        spans = spans.union(_spans(_reported(docs, asked, options, scratch), windows, windows.count()))
+        twice = cut(twice.withColumn("deal", F.col("seg")), "twice", scratch)
+        spans = spans.union(_spans(docs, windows, twice, windows.count(), options, scratch))
     return spans
 
 

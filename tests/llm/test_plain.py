@@ -10,6 +10,7 @@ import string
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -430,3 +431,50 @@ def test_scans_take_linear_time():
 
     took(one)
     assert min(took(8 * one) for _ in range(3)) < 16 * min(took(one) for _ in range(3)) + 0.1
+
+
+def shard_of(rng, n=40, words=30):
+    units = [rng.integers(0, 2**32, words, dtype=np.uint32) for _ in range(n)]
+    return pd.DataFrame({"shard": 7, "anchor": np.arange(n), "seg": np.arange(n), "id": np.arange(n) * 10, "at": 5 * substring.PACK + words - 19, "copies": 2, "words": [u.tobytes() for u in units]})
+
+
+def test_copies_go_by_their_words_not_by_their_hash():
+    """A copy whose words differ, under the hash of a segment, is kept; so is one at an earlier place."""
+    rng = np.random.default_rng(1)
+    firsts = shard_of(rng)
+    found = substring.repeats_in_shard(firsts, 20)
+    index = found[found["index"].notna()]
+    assert len(found) == len(index) == 1 and index["shard"].iloc[0] == 7
+    copies = firsts[["id", "at", "words"]].assign(id=firsts["id"] + 1000)
+    got = substring.copies_in_shard(index, copies, 20)
+    assert sorted(map(tuple, got.to_numpy().tolist())) == [(i * 10 + 1000, 5, 15) for i in range(40)]
+    # One word of each copy is another, at place k: windows that don't hold it are still in the index.
+    for k in (0, 14, 15, 29):
+        broken = []
+        for w in copies["words"]:
+            u = np.frombuffer(w, np.uint32).copy()
+            u[k] ^= 1
+            broken.append(u.tobytes())
+        got = substring.copies_in_shard(index, copies.assign(words=broken), 20)
+        want = {(0,): (6, 15), (29,): (5, 14)}.get((k,))
+        assert len(got) == (40 if want else 0) and (not want or set(zip(got["a"], got["b"], strict=True)) == {want})
+    same = substring.copies_in_shard(index, firsts[["id", "at", "words"]], 20)
+    before = substring.copies_in_shard(index, copies.assign(id=-5), 20)
+    assert len(same) == len(before) == 0
+    # Words that no segment has, though as many.
+    assert len(substring.copies_in_shard(index, shard_of(rng)[["id", "at", "words"]].assign(id=9999), 20)) == 0
+
+
+def test_hot_passages_are_streamed_by_many_tasks(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(60))
+    texts = [(i, f"{' '.join(f'w{rng.randrange(10**9)}' for _ in range(25))} {passage} end{i}") for i in range(300)]
+    whole = substring.copies_in_shard
+
+    def bounded(index, copies, window):
+        assert len(copies) < 150
+        return whole(index, copies, window)
+
+    monkeypatch.setattr(substring, "copies_in_shard", bounded)
+    got = substring.digests(spark.createDataFrame(texts, "doc_id long, text string"), substring.RepeatOptions(stream=50)).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute.repeats(texts)
