@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.functions import stats
+
 SEED = 20260819
 # Draws of the permutation null that one task makes for a cell.
 DRAWS_OF_A_TASK = 500
@@ -24,65 +26,115 @@ def cluster_bootstrap(cells: DataFrame, by: list[str], cluster: str, side: str,
     """by, diff, low, high, used: the difference of rates between sides True and False, and its 95 % interval.
 
     cells: by, cluster, side (boolean), k of n. Each draw gives each cluster a Poisson weight, which is drawing clusters
-    with replacement without gathering them; weights come from hashes. Draws with an empty side are skipped.
+    with replacement without gathering them; a cluster's weights come from a generator of its own, seeded by its hash, so
+    they are the same in every task and attempt. A task adds up arrays of weighted counts, one for each cell and block of
+    draws, so no row is multiplied. Draws with an empty side are skipped.
     """
-    spark: SparkSession = cells.sparkSession
-    sides = cells.groupBy(*by, cluster).agg(*[F.sum(F.when(F.col(side) == s, F.col(c)).otherwise(0)).alias(f"{c}{int(s)}") for s in (True, False) for c in (k, n)])
-    u = uniform(F.lit(seed), F.col("draw"), F.col(cluster).cast("string"))
-    # The quantile function of a Poisson variable of mean 1, by its first terms.
-    weight, term, total = F.lit(0), 0.36787944117144233, 0.0
-    for i in range(1, 10):
-        total += term
-        weight = weight + F.when(u >= total, 1).otherwise(0)
-        term /= i
-    drawn = sides.crossJoin(F.broadcast(spark.range(draws).withColumnRenamed("id", "draw"))).withColumn("w", weight)
-    sums = drawn.groupBy(*by, "draw").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in (f"{k}1", f"{n}1", f"{k}0", f"{n}0")])
-    diffs = sums.where((F.col(f"{n}1") > 0) & (F.col(f"{n}0") > 0)).withColumn("d", F.col(f"{k}1") / F.col(f"{n}1") - F.col(f"{k}0") / F.col(f"{n}0"))
-    s = F.sort_array(F.collect_list("d"))
-    at = lambda q: F.element_at("s", F.floor(F.lit(q) * (F.size("s") - 1)).cast("int") + 1)
-    rate = lambda side: F.sum(f"{k}{side}") / F.nullif(F.sum(f"{n}{side}"), F.lit(0))
+    sides = cells.groupBy(*by, cluster).agg(*[F.sum(F.when(F.col(side) == s, F.col(c)).otherwise(0)).cast("double").alias(f"{c}{int(s)}") for s in (True, False) for c in (k, n)])
+    counts = [f"{c}{s}" for s in "10" for c in (k, n)]
+    own = sides.select(*by, F.xxhash64(F.col(cluster).cast("string")).alias("_cluster"), F.array(*counts).alias("_counts"))
+    kinds = [cells.schema[c] for c in by]
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def rows() -> pd.DataFrame:
+            out = [(*key, block, sums[:, a : a + DRAWS_OF_A_TASK].tobytes()) for key, sums in held.items() for block, a in enumerate(range(0, draws, DRAWS_OF_A_TASK))]
+            return pd.DataFrame(out, columns=[*by, "_block", "_sums"])
+
+        for pdf in batches:
+            for *key, h, counts in pdf.itertuples(index=False):
+                weight = np.random.default_rng([seed, h % 2**64]).poisson(1.0, draws)
+                sums = held.setdefault(tuple(key), np.zeros((4, draws)))
+                sums += np.asarray(counts, np.float64)[:, None] * weight
+                if len(held) > 32:
+                    yield rows()
+                    held.clear()
+        if held:
+            yield rows()
+
+    def differences(pdf: pd.DataFrame) -> pd.DataFrame:
+        k1, n1, k0, n0 = sum(np.frombuffer(x).reshape(4, -1) for x in pdf["_sums"])
+        ok = (n1 > 0) & (n0 > 0)
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "_d": [k1[ok] / n1[ok] - k0[ok] / n0[ok]]})
+
+    sums = own.mapInPandas(add, T.StructType([*kinds, T.StructField("_block", T.IntegerType()), T.StructField("_sums", T.BinaryType())]))
+    diffs = sums.groupBy(*by, "_block").applyInPandas(differences, T.StructType([*kinds, T.StructField("_d", T.ArrayType(T.DoubleType()))]))
+    rate = lambda side: F.sum(f"{k}{side}") / F.nullif(F.sum(f"{n}{side}"), F.lit(0.0))
     observed = sides.groupBy(*by).agg((rate(1) - rate(0)).alias("diff"))
-    ends = diffs.groupBy(*by).agg(s.alias("s")).select(*by, at(0.025).alias("low"), at(0.975).alias("high"), F.size("s").cast("long").alias("used"))
+    ends = diffs.groupBy(*by).agg(F.sort_array(F.flatten(F.collect_list("_d"))).alias("s")).where(F.size("s") > 0)
+    at = lambda q: F.element_at("s", F.floor(F.lit(q) * (F.size("s") - 1)).cast("int") + 1)
+    ends = ends.select(*by, at(0.025).alias("low"), at(0.975).alias("high"), F.size("s").cast("long").alias("used"))
     return observed.join(ends, by, "left").select(*by, "diff", "low", "high", F.coalesce("used", F.lit(0).cast("long")).alias("used"))
 
 
+# Units for each class of equal units up to which a draw deals every unit by itself.
+UNITS_OF_A_CLASS = 8
+
+
+def dealt_rates(truths: np.ndarray, units_of_truth: np.ndarray, answers: list[dict[int, int]], units_of_class: np.ndarray, draws: int, seed: list[int]) -> np.ndarray:
+    """Hit rates when truths are dealt anew over units.
+
+    units_of_truth: how many units have each of `truths` (-1: none). answers: of each class of units how often a unit
+    gives each answer; units_of_class: how many units the class has. Units of a class are alike, so a draw is a table of
+    classes by truths with these margins, class after class from a multivariate hypergeometric distribution; where most
+    units are a class of their own, they are dealt one by one.
+    """
+    rng, hits = np.random.default_rng(seed), np.zeros(draws)
+    total = sum(n * sum(a.values()) for a, n in zip(answers, units_of_class.tolist(), strict=True))
+    value = np.array([[a.get(t, 0) if t >= 0 else 0 for t in truths.tolist()] for a in answers], np.int64)
+    if units_of_class.sum() <= UNITS_OF_A_CLASS * len(answers):
+        row, dealt = np.repeat(np.arange(len(answers)), units_of_class), np.repeat(np.arange(len(truths)), units_of_truth)
+        for d in range(draws):
+            hits[d] = value[row, rng.permutation(dealt)].sum()
+    else:
+        # Classes that answer nothing take whatever truths are left.
+        giving = np.flatnonzero(value.any(axis=1))
+        for d in range(draws):
+            left = units_of_truth.copy()
+            for c in giving.tolist():
+                got = rng.multivariate_hypergeometric(left, int(units_of_class[c]), method="marginals")
+                hits[d] += value[c] @ got
+                left -= got
+    return hits / max(1, total)
+
+
 def permutation_null(items: DataFrame, by: list[str], unit: str, truth: str, answer: str, draws: int = 200, seed: int = SEED) -> DataFrame:
     """by, observed, null_mean, low, high, p: answers against truths dealt anew over the units of each cell.
 
-    Items are counted first, so a draw costs as much as a cell has different (unit, truth, answer). Blocks of draws
-    spread over tasks, and each draw has a generator of its own. A unit with several truths is one unit for each of
-    them. Null answers don't count. p = (b + 1) / (m + 1).
+    Spark counts each unit's answers, then the units whose counts are equal, which are one class, and the units of each
+    truth. A cell is one row of classes and truths with these counts, however many units it has; blocks of draws spread
+    over tasks, each with a generator of its own. A unit with several truths is one unit for each of them. Null answers
+    don't count. p = (b + 1) / (m + 1).
     """
-    spark = items.sparkSession
     counts = items.groupBy(*by, F.col(unit).alias("_unit"), F.col(truth).alias("_truth"), F.col(answer).alias("_answer")).agg(F.count(answer).alias("_n"))
     observed = counts.groupBy(*by).agg((F.sum(F.when(F.col("_truth") == F.col("_answer"), F.col("_n")).otherwise(0)) / F.sum("_n")).alias("observed"))
-    blocks = spark.range(-(-draws // DRAWS_OF_A_TASK)).withColumnRenamed("id", "_block")
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        units = pdf.groupby(["_unit", "_truth"], dropna=False).ngroup().to_numpy()
-        codes = pd.factorize(pd.concat([pdf["_truth"], pdf["_answer"]], ignore_index=True))[0]
-        truths, answers, k = codes[: len(pdf)], codes[len(pdf) :], int(codes.max()) + 1
-        own = np.empty(units.max() + 1, np.int64)
-        own[units] = truths
-        given = np.flatnonzero(answers >= 0)
-        places = units[given] * k + answers[given]
-        order = np.argsort(places)
-        places, n = np.append(places[order], -1), np.append(pdf["_n"].to_numpy()[given][order], 0)
-        first = int(pdf["_block"].iloc[0]) * DRAWS_OF_A_TASK
-        rates = []
-        for draw in range(first, min(first + DRAWS_OF_A_TASK, draws)):
-            dealt = own[np.random.default_rng([seed, draw]).permutation(len(own))]
-            wanted = (np.arange(len(own)) * k + dealt)[dealt >= 0]
-            at = np.searchsorted(places[:-1], wanted)
-            rates.append(int(n[at][places[at] == wanted].sum()) / max(1, int(n.sum())))
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(rates) for c in by}, "rate": rates})
+    text = lambda c: F.col(c).cast("string")
+    given = F.array_sort(F.collect_list(F.when(F.col("_answer").isNotNull(), F.struct(text("_answer").alias("a"), F.col("_n").alias("n")))))
+    units = counts.groupBy(*by, "_unit", text("_truth").alias("_truth")).agg(given.alias("_given"))
+    classes = units.groupBy(*by, "_given").agg(F.count("*").alias("n")).groupBy(*by).agg(F.collect_list(F.struct("_given", "n")).alias("_classes"))
+    truths = units.groupBy(*by, "_truth").agg(F.count("*").alias("n")).groupBy(*by).agg(F.collect_list(F.struct("_truth", "n")).alias("_truths"))
+    spread = classes.join(truths, by).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // DRAWS_OF_A_TASK) - 1))))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for cell in pdf.itertuples(index=False):
+                *key, groups, margin, block = cell
+                margin, groups = sorted(margin, key=lambda t: (t["_truth"] is None, t["_truth"] or "")), sorted(groups, key=lambda c: [(g["a"], g["n"]) for g in c["_given"]])
+                number = {name: i for i, name in enumerate(dict.fromkeys([t["_truth"] for t in margin if t["_truth"] is not None] + [g["a"] for c in groups for g in c["_given"]]))}
+                own = np.array([number[t["_truth"]] if t["_truth"] is not None else -1 for t in margin], np.int64)
+                answers = [{number[g["a"]]: int(g["n"]) for g in c["_given"]} for c in groups]
+                first = block * DRAWS_OF_A_TASK
+                rates = dealt_rates(own, np.array([t["n"] for t in margin], np.int64), answers, np.array([c["n"] for c in groups], np.int64), min(DRAWS_OF_A_TASK, draws - first), [seed, int(block)])
+                yield pd.DataFrame({**{c: [v] for c, v in zip(by, key, strict=True)}, "_rates": [rates]})
 
     kinds = [items.schema[c] for c in by]
-    rates = counts.crossJoin(F.broadcast(blocks)).groupBy(*by, "_block").applyInPandas(deal, T.StructType([*kinds, T.StructField("rate", T.DoubleType())]))
-    out = rates.join(observed, by).groupBy(*by).agg(F.first("observed").alias("observed"), F.avg("rate").alias("null_mean"), F.sort_array(F.collect_list("rate")).alias("s"), F.count_if(F.col("rate") >= F.col("observed")).alias("b"))
+    rates = spread.repartition(*by, "_block").mapInPandas(deal, T.StructType([*kinds, T.StructField("_rates", T.ArrayType(T.DoubleType()))]))
+    gathered = rates.groupBy(*by).agg(F.sort_array(F.flatten(F.collect_list("_rates"))).alias("s")).join(observed, by)
     at = lambda i: F.element_at("s", F.greatest(F.lit(1), i).cast("int"))
     m = F.size("s")
-    return out.select(*by, "observed", "null_mean", at(F.floor(0.025 * m) + 1).alias("low"), at(F.floor(0.975 * m)).alias("high"), ((F.col("b") + 1) / (m + 1)).alias("p"))
+    mean, b = F.aggregate("s", F.lit(0.0), lambda x, y: x + y) / m, F.size(F.filter("s", lambda x: x >= F.col("observed")))
+    return gathered.select(*by, "observed", mean.alias("null_mean"), at(F.floor(0.025 * m) + 1).alias("low"), at(F.floor(0.975 * m)).alias("high"), ((b + 1) / (m + 1)).alias("p"))
 
 
 def analytic_null(items: DataFrame, by: list[str], truth: str, answer: str) -> DataFrame:
@@ -184,3 +236,48 @@ def nearest_centroid(vectors: DataFrame, id_col: str, vector: str, label: str, b
     far = F.aggregate(F.zip_with("v", centre, lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, d: a + d)
     dist = paired.select("id", "label", "other", far.alias("d")).where("d is not null")
     return dist.groupBy("id", "label").agg(F.min_by("other", F.struct("d", "other")).alias("nearest"))
+
+
+def panel_verdicts(cells: DataFrame, failures: DataFrame, vetoes: DataFrame, domains: DataFrame, blind: str, source: str, draws: int = 1000) -> DataFrame:
+    """The verdict of each arm against its strongest attacker: arm, attacker, rate, blind_rate, low, high, spread, gate, verdict.
+
+    cells: arm, attacker, file, k of n. failures: attacker, and k of n answers of all its arms that can't be read. vetoes:
+    arms with a veto. domains: arm, and how many domains carry data. The strongest attacker has the highest rate, the first
+    of equals by name; an attacker without answers in an arm counts as one of rate 0. Its own blind rate is what the arm is
+    compared with, and the interval is that of the difference of these two over their files. Rules in order: an invalid
+    gate, too few domains and a wide spread of attackers are inconclusive; then pass and fail. Without a blind arm of that
+    attacker nothing is computable. A veto fails an arm, but not where the gate is invalid or domains are too few.
+    """
+    totals = cells.groupBy("arm", "attacker").agg(F.sum("k").alias("k"), F.sum("n").alias("n")).withColumn("p", F.col("k") / F.greatest("n", F.lit(1)))
+    attackers = totals.select("attacker").distinct()
+    controls = attackers.join(totals.where(F.col("arm") == source).select("attacker", "p", "n"), "attacker", "left").join(failures.select("attacker", (F.col("k") / F.nullif(F.col("n"), F.lit(0))).alias("f")), "attacker", "left")
+    read, known = F.coalesce("f", F.lit(0.0)) <= stats.PARSE_FAILURES, F.coalesce("n", F.lit(0)) > 0
+    state = F.when(~known & read, 1).when((F.coalesce("p", F.lit(0.0)) >= stats.SOURCE_RATE) & read, 0).otherwise(2)
+    # One row: how many attackers there are and the worst of their gates.
+    panel = controls.agg(F.count("*").alias("n"), F.max(state).alias("worst")).first()
+    gate = ("VALID", "NOT EVALUATED", "INVALID")[panel["worst"] or 0]
+
+    judged = totals.where(~F.col("arm").isin(blind, source))
+    lowest = F.when(F.count("*") < panel["n"], F.least(F.min("p"), F.lit(0.0))).otherwise(F.min("p"))
+    best = judged.groupBy("arm").agg(F.min_by(F.struct("attacker", "p", "n"), F.struct(-F.col("p"), "attacker")).alias("s"), (F.max("p") - lowest).alias("spread"))
+    best = best.select("arm", "s.attacker", F.col("s.p").alias("rate"), F.col("s.n").alias("n"), "spread").where("n > 0").drop("n")
+    own_blind = totals.where((F.col("arm") == blind) & (F.col("n") > 0)).select("attacker", F.col("p").alias("blind_rate"))
+    best = best.join(own_blind, "attacker", "left")
+    hit = cells.join(best.select("arm", "attacker"), ["arm", "attacker"]).select("arm", "file", F.lit(True).alias("side"), "k", "n")
+    base = cells.where(F.col("arm") == blind).drop("arm").join(best.select("arm", "attacker"), "attacker").select("arm", "file", F.lit(False).alias("side"), "k", "n")
+    ends = cluster_bootstrap(hit.unionByName(base), ["arm"], "file", "side", "k", "n", draws).select("arm", "low", "high")
+    got = best.join(ends, "arm", "left").join(domains.select("arm", "domains"), "arm", "left").join(vetoes.select("arm").distinct().withColumn("veto", F.lit(True)), "arm", "left")
+    short = F.coalesce("domains", F.lit(0)) < stats.LEAST_DOMAINS
+    low, high, diff = F.coalesce("low", F.lit(0.0)), F.coalesce("high", F.lit(0.0)), F.col("rate") - F.col("blind_rate")
+    veto = F.coalesce("veto", F.lit(False)) & F.lit(gate == "VALID") & ~short
+    plain = (
+        F.when(F.lit(gate != "VALID"), "INCONCLUSIVE: gate " + gate.lower())
+        .when(short, "INCONCLUSIVE: domains")
+        .when(F.col("spread") > stats.MOST_SPREAD, "INCONCLUSIVE: spread")
+        .when((high <= stats.PASS_CI) & (F.col("rate") <= stats.PASS_RATE), "PASS")
+        .when((diff >= stats.FAIL_DIFF) & (low > 0), "FAIL")
+        .otherwise("INCONCLUSIVE")
+    )
+    computed = F.when(veto & (plain != "FAIL"), "FAIL: veto").otherwise(plain)
+    verdict = F.when(F.col("blind_rate").isNotNull(), computed).when(veto, "FAIL: veto").otherwise("NOT COMPUTABLE")
+    return got.select("arm", "attacker", "rate", "blind_rate", "low", "high", "spread", F.lit(gate).alias("gate"), verdict.alias("verdict"))

@@ -419,24 +419,32 @@ def w10(spark: SparkSession, sf: str) -> DataFrame:
     return items.select("conv_id", F.array_join(ev.menu(OPTIONS, F.col("conv_id")), ",").alias("menu"))
 
 
+def verdict_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Cells, unreadable answers by attacker, vetoed arms, and domains by arm, of the records whose hit is a high quality or, in the source arm, any label."""
+    r = records(spark, sf).withColumn("correct", F.when((F.col("arm") == "src0") | ((F.col("correct") == 1) & (F.col("doc_id") % F.ascii("arm") % 3 != 0)), 1).otherwise(0))
+    cells = r.groupBy("arm", "attacker", "file").agg(F.sum("correct").alias("k"), F.count("*").alias("n"))
+    failures = r.groupBy("attacker").agg(F.sum((F.col("confidence") < 0.03).cast("int")).alias("k"), F.count("*").alias("n"))
+    return cells, failures, v03(spark, sf).where("veto").select(F.col("source").alias("arm")), r.groupBy("arm").agg(F.countDistinct("file").alias("domains"))
+
+
 @query("v02_panel_verdicts")
 def v02(spark: SparkSession, sf: str) -> DataFrame:
-    """Verdicts of arms over the whole panel: spread of attackers, the interval by source files, and the leak veto."""
-    r = records(spark, sf)
-    cells = r.groupBy("arm", "attacker").agg(F.avg("correct").alias("p"), F.avg((F.col("confidence") < 0.03).cast("double")).alias("failures"))
-    panel = cells.groupBy("arm").agg(F.avg("p").alias("rate"), (F.max("p") - F.min("p")).alias("spread"), F.max("failures").alias("failures"))
-    domains = r.groupBy("arm").agg(F.countDistinct("file").alias("domains"))
-    # Each arm against the blind one, over the same files.
-    arms = r.where("arm <> 'src1'").select("arm", "file", "correct", F.lit(True).alias("side"))
-    blind = joins.with_each(r.where("arm = 'src1'").select("file", "correct"), r.where("arm <> 'src1'"), "arm").select("arm", "file", "correct", F.lit(False).alias("side"))
-    counts = arms.unionByName(blind).groupBy("arm", "file", "side").agg(F.sum("correct").alias("k"), F.count("*").alias("n"))
-    ends = ev.cluster_bootstrap(counts, ["arm"], "file", "side", "k", "n", draws=DRAWS).select("arm", "diff", "low", "high")
-    veto = v03(spark, sf).select(F.col("source").alias("arm"), F.col("hit_rate").alias("leaks"))
-    source = panel.where("arm = 'src0'").select(F.col("rate").alias("source_rate"))
-    got = panel.join(domains, "arm").join(ends, "arm", "left").join(veto, "arm", "left").join(F.broadcast(source))
-    gate = stats.gate(F.col("source_rate"), F.col("failures"))
-    verdict = stats.verdict(gate, F.col("domains"), F.col("spread"), F.col("diff").isNotNull(), F.coalesce("leaks", F.lit(0.0)), F.col("high"), F.col("low"), F.col("rate"), F.col("diff"))
-    return got.select("arm", *[F.round(c, 9).alias(c) for c in ("rate", "spread", "diff", "low", "high", "leaks")], "domains", gate.alias("gate"), verdict.alias("verdict"))
+    """Verdicts of arms against their strongest attackers: that attacker's blind rate and interval by files, the spread of attackers, the veto."""
+    got = ev.panel_verdicts(*verdict_inputs(spark, sf), blind="src1", source="src0", draws=DRAWS)
+    return got.select("arm", "attacker", *[F.round(c, 9).alias(c) for c in ("rate", "blind_rate", "low", "high", "spread")], "gate", "verdict")
+
+
+@query(
+    "v02_strongest_attackers",
+    f"""WITH r AS (SELECT doc_id, source AS arm, lang AS attacker, CASE WHEN source = 'src0' OR (quality = 1 AND doc_id % ascii(source) % 3 <> 0) THEN 1 ELSE 0 END AS correct FROM documents JOIN labels USING (doc_id)), t AS (SELECT arm, attacker, avg(correct) AS p FROM r GROUP BY ALL),
+    f AS (SELECT attacker, avg(CASE WHEN doc_id % 100 / 100.0 < 0.03 THEN 1.0 ELSE 0 END) AS f FROM r GROUP BY attacker), g AS (SELECT max(CASE WHEN s.p IS NULL AND f <= 0.05 THEN 1 WHEN s.p >= 0.9 AND f <= 0.05 THEN 0 ELSE 2 END) AS worst FROM f LEFT JOIN (SELECT * FROM t WHERE arm = 'src0') s USING (attacker)),
+    b AS (SELECT arm, arg_min(attacker, (-p, attacker)) AS attacker, max(p) AS rate, max(p) - CASE WHEN count(*) < (SELECT count(*) FROM f) THEN least(min(p), 0) ELSE min(p) END AS spread FROM t WHERE arm NOT IN ('src0', 'src1') GROUP BY arm)
+    SELECT b.arm, b.attacker, round(rate, 9) AS rate, round(s.p, 9) AS blind_rate, round(spread, 9) AS spread, CASE worst WHEN 0 THEN 'VALID' WHEN 1 THEN 'NOT EVALUATED' ELSE 'INVALID' END AS gate FROM b LEFT JOIN (SELECT * FROM t WHERE arm = 'src1') s ON s.attacker = b.attacker, g""",
+)
+def v02_strongest(spark: SparkSession, sf: str) -> DataFrame:
+    """What the verdicts rest on besides the interval."""
+    got = ev.panel_verdicts(*verdict_inputs(spark, sf), blind="src1", source="src0", draws=1)
+    return got.select("arm", "attacker", *[F.round(c, 9).alias(c) for c in ("rate", "blind_rate", "spread")], "gate")
 
 
 @query("x01_ordered_union", "SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL) GROUP BY conv_id")

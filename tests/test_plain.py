@@ -355,14 +355,120 @@ def test_permutation_null_equals_plain_dealing(spark):
     assert abs(r["p"] - (sum(x >= observed for x in rates) + 1) / 3001) < 0.05
 
 
-def test_panel_verdicts_follow_their_inputs(spark, sf):
-    got = {r["arm"]: r for r in plans.queries()["v02_panel_verdicts"](spark, sf).collect()}
-    base = f"select source as arm, lang, avg(quality) as p from '{sf}/documents.parquet' join '{sf}/labels.parquet' using (doc_id) group by all"
-    for arm, rate, spread in duckdb.sql(f"select arm, avg(p), max(p) - min(p) from ({base}) group by arm").fetchall():
-        r = got[arm]
-        assert (r["rate"], r["spread"]) == (pytest.approx(rate), pytest.approx(spread))
-        assert (r["gate"] != "VALID") == (r["verdict"] == "NO VERDICT")
-        assert r["diff"] is None or r["low"] <= r["diff"] <= r["high"]
+def plain_verdicts(cells, failures, vetoed, domains, ends):
+    """arm -> (attacker, rate, its blind rate, spread, verdict) of cells (arm, attacker, file, k, n); ends: intervals by arm."""
+    attackers = sorted({a for _, a, *_ in cells})
+
+    def agg(attacker, arm):
+        own = [(k, n) for x, a, _, k, n in cells if (x, a) == (arm, attacker)]
+        return sum(k for k, _ in own), sum(n for _, n in own)
+
+    gate_ok, gate_failed = True, False
+    for a in attackers:
+        k, n = agg(a, "source")
+        fk, fn = failures.get(a, (0, 0))
+        failed = fk / fn if fn else 0.0
+        ok = (k / n if n else 0.0) >= 0.90 and failed <= 0.05
+        gate_ok &= ok
+        if n or failed > 0.05:
+            gate_failed |= not ok
+    out = {}
+    for arm in sorted({x for x, *_ in cells} - {"blind", "source"}):
+        best = max(attackers, key=lambda a: agg(a, arm)[0] / max(1, agg(a, arm)[1]))
+        hk, hn = agg(best, arm)
+        if not hn:
+            continue
+        p, (bk, bn) = hk / hn, agg(best, "blind")
+        rates = [agg(a, arm)[0] / max(1, agg(a, arm)[1]) for a in attackers]
+        spread, short = max(abs(x - y) for x in rates for y in rates), domains[arm] < 3
+        veto = arm in vetoed and gate_ok and not short
+        low, high = ends[arm]
+        if not bn:
+            out[arm] = (best, p, None, spread, "FAIL: veto" if veto else "NOT COMPUTABLE")
+            continue
+        if not gate_ok:
+            v = "INCONCLUSIVE: gate " + ("invalid" if gate_failed else "not evaluated")
+        elif short:
+            v = "INCONCLUSIVE: domains"
+        elif spread > 0.20:
+            v = "INCONCLUSIVE: spread"
+        elif high <= 0.10 and p <= 0.25:
+            v = "PASS"
+        elif p - bk / bn >= 0.25 and low > 0:
+            v = "FAIL"
+        else:
+            v = "INCONCLUSIVE"
+        out[arm] = (best, p, bk / bn, spread, "FAIL: veto" if veto and v != "FAIL" else v)
+    return out
+
+
+def plain_ends(cells, arm, attacker, rng, draws=3000):
+    own = {name: {f: (k, n) for x, a, f, k, n in cells if (x, a) == (name, attacker)} for name in (arm, "blind")}
+    files = sorted({f for x in own.values() for f in x})
+    diffs = []
+    for _ in range(draws):
+        pick = [files[i] for i in rng.integers(0, len(files), len(files))]
+        (hk, hn), (bk, bn) = ([sum(x.get(f, (0, 0))[i] for f in pick) for i in (0, 1)] for x in (own[arm], own["blind"]))
+        if hn and bn:
+            diffs.append(hk / hn - bk / bn)
+    diffs.sort()
+    return diffs[int(0.025 * (len(diffs) - 1))], diffs[int(0.975 * (len(diffs) - 1))]
+
+
+# The rate of each arm and attacker, x standing for no answers; unreadable answers of attacker a; arms with a veto.
+PANELS = {
+    "rules": ({"source": "999", "blind": "111", "same": "112", "worse": "666", "apart": "268", "few": "111", "leaky": "111", "gone": "x11"}, 0, {"leaky", "few", "worse"}),
+    "invalid": ({"source": "988", "blind": "111", "same": "112"}, 0, {"same"}),
+    "unread": ({"source": "999", "blind": "111", "same": "112"}, 9, set()),
+    "no source": ({"blind": "111", "same": "112"}, 0, {"same"}),
+    "no blind": ({"source": "999", "blind": "1x1", "one": "181", "two": "811", "leaky": "282"}, 0, {"leaky"}),
+}
+
+
+@pytest.mark.parametrize("panel", PANELS)
+def test_panel_verdicts_equal_the_plain_rules(spark, panel):
+    arms, unread, vetoed = PANELS[panel]
+    # Attackers b and c tie where their rates do; the first by name counts.
+    cells = [(arm, "abc"[i], f"f{f}", round(20 * int(r) / 9) if arm == "source" else int(r) * 2 + (f % 2 if 0 < int(r) < 9 else 0), 20) for arm, rates in arms.items() for i, r in enumerate(rates) if r != "x" for f in range(30)]
+    failures, domains = {"a": (unread, 100), "b": (0, 100)}, {arm: 2 if arm == "few" else 5 for arm in arms}
+    got = evaluation.panel_verdicts(
+        spark.createDataFrame(cells, "arm string, attacker string, file string, k long, n long"), spark.createDataFrame([(a, *x) for a, x in failures.items()], "attacker string, k long, n long"),
+        spark.createDataFrame([(v,) for v in vetoed], "arm string"), spark.createDataFrame(list(domains.items()), "arm string, domains long"), "blind", "source", 3000,
+    ).collect()
+    ends = {r["arm"]: (r["low"] or 0.0, r["high"] or 0.0) for r in got}
+    want = plain_verdicts(cells, failures, vetoed, domains, ends)
+    assert {r["arm"]: (r["attacker"], r["blind_rate"], r["verdict"]) for r in got} == {a: (w[0], w[2], w[4]) for a, w in want.items()}
+    rng = np.random.default_rng(1)
+    for r in got:
+        assert (r["rate"], r["spread"]) == (pytest.approx(want[r["arm"]][1]), pytest.approx(want[r["arm"]][3]))
+        if r["blind_rate"] is not None:
+            assert ends[r["arm"]] == pytest.approx(plain_ends(cells, r["arm"], r["attacker"], rng), abs=0.004)
+    if panel == "rules":
+        assert {r["arm"]: r["verdict"].split(":")[0] for r in got} == {"same": "INCONCLUSIVE", "worse": "FAIL", "apart": "INCONCLUSIVE", "few": "INCONCLUSIVE", "leaky": "FAIL", "gone": "PASS"}
+
+
+def test_dealing_by_classes_equals_dealing_units():
+    rng = np.random.default_rng(3)
+    # Six kinds of units, of which there are many, and truths of which one is unknown.
+    answers = [{0: 2}, {1: 1, 0: 1}, {2: 3}, {}, {1: 2}, {3: 1}]
+    units, truths, margin = np.array([40, 30, 20, 10, 25, 15]), np.array([0, 1, 2, -1]), np.array([60, 40, 30, 10])
+    got = evaluation.dealt_rates(truths, margin, answers, units, 6000, [1, 0])
+    row, dealt = np.repeat(np.arange(6), units), np.repeat(truths, margin)
+    total = sum(n * sum(a.values()) for a, n in zip(answers, units, strict=True))
+    want = np.array([sum(answers[r].get(t, 0) for r, t in zip(row.tolist(), rng.permutation(dealt).tolist(), strict=True)) / total for _ in range(1500)])
+    assert abs(got.mean() - want.mean()) < 0.004 and abs(got.std() - want.std()) < 0.003
+    assert np.abs(np.quantile(got, [0.025, 0.5, 0.975]) - np.quantile(want, [0.025, 0.5, 0.975])).max() < 0.015
+
+
+def test_a_cell_of_many_units_is_few_classes(spark):
+    import time
+
+    n = 2_000_000
+    items = spark.range(n).select(F.lit("a").alias("arm"), F.col("id").alias("file"), (F.col("id") % 4).alias("truth"), F.when(F.col("id") % 3 == 0, F.col("id") % 4).otherwise(F.xxhash64("id") % 4).alias("answer"))
+    began = time.time()
+    r = evaluation.permutation_null(items, ["arm"], "file", "truth", "answer", draws=1000).first()
+    assert r["observed"] > 0.3 and abs(r["null_mean"] - r["observed"]) > 0.05 and r["high"] - r["low"] < 0.01 and r["p"] == pytest.approx(1 / 1001)
+    assert time.time() - began < 120
 
 
 def test_association_is_refused_for_the_first_reason(spark):
