@@ -228,7 +228,7 @@ def length_tagged(text: Column, tags: tuple[str, ...]) -> Column:
             name, _, n = line[a + 1 : z].partition(":")
             if name == "fin":
                 break
-            if not n.isdigit():
+            if not (n.isascii() and n.isdigit()):
                 at = a + 1
                 continue
             if name in out:
