@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import builtins
+import keyword
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -13,7 +16,19 @@ from pyspark.sql import functions as F
 
 # Sizes at which the character ratio is bounded or left out, and lines of a copied span.
 EXACT_CHARS, BOUND_CHARS, SPAN_LINES = 30_000, 200_000, 5
-WORD = re.compile(r"[^\W\d]\w*")
+# The identifiers that tell whose a text is, and names of languages and their libraries, which tell nothing,
+# besides the keywords and built-in names of Python.
+CONTENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,}")
+LIBRARY = """
+self cls args kwargs annotations __future__ __init__ __str__ __repr__ __name__ __main__ dataclass dataclasses field datetime
+timedelta timezone sqlite3 json pathlib Path typing Optional Iterable Sequence Iterator Callable argparse logging Logger
+collections defaultdict namedtuple itertools functools contextlib hashlib sha256 time math random textwrap unicodedata
+requests append extend strip rstrip lstrip split splitlines join format encode decode lower upper startswith endswith
+replace keys values items fetchone fetchall execute executemany cursor conn commit close read read_text write write_text
+utf-8 isoformat utcnow SELECT FROM WHERE ORDER LIMIT DESC ASC INSERT INTO VALUES UPDATE GROUP NULL AND NOT LEFT JOIN CREATE
+TABLE EXISTS INTEGER TEXT PRIMARY
+""".split()
+NO_CONTENT = frozenset(LIBRARY) | frozenset(keyword.kwlist) | frozenset(dir(builtins))
 
 
 # Suffixes of languages with // and /* */ comments.
@@ -38,19 +53,27 @@ def code_lines(text: str, suffix: str = ".go") -> list[str]:
     return [x for x in kept if x]
 
 
-def inspect(source: str, output: str, suffix: str = ".go") -> dict:
-    """The report of one pair."""
+def content(lines: Iterable[str]) -> set[str]:
+    """Identifiers of code lines that an honest rewriting replaces."""
+    return {w for line in lines for w in CONTENT.findall(line)} - NO_CONTENT
+
+
+def inspect(source: str, output: str, suffix: str = ".go", floor: float = 0.95) -> dict:
+    """The report of one pair.
+
+    ratio is null where it would take long and its bound is under `floor`, and for very long texts, as is their bound.
+    """
     a, b = code_lines(source, suffix), code_lines(output, suffix)
     blocks = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
     spans = [m.size for m in blocks if m.size >= SPAN_LINES]
     run = max((m.size for m in blocks), default=0)
-    own, words, lines = set(WORD.findall(source)), set(WORD.findall(output)), set(a)
+    own, words, lines = content(a), content(b), set(a)
     lines_kept = sum(1 for x in b if x in lines) / len(b) if b else 1.0
     size, ratio, bound = len(source) + len(output), None, None
     if size <= BOUND_CHARS:
         m = SequenceMatcher(None, source, output)
         bound = round(m.quick_ratio(), 3)
-        ratio = round(m.ratio(), 3) if size <= EXACT_CHARS else None
+        ratio = round(m.ratio(), 3) if size <= EXACT_CHARS or m.quick_ratio() >= floor else None
     return {
         "src_lines": len(a), "out_lines": len(b), "ratio": ratio, "ratio_bound": bound, "retention": round(len(own & words) / len(own), 3) if own else 0.0, "verbatim": round(lines_kept, 3),
         "longest_run": run, "run_share": round(run / len(a), 3) if a else 0.0, "copied_spans": len(spans), "copied_share": round(sum(spans) / len(a), 3) if a else 0.0,
@@ -76,7 +99,11 @@ def leak_pattern(terms: Iterable[str]) -> re.Pattern:
 
 
 def score(source: str, output: str, suffix: str, pattern: re.Pattern) -> dict:
-    """How much of a source file an output keeps: lines, vocabulary, copied spans, shape and leak terms."""
+    """How much of a source file an output keeps: lines, vocabulary, copied spans, shape and leak terms.
+
+    leak_terms: on how many lines each term is; shape_loss: how many fewer lines of each kind the output has, where they
+    differ; passthrough: whether the output is its source but for little.
+    """
     from .code import SHAPE
 
     r = inspect(source, output, suffix)
@@ -89,13 +116,15 @@ def score(source: str, output: str, suffix: str, pattern: re.Pattern) -> dict:
     terms = {m[0].lower() for m in pattern.finditer(source)}
     count = lambda lines: [sum(1 for x in lines if re.match(p, x)) for p in SHAPE.values()]
     before, after = count(a), count(b)
+    by_term = Counter(t for _, found in leaks for t in found)
     return {
         **r, "verbatim_long": round(sum(x in own for x in long) / len(long), 3) if long else 1.0, "shape_fidelity": round(1 - sum(abs(x - y) for x, y in zip(before, after, strict=True)) / sum(before), 3) if sum(before) else 1.0,
         "leak_lines": len(leaks), "leak_lines_verbatim": sum(line in all_lines for line, _ in leaks), "domain_terms": len(terms), "domain_retention": round(len(terms & kept) / len(terms), 3) if terms else 0.0,
+        "leak_terms": dict(by_term), "shape_loss": {k: x - y for k, x, y in zip(SHAPE, before, after, strict=True) if x != y}, "passthrough": r["retention"] >= 0.92 and (r["ratio"] or 0.0) >= 0.95,
     }
 
 
-SCORE = "verbatim_long double, shape_fidelity double, leak_lines long, leak_lines_verbatim long, domain_terms long, domain_retention double"
+SCORE = "verbatim_long double, shape_fidelity double, leak_lines long, leak_lines_verbatim long, domain_terms long, domain_retention double, leak_terms map<string,bigint>, shape_loss map<string,bigint>, passthrough boolean"
 
 
 def scores(source: Column, output: Column, terms: Iterable[str], suffix: str = ".go") -> Column:
@@ -124,7 +153,7 @@ class Thresholds:
 
 def gate(r: Column, leaked: Column, t: Thresholds = Thresholds()) -> Column:
     """The verdict over a report: a leaked module name counts before the size does."""
-    near = (F.coalesce(r["ratio"], r["ratio_bound"], F.lit(0.0)) >= t.ratio) | (r["verbatim"] >= t.verbatim)
+    near = (F.coalesce(r["ratio"], F.lit(0.0)) >= t.ratio) | (r["verbatim"] >= t.verbatim)
     return (
         F.when(leaked, "refused: module name")
         .when(r["src_lines"] < t.least_lines, "too small")
@@ -133,3 +162,10 @@ def gate(r: Column, leaked: Column, t: Thresholds = Thresholds()) -> Column:
         .when((r["retention"] >= t.retention) & near, "refused: echo")
         .otherwise("passed")
     )
+
+
+def leaked(source: Column, output: Column) -> Column:
+    """Whether an output has the name of a module that its source imports from itself, as a whole word regardless of case."""
+    from .code import own_modules
+
+    return F.exists(own_modules(source), lambda n: F.regexp_like(output, F.concat(F.lit(r"(?iU)\b\Q"), n, F.lit(r"\E\b"))))

@@ -216,7 +216,7 @@ def t29_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Each turn scored against the one before: lines, vocabulary, spans, shape and leak terms."""
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     pairs = table(spark, sf, "conversations").select("conv_id", "turn", "text", before.alias("before")).where("before is not null")
-    return pairs.select("conv_id", "turn", similarity.scores(F.col("before"), F.col("text"), ("section", "general", "system")).alias("s")).select("conv_id", "turn", "s.*")
+    return pairs.select("conv_id", "turn", similarity.scores(F.col("before"), F.col("text"), ("section", "general", "system")).alias("s")).select("conv_id", "turn", "s.*").withColumns({c: F.to_json(F.array_sort(F.map_entries(c))) for c in ("leak_terms", "shape_loss")})
 
 
 _B, _A = counters_sql("html", "ts"), counters_sql("reverse(html)", "ts")

@@ -113,11 +113,23 @@ def t07(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("t15_similarity_gate")
 def t15(spark: SparkSession, sf: str) -> DataFrame:
-    """How much of each turn survives in the next, and the verdict."""
+    """How much of each turn survives in the next, and the verdict (T14 - T17). Every third turn imports the module that its conversation is named after."""
     after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     pairs = table(spark, sf, "conversations").select("conv_id", "turn", "text", after.alias("after")).where("after is not null")
-    got = pairs.select("conv_id", "turn", similarity.report(F.col("text"), F.col("after")).alias("r"))
-    return got.select("conv_id", "turn", "r.*", similarity.gate(F.col("r"), F.lit(False)).alias("verdict"))
+    own = F.concat(F.lit('package a\nimport (\n\t"turn'), "conv_id", F.lit('/store"\n)\n'), F.coalesce("text", F.lit("")))
+    named = F.concat("after", F.when(F.col("turn") % 3 == 1, F.concat(F.lit(" TURN"), "conv_id")).otherwise(""))
+    got = pairs.select("conv_id", "turn", similarity.report(own, named).alias("r"), similarity.leaked(own, named).alias("leaked"))
+    return got.select("conv_id", "turn", "r.*", "leaked", similarity.gate(F.col("r"), F.col("leaked")).alias("verdict"))
+
+
+@query(
+    "t16_leaked_modules",
+    """WITH p AS (SELECT conv_id, turn, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS after, turn % 3 AS k FROM conversations)
+    SELECT conv_id, turn, k = 1 AS leaked FROM p WHERE after IS NOT NULL""",
+)
+def t16(spark: SparkSession, sf: str) -> DataFrame:
+    """Which turns name the module that the turn before imports."""
+    return t15(spark, sf).select("conv_id", "turn", "leaked")
 
 
 @query(

@@ -137,7 +137,7 @@ def test_similarity_equals_plain_counts(spark):
     rng = random.Random(2)
     rows = []
     for _ in range(30):
-        a = [f"name_{rng.randrange(12)} = call_{rng.randrange(5)}(x)" for _ in range(rng.randrange(1, 40))]
+        a = [f"name_{rng.randrange(12)} = self.call_{rng.randrange(5)}(xyz, {rng.choice(['append', 'return', 'print', 'isoformat', 'é'])})" for _ in range(rng.randrange(1, 40))]
         b = [x if rng.random() < 0.7 else f"other_{rng.randrange(9)}" for x in a]
         rows.append(("\n".join(a), "\n".join(b)))
     for (x, y), r in zip(rows, spark.createDataFrame(rows, "x string, y string").select(similarity.report(F.col("x"), F.col("y")).alias("r")).collect(), strict=True):
@@ -146,7 +146,9 @@ def test_similarity_equals_plain_counts(spark):
         assert (r["src_lines"], r["out_lines"], r["longest_run"]) == (len(a), len(b), max(sizes, default=0))
         assert r["copied_spans"] == sum(s >= 5 for s in sizes) and r["copied_share"] == round(sum(s for s in sizes if s >= 5) / len(a), 3)
         assert r["verbatim"] == round(sum(line in a for line in b) / len(b), 3) and r["ratio"] == round(SequenceMatcher(None, x, y).ratio(), 3)
-        own, words = (set(re.findall(r"[A-Za-z]\w*|_\w+", t)) for t in (x, y))
+        # Identifiers of four characters or more of code lines, but for what the language and its libraries own.
+        spared = {"self", "append", "return", "print", "isoformat"}
+        own, words = ({w for line in t if not line.startswith("//") for w in re.findall(r"[A-Za-z_][A-Za-z0-9_]{3,}", line)} - spared for t in (a, b))
         assert r["retention"] == round(len(own & words) / len(own), 3)
 
 
@@ -158,6 +160,20 @@ def test_file_scores(spark):
     # Of def, branch and loop one stays; of the terms the longer one is named.
     assert other["shape_fidelity"] == round(1 - 2 / 3, 3) and other["leak_lines"] == 1 and other["leak_lines_verbatim"] == 0
     assert other["domain_terms"] == 3 and other["domain_retention"] == round(1 / 3, 3)
+    assert same["leak_terms"] == {"turbine": 1, "turbine blades": 1, "rotor": 1} and other["leak_terms"] == {"turbine blades": 1}
+    assert (same["shape_loss"], same["passthrough"]) == ({}, True) and other["shape_loss"] == {"branch": 1, "loop": 1} and not other["passthrough"]
+
+
+def test_leaked_modules(spark):
+    source = 'package a\nimport (\n\t"ledger.app/x"\n\t"turbines/db"\n)\n'
+    got = spark.createDataFrame([(source, "the Turbines of"), (source, "turbines_db"), ("", "turbines"), (source, None)], "x string, y string").select(similarity.leaked(F.col("x"), F.col("y")).alias("l")).collect()
+    assert [r["l"] for r in got] == [True, False, False, None]
+
+
+def test_ratio_of_long_texts(monkeypatch):
+    monkeypatch.setattr(similarity, "EXACT_CHARS", 100)
+    long = "\n".join(f"value_{i} = compute_{i}(x)" for i in range(30))
+    assert similarity.inspect(long, long)["ratio"] == 1.0 and similarity.inspect(long, "zzz" * 200)["ratio"] is None and similarity.inspect("ab", "cd")["ratio"] == 0.0
 
 
 @pytest.mark.parametrize(
