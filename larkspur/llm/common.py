@@ -51,6 +51,19 @@ def new_path(spark: SparkSession, kind: str) -> str:
 
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+# What is sent to a Python worker at once, and how many rows of whole texts are decoded at once.
+BOUNDS = {BATCH_BYTES: "4m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound batches of texts for the rest of the session, for operators whose last step runs when their result is read.
+
+    Values that the session was given stay.
+    """
+    given = spark.conf.getAll
+    for key, value in BOUNDS.items():
+        if key not in given:
+            spark.conf.set(key, value)
 
 
 def cut(df: DataFrame, kind: str = "table", scratch: Scratch | None = None) -> DataFrame:
@@ -63,12 +76,14 @@ def cut(df: DataFrame, kind: str = "table", scratch: Scratch | None = None) -> D
     if scratch is not None:
         scratch.paths.append(path)
     # Rows are whole texts or sets of hashes, and Python holds a batch several times over.
-    was = spark.conf.get(BATCH_BYTES)
-    spark.conf.set(BATCH_BYTES, "4m")
-    try:
+    if BATCH_BYTES in spark.conf.getAll:
         df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH_BYTES, was)
+    else:
+        spark.conf.set(BATCH_BYTES, "4m")
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.unset(BATCH_BYTES)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, fresh, slices, tidy, vocabulary
+from .common import Scratch, bound_batches, cut, fresh, slices, tidy, vocabulary
 from .words import BACK, BYTES, GOLD, mix, powers
 
 UNKNOWN = "und"
@@ -353,5 +353,6 @@ def identify(text: Column, model: Model | None) -> Column:
 def reject_unknown(docs: DataFrame, model: Model | None, least: float = 0.0) -> DataFrame:
     """`docs` without those whose text has no letter or whose score is under `least`."""
     (into,) = fresh(docs, "_lang")
+    bound_batches(docs.sparkSession)
     got = docs.withColumn(into, identify(F.col("text"), model))
     return got.where((F.col(f"{into}.lang_pred") != UNKNOWN) & (F.col(f"{into}.score") >= least)).drop(into)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, complete_groups, connected_components, cut, fresh, partitions, slices, split_by, tidy
+from .common import Scratch, bound_batches, complete_groups, connected_components, cut, fresh, partitions, slices, split_by, tidy
 from .words import hash_texts, mix, rolling
 
 
@@ -252,6 +252,7 @@ def _groups(own: DataFrame, options: LinkOptions, scratch: Scratch) -> DataFrame
 
 def keep_first(docs: DataFrame, options: LinkOptions = LinkOptions()) -> DataFrame:
     """`docs` with the smallest id of each group only; rows without an id stay."""
+    bound_batches(docs.sparkSession)
     gone = near_duplicates(docs.select("doc_id", "text"), options).where("not kept").select("doc_id").distinct()
     # Hashes of keys are compared, so both sides have one type.
     (key,) = fresh(docs, "_doc")

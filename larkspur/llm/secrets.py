@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, tidy, vocabulary
+from .common import bound_batches, slices, tidy, vocabulary
 
 # The base kinds in their order of listing, and their patterns.
 KINDS = ("assign", "access", "hex", "token")
@@ -139,6 +139,7 @@ def redact(docs: DataFrame, options: ScanOptions = ScanOptions(), mask: str = "<
 
     Overlapping spans are replaced together. A null text stays null. `n_chars`, where there is one, follows the text.
     """
+    bound_batches(docs.sparkSession)
     path = vocabulary(options.vocabulary)
 
     @tidy

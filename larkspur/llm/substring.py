@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, fresh, join_counted, slices, split_by, tidy
+from .common import Scratch, bound_batches, cut, fresh, join_counted, slices, split_by, tidy
 from .fm_index import FMIndex
 from .words import BACK, GOLD, hash_texts, mix, powers, rolling, split_words
 
@@ -334,6 +334,7 @@ def keep_words(text: Column, repeats: Column, window: int) -> Column:
 
 def _with_kept(docs: DataFrame, options: RepeatOptions, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     """`docs` and a column, whose name is given, of struct(n_words, n_removed, kept)."""
+    bound_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     with Scratch(docs.sparkSession) as scratch:
         spans = repeated_windows(own, options, scratch).groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
