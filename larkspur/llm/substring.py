@@ -7,18 +7,20 @@ through the index of each shard would grow with the square of the corpus. So tex
 1. The anchor of a window is the smallest hash of its runs of `anchor` words; equal windows have equal anchors. Runs of
    windows with one anchor are a segment. Segments whose anchor occurs once hold no repeat and go no further.
 2. Equal segments are counted by Spark (a minimum and a count for each, pre-aggregated), and one of each goes on.
-3. Shards take distinct segments by anchor. Each builds a compressed FM-index of its segments (a wavelet matrix and a
-   sampled suffix array) in corpus order, and streams the segments through it: backward search gives the matching
+3. Different segments of one anchor meet in a shard, dealt by anchor. It builds a compressed FM-index of them (a wavelet
+   matrix and a sampled suffix array) in corpus order, and streams them through it: backward search gives the matching
    statistics of each word, and a window whose match reaches `window` words and begins earlier than itself is a repeat.
-4. The indexes are written to a table. Later copies of a segment are dealt to tasks by shard, and a shard with many copies
-   to many tasks, each of which gets the shard's index. A copy is streamed through it like any text: what matches from
-   end to end, and begins earlier than the copy, is repeated as a whole; otherwise its windows are looked up one by one.
-   In a task equal copies are streamed once. So a copy goes because its words are in an index, not because of its hash.
+4. Later copies of a segment are looked up in an index of the first ones. Adjoining segments whose first copies adjoin in
+   one document are one run of words; runs are dealt by that document, to shards whose indexes are written to a table,
+   and each shard's later copies to as many tasks as their number asks for, each of which gets the shard's index. A run
+   is streamed through it like any text: what matches from end to end, and begins earlier, is repeated as a whole;
+   otherwise its windows are looked up one by one. In a task equal runs are streamed once. So a copy goes because its
+   words are in an index, not because of its hash.
 5. Where an anchor has more than `hot` different segments, they are cut into windows, counted by Spark like the segments
-   in step 2. Repeated windows are segments of one window, and steps 3 and 4 follow, so no shard grows with its copies.
+   in step 2. Repeated windows are segments of one window, and step 4 follows, so no shard grows with its copies.
 
 Every removed word lies in a match that an index has reported; words are compared as 32 bits of their hashes, 20 in a row
-at least. Shards hold about `shard` segments each, and tasks about `stream` copies, at every size of the corpus.
+at least. Shards hold about `shard` segments each, and tasks about `stream` copies of one run, at every size of the corpus.
 
 Edge cases: a null or empty text has no words; rows without an id are left whole and repeat nothing; rows with the same
 id and text count as one document, and of those with the same id and other texts the windows are taken as if the texts
@@ -45,13 +47,13 @@ from .words import BACK, GOLD, hash_texts, mix, powers, rolling, split_words
 
 @dataclass(frozen=True)
 class RepeatOptions:
-    """window: words of a window. anchor: words of an anchor. hot: different segments of an anchor that stay together. shard: segments of a shard, about. stream: later copies that one task streams, about."""
+    """window: words of a window. anchor: words of an anchor. hot: different segments of an anchor that stay together. shard: segments of a shard, about. stream: copies of one run that one task streams; documents whose runs have more have a shard of their own."""
 
     window: int = 20
     anchor: int = 6
     hot: int = 512
     shard: int = 6000
-    stream: int = 20_000
+    stream: int = 1024
 
 
 # A segment's start and number of windows in one long: start * PACK + windows.
@@ -108,8 +110,11 @@ def segment_rows(docs: DataFrame, options: RepeatOptions) -> DataFrame:
     return docs.where("id is not null").select("id", found("text").alias("s")).select("id", F.inline(F.arrays_zip("s.anchor", "s.seg", "s.at")))
 
 
-# Runs of repeated windows, by their first and last start; or a shard and its index.
-FOUND = "id long, a long, b long, shard long, index binary"
+SPANS = "id long, a long, b long"
+# Places of the first copy's document at which runs end, so that every copy's runs end at the same words.
+BLOCK = 256
+# Copies of a run for each task, where runs of many documents share a shard.
+FEW = 64
 
 
 def _runs(unit: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,64 +206,105 @@ class Shard:
         return pd.concat(found, ignore_index=True)
 
 
-def repeats_in_shard(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
-    """FOUND of one shard's segments (shard, anchor, seg, id, at, copies, words): what repeats in it, and its index if there are copies to stream."""
-    shard, copied = int(pdf["shard"].iloc[0]), bool((pdf["copies"] > 1).any())
+def _shard(pdf: pd.DataFrame) -> Shard:
     # Rows that share id and text are one.
-    pdf = pdf.drop_duplicates(["id", "at", "seg"]).sort_values(["id", "at"], kind="stable", ignore_index=True)
-    own = Shard(pdf["id"].to_numpy(), pdf["at"].to_numpy() // PACK, [np.frombuffer(w, np.uint32) for w in pdf["words"]])
-    # Equal windows have one anchor, so a segment alone with its anchor meets none.
-    runs = own.own_repeats(window, ~pdf.duplicated("anchor", keep=False).to_numpy()).assign(shard=shard, index=None)
-    whole = [pd.DataFrame({"id": [-1], "a": [-1], "b": [-1], "shard": [shard], "index": [pickle.dumps(own)]})] if copied else []
-    return pd.concat([runs, *whole], ignore_index=True)[[c.split()[0] for c in FOUND.split(", ")]] if whole else runs
+    pdf = pdf.drop_duplicates(["id", "start", "words"]).sort_values(["id", "start"], kind="stable", ignore_index=True)
+    return Shard(pdf["id"].to_numpy(), pdf["start"].to_numpy(), [np.frombuffer(w, np.uint32) for w in pdf["words"]])
+
+
+def repeats_in_shard(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
+    """Runs (id, a, b) of windows of one shard's segments (id, start, words) that begin earlier in another of them."""
+    own = _shard(pdf)
+    return own.own_repeats(window, np.zeros(len(own.ids), bool))
 
 
 def copies_in_shard(index: pd.DataFrame, copies: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Runs (id, a, b) of copies (id, at, words) that the shard's index holds at an earlier place."""
+    """Runs (id, a, b) of windows of copies (id, start, words) that the shard's index holds at an earlier place."""
     if not len(index) or not len(copies):
         return pd.DataFrame({"id": [], "a": [], "b": []}, dtype="int64")
-    return pickle.loads(index["index"].iloc[0]).repeats(copies["id"].to_numpy(), copies["at"].to_numpy() // PACK, list(copies["words"]), window)
+    return pickle.loads(index["index"].iloc[0]).repeats(copies["id"].to_numpy(), copies["start"].to_numpy(), list(copies["words"]), window)
+
+
+def _words_asked(batches: Iterator[pd.DataFrame], window: int) -> Iterator[tuple]:
+    """Of frames (id, text, asked: at, seg, ...) those asks whose segment the text has, by document and place: (asks, ids, rows, starts, windows, begin, hashes)."""
+    for part, h, begin, row, asks in _asked_of(batches):
+        at, seg = (np.fromiter((s[c] for s in asks), np.int64, len(asks)) for c in ("at", "seg"))
+        first, n = begin[row] + at // PACK, at % PACK
+        end = first + n + window - 1
+        # Another text with the same id may be shorter or have other words there.
+        fits = end <= begin[row + 1]
+        fits[fits] = hash_runs(h, first[fits], end[fits]).view(np.int64) == seg[fits]
+        order = np.flatnonzero(fits)
+        order = order[np.lexsort((first[order], row[order]))]
+        yield [asks[i] for i in order.tolist()], part["id"].to_numpy()[row[order]], row[order], at[order] // PACK, n[order], begin, (h >> np.uint64(32)).astype(np.uint32)
+
+
+def _different(docs: DataFrame, asked: DataFrame, options: RepeatOptions, scratch: Scratch) -> DataFrame:
+    """(id, a, b) of windows of the segments `asked` (id, anchor, seg, at) of docs (id, text) that repeat another segment's."""
+    window, spark = options.window, docs.sparkSession
+    shards = asked.count() // options.shard + 1
+    with Scratch(spark) as early:
+        by_id = cut(asked.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("id").agg(F.collect_list(F.struct("at", "seg", "shard")).alias("asked")), "asked", early)
+
+        @tidy
+        def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for asks, ids, row, start, n, begin, short in _words_asked(batches, window):
+                a = begin[row] + start
+                words = [short[x:y].tobytes() for x, y in zip(a.tolist(), (a + n + window - 1).tolist(), strict=True)]
+                yield pd.DataFrame({"shard": [s["shard"] for s in asks], "id": ids, "start": start, "words": words})
 
+        texts = split_by(docs, by_id, "id")[0].join(by_id, "id").select("id", "text", "asked")
+        units = texts.mapInPandas(fetch, "shard long, id long, start long, words binary")
+        return cut(units.groupBy("shard").applyInPandas(lambda pdf: repeats_in_shard(pdf[["id", "start", "words"]], window), SPANS), "different", scratch)
 
-def _spans(texts: DataFrame, rows: DataFrame, distinct: DataFrame, total: int, options: RepeatOptions, scratch: Scratch) -> DataFrame:
-    """(id, a, b): what the shards report of the segments `rows` (anchor, seg, id, at) of `texts` (id, text).
 
-    distinct: (anchor, seg, first, c, deal), one for each of those that are asked. total: number of rows.
+def _copied(docs: DataFrame, rows: DataFrame, distinct: DataFrame, total: int, options: RepeatOptions, scratch: Scratch) -> DataFrame:
+    """(id, a, b) of later copies, among `rows` (anchor, seg, id, at) of docs (id, text), of the segments `distinct` (anchor, seg, first, c), c over 1.
+
+    total: number of rows.
     """
-    window = options.window
+    window, stream, spark = options.window, options.stream, docs.sparkSession
     shards = distinct.count() // options.shard + 1
-    each = join_counted(rows, distinct, ["anchor", "seg"], total)
-    is_first = (F.col("id") == F.col("first.id")) & (F.col("at") == F.col("first.at"))
-    each = cut(each.select("id", "anchor", "seg", "at", F.col("c").alias("copies"), F.pmod("deal", F.lit(shards)).alias("shard"), is_first.alias("leads")), "asked", scratch)
-    sizes = cut(each.where("not leads").groupBy("shard").agg(F.count("*").alias("c")), "sizes", scratch)
-    salts = F.ceil(F.col("c") / options.stream).cast("int")
-    later = join_counted(each.where("not leads"), sizes, ["shard"], total).withColumn("salt", F.pmod(F.xxhash64("id", "at"), salts).cast("int"))
-    fields = ("shard", "salt", "anchor", "seg", "at", "copies")
-    every = each.where("leads").withColumn("salt", F.lit(-1)).select("id", *fields).unionByName(later.select("id", *fields))
-    asked = cut(every.groupBy("id").agg(F.collect_list(F.struct(*fields)).alias("asked")), "asked", scratch)
+    with Scratch(spark) as units_only, Scratch(spark) as early:
+        each = join_counted(rows, distinct, ["anchor", "seg"], total)
+        fields = F.struct("at", "seg", "c", F.col("first.id").alias("whose"), F.col("first.at").alias("there"))
+        by_id = cut(each.groupBy("id").agg(F.collect_list(fields).alias("asked")), "asked", early)
 
-    @tidy
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, h, begin, row, asks in _asked_of(batches):
-            at = np.fromiter((s["at"] for s in asks), np.int64, len(asks))
-            first = begin[row] + at // PACK
-            end = first + at % PACK + window - 1
-            # Another text with the same id may be shorter or have other words there.
-            fits = end <= begin[row + 1]
-            fits[fits] = hash_runs(h, first[fits], end[fits]).view(np.int64) == np.fromiter((s["seg"] for s in asks), np.int64, len(asks))[fits]
-            short = (h >> np.uint64(32)).astype(np.uint32)
-            ids = part["id"].to_numpy()[row].tolist()
-            out = [(s["shard"], s["salt"], s["anchor"], s["seg"], doc, s["at"], s["copies"], short[a:z].tobytes()) for s, doc, a, z, ok in zip(asks, ids, first.tolist(), end.tolist(), fits.tolist(), strict=True) if ok]
-            yield pd.DataFrame(out, columns=["shard", "salt", "anchor", "seg", "id", "at", "copies", "words"])
-
-    both = split_by(texts, asked, "id")[0].join(asked, "id").select("id", "text", "asked")
-    units = cut(both.mapInPandas(fetch, "shard long, salt int, anchor long, seg long, id long, at long, copies long, words binary"), "units", scratch)
-    leads = units.where("salt < 0").select("shard", "anchor", "seg", "id", "at", "copies", "words")
-    found = cut(leads.groupBy("shard").applyInPandas(lambda pdf: repeats_in_shard(pdf, window), FOUND), "found", scratch)
-    index = found.where("index is not null").select("shard", "index").join(sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("shard", "salt"), "shard")
-    copies = units.where("salt >= 0").select("shard", "salt", "id", "at", "words")
-    again = index.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(lambda one, many: copies_in_shard(one, many, window), "id long, a long, b long")
-    return cut(found.where("index is null").select("id", "a", "b").union(again), "spans", scratch)
+        @tidy
+        def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for asks, ids, row, start, n, begin, short in _words_asked(batches, window):
+                whose, there, c = (np.fromiter((s[k] for s in asks), np.int64, len(asks)) for k in ("whose", "there", "c"))
+                there, hot = there // PACK, c > stream
+                new = np.ones(len(asks), bool)
+                same = [x[1:] == x[:-1] for x in (row, whose, there - start, there // BLOCK, hot)]
+                new[1:] = ~np.logical_and.reduce(same) | (start[1:] != start[:-1] + n[:-1])
+                head = np.flatnonzero(new)
+                if not len(head):
+                    continue
+                many = np.add.reduceat(n, head)
+                a = begin[row[head]] + start[head]
+                words = [short[x:y].tobytes() for x, y in zip(a.tolist(), (a + many + window - 1).tolist(), strict=True)]
+                lot = mix(ids[head].astype(np.uint64) * GOLD + start[head].astype(np.uint64))
+                of = mix(whose[head].astype(np.uint64))
+                parts = -(-np.maximum.reduceat(c, head) // np.where(hot[head], stream, FEW))
+                leads = (whose[head] == ids[head]) & (there[head] == start[head])
+                salt = np.where(leads, -1, (lot % parts.astype(np.uint64)).astype(np.int64))
+                shard = np.where(hot[head], whose[head], (of % np.uint64(shards)).astype(np.int64))
+                yield pd.DataFrame({"hot": hot[head], "shard": shard, "salt": salt, "id": ids[head], "start": start[head], "words": words})
+
+        texts = split_by(docs, by_id, "id")[0].join(by_id, "id").select("id", "text", "asked")
+        units = cut(texts.mapInPandas(fetch, "hot boolean, shard long, salt long, id long, start long, words binary"), "units", units_only)
+        leads = units.where("salt < 0").select("hot", "shard", "id", "start", "words")
+
+        def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"hot": [key[0]], "shard": [key[1]], "index": [pickle.dumps(_shard(pdf))]})
+
+        index = cut(leads.groupBy("hot", "shard").applyInPandas(build, "hot boolean, shard long, index binary"), "index", units_only)
+        later = units.where("salt >= 0")
+        wanted = index.join(later.select("hot", "shard", "salt").distinct(), ["hot", "shard"])
+        wanted = wanted.select(F.col("hot").alias("h"), F.col("shard").alias("s"), F.col("salt").alias("t"), "index")
+        found = wanted.groupBy("h", "s", "t").cogroup(later.groupBy("hot", "shard", "salt")).applyInPandas(lambda one, many: copies_in_shard(one, many, window), SPANS)
+        return cut(found, "copied", scratch)
 
 
 def _asked_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
@@ -273,39 +319,39 @@ def _asked_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
 
 def repeated_windows(docs: DataFrame, options: RepeatOptions, scratch: Scratch) -> DataFrame:
     """(id, a, b): runs of repeated windows, by their first and last start, of docs (id, text)."""
-    every = cut(segment_rows(docs, options), "segments", scratch)
-    total = every.count()
-    shared = cut(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "anchors", scratch)
-    rows = cut(join_counted(every, shared, ["anchor"], total).drop("c"), "shared", scratch)
-    distinct = cut(rows.groupBy("anchor", "seg").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c")), "distinct", scratch)
-    hot = cut(distinct.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > options.hot).select("anchor"), "hot", scratch)
-
-    # Of a hot anchor's segments only those with copies are asked; they need not meet each other.
-    one = distinct.join(hot.withColumn("hot", F.lit(True)), "anchor", "left").where("hot is null or c > 1")
-    deal = F.when(F.col("hot"), F.col("seg")).otherwise(F.col("anchor"))
-    one = cut(one.select("anchor", "seg", "first", "c", deal.alias("deal")), "one", scratch)
-    spans = _spans(docs, rows, one, total, options, scratch)
-    if not hot.isEmpty():
-        window = options.window
-
-        @tidy
-        def windows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part, h, begin, row, asks in _asked_of(batches):
-                start, n = np.divmod(np.array(asks, np.int64), PACK)
-                # A shorter text with the same id may end before.
-                n = np.maximum(np.minimum(n, np.diff(begin)[row] - window + 1 - start), 0)
-                place = np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-                row = np.repeat(row, n)
-                first = begin[row] + place
-                yield pd.DataFrame({"seg": hash_runs(h, first, first + window).view(np.int64), "id": part["id"].to_numpy()[row], "at": place * PACK + 1})
-
-        wanted = cut(distinct.join(hot, "anchor").groupBy("first.id").agg(F.collect_list("first.at").alias("asked")), "hot", scratch)
-        texts = split_by(docs, wanted, "id")[0].join(wanted, "id").select("id", "text", "asked")
-        windows = cut(texts.mapInPandas(windows_of, "seg long, id long, at long").select(F.col("seg").alias("anchor"), "seg", "id", "at"), "windows", scratch)
-        twice = windows.groupBy("anchor", "seg").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c")).where("c > 1")
-        twice = cut(twice.withColumn("deal", F.col("seg")), "twice", scratch)
-        spans = spans.union(_spans(docs, windows, twice, windows.count(), options, scratch))
-    return spans
+    spark = docs.sparkSession
+    with Scratch(spark) as tables:
+        with Scratch(spark) as early:
+            every = cut(segment_rows(docs, options), "segments", early)
+            total = every.count()
+            shared = cut(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "anchors", early)
+            rows = cut(join_counted(every, shared, ["anchor"], total).drop("c"), "shared", tables)
+        distinct = cut(rows.groupBy("anchor", "seg").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c")), "distinct", tables)
+        kinds = cut(distinct.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"), "kinds", tables)
+        hot = kinds.where(F.col("k") > options.hot).select("anchor")
+        # Equal windows have one anchor, so only segments that share theirs with another one can repeat a part of it.
+        met = distinct.join(kinds.where(F.col("k") <= options.hot).select("anchor"), "anchor").select("first.id", "anchor", "seg", "first.at")
+        spans = _different(docs, met, options, scratch).union(_copied(docs, rows, distinct.where("c > 1"), total, options, scratch))
+        if not hot.isEmpty():
+            window = options.window
+
+            @tidy
+            def windows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for part, h, begin, row, asks in _asked_of(batches):
+                    start, n = np.divmod(np.array(asks, np.int64), PACK)
+                    # A shorter text with the same id may end before.
+                    n = np.maximum(np.minimum(n, np.diff(begin)[row] - window + 1 - start), 0)
+                    place = np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                    row = np.repeat(row, n)
+                    first = begin[row] + place
+                    yield pd.DataFrame({"seg": hash_runs(h, first, first + window).view(np.int64), "id": part["id"].to_numpy()[row], "at": place * PACK + 1})
+
+            wanted = cut(distinct.join(hot, "anchor").groupBy("first.id").agg(F.collect_list("first.at").alias("asked")), "hot", tables)
+            texts = split_by(docs, wanted, "id")[0].join(wanted, "id").select("id", "text", "asked")
+            windows = cut(texts.mapInPandas(windows_of, "seg long, id long, at long").select(F.col("seg").alias("anchor"), "seg", "id", "at"), "windows", tables)
+            twice = windows.groupBy("anchor", "seg").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c")).where("c > 1")
+            spans = spans.union(_copied(docs, windows, cut(twice, "twice", tables), windows.count(), options, scratch))
+        return spans
 
 
 def keep_words(text: Column, repeats: Column, window: int) -> Column:

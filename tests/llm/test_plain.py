@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import pickle
 import random
 import string
 
@@ -291,8 +292,9 @@ def test_fm_index_equals_brute_force():
 
 def test_every_repeat_comes_from_an_index(spark, sf, monkeypatch):
     """Without the indexes' reports nothing is removed."""
-    whole = substring.repeats_in_shard
+    whole, copied = substring.repeats_in_shard, substring.copies_in_shard
     monkeypatch.setattr(substring, "repeats_in_shard", lambda pdf, window: whole(pdf, window).iloc[:0])
+    monkeypatch.setattr(substring, "copies_in_shard", lambda index, copies, window: copied(index.iloc[:0], copies, window))
     assert substring.digests(spark.read.parquet(f"{sf}/documents.parquet")).agg(F.sum("n_removed")).first()[0] == 0
 
 
@@ -435,17 +437,15 @@ def test_scans_take_linear_time():
 
 def shard_of(rng, n=40, words=30):
     units = [rng.integers(0, 2**32, words, dtype=np.uint32) for _ in range(n)]
-    return pd.DataFrame({"shard": 7, "anchor": np.arange(n), "seg": np.arange(n), "id": np.arange(n) * 10, "at": 5 * substring.PACK + words - 19, "copies": 2, "words": [u.tobytes() for u in units]})
+    return pd.DataFrame({"id": np.arange(n) * 10, "start": 5, "words": [u.tobytes() for u in units]})
 
 
 def test_copies_go_by_their_words_not_by_their_hash():
-    """A copy whose words differ, under the hash of a segment, is kept; so is one at an earlier place."""
+    """A copy whose words differ, though it was dealt as a copy, is kept; so is one at an earlier place."""
     rng = np.random.default_rng(1)
     firsts = shard_of(rng)
-    found = substring.repeats_in_shard(firsts, 20)
-    index = found[found["index"].notna()]
-    assert len(found) == len(index) == 1 and index["shard"].iloc[0] == 7
-    copies = firsts[["id", "at", "words"]].assign(id=firsts["id"] + 1000)
+    index = pd.DataFrame({"index": [pickle.dumps(substring._shard(firsts))]})
+    copies = firsts.assign(id=firsts["id"] + 1000)
     got = substring.copies_in_shard(index, copies, 20)
     assert sorted(map(tuple, got.to_numpy().tolist())) == [(i * 10 + 1000, 5, 15) for i in range(40)]
     # One word of each copy is another, at place k: windows that don't hold it are still in the index.
@@ -456,13 +456,13 @@ def test_copies_go_by_their_words_not_by_their_hash():
             u[k] ^= 1
             broken.append(u.tobytes())
         got = substring.copies_in_shard(index, copies.assign(words=broken), 20)
-        want = {(0,): (6, 15), (29,): (5, 14)}.get((k,))
+        want = {0: (6, 15), 29: (5, 14)}.get(k)
         assert len(got) == (40 if want else 0) and (not want or set(zip(got["a"], got["b"], strict=True)) == {want})
-    same = substring.copies_in_shard(index, firsts[["id", "at", "words"]], 20)
+    same = substring.copies_in_shard(index, firsts, 20)
     before = substring.copies_in_shard(index, copies.assign(id=-5), 20)
     assert len(same) == len(before) == 0
     # Words that no segment has, though as many.
-    assert len(substring.copies_in_shard(index, shard_of(rng)[["id", "at", "words"]].assign(id=9999), 20)) == 0
+    assert len(substring.copies_in_shard(index, shard_of(rng).assign(id=9999), 20)) == 0
 
 
 def test_hot_passages_are_streamed_by_many_tasks(spark, monkeypatch):
