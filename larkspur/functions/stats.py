@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,3 +95,27 @@ def verdict(gate_: Column, domains: Column, spread: Column, blind: Column, veto:
         .when((diff >= FAIL_DIFF) & (low > 0), "FAIL")
         .otherwise("INCONCLUSIVE")
     )
+
+
+def days_since(day: Column, as_of: Column) -> Column:
+    """Whole days from a date spelled YYYY-MM-DD to `as_of`; 0 for anything else."""
+    right = day.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z")
+    return F.coalesce(F.datediff(as_of, F.when(right, F.try_to_date(day, "yyyy-MM-dd"))), F.lit(0)).cast("long")
+
+
+def remaining_life(hours: Column, cycles: Column, days: Column, most_hours: Column, most_cycles: Column, most_days: Column) -> Column:
+    """struct(hours, cycles, days, governing_unit): what is left of each limit, and the unit of which the largest share is used, the first of equals.
+
+    Units can't be compared, so their shares are. A limit that is null or not positive counts for nothing.
+    """
+    units = (("HOURS", hours.cast("double"), most_hours.cast("double")), ("CYCLES", cycles.cast("long"), most_cycles.cast("long")), ("CALENDAR_DAYS", days.cast("long"), most_days.cast("long")))
+    shares = F.array(*[F.when(most > 0, F.struct((used / most).alias("share"), F.lit(-i).alias("first"), F.lit(name).alias("unit"))) for i, (name, used, most) in enumerate(units)])
+    left = [F.when(most > 0, most - used) for _, used, most in units]
+    return F.struct(left[0].alias("hours"), left[1].alias("cycles"), left[2].alias("days"), F.array_max(F.filter(shares, lambda x: x.isNotNull()))["unit"].alias("governing_unit"))
+
+
+def hmac_sha256(key: bytes, text: Column) -> Column:
+    """The HMAC of a text's UTF-8 under a key, in lowercase hex."""
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ x for b in key)) for x in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 256))), 256)

@@ -547,3 +547,30 @@ def test_model_names(spark):
     df = spark.createDataFrame([("mixtral-8x7B",), ("qwen3-30b-a3b",), ("llama-3.1-70b",), ("gpt",), ("x-7bit",), ("KNOWN/one",)], "m string")
     assert [r[0] for r in df.select(catalogue.billions(F.col("m"), {"known/one": 5})).collect()] == [56.0, 30.0, 70.0, None, None, 5.0]
     assert catalogue.term_pattern([]) == "(?!)" and catalogue.term_pattern(["c++", "a b"], ["A B"]).count("a b") == 1
+
+
+def test_keyed_digests_and_days(spark):
+    import hmac
+
+    for key in (b"k", bytes(64), bytes(range(100))):
+        got = spark.createDataFrame([("",), ("naïve 😀",), (None,)], "t string").select("t", stats.hmac_sha256(key, F.col("t")).alias("h")).collect()
+        assert [r["h"] for r in got] == [None if r["t"] is None else hmac.new(key, r["t"].encode(), "sha256").hexdigest() for r in got]
+    days = {"2024-02-28": 2, "2024-03-01": 0, "2024-03-05": -4, "2024-02-30": 0, "1 March": 0, "": 0, None: 0, "2024-2-3": 0}
+    got = spark.createDataFrame([(d,) for d in days], "d string").select("d", stats.days_since(F.col("d"), F.lit("2024-03-01").cast("date")).alias("n")).collect()
+    assert {r["d"]: r["n"] for r in got} == days
+
+
+def test_remaining_life_equals_the_plain_rule(spark):
+    def plain(used, most):
+        best, unit, left = -1.0, None, []
+        for name, u, m in zip(("HOURS", "CYCLES", "CALENDAR_DAYS"), used, most, strict=True):
+            left.append(m - u if m and m > 0 else None)
+            if m and m > 0 and u / m > best:
+                best, unit = u / m, name
+        return (*left, unit)
+
+    rng = random.Random(1)
+    rows = [([rng.randrange(9) / 2, rng.randrange(9), rng.randrange(9)], [rng.choice([None, 0.0, 4.0]), rng.choice([None, 0, 4, 8]), rng.choice([None, -1, 4])]) for _ in range(200)]
+    df = spark.createDataFrame([(i, *u, *m) for i, (u, m) in enumerate(rows)], "i int, a double, b long, c long, x double, y long, z long")
+    got = df.select("i", stats.remaining_life(*[F.col(c) for c in "abcxyz"]).alias("l")).collect()
+    assert all(tuple(r["l"]) == plain(*rows[r["i"]]) for r in got)
