@@ -38,7 +38,7 @@ def t07_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     """WITH x AS (SELECT doc_id, n_chars / 10.0 AS hours, doc_id % 900 AS cycles, CASE WHEN doc_id % 6 = 0 THEN 0 ELSE date_diff('day', DATE '2020-01-01' + (doc_id % 1500)::INTEGER, DATE '2024-06-30') END AS days,
       CASE WHEN doc_id % 4 <> 0 THEN 300.0 END AS lh, CASE WHEN doc_id % 5 <> 0 THEN 700 ELSE 0 END AS lc, CASE WHEN doc_id % 3 <> 0 THEN 1200 END AS ld FROM documents),
     f AS (SELECT *, CASE WHEN lh > 0 THEN hours / lh END AS fh, CASE WHEN lc > 0 THEN cycles / lc::DOUBLE END AS fc, CASE WHEN ld > 0 THEN days / ld::DOUBLE END AS fd FROM x)
-    SELECT doc_id, round(CASE WHEN lh > 0 THEN lh - hours END, 6) AS hours, (CASE WHEN lc > 0 THEN lc - cycles END)::BIGINT AS cycles, (CASE WHEN ld > 0 THEN ld - days END)::BIGINT AS days,
+    SELECT doc_id, round((CASE WHEN lh > 0 THEN lh - hours END)::DOUBLE, 6) AS hours, (CASE WHEN lc > 0 THEN lc - cycles END)::DOUBLE AS cycles, (CASE WHEN ld > 0 THEN ld - days END)::DOUBLE AS days,
     CASE WHEN fh IS NOT NULL AND fh >= coalesce(fc, fh) AND fh >= coalesce(fd, fh) THEN 'HOURS' WHEN fc IS NOT NULL AND fc >= coalesce(fd, fc) THEN 'CYCLES' WHEN fd IS NOT NULL THEN 'CALENDAR_DAYS' END AS governing_unit FROM f""",
 )
 def m01(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,7 +50,7 @@ def m01(spark: SparkSession, sf: str) -> DataFrame:
         F.when(i % 4 != 0, 300.0), F.when(i % 5 != 0, 700).otherwise(0), F.when(i % 3 != 0, 1200),
     )
     got = table(spark, sf, "documents").select("doc_id", life.alias("l"))
-    return got.select("doc_id", F.round("l.hours", 6).alias("hours"), "l.cycles", "l.days", "l.governing_unit")
+    return got.select("doc_id", F.round("l.hours", 6).alias("hours"), F.col("l.cycles").cast("double").alias("cycles"), F.col("l.days").cast("double").alias("days"), "l.governing_unit")
 
 
 _PADS = [bytes(b ^ x for b in KEY.ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]

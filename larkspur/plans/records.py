@@ -25,7 +25,7 @@ def fenced_sql(reply: str) -> str:
     d AS (SELECT *, len(fences) > 2 OR len(before) > 3 OR len([p for p in before if NOT (len([w for w in regexp_split_to_array(trim(p, {ws}), '\\s+') if w <> '']) >= 3 AND regexp_matches(trim(p, {ws}), '[:.!]$') AND NOT regexp_matches(p, '[{{}};=]'))]) > 0 OR (len(fences) = 2 AND NOT regexp_full_match(rtrim(x[fences[2]], {ws}), '```')) AS refused,
       array_to_string(x[fences[1] + 1:z - 1], chr(10)) AS body FROM c)
     SELECT conv_id, turn, CASE WHEN kept THEN {plain} WHEN NOT refused THEN rtrim(CASE WHEN len(fences) = 1 THEN regexp_replace(body, '```$', '') ELSE body END, {ws}) END AS body,
-    CASE WHEN kept THEN 0 WHEN NOT refused THEN (coalesce(list_sum([length(p) for p in x[1:fences[1] - 1]]), 0) + coalesce(list_sum([length(p) for p in x[z + 1:]]), 0))::BIGINT END AS discarded, CASE WHEN NOT kept AND refused THEN 'text outside a single fenced block' END AS error FROM d"""
+    CASE WHEN kept THEN 0 WHEN refused THEN -1 ELSE (coalesce(list_sum([length(p) for p in x[1:fences[1] - 1]]), 0) + coalesce(list_sum([length(p) for p in x[z + 1:]]), 0))::BIGINT END AS discarded, CASE WHEN NOT kept AND refused THEN 'text outside a single fenced block' END AS error FROM d"""
 
 
 @query("j09_required_join", "SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON p_partkey = l_partkey")
@@ -77,7 +77,7 @@ def t17_links(spark: SparkSession, sf: str) -> DataFrame:
 def t21(spark: SparkSession, sf: str) -> DataFrame:
     """The one fenced block of a reply after a line of prose; texts with fences of their own are refused."""
     wrapped = F.concat(F.lit("Here it is:\n```go\n"), "text", F.lit("\n```\nDone."))
-    return table(spark, sf, "conversations").select("conv_id", "turn", code.fenced(wrapped).alias("r")).select("conv_id", "turn", "r.*")
+    return table(spark, sf, "conversations").select("conv_id", "turn", code.fenced(wrapped).alias("r")).select("conv_id", "turn", "r.body", F.coalesce("r.discarded", F.when(F.col("r").isNotNull(), -1)).alias("discarded"), "r.error")
 
 
 @query("t24_blind_profile", r"""SELECT doc_id, 'lines ' || (length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END) || ', bytes ' || strlen(text) || ', marks ' || len(regexp_extract_all(text, '[.,;:!?]')) AS stub, true AS content_free FROM documents""")
@@ -155,7 +155,7 @@ def t21_reply(spark: SparkSession, sf: str) -> DataFrame:
     wrap = lambda before, after: F.concat(F.lit(before), text, after)
     reply = F.when(k == 0, wrap("Here is it:\n```go\n", F.lit("\n```"))).when(k == 1, wrap("Here it is.\na = b;\n```\n", F.lit("\n```"))).when(k == 2, F.concat(text, F.lit("\nno fence")))
     reply = reply.when(k == 3, wrap("```\n", F.lit("```"))).when(k == 4, wrap("It is this one:\n\n```ts\n", F.concat(F.lit("\n```\nAnd "), "role", F.lit(".")))).otherwise(wrap("This is a line.\n" * 4 + "```\n", F.lit("")))
-    return table(spark, sf, "conversations").select("conv_id", "turn", code.fenced(reply).alias("r")).select("conv_id", "turn", "r.*")
+    return table(spark, sf, "conversations").select("conv_id", "turn", code.fenced(reply).alias("r")).select("conv_id", "turn", "r.body", F.coalesce("r.discarded", F.when(F.col("r").isNotNull(), -1)).alias("discarded"), "r.error")
 
 
 @query(
