@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import dictionary, evaluation, phrases, records, recovery, relational, text  # noqa: F401
+    from . import dictionary, evaluation, lines, phrases, records, recovery, relational, text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
