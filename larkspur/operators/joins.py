@@ -67,27 +67,47 @@ def by_item_prefix(replies: DataFrame, records: DataFrame, reply_id: str, item:
     return replies.join(best.select(reply_id, item), reply_id).join(records, item)
 
 
-def nearest_by_tokens(tokens: DataFrame, id_col: str = "id", token_col: str = "token", common: int = 1000) -> DataFrame:
-    """(id, nearest, similarity): the most similar other text by cosine of log tf-idf; ties go to the smaller id.
+def weighted_tokens(tokens: DataFrame, id_col: str = "id", token_col: str = "token") -> DataFrame:
+    """(id, token, df, w, place, rest) of texts with one row for each occurrence of a token.
 
-    Weights are (1 + ln count) * ln(n / df) for tokens that not all texts have. `tokens` has one row for each occurrence.
-    Only texts that share a token meet. First they meet over tokens of at most `common` texts. What the other tokens can
-    add to a text's best is at most the length of its own vector over them; texts whose best is beyond that are settled.
-    Only those left meet over common tokens too, each token's texts dealt to groups of about `common`.
+    w is (1 + ln count) * ln(n / df), scaled to unit vectors; tokens that all texts have are left out. place counts a text's
+    tokens from the rarest on; rest is the length of its vector over the tokens from this one on.
     """
-    counts = tokens.groupBy(id_col, token_col).agg(F.count("*").alias("c"))
+    counts = tokens.groupBy(F.col(id_col).alias("id"), F.col(token_col).alias("token")).agg(F.count("*").alias("c"))
     n = tokens.select(id_col).distinct().agg(F.count("*").alias("n"))
-    df = counts.groupBy(token_col).agg(F.count("*").alias("df"))
-    weighted = counts.join(df, token_col).crossJoin(F.broadcast(n)).where("df < n").withColumn("w", (1 + F.log("c")) * F.log(F.col("n") / F.col("df")))
-    square = F.sum(F.col("w") * F.col("w"))
-    norm = weighted.groupBy(id_col).agg(F.sqrt(square).alias("norm"))
-    unit = weighted.join(norm, id_col).select(F.col(id_col).alias("id"), F.col(token_col).alias("token"), "df", (F.col("w") / F.col("norm")).alias("w"))
-    vectors = unit.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("v"), F.sqrt(F.coalesce(F.sum(F.when(F.col("df") > common, F.col("w") * F.col("w"))), F.lit(0.0))).alias("rest"))
-
-    def met(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Similarities, over all tokens, of pairs that share a token of both sides."""
+    df = counts.groupBy("token").agg(F.count("*").alias("df"))
+    weighted = counts.join(df, "token").crossJoin(F.broadcast(n)).where("df < n").withColumn("w", (1 + F.log("c")) * F.log(F.col("n") / F.col("df")))
+    own = Window.partitionBy("id")
+    order = own.orderBy("df", "token")
+    unit = weighted.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own)))
+    rest = F.sqrt(F.greatest(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)), F.lit(0.0)))
+    return unit.select("id", "token", "df", "w", F.row_number().over(order).alias("place"), rest.alias("rest"))
+
+
+def needed_tokens(tokens: DataFrame, best: DataFrame, looked: int) -> DataFrame:
+    """Those of `tokens` (weighted) by which a text must still be looked for, as its best so far (id, similarity) was found by its first `looked`.
+
+    Another text that shares none of the tokens before a place is no more like it than `rest` there. Similarities are
+    rounded, so a tie may lie a rounding beyond that.
+    """
+    return tokens.where(F.col("place") > looked).join(best.select("id", "similarity"), "id", "left").where("similarity is null or rest + 1e-9 >= similarity").drop("similarity")
+
+
+def nearest_by_tokens(tokens: DataFrame, id_col: str = "id", token_col: str = "token", common: int = 1000, looked: int = 2) -> DataFrame:
+    """(id, nearest, similarity): the most similar other text by cosine of log tf-idf; ties go to the smaller id.
+
+    Only texts that share a token meet. Each text first meets those that have one of its `looked` rarest tokens. What the
+    tokens from some place on can add to a similarity is at most the length of its own vector over them; so a text meets
+    others over its next rarest tokens only as long as that could still be more than its best so far, and its common
+    tokens are mostly never looked at. Texts of a token are dealt to groups of about `common`.
+    """
+    unit = weighted_tokens(tokens, id_col, token_col)
+    vectors = unit.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("v"))
+
+    def met(left: DataFrame) -> DataFrame:
+        """Similarities, over all tokens, of texts and those that share one of `left`'s tokens."""
         split = F.ceil(F.col("df") / common).cast("long")
-        dealt = right.select(F.col("id").alias("other"), "token", F.pmod(F.xxhash64("id"), split).alias("part"))
+        dealt = unit.select(F.col("id").alias("other"), "token", F.pmod(F.xxhash64("id"), split).alias("part"))
         asked = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), split - 1))).select("id", "token", "part")
         pairs = asked.join(dealt, ["token", "part"]).where("id <> other").select("id", "other").distinct()
         both = pairs.join(vectors.select("id", F.col("v").alias("x")), "id").join(vectors.select(F.col("id").alias("other"), F.col("v").alias("y")), "other")
@@ -99,9 +119,6 @@ def nearest_by_tokens(tokens: DataFrame, id_col: str = "id", token_col: str = "t
         got = sims.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("other")).alias("minus"))).alias("b"))
         return got.select("id", (-F.col("b.minus")).alias("nearest"), F.col("b.similarity").alias("similarity"))
 
-    rare, often = unit.where(F.col("df") <= common), unit.where(F.col("df") > common)
-    first = best(met(rare, rare))
-    # Similarities are rounded, so a tie may lie a rounding beyond the bound.
-    left = vectors.where("rest > 0").join(first, "id", "left").where("similarity is null or rest + 1e-9 >= similarity").select("id")
-    more = best(met(often.join(left, "id", "left_semi"), often))
+    first = best(met(unit.where(F.col("place") <= looked)))
+    more = best(met(needed_tokens(unit, first, looked)))
     return best(first.union(more).select("id", F.col("nearest").alias("other"), "similarity"))

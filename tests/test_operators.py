@@ -201,3 +201,29 @@ def test_long_subfields_are_whole(spark):
     f = F.col("fields")
     r = formats.tagged_records(df).select(formats.field_value(f, "245", "a").alias("a"), formats.field_value(f, "245", "b").alias("b")).first()
     assert r["a"] == long and r["b"] == "tail"
+
+
+def test_neighbours_are_found_over_few_tokens(spark):
+    """Near copies among texts with common words: most tokens, and nearly all pairs, need no look."""
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    base = [[f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(12)] + [f"r{i}_{k}" for k in range(2)] for i in range(60)]
+    texts = [(2 * i, b) for i, b in enumerate(base)] + [(2 * i + 1, [*b[1:], f"w{rng.randrange(400)}"]) for i, b in enumerate(base)]
+    tokens = spark.createDataFrame([(i, t) for i, ts in texts for t in ts], "id int, token string")
+    counts = {i: Counter(ts) for i, ts in texts}
+    df = Counter(t for c in counts.values() for t in c)
+    vectors = {}
+    for i, c in counts.items():
+        v = {t: (1 + math.log(k)) * math.log(len(texts) / df[t]) for t, k in c.items() if df[t] < len(texts)}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vectors[i] = {t: x / norm for t, x in v.items()}
+    want = {i: min((-round(sum(w * vectors[j].get(t, 0.0) for t, w in v.items()), 9), j) for j in vectors if j != i) for i, v in vectors.items()}
+    got = {r["id"]: (r["nearest"], r["similarity"]) for r in joins.nearest_by_tokens(tokens).collect()}
+    assert got == {i: (j, pytest.approx(-s, abs=2e-9)) for i, (s, j) in want.items()}
+    unit = joins.weighted_tokens(tokens).cache()
+    left = joins.needed_tokens(unit, spark.createDataFrame([(i, -s) for i, (s, _) in want.items()], "id int, similarity double"), 2)
+    pairs = lambda d: d.agg(F.sum(F.col("df") - 1)).first()[0] or 0
+    assert pairs(unit.where("place <= 2")) + pairs(left) < 0.2 * pairs(unit)
