@@ -114,7 +114,7 @@ SPANS = "id long, a long, b long"
 # Places of the first copy's document at which runs end, so that every copy's runs end at the same words.
 BLOCK = 256
 # Copies of a run for each task, where runs of many documents share a shard.
-FEW = 64
+FEW = 256
 
 
 def _runs(unit: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
