@@ -225,18 +225,17 @@ def copies_in_shard(index: pd.DataFrame, copies: pd.DataFrame, window: int) -> p
     return pickle.loads(index["index"].iloc[0]).repeats(copies["id"].to_numpy(), copies["start"].to_numpy(), list(copies["words"]), window)
 
 
-def _words_asked(batches: Iterator[pd.DataFrame], window: int) -> Iterator[tuple]:
-    """Of frames (id, text, asked: at, seg, ...) those asks whose segment the text has, by document and place: (asks, ids, rows, starts, windows, begin, hashes)."""
-    for part, h, begin, row, asks in _asked_of(batches):
-        at, seg = (np.fromiter((s[c] for s in asks), np.int64, len(asks)) for c in ("at", "seg"))
-        first, n = begin[row] + at // PACK, at % PACK
+def _words_asked(batches: Iterator[pd.DataFrame], fields: tuple[str, ...], window: int) -> Iterator[tuple]:
+    """Of frames (id, text, arrays of `fields`: at, seg, ...) what is asked of segments that the text has, by document and place: (fields, ids, rows, starts, windows, begin, hashes)."""
+    for part, h, begin, row, asks in _asked_of(batches, fields):
+        first, n = begin[row] + asks["at"] // PACK, asks["at"] % PACK
         end = first + n + window - 1
         # Another text with the same id may be shorter or have other words there.
         fits = end <= begin[row + 1]
-        fits[fits] = hash_runs(h, first[fits], end[fits]).view(np.int64) == seg[fits]
+        fits[fits] = hash_runs(h, first[fits], end[fits]).view(np.int64) == asks["seg"][fits]
         order = np.flatnonzero(fits)
         order = order[np.lexsort((first[order], row[order]))]
-        yield [asks[i] for i in order.tolist()], part["id"].to_numpy()[row[order]], row[order], at[order] // PACK, n[order], begin, (h >> np.uint64(32)).astype(np.uint32)
+        yield {k: v[order] for k, v in asks.items()}, part["id"].to_numpy()[row[order]], row[order], asks["at"][order] // PACK, n[order], begin, (h >> np.uint64(32)).astype(np.uint32)
 
 
 def _different(docs: DataFrame, asked: DataFrame, options: RepeatOptions, scratch: Scratch) -> DataFrame:
@@ -244,17 +243,17 @@ def _different(docs: DataFrame, asked: DataFrame, options: RepeatOptions, scratc
     window, spark = options.window, docs.sparkSession
     shards = asked.count() // options.shard + 1
     with Scratch(spark) as early:
-        by_id = cut(asked.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("id").agg(F.collect_list(F.struct("at", "seg", "shard")).alias("asked")), "asked", early)
+        fields = ("at", "seg", "shard")
+        by_id = cut(asked.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("id").agg(F.collect_list(F.struct(*fields)).alias("asked")), "asked", early)
 
         @tidy
         def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for asks, ids, row, start, n, begin, short in _words_asked(batches, window):
+            for asks, ids, row, start, n, begin, short in _words_asked(batches, fields, window):
                 a = begin[row] + start
                 words = [short[x:y].tobytes() for x, y in zip(a.tolist(), (a + n + window - 1).tolist(), strict=True)]
-                yield pd.DataFrame({"shard": [s["shard"] for s in asks], "id": ids, "start": start, "words": words})
+                yield pd.DataFrame({"shard": asks["shard"], "id": ids, "start": start, "words": words})
 
-        texts = split_by(docs, by_id, "id")[0].join(by_id, "id").select("id", "text", "asked")
-        units = texts.mapInPandas(fetch, "shard long, id long, start long, words binary")
+        units = _with_fields(docs, by_id, fields).mapInPandas(fetch, "shard long, id long, start long, words binary")
         return cut(units.groupBy("shard").applyInPandas(lambda pdf: repeats_in_shard(pdf[["id", "start", "words"]], window), SPANS), "different", scratch)
 
 
@@ -267,15 +266,15 @@ def _copied(docs: DataFrame, rows: DataFrame, distinct: DataFrame, total: int, o
     shards = distinct.count() // options.shard + 1
     with Scratch(spark) as units_only, Scratch(spark) as early:
         each = join_counted(rows, distinct, ["anchor", "seg"], total)
-        fields = F.struct("at", "seg", "c", F.col("first.id").alias("whose"), F.col("first.at").alias("there"))
-        by_id = cut(each.groupBy("id").agg(F.collect_list(fields).alias("asked")), "asked", early)
+        fields = ("at", "seg", "c", "whose", "there")
+        each = each.select("id", "at", "seg", "c", F.col("first.id").alias("whose"), F.col("first.at").alias("there"))
+        by_id = cut(each.groupBy("id").agg(F.collect_list(F.struct(*fields)).alias("asked")), "asked", early)
 
         @tidy
         def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for asks, ids, row, start, n, begin, short in _words_asked(batches, window):
-                whose, there, c = (np.fromiter((s[k] for s in asks), np.int64, len(asks)) for k in ("whose", "there", "c"))
-                there, hot = there // PACK, c > stream
-                new = np.ones(len(asks), bool)
+            for asks, ids, row, start, n, begin, short in _words_asked(batches, fields, window):
+                whose, there, c = asks["whose"], asks["there"] // PACK, asks["c"]
+                hot, new = c > stream, np.ones(len(c), bool)
                 same = [x[1:] == x[:-1] for x in (row, whose, there - start, there // BLOCK, hot)]
                 new[1:] = ~np.logical_and.reduce(same) | (start[1:] != start[:-1] + n[:-1])
                 head = np.flatnonzero(new)
@@ -292,8 +291,7 @@ def _copied(docs: DataFrame, rows: DataFrame, distinct: DataFrame, total: int, o
                 shard = np.where(hot[head], whose[head], (of % np.uint64(shards)).astype(np.int64))
                 yield pd.DataFrame({"hot": hot[head], "shard": shard, "salt": salt, "id": ids[head], "start": start[head], "words": words})
 
-        texts = split_by(docs, by_id, "id")[0].join(by_id, "id").select("id", "text", "asked")
-        units = cut(texts.mapInPandas(fetch, "hot boolean, shard long, salt long, id long, start long, words binary"), "units", units_only)
+        units = cut(_with_fields(docs, by_id, fields).mapInPandas(fetch, "hot boolean, shard long, salt long, id long, start long, words binary"), "units", units_only)
         leads = units.where("salt < 0").select("hot", "shard", "id", "start", "words")
 
         def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -307,14 +305,20 @@ def _copied(docs: DataFrame, rows: DataFrame, distinct: DataFrame, total: int, o
         return cut(found, "copied", scratch)
 
 
-def _asked_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    """(rows, hashes of their words, where each text begins, row of each thing asked, things asked) of frames (id, text, asked)."""
+def _asked_of(batches: Iterator[pd.DataFrame], fields: tuple[str, ...]) -> Iterator[tuple]:
+    """(rows, hashes of their words, where each text begins, row of each thing asked, arrays of its fields) of frames (id, text, arrays of `fields`)."""
     for pdf in batches:
         for texts in slices(iter([pdf["text"]])):
             part = pdf.loc[texts.index]
             h, begin = hash_texts(texts)
-            many = [len(x) for x in part["asked"]]
-            yield part, h, begin, np.repeat(np.arange(len(part)), many), [x for xs in part["asked"] for x in xs]
+            many = [len(x) for x in part[fields[0]]]
+            yield part, h, begin, np.repeat(np.arange(len(part)), many), {f: np.concatenate([np.asarray(x, np.int64) for x in part[f]]) for f in fields}
+
+
+def _with_fields(docs: DataFrame, by_id: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(id, text, an array of each field) of the docs that are asked something; by_id: id and an array of structs."""
+    both = split_by(docs, by_id, "id")[0].join(by_id, "id")
+    return both.select("id", "text", *[F.col(f"asked.{f}").alias(f) for f in fields])
 
 
 def repeated_windows(docs: DataFrame, options: RepeatOptions, scratch: Scratch) -> DataFrame:
@@ -337,8 +341,8 @@ def repeated_windows(docs: DataFrame, options: RepeatOptions, scratch: Scratch)
 
             @tidy
             def windows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for part, h, begin, row, asks in _asked_of(batches):
-                    start, n = np.divmod(np.array(asks, np.int64), PACK)
+                for part, h, begin, row, asks in _asked_of(batches, ("asked",)):
+                    start, n = np.divmod(asks["asked"], PACK)
                     # A shorter text with the same id may end before.
                     n = np.maximum(np.minimum(n, np.diff(begin)[row] - window + 1 - start), 0)
                     place = np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
