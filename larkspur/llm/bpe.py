@@ -132,12 +132,13 @@ def tiktoken_cached(path: str) -> Cached:
 
 
 def release(path: str) -> None:
-    """Let go of the ranks of a file and of the words met under them, as far as this worker holds them."""
+    """Let go of a file's tokenizer or ranks and of the words met under it, as far as this worker holds them."""
     _held.pop(("tiktoken", path), None)
-    cached = _held.pop(("cached", path), None)
-    if cached:
-        for words in (cached.pieces, cached.first, cached.spaced):
-            words.clear()
+    for kind in ("cached", "json"):
+        cached = _held.pop((kind, path), None)
+        if cached:
+            for words in (cached.pieces, cached.first, cached.spaced):
+                words.clear()
 
 
 def byte_spelling() -> dict[int, int]:

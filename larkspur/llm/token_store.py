@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import tokenizers_cached
-from .common import cut, new_path, partitions, record_slices, vocabulary
+from .bpe import release, tokenizers_cached
+from .common import bound_batches, cut, new_path, partitions, record_slices, tidy, vocabulary
 from .words import GOLD, mix
 
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 
 
 def filesystem(uri: str):
@@ -117,9 +117,10 @@ class StoreOptions:
 
 @dataclass
 class TokenStore:
-    """A written store: where it lies, its rows (doc_id, copy, shard, file, offset, n) and its index (part, file)."""
+    """A written store: where it and its tokenizer lie, its rows (doc_id, copy, shard, file, offset, n) and its index (part, file)."""
 
     uri: str
+    path: str
     dtype: str
     parts: int
     rows: DataFrame
@@ -154,25 +155,33 @@ class TokenStore:
 
     def read(self, found: DataFrame) -> DataFrame:
         """`found` (as from lookup) and ids (binary, as stored), read from the shards in order of offset."""
-        uri, width = self.uri, np.dtype(self.dtype).itemsize
+        return self.read_as(found, "ids binary", lambda ids: pa.array(ids, pa.binary()))
 
+    def read_as(self, found: DataFrame, column: str, make: Callable[[list[bytes]], pa.Array]) -> DataFrame:
+        """`found` and a column, declared as in SQL, that `make` makes of the stored ids of many rows in the task that reads them."""
+        uri, width, path = self.uri, np.dtype(self.dtype).itemsize, self.path
+        name_of = column.split()[0]
+
+        @tidy
         def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            fs, path = filesystem(uri)
+            # Workers that encoded before are used again.
+            release(path)
+            fs, folder = filesystem(uri)
             name, f, held, at = None, None, b"", 0
-            for batch in batches:
+            for batch in record_slices(batches):
                 out = []
                 for file, offset, n in zip(batch["file"].to_pylist(), batch["offset"].to_pylist(), batch["n"].to_pylist(), strict=True):
                     if file != name:
-                        f, name, held, at = fs.open_input_file(f"{path}/{file}"), file, b"", 0
+                        f, name, held, at = fs.open_input_file(f"{folder}/{file}"), file, b"", 0
                     a, size = offset * width, n * width
                     if a < at or a + size > at + len(held):
                         f.seek(a)
                         held, at = f.read(max(BLOCK, size)), a
                     out.append(held[a - at : a - at + size])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "ids"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, make(out)], names=[*batch.schema.names, name_of])
 
         dealt = found.repartition(partitions(found.sparkSession), "file").sortWithinPartitions("file", "offset")
-        return dealt.mapInArrow(ranges, f"{', '.join(f'{c} {t}' for c, t in found.dtypes)}, ids binary")
+        return dealt.mapInArrow(ranges, f"{', '.join(f'{c} {t}' for c, t in found.dtypes)}, {column}")
 
 
 def _hashed(doc_id, copy):
@@ -196,6 +205,7 @@ def write_store(docs: DataFrame, options: StoreOptions = StoreOptions(), shards:
     end = options.end
     dtype = np.dtype(tokenizers_cached(path).dtype).newbyteorder("<").str
 
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = filesystem(uri)
         fs.create_dir(folder, recursive=True)
@@ -228,6 +238,7 @@ def write_store(docs: DataFrame, options: StoreOptions = StoreOptions(), shards:
     parts = max(partitions(spark), (rows.count() + options.part - 1) // options.part)
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        release(path)
         k = pdf["key"].to_numpy(np.int64).view(np.uint64)
         mph = PerfectHash(k)
         slot = mph.slot(k)
@@ -245,18 +256,19 @@ def write_store(docs: DataFrame, options: StoreOptions = StoreOptions(), shards:
 
     keyed = rows.select(_hashed(F.col("doc_id"), F.col("copy")).alias("key"), "shard", "offset", "n").withColumn("part", _part(parts))
     index = cut(keyed.groupBy("part").applyInPandas(build, "part int, file string, keys long"), "index")
-    return TokenStore(uri, dtype, parts, rows, index, each)
+    return TokenStore(uri, path, dtype, parts, rows, index, each)
 
 
 def digests(docs: DataFrame, options: StoreOptions = StoreOptions()) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32): writes a store and reads every document back through the index."""
+    bound_batches(docs.sparkSession)
     store = write_store(docs, options)
-    got = store.read(store.lookup(store.rows.select("doc_id", "copy")))
     dtype = store.dtype
 
-    def crc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for many in batches:
-            yield pd.Series([zlib.crc32(np.frombuffer(x, dtype).astype("<u4").tobytes()) for x in many], dtype="int64")
+    def crc(ids: list[bytes]) -> pa.Array:
+        return pa.array([zlib.crc32(np.frombuffer(x, dtype).astype("<u4").tobytes()) for x in ids], pa.int64())
 
-    summed = got.select("doc_id", "shard", "offset", F.col("n").alias("n_tokens"), F.pandas_udf(crc, "long")("ids").alias("ids_crc32"))
+    # The ids go no further than the task that reads them.
+    got = store.read_as(store.lookup(store.rows.select("doc_id", "copy")), "ids_crc32 long", crc)
+    summed = got.select("doc_id", "shard", "offset", F.col("n").alias("n_tokens"), "ids_crc32")
     return summed.join(F.broadcast(store.shards.select("shard", "base")), "shard").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")

@@ -325,3 +325,13 @@ def test_extra_columns_with_clashing_names(spark, name):
         assert kept.columns == df.columns and kept.count() == 1
     if name == "op5":
         assert substring.without_repeats(df).columns == df.columns
+
+
+def test_workers_let_go_of_what_encoding_held():
+    from larkspur.llm import bpe, common
+
+    path = common.vocabulary("byte_bpe_50k.json")
+    cached = bpe.tokenizers_cached(path)
+    assert cached("some words") and len(cached.spaced)
+    bpe.release(path)
+    assert not len(cached.spaced) and ("json", path) not in bpe._held
