@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, limit_threads, partitions, slices, vocabulary
+from .common import bound_batches, cut, limit_threads, partitions, slices, tidy, vocabulary
 
 # White space before a word, and the word; or white space at the end.
 CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
@@ -109,15 +109,18 @@ class Cached:
 _held: dict[tuple, object] = {}
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 def tiktoken_encoding(path: str):
     """The encoding of a file of ranks; one for each Python worker."""
     if ("tiktoken", path) not in _held:
         import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _held["tiktoken", path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _held["tiktoken", path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
     return _held["tiktoken", path]
 
 
@@ -127,7 +130,7 @@ def tiktoken_cached(path: str) -> Cached:
         import regex
 
         encoding = tiktoken_encoding(path)
-        _held["cached", path] = Cached(encoding.encode_ordinary, regex.compile(public_tokenizers.PATTERN).findall, lambda p: encoding._encode_single_piece(p.encode()), "I")
+        _held["cached", path] = Cached(encoding.encode_ordinary, regex.compile(public_tokenizers.PATTERN).findall, lambda p: encoding._encode_single_piece(p.encode()), "I", 200_000)
     return _held["cached", path]
 
 
@@ -202,6 +205,7 @@ def stitch_points(chunk: str) -> np.ndarray:
 def _boundaries(chunk: Column, overlap: int) -> Column:
     """struct(head, tail, spaced, n): stitch points in the first and the last `overlap` characters of the chunk, counted from where the overlap begins; those of the tail before white space; the chunk's length."""
 
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for chunks in slices(batches):
             rows = []
@@ -216,6 +220,7 @@ def _boundaries(chunk: Column, overlap: int) -> Column:
 
 
 def _ids(text: Column, path: str) -> Column:
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = tiktoken_cached(path)
         for texts in slices(batches):
@@ -265,11 +270,14 @@ def decode(ids: Column, vocabulary_name: str = "byte_bpe_multi_50k.tiktoken") ->
     """The bytes of a column of ids (little-endian unsigned 32-bit integers)."""
     path = vocabulary(vocabulary_name)
 
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoding = tiktoken_encoding(path)
+        # Workers that encoded before are used again; beside those that encode now they need none of what they hold.
+        release(path)
         if ("bytes", path) not in _held:
-            table = [b""] * (encoding.max_token_value + 1)
-            for token, k in encoding._mergeable_ranks.items():
+            ranks = read_ranks(path)
+            table = [b""] * (max(ranks.values()) + 1)
+            for token, k in ranks.items():
                 table[k] = token
             _held["bytes", path] = table
         table = _held["bytes", path]
@@ -281,6 +289,7 @@ def decode(ids: Column, vocabulary_name: str = "byte_bpe_multi_50k.tiktoken") ->
 
 def digests(docs: DataFrame, options: EncodeOptions = EncodeOptions()) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) by encoding and decoding each whole text."""
+    bound_batches(docs.sparkSession)
     coded = encode(docs, options)
     both = coded.withColumn("decoded", decode(F.col("ids"), options.vocabulary))
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -335,3 +335,10 @@ def test_workers_let_go_of_what_encoding_held():
     assert cached("some words") and len(cached.spaced)
     bpe.release(path)
     assert not len(cached.spaced) and ("json", path) not in bpe._held
+
+
+def test_decoding_needs_no_encoding_and_words_held_are_bounded():
+    path = common.vocabulary("byte_bpe_multi_50k.tiktoken")
+    assert bpe.read_ranks(path) == bpe.tiktoken_encoding(path)._mergeable_ranks
+    assert bpe.tiktoken_cached(path).spaced.most <= 200_000
+    bpe.release(path)
