@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.session import shared_folder
+
 
 def latest_prior(df: DataFrame, key: str, at: Column, trusted: Column, value: Sequence[str], name: str = "prior") -> DataFrame:
     """`df` and a struct of `value` from the latest trusted row of the same key that is strictly before.
@@ -74,8 +76,15 @@ def weighted_tokens(tokens: DataFrame, id_col: str = "id", token_col: str = "tok
     tokens from the rarest on; rest is the length of its vector over the tokens from this one on.
     """
     counts = tokens.groupBy(F.col(id_col).alias("id"), F.col(token_col).alias("token")).agg(F.count("*").alias("c"))
-    n = tokens.select(id_col).distinct().agg(F.count("*").alias("n"))
-    df = counts.groupBy("token").agg(F.count("*").alias("df"))
+    return _unit_vectors(counts, *_frequencies(counts, tokens.select(F.col(id_col).alias("id"))))
+
+
+def _frequencies(counts: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, df) of counts (id, token, c), and the number of texts as one row n."""
+    return counts.groupBy("token").agg(F.count("*").alias("df")), ids.distinct().agg(F.count("*").alias("n"))
+
+
+def _unit_vectors(counts: DataFrame, df: DataFrame, n: DataFrame) -> DataFrame:
     weighted = counts.join(df, "token").crossJoin(F.broadcast(n)).where("df < n").withColumn("w", (1 + F.log("c")) * F.log(F.col("n") / F.col("df")))
     own = Window.partitionBy("id")
     order = own.orderBy("df", "token")
@@ -93,32 +102,76 @@ def needed_tokens(tokens: DataFrame, best: DataFrame, looked: int) -> DataFrame:
     return tokens.where(F.col("place") > looked).join(best.select("id", "similarity"), "id", "left").where("similarity is null or rest + 1e-9 >= similarity").drop("similarity")
 
 
+# Levels that the lengths of the rests of vectors are dealt to; texts of a token up to which all meet in the first look; and
+# times as many as are common in a group, as what is looked for goes to each group.
+LEVELS, FEW, MANY = 8, 32, 16
+
+
+def _equal_texts(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, first) of texts, first being the smallest id with the same tokens as often, and (first, second) where there are more."""
+    token = F.col("token").cast("string")
+    entry = F.concat_ws(":", F.length(token).cast("string"), token, F.col("c").cast("string"))
+    named = counts.groupBy("id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ","), 256).alias("key"))
+    members = named.join(named.groupBy("key").agg(F.min("id").alias("first")), "key").select("id", "first")
+    return members, members.where("id <> first").groupBy("first").agg(F.min("id").alias("second"))
+
+
 def nearest_by_tokens(tokens: DataFrame, id_col: str = "id", token_col: str = "token", common: int = 1000, looked: int = 2) -> DataFrame:
     """(id, nearest, similarity): the most similar other text by cosine of log tf-idf; ties go to the smaller id.
 
-    Only texts that share a token meet. Each text first meets those that have one of its `looked` rarest tokens. What the
-    tokens from some place on can add to a similarity is at most the length of its own vector over them; so a text meets
-    others over its next rarest tokens only as long as that could still be more than its best so far, and its common
-    tokens are mostly never looked at. Texts of a token are dealt to groups of about `common`.
+    Texts with the same tokens as often are looked for once. Each text first meets the `looked` texts in which each of its
+    tokens weighs most, and all that share one of its rare tokens. Then a bound decides whom else it meets: two texts
+    whose first common token, in order of rarity, is t are no more alike than the product of the lengths of what their
+    vectors have from t on. So a text meets, over each of its tokens, only those others with which that product is not
+    below its best so far. Lengths are dealt to levels, which are part of the join's key, so that other pairs aren't made;
+    vectors travel with the rows that are joined, so that pairs are compared where they are made and none is shuffled.
+    Texts of a token and level are dealt to groups of about MANY * `common`.
     """
-    unit = weighted_tokens(tokens, id_col, token_col)
+    spark, folder = tokens.sparkSession, shared_folder(tokens.sparkSession, "nearest")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    counts = kept(tokens.groupBy(F.col(id_col).alias("id"), F.col(token_col).alias("token")).agg(F.count("*").alias("c")), "counts")
+    frequencies = _frequencies(counts, tokens.select(F.col(id_col).alias("id")))
+    members, seconds = _equal_texts(counts)
+    members, seconds = kept(members, "members"), kept(seconds, "seconds")
+    unit = _unit_vectors(counts.join(members.where("id = first").select("id"), "id"), *frequencies)
+    after = F.sqrt(F.greatest(F.col("rest") * F.col("rest") - F.col("w") * F.col("w"), F.lit(0.0)))
+    unit = kept(unit.withColumn("after", after), "unit")
     vectors = unit.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("v"))
-
-    def met(left: DataFrame) -> DataFrame:
-        """Similarities, over all tokens, of texts and those that share one of `left`'s tokens."""
-        split = F.ceil(F.col("df") / common).cast("long")
-        dealt = unit.select(F.col("id").alias("other"), "token", F.pmod(F.xxhash64("id"), split).alias("part"))
-        asked = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), split - 1))).select("id", "token", "part")
-        pairs = asked.join(dealt, ["token", "part"]).where("id <> other").select("id", "other").distinct()
-        both = pairs.join(vectors.select("id", F.col("v").alias("x")), "id").join(vectors.select(F.col("id").alias("other"), F.col("v").alias("y")), "other")
-        shared = F.array_intersect(F.map_keys("x"), F.map_keys("y"))
-        total = F.aggregate(F.array_sort(shared), F.lit(0.0), lambda a, t: a + F.try_element_at("x", t) * F.try_element_at("y", t))
-        return both.select("id", "other", F.round(total, 9).alias("similarity"))
+    level = F.floor(F.col("rest") * LEVELS).cast("int")
+    rows = kept(unit.withColumn("level", level).join(vectors, "id"), "rows")
+    shared = F.array_intersect(F.map_keys("v"), F.map_keys("u"))
+    alike = F.aggregate(F.array_sort(shared), F.lit(0.0), lambda a, t: a + F.try_element_at("v", t) * F.try_element_at("u", t))
 
     def best(sims: DataFrame) -> DataFrame:
         got = sims.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("other")).alias("minus"))).alias("b"))
         return got.select("id", (-F.col("b.minus")).alias("nearest"), F.col("b.similarity").alias("similarity"))
 
-    first = best(met(unit.where(F.col("place") <= looked)))
-    more = best(met(needed_tokens(unit, first, looked)))
-    return best(first.union(more).select("id", F.col("nearest").alias("other"), "similarity"))
+    def compared(pairs: DataFrame) -> DataFrame:
+        return pairs.where("id <> other").select("id", "other", "least", F.round(alike, 9).alias("similarity")).where("similarity >= least").drop("least")
+
+    # What this first look leaves out only makes the bound of the second one weaker.
+    heaviest = Window.partitionBy("token").orderBy(F.desc("w"), "id")
+    top = rows.withColumn("at", F.row_number().over(heaviest)).where(F.col("at") <= looked).select("token", "id", "v")
+    few = rows.where(F.col("df") <= FEW).select("token", "id", "v")
+    others = top.union(few).select("token", F.col("id").alias("other"), F.col("v").alias("u"))
+    copies = seconds.select(F.col("first").alias("id"), F.col("second").alias("other"), F.lit(1.0).alias("similarity"))
+    first = kept(best(compared(rows.join(others, "token").withColumn("least", F.lit(0.0))).union(copies.join(vectors.select("id"), "id", "left_semi"))), "first")
+
+    sizes = rows.groupBy("token", "level").agg(F.count("*").alias("n")).select("token", "level", F.ceil(F.col("n") / (MANY * common)).cast("int").alias("parts"))
+    least = F.coalesce("similarity", F.lit(0.0)) - 2e-9
+    asked = rows.join(first.select("id", "similarity"), "id", "left").where(F.col("rest") >= least).withColumn("least", least)
+    low = F.greatest(F.floor((F.col("least") / F.col("rest") - 1e-9) * LEVELS), F.lit(0)).cast("int")
+    asked = asked.select("id", "token", "w", "rest", "after", "least", "v", F.explode(F.sequence(F.least(low, F.lit(LEVELS)), F.lit(LEVELS))).alias("level"))
+    asked = asked.join(sizes, ["token", "level"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = rows.join(sizes, ["token", "level"]).select(F.col("id").alias("other"), "token", "level", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("w").alias("w2"), F.col("after").alias("after2"), F.col("v").alias("u"))
+    pairs = asked.drop("rest", "parts").join(dealt, ["token", "level", "part"]).where("w * w2 + after * after2 >= least")
+    found = best(first.select("id", F.col("nearest").alias("other"), "similarity").union(compared(pairs)))
+    # Copies have a copy as like as can be; what is as like and has a smaller id goes before it.
+    own = F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    out = members.join(found.withColumnRenamed("id", "first"), "first").join(seconds, "first", "left")
+    nearer = (F.col("second").isNotNull()) & ((F.col("similarity") < 1.0) | ((F.col("similarity") == 1.0) & (F.least(own, F.when(F.col("nearest") != F.col("second"), F.col("nearest"))) == own)))
+    return out.select("id", F.when(nearer, own).otherwise(F.col("nearest")).alias("nearest"), F.when(nearer, F.lit(1.0)).otherwise(F.col("similarity")).alias("similarity"))

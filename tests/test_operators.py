@@ -227,3 +227,16 @@ def test_neighbours_are_found_over_few_tokens(spark):
     left = joins.needed_tokens(unit, spark.createDataFrame([(i, -s) for i, (s, _) in want.items()], "id int, similarity double"), 2)
     pairs = lambda d: d.agg(F.sum(F.col("df") - 1)).first()[0] or 0
     assert pairs(unit.where("place <= 2")) + pairs(left) < 0.2 * pairs(unit)
+
+
+def test_copies_of_texts_are_looked_for_once(spark):
+    """Copies, and texts as like as copies with other counts: the smallest other id counts, and no pairs of copies are made."""
+    texts = {5: "a b", 1: "c d", 7: "a b", 9: "a b", 2: "a a b b", 3: "c d e", 4: "c d", 6: "f", 8: "f g", 10: "h"}
+    tokens = spark.createDataFrame([(i, t) for i, x in texts.items() for t in x.split()], "id long, token string")
+    got = {r["id"]: (r["nearest"], r["similarity"]) for r in joins.nearest_by_tokens(tokens).collect()}
+    assert {i: got[i] for i in (5, 7, 9, 2, 1, 4)} == {5: (2, 1.0), 7: (2, 1.0), 9: (2, 1.0), 2: (5, 1.0), 1: (4, 1.0), 4: (1, 1.0)}
+    assert got[3][0] == 1 and got[6][0] == 8 and got[8][0] == 6 and 10 not in got
+    counts = tokens.groupBy("id", "token").agg(F.count("*").alias("c"))
+    members, seconds = joins._equal_texts(counts)
+    assert {(r["id"], r["first"]) for r in members.where("id <> first").collect()} == {(4, 1), (7, 5), (9, 5)}
+    assert {tuple(r) for r in seconds.collect()} == {(1, 4), (5, 7)}
