@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from .batches import in_parts
+
 # The patterns of the classes, which are tried in this order on the stripped content. PATH has \p{L}\p{N}_
 # for \w, since letters and digits of all scripts count there.
 URL = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^\s]+$"
@@ -139,8 +141,7 @@ def cut_at_literals(text: Column) -> Column:
         return [t[a:z] for a, z in zip(ends, [*(a for a, _ in spans), len(t)], strict=True)], [t[a:z] for a, z in spans]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame([one(t) for t in texts], columns=["between", "literals"])
+        yield from in_parts(lambda texts: pd.DataFrame([one(t) for t in texts], columns=["between", "literals"]))(batches)
 
     return F.pandas_udf(run, "between array<string>, literals array<string>")(text)
 

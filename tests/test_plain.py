@@ -574,3 +574,35 @@ def test_remaining_life_equals_the_plain_rule(spark):
     df = spark.createDataFrame([(i, *u, *m) for i, (u, m) in enumerate(rows)], "i int, a double, b long, c long, x double, y long, z long")
     got = df.select("i", stats.remaining_life(*[F.col(c) for c in "abcxyz"]).alias("l")).collect()
     assert all(tuple(r["l"]) == plain(*rows[r["i"]]) for r in got)
+
+
+def test_texts_are_taken_in_parts_of_bounded_size():
+    import pandas as pd
+
+    from larkspur.functions import batches
+
+    texts = pd.Series(["x" * 1000] * 5000 + [None, "", "y" * 3_000_000, "z"])
+    seen = []
+
+    def run(some):
+        seen.append((len(some), sum(len(t or "") for t in some)))
+        return some
+
+    out = pd.concat(list(batches.in_parts(run)(iter([texts]))))
+    assert list(out) == list(texts) and max(n for _, n in seen) <= 3_000_000 + batches.PART_CHARS and len(seen) >= 5
+    two = list(batches.in_parts(lambda a, b: a + b)(iter([(pd.Series(["a", "b"]), pd.Series(["c", "d"]))])))
+    assert list(pd.concat(two)) == ["ac", "bd"]
+
+
+@pytest.mark.parametrize("make", ["cut", "checked", "pseudonymise"])
+def test_functions_of_texts_give_a_part_at_a_time(spark, monkeypatch, make):
+    import pandas as pd
+    from pyspark.sql import functions
+
+    from larkspur.functions import literals
+
+    caught = []
+    monkeypatch.setattr(functions, "pandas_udf", lambda f, kind: caught.append(f) or (lambda *c: None))
+    {"cut": lambda: literals.cut_at_literals(None), "checked": lambda: identifiers.checked(None, bytes(16)), "pseudonymise": lambda: identifiers.pseudonymise(None, bytes(16))}[make]()
+    frames = list(caught[0](iter([pd.Series([f'word "lit" other{i} ' * 1000 for i in range(300)])])))
+    assert sum(map(len, frames)) == 300 and max(map(len, frames)) <= 100
