@@ -230,7 +230,9 @@ def h01(spark: SparkSession, sf: str) -> DataFrame:
 def s11(spark: SparkSession, sf: str) -> DataFrame:
     """Tagged records with indicators, subfields and escapes, made of parts."""
     text = F.concat(F.lit("=001  "), F.col("p_partkey").cast("string"), F.lit("\n=245  10$a"), "p_name", F.lit(" {dollar}5$b"), "p_brand", F.lit("\n"))
-    parsed = formats.tagged_records(table(spark, sf, "part").select(text.alias("text")))
+    # The table is small and its records take long: few tasks would read it.
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    parsed = formats.tagged_records(parts.select(text.alias("text")))
     f = F.col("fields")
     return parsed.select(formats.field_value(f, "001").cast("long").alias("id"), formats.field_value(f, "245", "a").alias("title"), formats.field_value(f, "245", "b").alias("subtitle"))
 
@@ -294,7 +296,9 @@ def s11_holdings(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("=876  \\\\\\\\$aitem$hloan"), F.concat(F.lit("=583  \\\\\\\\$aLOANSTART$bD8$c20210203$xP"), (key % 7).cast("string")), F.when(key % 2 == 0, F.lit("=583  \\\\\\\\$aLOANEND$bD8$c20210304")).otherwise(F.lit("=583  \\\\\\\\$aLOANEND$bD8")),
         F.lit("=583  \\\\\\\\$aHOLDPLACED$c20210101$3someone"),
     ]
-    parsed = formats.tagged_records(table(spark, sf, "part").select(F.concat_ws("\n", *lines).alias("text"))).select(formats.holding(F.col("fields")).alias("h"))
+    # The table is small and its records take long: few tasks would read it.
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    parsed = formats.tagged_records(parts.select(F.concat_ws("\n", *lines).alias("text"))).select(formats.holding(F.col("fields")).alias("h"))
     loan = F.get("h.loans", 0)
     return parsed.select("h.holding_id", "h.title", "h.author", "h.published", "h.branch_id", "h.call_number", loan["policy_code"].alias("policy_code"), loan["effective_start"].alias("effective_start"), loan["effective_end"].alias("effective_end"), F.size("h.reservations").alias("reservations"))
 

@@ -173,6 +173,11 @@ def holding(fields: Column) -> Column:
     """
     none = F.array().cast("array<struct<code:string,value:string>>")
     placed = F.transform(fields, lambda f, i: F.struct(i.alias("i"), f["tag"].alias("tag"), f["value"].alias("value"), F.coalesce(f["subs"], none).alias("subs")))
+    # Bound by a lambda, so that it is made once and not wherever it is named.
+    return F.get(F.transform(F.array(placed), _holding), 0)
+
+
+def _holding(placed: Column) -> Column:
     sub_of = lambda f, c: F.coalesce(F.try_element_at(F.filter(f["subs"], lambda s: s["code"] == c), F.lit(1))["value"], F.lit(""))
     last = lambda xs: F.try_element_at(xs, F.lit(-1))
     of = lambda *tags: F.filter(placed, lambda f: f["tag"].isin(*tags))

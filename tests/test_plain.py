@@ -606,3 +606,8 @@ def test_functions_of_texts_give_a_part_at_a_time(spark, monkeypatch, make):
     {"cut": lambda: literals.cut_at_literals(None), "checked": lambda: identifiers.checked(None, bytes(16)), "pseudonymise": lambda: identifiers.pseudonymise(None, bytes(16))}[make]()
     frames = list(caught[0](iter([pd.Series([f'word "lit" other{i} ' * 1000 for i in range(300)])])))
     assert sum(map(len, frames)) == 300 and max(map(len, frames)) <= 100
+
+
+def test_holdings_are_read_by_many_tasks(spark, sf):
+    plan = plans.queries()["s11_holdings"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
