@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import identifiers
+from larkspur.functions.batches import in_parts
 from larkspur.functions.cipher import WIDE, WordCipher
 
 # Words of more rows than this, and than one in MOST_HOT of all, are joined by broadcast; there are MOST_HOT of them at most.
@@ -68,14 +69,16 @@ def words_of(texts: DataFrame, key: list[str], text_col: str = "text") -> DataFr
     """key, word, times: the distinct identifiers of each row of `texts`. key: names a row."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for many in batches:
+        def tallies(many: pd.Series) -> pd.DataFrame:
             rows = []
             for t in many:
                 tally: dict[str, int] = {}
                 for w in _words(t or ""):
                     tally[w] = tally.get(w, 0) + 1
                 rows.append((list(tally), list(tally.values())))
-            yield pd.DataFrame(rows, columns=["word", "times"])
+            return pd.DataFrame(rows, columns=["word", "times"])
+
+        yield from in_parts(tallies)(batches)
 
     found = F.pandas_udf(run, "word array<string>, times array<long>")(F.col(text_col))
     return texts.select(*key, found.alias("f")).select(*key, F.inline(F.arrays_zip("f.word", "f.times")))
@@ -153,9 +156,9 @@ def pseudonymised(texts: DataFrame, words: DataFrame, entries: DataFrame, key: l
     return _substituted(texts, named.select(*key, F.col("word").alias("was"), F.col("pseudonym").alias("becomes")), key, text_col)
 
 
-def restored(texts: DataFrame, back: DataFrame, key: list[str], text_col: str = "output") -> DataFrame:
-    """`texts` and output: pseudonyms put back by a map of `way_back`."""
-    words = words_of(texts, key, text_col)
+def restored(texts: DataFrame, back: DataFrame, key: list[str], text_col: str = "output", words: DataFrame | None = None) -> DataFrame:
+    """`texts` and output: pseudonyms put back by a map of `way_back`. words: `words_of` the texts, if they are there."""
+    words = words_of(texts, key, text_col) if words is None else words
     entries = words.groupBy("word").agg(F.count("*").alias("rows")).join(back.select(F.col("pseudonym").alias("word"), F.col("reidentify_map").alias("becomes")), "word")
     named = _joined(words.select(*key, "word"), entries).select(*key, F.col("word").alias("was"), "becomes")
     return _substituted(texts.withColumnRenamed(text_col, "_text"), named, key, "_text").drop("_text")

@@ -23,12 +23,16 @@ def t07_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     words = spark.read.parquet(f"{folder}/words")
     dictionary.dictionary(words, KEY).write.parquet(f"{folder}/entries")
     entries = spark.read.parquet(f"{folder}/entries")
-    out = dictionary.pseudonymised(texts, words, entries, key)
-    back = dictionary.restored(out.select(*key, "output"), dictionary.way_back(entries), key).withColumnRenamed("output", "again")
+    # Written, as three steps read it.
+    dictionary.pseudonymised(texts, words, entries, key).write.parquet(f"{folder}/output")
+    out = spark.read.parquet(f"{folder}/output")
+    dictionary.words_of(out.select(*key, "output"), key, "output").write.parquet(f"{folder}/words_after")
+    words_after = spark.read.parquet(f"{folder}/words_after")
+    back = dictionary.restored(out.select(*key, "output"), dictionary.way_back(entries), key, words=words_after).withColumnRenamed("output", "again")
     # Of the words that were enciphered none is a word of its own output, but by chance as another's pseudonym.
     changed = entries.where("kind <> 'plain' AND word <> pseudonym").select("word")
     pseudonyms = entries.where("kind <> 'plain'").select(F.col("pseudonym").alias("word"))
-    left = dictionary.words_of(out.select(*key, "output"), key, "output").join(changed, "word").join(pseudonyms, "word", "left_anti").select(*key).distinct().withColumn("left", F.lit(True))
+    left = words_after.join(changed.join(pseudonyms, "word", "left_anti"), "word").select(*key).distinct().withColumn("left", F.lit(True))
     both = out.join(back, key).join(left, key, "left")
     return both.select(*key, F.coalesce(F.length("output") == F.length("text"), F.lit(True)).alias("same_length"), F.col("again").eqNullSafe(F.col("text")).alias("round_trip"), F.coalesce("left", F.lit(False)).alias("plain_left"))
 

@@ -97,3 +97,11 @@ def test_an_ambiguous_map_is_refused_across_files(spark):
         dictionary.way_back(good.union(make(("qwert", "qwert", "plain"))))
     assert {r["reason"] for r in dictionary.ambiguous(good.union(make(("bravo", "qwert", "hashed"), ("qwert", "qwert", "plain")))).select("reason").distinct().collect()} == {"several words", "stands in plain text"}
     assert dictionary.words_of(spark.createDataFrame([], "i int, text string"), ["i"]).count() == 0
+
+
+def test_output_is_made_once(spark, sf):
+    """What three steps read is a written table, not computed for each."""
+    from larkspur.plans import registry as plans
+
+    plan = plans.queries()["t07_dictionary"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
