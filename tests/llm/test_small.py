@@ -342,3 +342,13 @@ def test_decoding_needs_no_encoding_and_words_held_are_bounded():
     assert bpe.read_ranks(path) == bpe.tiktoken_encoding(path)._mergeable_ranks
     assert bpe.tiktoken_cached(path).spaced.most <= 200_000
     bpe.release(path)
+
+
+def test_long_tokens_are_restored_as_well():
+    from larkspur.llm import toxicity
+
+    table = toxicity.gram_counts(["he said trash again and again"] * 50).astype(np.float32)
+    restorer = toxicity.Restorer(table)
+    long = "-".join(["xyz"] * 40)
+    assert restorer.token(f"tr4sh-{long}") == f"trash-{long}"
+    assert not hasattr(toxicity.ChannelOptions(), "longest") and not hasattr(toxicity.FitOptions(), "rounds")
