@@ -344,11 +344,16 @@ def test_decoding_needs_no_encoding_and_words_held_are_bounded():
     bpe.release(path)
 
 
-def test_long_tokens_are_restored_as_well():
+def test_features_join_until_none_is_over_its_penalty():
+    """More telling features than 12 rounds would take."""
     from larkspur.llm import toxicity
 
-    table = toxicity.gram_counts(["he said trash again and again"] * 50).astype(np.float32)
-    restorer = toxicity.Restorer(table)
-    long = "-".join(["xyz"] * 40)
-    assert restorer.token(f"tr4sh-{long}") == f"trash-{long}"
-    assert not hasattr(toxicity.ChannelOptions(), "longest") and not hasattr(toxicity.FitOptions(), "rounds")
+    n, k = 400, 20
+    y = np.arange(n) % 2
+    row, at = np.nonzero((y[:, None] == 1) & (np.random.default_rng(1).random((n, k)) < 0.3))
+    options = toxicity.FitOptions(together=1, ease=1.0, deviations=0.5, steps=400)
+    weights, bias = toxicity.fit_weights(row, at, y, options)
+    z = np.bincount(row, weights=weights[at], minlength=n) + bias
+    slope = np.abs(np.bincount(at, weights=(1 / (1 + np.exp(-z)) - y)[row], minlength=k)) / n
+    penalty = options.deviations * (np.sqrt(np.bincount(at, minlength=k) * 0.25) + 1) / n
+    assert (slope[weights[:k] == 0] <= penalty[weights[:k] == 0] + 1e-9).all() and (weights[:k] != 0).sum() > 12
